@@ -84,10 +84,16 @@ def publish_results(log: DataFrame) -> DataFrame:
     """Outcome per change. Only accepted inline comments count; the summary counts as posted even when it
     was refused; a change that could not be opened has status ``error`` and nothing posted."""
     refused = ~F.col("accepted")
-    unreachable = F.bool_or((F.col("kind") == "change") & refused)
-    return log.groupBy(*KEY).agg(
-        F.when(unreachable, "error").otherwise("posted").alias("status"),
-        F.count_if((F.col("kind") == "inline") & F.col("accepted")).alias("inline_comments"),
-        (~unreachable).alias("summary_posted"),
-        F.count_if(refused & (F.col("kind") != "change")).alias("n_errors"),
+    opening = F.col("kind") == "change"
+    outcome = log.groupBy(*KEY).agg(
+        F.bool_or(opening & refused).alias("unreachable"),
+        F.max(F.when(opening & refused, F.col("message"))).alias("message"),
+        F.count_if((F.col("kind") == "inline") & F.col("accepted")).alias("inline"),
+        F.count_if(~opening & refused).alias("refused"),
+    )
+    reached = ~F.col("unreachable")
+    return outcome.select(
+        *KEY, F.when(reached, "posted").otherwise("error").alias("status"),
+        F.when(reached, F.col("inline")).otherwise(0).alias("inline_comments"), reached.alias("summary_posted"),
+        F.when(reached, F.col("refused")).otherwise(0).alias("n_errors"), "message",
     )

@@ -6,7 +6,7 @@ definitions. Order ``o`` is file ``mod_<o>.py`` of change ``(org/repo_<customer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -77,8 +77,23 @@ MODEL_RESPONSES = f"""SELECT {FILE_KEY},
                 o_orderpriority, '","overall_score":', o_orderkey % 11, '}}') END AS response
 FROM orders LEFT JOIN js ON l_orderkey = o_orderkey"""
 
-# Reviews already in the cache: every third document, the later document of equal texts wins.
-CACHE_ENTRIES = "SELECT text AS code, 'r' || doc_id AS review, doc_id FROM documents WHERE doc_id % 3 = 0"
+# Documents as cached contents: the labelled ones were reviewed, one second apart; of equal texts the later
+# document counts. Those of low quality hold a value that is no review.
+LABELLED_ENTRIES = """SELECT text AS code, d.doc_id,
+  CASE quality WHEN 1 THEN concat('{"filename":"doc_', d.doc_id, '.py","summary":"label","overall_score":7}') ELSE 'stale' END AS review
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+# Long documents are reviewed again later.
+LONG_ENTRIES = "SELECT text AS code, doc_id, 'r' || doc_id AS review FROM documents WHERE n_chars > 1000"
+FIRST_REVIEW, NEXT_REVIEW = 1704067200, 1735689600  # 2024-01-01, 2025-01-01 UTC
+
+# The issue log of a publishing run: comments on supplier 0..9 lines are refused.
+DELIVERIES = f"""SELECT {FILE_KEY}, 'inline' AS kind, CAST(k AS INT) AS line, l_suppkey >= 10 AS accepted,
+  concat('refused ', l_suppkey) AS message FROM orders JOIN li ON l_orderkey = o_orderkey
+UNION ALL
+SELECT concat('org/repo_', c_custkey % 10), c_custkey, NULL, 'summary', NULL, c_acctbal >= 0, 'no balance' FROM customer
+UNION ALL
+SELECT concat('org/repo_', c_custkey % 10), c_custkey, NULL, 'change', NULL, FALSE, 'not found'
+FROM customer WHERE c_mktsegment = 'MACHINERY'"""
 
 #: Range of order keys handled as one piece when looking for a customer's previous order.
 PIECE = 1 << 20
@@ -154,11 +169,29 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REVIEWS)
 
 
-def webhook_events(events: DataFrame) -> DataFrame:
+def webhook_events(events: DataFrame, signature: Column) -> DataFrame:
+    """Events with the header of their kind; ``signature`` computes a valid one from ``body``."""
     events.createOrReplaceTempView("events")
-    return events.sparkSession.sql(WEBHOOK_EVENTS)
+    raw = events.sparkSession.sql(WEBHOOK_EVENTS)
+    return raw.withColumn("signature", F.when(F.col("sig_kind") == "valid", signature).otherwise(F.col("sig_kind")))
 
 
-def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    return spark.sql(CACHE_ENTRIES)
+def _entries(spark: SparkSession, sf_dir: str, sql: str, since: int) -> DataFrame:
+    for name in ("documents", "labels"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(sql).withColumn("created_at", F.timestamp_seconds(F.col("doc_id") + since))
+
+
+def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, LABELLED_ENTRIES, FIRST_REVIEW)
+
+
+def long_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, LONG_ENTRIES, NEXT_REVIEW)
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name in ("orders", "lineitem", "customer"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    spark.sql(LINES).createOrReplaceTempView("li")
+    return spark.sql(DELIVERIES)
