@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens import KEY
-from changelens.operators.chains import FoldedGraph, fold_chains
-from changelens.operators.reach import _numbered, ancestor_bits
+from changelens.operators.chains import FoldedGraph
+from changelens.operators.reach import ancestor_bits, numbered_chains
 from changelens.skew import hot_keys, salted_join
 from changelens.storage import written_counting
 
 
 def _edges_on_cycles(folded: FoldedGraph) -> DataFrame:
     """Folded edges whose target has a path back to their source, with the size of the target."""
-    numbered = _numbered(folded)
+    numbered = numbered_chains(folded)
     bits = ancestor_bits(folded, numbered).withColumnRenamed("chain", "src")
     target = numbered.select(*KEY, F.col("chain").alias("dst"), "size", "block", "bit")
     return (
@@ -30,8 +30,7 @@ def _edges_on_cycles(folded: FoldedGraph) -> DataFrame:
     )
 
 
-def simple_cycles(edges: DataFrame, folded: FoldedGraph | None = None) -> DataFrame:
-    folded = folded or fold_chains(edges)
+def simple_cycles(folded: FoldedGraph) -> DataFrame:
     rings = folded.members.filter("is_ring").select(*KEY, F.col("chain").alias("cycle"), "pos", "module")
 
     steps = _edges_on_cycles(folded)

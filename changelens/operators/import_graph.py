@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from changelens import KEY
 from changelens.functions.names import dotted_prefixes, module_name
 from changelens.skew import hot_keys, salted_join
+from changelens.storage import written
 
 
 def unusable_graphs(facts: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def edges(files: DataFrame) -> DataFrame:
     prefix of one. Instead of comparing every import with every module, both sides are looked up by
     their dotted prefixes, once per distinct imported name.
     """
-    imported = _imported(files)
+    imported = written(_imported(files), "imports")
     counts = imported.groupBy(*KEY, "imported").agg(F.count("*").alias("n"))
 
     known = (

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens import KEY
-from changelens.operators.chains import FoldedGraph, fold_chains
+from changelens.operators.chains import FoldedGraph
 from changelens.skew import hot_keys, salted_join
 from changelens.storage import written, written_counting
 
 
-def _numbered(folded: FoldedGraph) -> DataFrame:
+def numbered_chains(folded: FoldedGraph) -> DataFrame:
     """Chains with edges, each given a (block, bit). Numbers follow the order of a range partitioning,
     so the chains of one change fill consecutive blocks; written, as the numbering must not change."""
     connected = folded.edges.select(*KEY, F.explode(F.array("src", "dst")).alias("chain")).distinct()
@@ -87,11 +87,10 @@ def _chain_ancestors(folded: FoldedGraph, numbered: DataFrame, bits: DataFrame)
     )
 
 
-def module_reach(edges: DataFrame, folded: FoldedGraph | None = None) -> DataFrame:
+def module_reach(folded: FoldedGraph) -> DataFrame:
     """``(key, module, impact, on_cycle)`` for every edge endpoint: how many other modules import it,
     directly or not, and whether it is on an import cycle."""
-    folded = folded or fold_chains(edges)
-    numbered = _numbered(folded)
+    numbered = numbered_chains(folded)
     above = _chain_ancestors(folded, numbered, ancestor_bits(folded, numbered))
     per_chain = folded.chains.join(above, [*KEY, "chain"], "left").select(
         *KEY, "chain", "size",
@@ -108,52 +107,54 @@ def module_reach(edges: DataFrame, folded: FoldedGraph | None = None) -> DataFra
     return joined.select(*KEY, "module", impact.alias("impact"), "on_cycle")
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(*KEY, F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-
-def ancestors(edges: DataFrame, starts: DataFrame, folded: FoldedGraph | None = None) -> DataFrame:
-    """``(key, start, module)``: every module with a path to ``start``, for the modules in
-    ``starts(key, module)``. A start that is no node gives no rows. The modules a start itself depends
-    on are the ancestors in :func:`reversed_edges`.
+def _reached(starts: DataFrame, folded: FoldedGraph, upstream: bool) -> DataFrame:
+    """``(key, start, module)``: all modules above (or below) the modules in ``starts(key, module)``.
 
     Chains are walked, not modules: a frontier of (start, chain) rows advances one folded edge a round.
     """
-    folded = folded or fold_chains(edges)
     begin = written(
         starts.select(*KEY, "module").distinct().join(folded.members, [*KEY, "module"]).select(
-            *KEY, F.col("module").alias("start"), "chain", "pos", "is_ring"
+            *KEY, F.col("module").alias("start"), "chain", F.when(~F.col("is_ring"), F.col("pos")).alias("at")
         ),
         "starts",
     )
-    into = folded.edges.select(*KEY, F.col("dst").alias("chain"), F.col("src").alias("above"))
+    here, there = ("dst", "src") if upstream else ("src", "dst")
+    steps = folded.edges.select(*KEY, F.col(here).alias("chain"), F.col(there).alias("next"))
 
-    def above(frontier: DataFrame) -> DataFrame:
-        return frontier.join(into, [*KEY, "chain"]).select(*KEY, "start", F.col("above").alias("chain")).distinct()
+    def advanced(frontier: DataFrame) -> DataFrame:
+        return frontier.join(steps, [*KEY, "chain"]).select(*KEY, "start", F.col("next").alias("chain")).distinct()
 
     any_row = F.lit(True)
-    frontier, seen = written_counting(above(begin.select(*KEY, "start", "chain")), "frontier", rows=any_row)
+    frontier, seen = written_counting(advanced(begin.select(*KEY, "start", "chain")), "frontier", rows=any_row)
     reached = frontier
     while seen["rows"]:
-        further = above(frontier).join(reached, [*KEY, "start", "chain"], "left_anti")
+        further = advanced(frontier).join(reached, [*KEY, "start", "chain"], "left_anti")
         frontier, seen = written_counting(further, "frontier", rows=any_row)
         reached = reached.unionByName(frontier)
 
-    # Whole chains above the start, then the part of its own chain before it (a ring: all of it).
-    spans = reached.withColumn("until", F.lit(None).cast("long")).unionByName(
-        begin.select(*KEY, "start", "chain", F.when(~F.col("is_ring"), F.col("pos")).alias("until"))
-        .filter("until IS NULL OR until > 0")
-    )
+    # Whole chains reached, and the start's own chain on one side of it (a ring: all of it).
+    spans = begin.unionByName(reached.withColumn("at", F.lit(None).cast("long")))
     hot = hot_keys(folded.chains, [*KEY, "chain"], "size")
     members = folded.members.select(*KEY, "chain", "module", "pos")
     found = salted_join(members, spans, [*KEY, "chain"], "inner", hot, F.col("module"))
+    beside = F.col("pos") < F.col("at") if upstream else F.col("pos") > F.col("at")
     return (
-        found.filter("(until IS NULL OR pos < until) AND module <> start")
+        found.filter((F.col("at").isNull() | beside) & (F.col("module") != F.col("start")))
         .select(*KEY, "start", "module")
         .distinct()
     )
 
 
+def impact(starts: DataFrame, folded: FoldedGraph) -> DataFrame:
+    """Modules that import a start, directly or not. A start that is no node of the graph gives no rows."""
+    return _reached(starts, folded, upstream=True)
+
+
+def dependencies(starts: DataFrame, folded: FoldedGraph) -> DataFrame:
+    """Modules a start depends on, directly or not."""
+    return _reached(starts, folded, upstream=False)
+
+
 def impact_counts(files: DataFrame, reach: DataFrame) -> DataFrame:
     """Impact count of every changed file, looked up under its ranking name; 0 when that is no node."""
     counts = reach.select(*KEY, F.col("module").alias("ranking_name"), "impact")

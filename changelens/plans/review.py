@@ -39,7 +39,7 @@ class ImportGraphs:
 
     @cached_property
     def reach(self) -> DataFrame:
-        return written(reach.module_reach(self.edges, self.folded), "reach")
+        return written(reach.module_reach(self.folded), "reach")
 
 
 def priority_scores(facts: DataFrame, graphs: ImportGraphs | None = None) -> DataFrame:

@@ -10,25 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than this share of the rows. At most 1/HOT_SHARE keys can be hot
-#: whatever the data size, which is the size bound of the broadcast below.
-HOT_SHARE = 0.001
-
-
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """Hot keys of a per-key count table, with the number of pieces each should be split into."""
-    spark = counts.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = counts.agg(F.sum(n)).scalar()
-    return (
-        counts.filter(F.col(n) > total * F.lit(HOT_SHARE))
-        .select(*keys, F.ceil(F.col(n) * F.lit(pieces) / total).cast("int").alias("_pieces"))
-        .filter("_pieces > 1")
-    )
+#: Rows of one key a single task may take; a key with more is hot and is split into pieces of this size.
+HOT_ROWS = 1_000_000
+#: At most this many keys are split, the largest first. A key left out holds fewer rows than each of
+#: these, so under 1/MAX_HOT of all rows. Bounds the broadcast below whatever the data size.
+MAX_HOT = 10_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """Hot keys of a per-key count table with their number of pieces; None, as usual, if no key is hot."""
+    over = counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(MAX_HOT)
+    few = over.select(*keys, F.ceil(F.col(n) / HOT_ROWS).cast("long").alias("_pieces"))
+    rows = few.collect()  # at most MAX_HOT rows
+    return counts.sparkSession.createDataFrame(rows, few.schema) if rows else None
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: DataFrame, spread_by: Column
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: DataFrame | None, spread_by: Column
 ) -> DataFrame:
     """Join a skewed ``left`` to ``right``, which has few rows per key.
 
@@ -36,16 +34,17 @@ def salted_join(
     retried task puts each row in the same place) and the matching right rows are repeated per piece.
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
-    few = F.broadcast(hot)
+    if hot is None:
+        return left.join(right, keys, how)
+    few, zero = F.broadcast(hot), F.lit(0).cast("long")
     salted = (
         left.join(few, keys, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_pieces")), F.lit(0)))
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_pieces")), zero))
         .drop("_pieces")
     )
     repeated = (
         right.join(few, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
-        .withColumn("_salt", F.col("_salt").cast("long"))
+        .withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_pieces", F.lit(1)) - 1)))
         .drop("_pieces")
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

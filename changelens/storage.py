@@ -9,19 +9,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="changelens-")
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder for this application's written tables, below ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="changelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/changelens/{spark.sparkContext.applicationId}"
 
 

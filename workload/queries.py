@@ -152,7 +152,7 @@ def isolated_modules(t: Inputs) -> DataFrame:
 
 @query
 def graph_cycles(t: Inputs) -> DataFrame:
-    return cycles.simple_cycles(t.graphs.edges, t.graphs.folded)
+    return cycles.simple_cycles(t.graphs.folded)
 
 
 @query
@@ -164,14 +164,14 @@ def has_cycles(t: Inputs) -> DataFrame:
 def module_impact(t: Inputs) -> DataFrame:
     """What a change of the most imported module of each change affects."""
     starts = import_graph.top_by_degree(t.graphs.edges, "dst", 1)
-    return reach.ancestors(t.graphs.edges, starts, t.graphs.folded)
+    return reach.impact(starts, t.graphs.folded)
 
 
 @query
 def module_dependencies(t: Inputs) -> DataFrame:
     """What the module with the most imports of each change depends on."""
     starts = import_graph.top_by_degree(t.graphs.edges, "src", 1)
-    return reach.ancestors(reach.reversed_edges(t.graphs.edges), starts)
+    return reach.dependencies(starts, t.graphs.folded)
 
 
 @query
