@@ -11,6 +11,7 @@ from changelens.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("changelens-tests", cores=4)
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 

@@ -8,6 +8,7 @@ from changelens.operators import cycles, import_graph, reach
 from changelens.operators.chains import fold_chains
 from changelens.operators.code_facts import code_facts
 from changelens.plans.review import ImportGraphs
+from changelens.storage import written
 
 EDGE = "repo STRING, pr_number LONG, src STRING, dst STRING"
 
@@ -72,7 +73,7 @@ def _graphs():
 def graphs(spark):
     shapes = _graphs()
     rows = [("r", k, s, d) for k, shape in enumerate(shapes) for s, d in shape]
-    edges = spark.createDataFrame(rows, EDGE).repartition(5)
+    edges = written(spark.createDataFrame(rows, EDGE).repartition(5), "edges")
     return shapes, edges, fold_chains(edges)
 
 
@@ -154,7 +155,7 @@ def test_no_edges(spark):
 
 
 def _graph(change, files):
-    return ImportGraphs(code_facts(change(files)))
+    return ImportGraphs(written(code_facts(change(files)), "facts"))
 
 
 def _pairs(graph):
@@ -199,5 +200,5 @@ def test_impact_of_a_shared_helper(change):
 
 def test_same_names_in_two_changes_stay_apart(change):
     two = change({"a.py": "import b", "b.py": ""}, pr=1).unionByName(change({"a.py": "", "b.py": "import a"}, pr=2))
-    graph = ImportGraphs(code_facts(two))
+    graph = ImportGraphs(written(code_facts(two), "facts"))
     assert {(e.pr_number, e.src, e.dst) for e in graph.edges.collect()} == {(1, "a", "b"), (2, "b", "a")}
