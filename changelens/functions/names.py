@@ -1,35 +1,26 @@
-"""Module names of file paths, as column expressions."""
+"""Module names of file paths, as column expressions that stay inside generated code."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _stem(name: Column) -> Column:
-    """File name without its last suffix; a name that is only a suffix (``.py``) stays."""
-    return F.regexp_replace(name, r"^(\.*[^.].*)\.[^.]*$", "$1")
-
-
-def _path_parts(path: Column) -> tuple[Column, Column]:
-    """Directory parts (empty and ``.`` parts dropped) and the file name of a path."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    rooted = F.when(F.startswith(path, F.lit("/")), F.concat(F.array(F.lit("/")), dirs)).otherwise(dirs)
-    return rooted, F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-
-
 def module_name(path: Column) -> Column:
-    """Graph name of a changed file: ``pkg/mod.py`` -> ``pkg.mod``, ``pkg/__init__.py`` -> ``pkg.__init__``."""
-    dirs, name = _path_parts(path)
-    return F.array_join(F.concat(dirs, F.array(_stem(name))), ".")
+    """Graph name of a changed file: ``pkg/mod.py`` -> ``pkg.mod``, ``pkg/__init__.py`` -> ``pkg.__init__``.
+
+    Empty and ``.`` folders drop out; the last suffix goes, unless the name is nothing but a suffix.
+    """
+    clean = F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"^(?:\./)+", "")
+    stem = F.regexp_replace(clean, r"([^/.][^/]*)\.[^/.]*$", "$1")
+    dotted = F.replace(stem, F.lit("/"), F.lit("."))
+    return F.when(F.startswith(stem, F.lit("/")), F.concat(F.lit("/"), dotted)).otherwise(dotted)
 
 
 def tree_module_name(path: Column) -> Column:
     """Graph name of a file in a source tree: as above, but ``pkg/__init__.py`` -> ``pkg``."""
-    dirs, name = _path_parts(path)
-    package = (name == "__init__.py") & (F.size(dirs) > 0)
-    return F.when(package, F.array_join(dirs, ".")).otherwise(module_name(path))
+    package = F.endswith(path, F.lit("/__init__.py"))
+    return F.when(package, F.regexp_replace(module_name(path), r"\.__init__$", "")).otherwise(module_name(path))
 
 
 def ranking_name(path: Column) -> Column:
@@ -37,9 +28,7 @@ def ranking_name(path: Column) -> Column:
     return F.replace(F.replace(path, F.lit(".py"), F.lit("")), F.lit("/"), F.lit("."))
 
 
-def dotted_prefixes(name: Column) -> Column:
-    """``a.b.c`` -> ``[a, a.b, a.b.c]``."""
-    parts = F.split(name, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")
-    )
+def with_prefixes(table: DataFrame, column: str, prefix: str) -> DataFrame:
+    """One row per dotted prefix of a name: ``a.b.c`` gives ``a``, ``a.b`` and ``a.b.c``."""
+    parts = table.select("*", F.posexplode(F.split(column, r"\.")).alias("_depth", "_part"))
+    return parts.withColumn(prefix, F.call_function("substring_index", F.col(column), F.lit("."), F.col("_depth") + 1)).drop("_depth", "_part")

@@ -6,6 +6,7 @@ the task that scans it; no shuffle. Everything later reads the facts and never t
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,10 +48,12 @@ def code_facts(files: DataFrame) -> DataFrame:
     parsed = to_arrow_schema(facts_type)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # syntax trees hold no cycles; the collector's passes over them take a fifth of the time
         for batch in batches:
             rows = [read_facts(code) for code in batch.column("code").to_pylist()]
             facts = [pa.array([r[f.name] for r in rows], type=f.type) for f in parsed]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + facts, [*kept, *parsed.names])
+        gc.enable()
 
     out = T.StructType([*python_files.select(*kept).schema.fields, *facts_type.fields])
     return python_files.select(*kept, "code").mapInArrow(parse, out)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from changelens import KEY
-from changelens.functions.names import dotted_prefixes, module_name
+from changelens.functions.names import module_name, with_prefixes
 from changelens.skew import hot_keys, salted_join
 from changelens.storage import written
 
@@ -23,9 +23,12 @@ def unusable_graphs(facts: DataFrame) -> DataFrame:
 
 def graph_files(facts: DataFrame) -> DataFrame:
     """Files of the changes that have a graph, with their module name (kept if the table has one, as source
-    trees do). The changes without a graph are few rows, but the join is left to Spark's size check."""
-    kept = facts.join(unusable_graphs(facts), KEY, "left_anti")
-    return kept if "module" in facts.columns else kept.withColumn("module", module_name(F.col("filename")))
+    trees do)."""
+    unusable = unusable_graphs(facts)
+    if not unusable.isEmpty():
+        hot = hot_keys(facts.groupBy(*KEY).agg(F.count("*").alias("n")), KEY)
+        facts = salted_join(facts, unusable, KEY, "left_anti", hot, F.col("filename"))
+    return facts if "module" in facts.columns else facts.withColumn("module", module_name(F.col("filename")))
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -54,12 +57,12 @@ def edges(files: DataFrame) -> DataFrame:
     counts = imported.groupBy(*KEY, "imported").agg(F.count("*").alias("n"))
 
     known = (
-        files.select(*KEY, "module", F.explode(dotted_prefixes(F.col("module"))).alias("name"))
+        with_prefixes(files.select(*KEY, "module"), "module", "name")
         .groupBy(*KEY, "name")
         .agg(F.bool_or(F.col("name") == F.col("module")).alias("is_module"))
     )
     ours = (
-        counts.select(*KEY, "imported", F.explode(dotted_prefixes(F.col("imported"))).alias("name"))
+        with_prefixes(counts.select(*KEY, "imported"), "imported", "name")
         .join(known, [*KEY, "name"])
         .filter("is_module OR name = imported")
         .select(*KEY, "imported")

@@ -119,10 +119,14 @@ def test_module_names(spark):
         "./a//b.py": ("a.b", "a.b", "..a..b"),
         "x/.py": ("x..py", "x..py", "x."),
         "v1.2/a.b.py": ("v1.2.a.b", "v1.2.a.b", "v1.2.a.b"),
+        "a/././b/../c.py": ("a.b....c", "a.b....c", "a.....b....c"),
+        "./__init__.py": ("__init__", "__init__", "..__init__"),
         "/abs/m.py": ("/.abs.m", "/.abs.m", ".abs.m"),
     }
     table = spark.createDataFrame([(p,) for p in paths], "p STRING")
     p = F.col("p")
     rows = table.select(p, names.module_name(p), names.tree_module_name(p), names.ranking_name(p)).collect()
     assert {r[0]: tuple(r)[1:] for r in rows} == paths
-    assert [r[0] for r in table.limit(1).select(names.dotted_prefixes(F.lit("a.b.c"))).collect()] == [["a", "a.b", "a.b.c"]]
+    table = spark.createDataFrame([("a.b.c",), ("x.",)], "name STRING")
+    rows = names.with_prefixes(table, "name", "prefix").collect()
+    assert {tuple(r) for r in rows} == {("a.b.c", "a"), ("a.b.c", "a.b"), ("a.b.c", "a.b.c"), ("x.", "x"), ("x.", "x.")}

@@ -33,11 +33,17 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return fixtures.table(self.spark, self.sf_dir, name)
 
+    def _file_table(self, table: DataFrame, label: str) -> DataFrame:
+        # Reading code and answers is heavy per byte: many small files, as a real table has, keep all cores busy.
+        return written(table.repartition(self.spark.sparkContext.defaultParallelism * 4, *FILE), label)
+
     @cached_property
     def source_files(self) -> DataFrame:
-        # Parsing is heavy per byte: many small files, as a real file table has, keep all cores busy.
-        parts = self.spark.sparkContext.defaultParallelism * 4
-        return written(fixtures.source_files(self.spark, self.sf_dir).repartition(parts, *FILE), "source-files")
+        return self._file_table(fixtures.source_files(self.spark, self.sf_dir), "source-files")
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        return self._file_table(fixtures.model_responses(self.spark, self.sf_dir), "responses")
 
     @cached_property
     def file_events(self) -> DataFrame:
@@ -79,7 +85,7 @@ class Inputs:
 
     @cached_property
     def ingested(self) -> DataFrame:
-        return written(reviews.ingest(fixtures.model_responses(self.spark, self.sf_dir)), "answers")
+        return written(reviews.ingest(self.responses), "answers")
 
     @cached_property
     def reviews(self) -> DataFrame:

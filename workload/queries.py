@@ -379,16 +379,15 @@ QUERIES["error_log"] = QUERIES.pop("error_log_all")
 @query
 def stream_pr_status(t: Inputs) -> DataFrame:
     """The event table as a stream: signed events, routed, reviewed, status per change."""
-    t.source_files, t.ingested  # the tables a stream reads exist before it starts
+    t.source_files, t.responses  # the tables a stream reads exist before it starts
     raw = (
         t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet")
         .parquet(t.sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     )
     events = fixtures.webhook_events(raw, F.concat(F.lit("sha256="), hmac_sha256(SECRET, F.col("body"))))
     out = new_path(t.spark, "stream")
-    answers = fixtures.model_responses(t.spark, t.sf_dir)
     review = webhooks.WebhookReview(
-        file_events=lambda: t.file_events, contents=lambda: t.source_files, answers=lambda: answers,
+        file_events=lambda: t.file_events, contents=lambda: t.source_files, answers=lambda: t.responses,
         cache=ReviewCache.create(t.spark, f"{out}/cache"), out=out, secret=SECRET,
     )
     webhooks.start(events, review, f"{out}/checkpoint").awaitTermination()
