@@ -95,6 +95,18 @@ UNION ALL
 SELECT concat('org/repo_', c_custkey % 10), c_custkey, NULL, 'change', NULL, FALSE, 'not found'
 FROM customer WHERE c_mktsegment = 'MACHINERY'"""
 
+# A denser import graph, one change per repository: orders import the suppliers of their lines, suppliers their
+# nation, nations their region, and a region its first nation (the cycles). A few modules are imported by very
+# many others.
+LAYERED_EDGES = """WITH used AS (SELECT DISTINCT concat('org/repo_', o_custkey % 10) AS repo, o_orderkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+  nations AS (SELECT DISTINCT repo, l_suppkey, s_nationkey FROM used JOIN supplier ON s_suppkey = l_suppkey),
+  regions AS (SELECT DISTINCT repo, n_nationkey, n_regionkey FROM nations JOIN nation ON n_nationkey = s_nationkey)
+SELECT repo, CAST(0 AS BIGINT) AS pr_number, src, dst FROM (
+  SELECT repo, concat('mod_', o_orderkey) AS src, concat('sup_', l_suppkey) AS dst FROM used
+  UNION ALL SELECT repo, concat('sup_', l_suppkey), concat('nat_', s_nationkey) FROM nations
+  UNION ALL SELECT repo, concat('nat_', n_nationkey), concat('reg_', n_regionkey) FROM regions
+  UNION ALL SELECT repo, concat('reg_', n_regionkey), concat('nat_', min(n_nationkey)) FROM regions GROUP BY repo, n_regionkey) t"""
+
 #: Range of order keys handled as one piece when looking for a customer's previous order.
 PIECE = 1 << 20
 
@@ -152,6 +164,12 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MODEL_RESPONSES)
 
 
+def layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name in ("orders", "lineitem", "supplier", "nation"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(LAYERED_EDGES)
+
+
 def pr_file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     return spark.sql(PR_FILE_EVENTS)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.operators import ranking, reviews
+from changelens.operators.chains import FoldedGraph, fold_chains
 from changelens.operators.code_facts import FILE, code_facts
 from changelens.plans.review import ImportGraphs, files_of, priority_scores, with_lines_changed
 from changelens.sources.review_cache import cache_rows, latest
@@ -66,6 +67,14 @@ class Inputs:
     def graphs(self) -> ImportGraphs:
         return ImportGraphs(self.parsed)
 
+    @cached_property
+    def layered_edges(self) -> DataFrame:
+        return written(fixtures.layered_edges(self.spark, self.sf_dir), "layered-edges")
+
+    @cached_property
+    def layered(self) -> FoldedGraph:
+        return fold_chains(self.layered_edges)
+
     @cached_property
     def scores(self) -> DataFrame:
         return written(priority_scores(self.facts, self.graphs), "scores")

@@ -7,7 +7,7 @@ reads code: functions, lines, imports, edges and cycles are computed from orders
 from __future__ import annotations
 
 from workload.fixtures import (
-    DELIVERIES, FILE_KEY, FILE_SOURCE, FIRST_REVIEW, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LINES,
+    DELIVERIES, FILE_KEY, FILE_SOURCE, FIRST_REVIEW, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
     LONG_ENTRIES, MODEL_RESPONSES, NEXT_REVIEW, ORDERED, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, WEBHOOK_EVENTS,
 )
 
@@ -81,6 +81,8 @@ def degrees(end: str, n: int) -> str:
   SELECT *, row_number() OVER (PARTITION BY repo, pr_number ORDER BY degree DESC, module) AS position
   FROM (SELECT repo, pr_number, {end} AS module, count(*) AS degree FROM edges GROUP BY ALL)) WHERE position <= {n})"""
 
+LAYERED = f"edges AS MATERIALIZED ({LAYERED_EDGES})"
+ENDS = "ends AS MATERIALIZED (SELECT repo, pr_number, src AS module FROM edges UNION SELECT repo, pr_number, dst FROM edges)"
 
 SCORES = """scores AS MATERIALIZED (SELECT *, complexity * 2 + dependencies + CAST(lines_changed AS DOUBLE) / 10 AS score FROM (
   SELECT s.repo, s.pr_number, s.filename, s.max_complexity AS complexity, i.impact AS dependencies,
@@ -190,6 +192,17 @@ ORACLES: dict[str, str] = {
         LEFT JOIN on_cycle a ON a.repo = e.repo AND a.pr_number = e.pr_number AND a.module = e.src
         LEFT JOIN on_cycle b ON b.repo = e.repo AND b.pr_number = e.pr_number AND b.module = e.dst"""),
     "impact_counts": sql(*GRAPH, CLOSURE, IMPACT, select="SELECT * FROM impact"),
+    "layered_impact": sql(LAYERED, ENDS, CLOSURE, select="""SELECT n.repo, n.pr_number, n.module, count(*) FILTER (c.src <> n.module) AS impact,
+        coalesce(bool_or(c.src = n.module), FALSE) AS on_cycle FROM ends n
+        LEFT JOIN closure c ON c.repo = n.repo AND c.pr_number = n.pr_number AND c.dst = n.module GROUP BY ALL"""),
+    "layered_cycles": sql(LAYERED, select="""SELECT repo, pr_number, pos, module FROM (
+        SELECT a.repo, a.pr_number, unnest([0, 1]::BIGINT[]) AS pos, unnest([a.src, a.dst]) AS module FROM edges a
+        JOIN edges b ON b.repo = a.repo AND b.pr_number = a.pr_number AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst)"""),
+    "layered_dependencies": sql(LAYERED, degrees("src", 5), CLOSURE, select="""SELECT c.repo, c.pr_number, c.src AS start, c.dst AS module
+        FROM closure c JOIN top t ON t.repo = c.repo AND t.pr_number = c.pr_number AND t.module = c.src WHERE c.src <> c.dst"""),
+    "layered_edge_flags": sql(LAYERED, CLOSURE, ON_CYCLE, select="""SELECT e.repo, e.pr_number, e.src, e.dst, a.module IS NOT NULL AND b.module IS NOT NULL AS in_cycle FROM edges e
+        LEFT JOIN on_cycle a ON a.repo = e.repo AND a.pr_number = e.pr_number AND a.module = e.src
+        LEFT JOIN on_cycle b ON b.repo = e.repo AND b.pr_number = e.pr_number AND b.module = e.dst"""),
     "priority_scores": sql(*RANKED, select="SELECT * FROM scores"),
     "review_queue": sql(*RANKED, QUEUE, select="SELECT repo, pr_number, filename, rank, score FROM queue"),
     "queue_next": sql(*RANKED, QUEUE, select="SELECT repo, pr_number, filename, score FROM queue WHERE rank = 1"),

@@ -190,6 +190,31 @@ def impact_counts(t: Inputs) -> DataFrame:
     return reach.impact_counts(files, t.graphs.reach).select(*FILE, "impact")
 
 
+# The same on a denser graph with few, large changes
+
+
+@query
+def layered_impact(t: Inputs) -> DataFrame:
+    """Impact count and cycle membership of every module."""
+    return reach.module_reach(t.layered)
+
+
+@query
+def layered_cycles(t: Inputs) -> DataFrame:
+    return cycles.simple_cycles(t.layered).select(*KEY, "pos", "module")
+
+
+@query
+def layered_dependencies(t: Inputs) -> DataFrame:
+    """What the five modules with the most imports depend on."""
+    return reach.dependencies(import_graph.top_by_degree(t.layered_edges, "src"), t.layered)
+
+
+@query
+def layered_edge_flags(t: Inputs) -> DataFrame:
+    return reach.edge_flags(t.layered_edges, reach.module_reach(t.layered))
+
+
 # Ranking
 
 
