@@ -21,6 +21,9 @@ TABLES = {
     "import_edges": lambda t: t.graphs.edges,
     "folded_graph": lambda t: t.graphs.folded,
     "module_reach": lambda t: t.graphs.reach,
+    "layered_edges": lambda t: t.layered_edges,
+    "layered_folded_graph": lambda t: t.layered,
+    "layered_reach": lambda t: t.layered_reach,
     "priority_scores": lambda t: t.scores,
     "review_queue": lambda t: t.queue,
     "responses": lambda t: t.responses,

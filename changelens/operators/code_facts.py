@@ -85,11 +85,18 @@ def syntax_errors(facts: DataFrame) -> DataFrame:
     return facts.filter("error_kind = 'syntax'").select(*FILE, "error_message", "total_lines")
 
 
+def fact_counts() -> list[Column]:
+    """Functions, classes and imports of a facts row; of each nested table only one number is read."""
+    return [
+        F.size("functions.line_start").alias("n_functions"), F.size("classes.line_start").alias("n_classes"),
+        F.size("imports.line").alias("n_imports"),
+    ]
+
+
 def file_summary(facts: DataFrame) -> DataFrame:
     return analyzed(facts).select(
         *FILE, "total_lines", "avg_complexity",
-        F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"),
-        F.size("imports").alias("n_imports"),
+        *fact_counts(),
         (F.col("error_kind") == "syntax").eqNullSafe(True).alias("has_syntax_error"),
     )
 

@@ -71,12 +71,19 @@ def ancestor_bits(folded: FoldedGraph, numbered: DataFrame) -> DataFrame:
 
 def _chain_ancestors(folded: FoldedGraph, numbered: DataFrame, bits: DataFrame) -> DataFrame:
     """Per chain the number of modules in its ancestor chains, and whether the chain is on a cycle."""
-    sizes = numbered.groupBy("block").agg(F.collect_list(F.struct("bit", "size")).alias("sizes"))  # <= 64 each
-    inside = F.aggregate(
-        F.filter("sizes", lambda s: s["bit"].bitwiseAND(F.col("bits")) != 0),
-        F.lit(0).cast("long"), lambda total, s: total + s["size"],
+    # Sizes in binary: one bit set per block and binary digit, holding the chains whose size has that digit.
+    # A row's total is then a bit count per digit; single modules, the usual case, have one digit.
+    digits = (
+        numbered.select("block", "bit", "size", F.explode(F.sequence(F.lit(0), F.floor(F.log2("size")).cast("int"))).alias("digit"))
+        .filter("shiftright(size, digit) & 1 = 1")
+        .groupBy("block", "digit")
+        .agg(F.bit_or("bit").alias("having"))
+    )
+    hot = hot_keys(bits.groupBy("block").agg(F.count("*").alias("n")), ["block"])
+    counted = salted_join(bits, digits, ["block"], "inner", hot, F.col("chain")).select(
+        *KEY, "chain", F.expr("shiftleft(cast(bit_count(bits & having) AS bigint), digit)").alias("n"),
+        F.lit(False).alias("own"),
     )
-    counted = bits.join(sizes, "block").select(*KEY, "chain", inside.alias("n"), F.lit(False).alias("own"))
     own = (
         numbered.join(bits, [*KEY, "chain", "block"])
         .filter(F.col("bit").bitwiseAND(F.col("bits")) != 0)

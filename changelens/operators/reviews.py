@@ -19,7 +19,7 @@ from changelens import KEY
 from changelens.functions import review_json
 from changelens.functions.review_json import SEVERITIES, read_review
 from changelens.functions.scoring import ANSWER_TOKENS, cost_usd, input_tokens, score_band
-from changelens.operators.code_facts import FILE
+from changelens.operators.code_facts import FILE, fact_counts
 
 #: Longer files are not sent (characters).
 MAX_CHARS = 50000
@@ -63,9 +63,7 @@ def review_requests(plan: DataFrame, facts: DataFrame, files: DataFrame, templat
     """One request per planned review. The plan has a few files per change; with a large file table Spark's
     runtime bloom filter drops all other code before the join's shuffle."""
     todo = plan.filter((F.col("action") == "review") & ~oversize(F.col("n_chars"))).select(*FILE, "rank", "dependencies")
-    about = facts.select(
-        *FILE, F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), "avg_complexity"
-    )
+    about = facts.select(*FILE, "avg_complexity", *fact_counts()).drop("n_imports")
     wanted = todo.join(about, FILE).join(files.select(*FILE, "code"), FILE)
     return wanted.withColumn("prompt", _filled(template)).drop("code")
 

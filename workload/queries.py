@@ -196,7 +196,7 @@ def impact_counts(t: Inputs) -> DataFrame:
 @query
 def layered_impact(t: Inputs) -> DataFrame:
     """Impact count and cycle membership of every module."""
-    return reach.module_reach(t.layered)
+    return t.layered_reach
 
 
 @query
@@ -212,7 +212,7 @@ def layered_dependencies(t: Inputs) -> DataFrame:
 
 @query
 def layered_edge_flags(t: Inputs) -> DataFrame:
-    return reach.edge_flags(t.layered_edges, reach.module_reach(t.layered))
+    return reach.edge_flags(t.layered_edges, t.layered_reach)
 
 
 # Ranking
