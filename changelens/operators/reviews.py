@@ -21,7 +21,7 @@ from changelens.functions.review_json import SEVERITIES, read_review
 from changelens.functions.scoring import ANSWER_TOKENS, cost_usd, input_tokens, score_band
 from changelens.operators.code_facts import FILE, fact_counts
 
-#: Longer files are not sent (characters).
+# Longer files are not sent (characters), and the text such a file gets.
 MAX_CHARS = 50000
 TOO_LARGE = "File too large for review (>50k chars)"
 

@@ -85,7 +85,7 @@ def test_complexity_equals_a_walk_per_function():
 def test_errors_and_odd_texts(change):
     deep = "x = " + "-" * 100_000 + "1"
     facts = cf.code_facts(change({
-        "broken.py": "def broken(:\n    pass", "empty.py": "", "comment.py": "# one\n# two", "uni.py": 'x = "Azərbaycan 🇦🇿"',
+        "broken.py": "for in x:\n    y", "empty.py": "", "comment.py": "# one\n# two", "uni.py": "größe = '漢字 🎈'",
         "deep.py": deep, "lone.py": 'def f():\n    "\\ud800"\n', "lines.py": "# a\x0c# b\x85# c", "gone.py": None,
     })).cache()
     rows = {r.filename: r for r in facts.collect()}

@@ -21,27 +21,26 @@ from changelens.streaming import webhooks
 def test_tree(spark, tmp_path):
     root = tmp_path / "my project+x"
     files = {
-        "main.py": "from utils import f\nfrom db import g\nfrom models import M", "utils.py": "from helpers import s",
-        "db.py": "from sample.models import M", "models.py": "", "helpers.py": "", "circular_a.py": "from circular_b import f",
-        "circular_b.py": "from circular_a import f", "pkg/__init__.py": "", "pkg/sub/mod.py": "import pkg",
-        ".hidden/tool.py": "", "venv/skip.py": "import main", "pkg/__pycache__/skip.py": "", "notes.txt": "no",
+        "run.py": "import report, store", "report.py": "import fmt", "store.py": "from shop.item import Item", "fmt.py": "",
+        "item.py": "", "_left.py": "import _right", "_right.py": "import _left", "pkg/__init__.py": "", "pkg/sub/mod.py": "import pkg",
+        ".hidden/tool.py": "", "venv/skip.py": "import run", "pkg/__pycache__/skip.py": "", "notes.txt": "no",
     }
     for name, text in files.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
-    (root / "latin.py").write_bytes(b"import main # \xe9")
+    (root / "latin.py").write_bytes(b"import run # \xe9")
     tree = read_tree(spark, str(root)).cache()
     rows = {r.filename: r for r in tree.collect()}
     assert set(rows) == {n for n in files if "skip" not in n and n.endswith(".py")} | {"latin.py"}
     assert rows["latin.py"].code is None and rows["pkg/__init__.py"].module == "pkg"
     graph = ImportGraphs(written(code_facts(tree_files(tree, "sample")), "facts"))
     assert {(e.src, e.dst) for e in graph.edges.collect()} == {
-        ("main", "utils"), ("main", "db"), ("main", "models"), ("utils", "helpers"), ("circular_a", "circular_b"),
-        ("circular_b", "circular_a"), ("pkg.sub.mod", "pkg")}
-    assert [r.module for r in import_graph.isolated_modules(graph.nodes, graph.edges).orderBy("module").collect()] == [".hidden.tool", "latin"]
-    starts = graph.nodes.filter("module IN ('models', 'helpers')")
+        ("run", "report"), ("run", "store"), ("report", "fmt"), ("_left", "_right"), ("_right", "_left"), ("pkg.sub.mod", "pkg")}
+    alone = import_graph.isolated_modules(graph.nodes, graph.edges).collect()
+    assert {r.module for r in alone} == {".hidden.tool", "item", "latin"}
+    starts = graph.nodes.filter("module IN ('fmt', 'store')")
     assert {(r.start, r.module) for r in reach.impact(starts, graph.folded).collect()} == {
-        ("models", "main"), ("helpers", "utils"), ("helpers", "main")}
+        ("fmt", "report"), ("fmt", "run"), ("store", "run")}
 
 
 def test_snapshot(spark):
@@ -96,8 +95,8 @@ def test_routing(spark):
 
 def test_stream(spark, tmp_path):
     """Two batches: copies are reviewed once, the second change finds them cached, a replay changes nothing."""
-    code = "def f(): return 42"
-    files = [("r", 1, "a.py", code), ("r", 1, "copy.py", code), ("r", 1, "bad.py", "def g(:"), ("r", 2, "z.py", code)]
+    code = "def twice(n):\n    return 2 * n\n"
+    files = [("r", 1, "a.py", code), ("r", 1, "copy.py", code), ("r", 1, "bad.py", "class (:"), ("r", 2, "z.py", code)]
     contents = spark.createDataFrame(files, "repo STRING, pr_number LONG, filename STRING, code STRING")
     listed = contents.selectExpr("repo", "pr_number", "filename", "'added' AS status", "1 AS additions", "0 AS deletions")
     listed = listed.union(spark.createDataFrame([("r", 3, "README.md", "added", 1, 0)], listed.schema))

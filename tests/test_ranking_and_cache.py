@@ -11,14 +11,15 @@ from changelens.plans.review import ImportGraphs, error_log, pr_status, priority
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
 from changelens.storage import written
 
+# shop imports menu and till, menu imports text, till imports money.
 FILES = {
-    "main.py": "\nfrom utils import format_data\nfrom db import get_user\n\ndef run():\n    user = get_user(1)\n    print(format_data(user))\n",
-    "utils.py": "\nfrom helpers import safe_str\n\ndef format_data(x):\n    if x is None:\n        return 'none'\n    elif isinstance(x, dict):\n        if 'name' in x:\n            return safe_str(x['name'])\n        return 'no_name'\n    return safe_str(x)\n",
-    "helpers.py": "\ndef safe_str(x):\n    return str(x) if x else 'N/A'\n",
-    "db.py": "\nfrom models import User\n\ndef get_user(uid):\n    if uid <= 0:\n        return None\n    return User(id=uid)\n",
-    "models.py": "\nfrom dataclasses import dataclass\n\n@dataclass\nclass User:\n    id: int\n",
+    "shop.py": "import menu, till\n\ndef serve():\n    return till.total(menu.order)\n",
+    "menu.py": "from text import label\n\ndef order(d):\n    if d and d.name:\n        return label(d)\n    return 1 if d else 2\n",
+    "text.py": "def label(d):\n    while d:\n        d = d.next\n",
+    "till.py": "from money import Sum\n\ndef total(ds):\n    for d in ds:\n        yield Sum(d)\n",
+    "money.py": "class Sum(int):\n    pass\n",
 }
-LINES = {"main.py": 5, "utils.py": 80, "helpers.py": 3, "db.py": 45, "models.py": 10}
+LINES = {"shop.py": 5, "menu.py": 80, "text.py": 3, "till.py": 45, "money.py": 10}
 
 
 def test_ranking_of_a_change(change):
@@ -26,10 +27,10 @@ def test_ranking_of_a_change(change):
     scores = written(priority_scores(facts), "scores")
     queue = ranking.review_queue(scores, 3).orderBy("rank").collect()
     assert [(q.filename, q.score, q.complexity, q.dependencies, q.lines_changed) for q in queue] == [
-        ("utils.py", 17.0, 4, 1, 80), ("db.py", 9.5, 2, 1, 45), ("helpers.py", 6.3, 2, 2, 3),
+        ("menu.py", 17.0, 4, 1, 80), ("till.py", 9.5, 2, 1, 45), ("text.py", 6.3, 2, 2, 3),
     ]
-    assert ranking.queue_next(scores).first().filename == "utils.py"
-    assert {r.filename: r.score for r in ranking.queue_rest(scores).collect()} == {"db.py": 9.5, "helpers.py": 6.3, "models.py": 5.0, "main.py": 2.5}
+    assert ranking.queue_next(scores).first().filename == "menu.py"
+    assert {r.filename: r.score for r in ranking.queue_rest(scores).collect()} == {"till.py": 9.5, "text.py": 6.3, "money.py": 5.0, "shop.py": 2.5}
     assert ranking.queue_size(scores).first()["size"] == 5
     assert ranking.review_queue(scores, 99).count() == 5
 
