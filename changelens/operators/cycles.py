@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 
 from changelens import KEY
 from changelens.operators.chains import FoldedGraph
-from changelens.operators.reach import ancestor_bits, numbered_chains
+from changelens.operators.reach import Ancestry, ancestry
 from changelens.skew import hot_keys, salted_join
 from changelens.storage import written_counting
 
 
-def _edges_on_cycles(folded: FoldedGraph) -> DataFrame:
+def _edges_on_cycles(folded: FoldedGraph, above: Ancestry) -> DataFrame:
     """Folded edges whose target has a path back to their source, with the size of the target."""
-    numbered = numbered_chains(folded)
-    bits = ancestor_bits(folded, numbered).withColumnRenamed("chain", "src")
-    target = numbered.select(*KEY, F.col("chain").alias("dst"), "size", "block", "bit")
+    bits = above.bits.withColumnRenamed("chain", "src")
+    target = above.numbered.select(*KEY, F.col("chain").alias("dst"), "size", "block", "bit")
     return (
         folded.edges.join(target, [*KEY, "dst"])
         .join(bits, [*KEY, "src", "block"])
@@ -30,10 +29,10 @@ def _edges_on_cycles(folded: FoldedGraph) -> DataFrame:
     )
 
 
-def simple_cycles(folded: FoldedGraph) -> DataFrame:
+def simple_cycles(folded: FoldedGraph, above: Ancestry | None = None) -> DataFrame:
     rings = folded.members.filter("is_ring").select(*KEY, F.col("chain").alias("cycle"), "pos", "module")
 
-    steps = _edges_on_cycles(folded)
+    steps = _edges_on_cycles(folded, above or ancestry(folded))
     steps, seen = written_counting(steps, "cycle-edges", any=F.lit(True))
     if not seen["any"]:
         return rings

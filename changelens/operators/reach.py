@@ -7,6 +7,8 @@ rounds is the depth of the folded graph.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from changelens.skew import hot_keys, salted_join
 from changelens.storage import written, written_counting
 
 
-def numbered_chains(folded: FoldedGraph) -> DataFrame:
+def _numbered_chains(folded: FoldedGraph) -> DataFrame:
     """Chains with edges, each given a (block, bit). Numbers follow the order of a range partitioning,
     so the chains of one change fill consecutive blocks; written, as the numbering must not change."""
     connected = folded.edges.select(*KEY, F.explode(F.array("src", "dst")).alias("chain")).distinct()
@@ -35,8 +37,17 @@ def numbered_chains(folded: FoldedGraph) -> DataFrame:
     )
 
 
-def ancestor_bits(folded: FoldedGraph, numbered: DataFrame) -> DataFrame:
-    """``(key, chain, block, bits)``: the chains with a path to ``chain``, itself included if on a cycle."""
+@dataclass(frozen=True)
+class Ancestry:
+    """``numbered`` gives every connected chain its block and bit; ``bits(key, chain, block, bits)`` the chains
+    with a path to ``chain``, itself included if it is on a cycle."""
+
+    numbered: DataFrame
+    bits: DataFrame
+
+
+def ancestry(folded: FoldedGraph) -> Ancestry:
+    numbered = _numbered_chains(folded)
     sources = numbered.select(*KEY, F.col("chain").alias("src"), "block", F.col("bit").alias("bits"))
     edges = folded.edges
 
@@ -66,11 +77,12 @@ def ancestor_bits(folded: FoldedGraph, numbered: DataFrame) -> DataFrame:
             ),
             "ancestors", fresh=fresh,
         )
-    return state.drop("fresh")
+    return Ancestry(numbered, state.drop("fresh"))
 
 
-def _chain_ancestors(folded: FoldedGraph, numbered: DataFrame, bits: DataFrame) -> DataFrame:
+def _chain_ancestors(above: Ancestry) -> DataFrame:
     """Per chain the number of modules in its ancestor chains, and whether the chain is on a cycle."""
+    numbered, bits = above.numbered, above.bits
     # Sizes in binary: one bit set per block and binary digit, holding the chains whose size has that digit.
     # A row's total is then a bit count per digit; single modules, the usual case, have one digit.
     digits = (
@@ -94,12 +106,11 @@ def _chain_ancestors(folded: FoldedGraph, numbered: DataFrame, bits: DataFrame)
     )
 
 
-def module_reach(folded: FoldedGraph) -> DataFrame:
+def module_reach(folded: FoldedGraph, above: Ancestry | None = None) -> DataFrame:
     """``(key, module, impact, on_cycle)`` for every edge endpoint: how many other modules import it,
     directly or not, and whether it is on an import cycle."""
-    numbered = numbered_chains(folded)
-    above = _chain_ancestors(folded, numbered, ancestor_bits(folded, numbered))
-    per_chain = folded.chains.join(above, [*KEY, "chain"], "left").select(
+    counts = _chain_ancestors(above or ancestry(folded))
+    per_chain = folded.chains.join(counts, [*KEY, "chain"], "left").select(
         *KEY, "chain", "size",
         F.coalesce("before", F.lit(0)).alias("before"),
         (F.col("is_ring") | F.coalesce("on_cycle", F.lit(False))).alias("on_cycle"),

@@ -37,9 +37,13 @@ class ImportGraphs:
     def folded(self) -> FoldedGraph:
         return fold_chains(self.edges)
 
+    @cached_property
+    def ancestry(self) -> reach.Ancestry:
+        return reach.ancestry(self.folded)
+
     @cached_property
     def reach(self) -> DataFrame:
-        return written(reach.module_reach(self.folded), "reach")
+        return written(reach.module_reach(self.folded, self.ancestry), "reach")
 
 
 def priority_scores(facts: DataFrame, graphs: ImportGraphs | None = None) -> DataFrame:

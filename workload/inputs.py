@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changelens.operators import ranking, reviews
 from changelens.operators.chains import FoldedGraph, fold_chains
 from changelens.operators.code_facts import FILE, code_facts
-from changelens.operators.reach import module_reach
+from changelens.operators.reach import Ancestry, ancestry, module_reach
 from changelens.plans.review import ImportGraphs, files_of, priority_scores, with_lines_changed
 from changelens.sources.review_cache import cache_rows, latest
 from changelens.sources.snapshots import pr_file_snapshot
@@ -76,9 +76,13 @@ class Inputs:
     def layered(self) -> FoldedGraph:
         return fold_chains(self.layered_edges)
 
+    @cached_property
+    def layered_ancestry(self) -> Ancestry:
+        return ancestry(self.layered)
+
     @cached_property
     def layered_reach(self) -> DataFrame:
-        return written(module_reach(self.layered), "layered-reach")
+        return written(module_reach(self.layered, self.layered_ancestry), "layered-reach")
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -152,7 +152,7 @@ def isolated_modules(t: Inputs) -> DataFrame:
 
 @query
 def graph_cycles(t: Inputs) -> DataFrame:
-    return cycles.simple_cycles(t.graphs.folded)
+    return cycles.simple_cycles(t.graphs.folded, t.graphs.ancestry)
 
 
 @query
@@ -201,7 +201,7 @@ def layered_impact(t: Inputs) -> DataFrame:
 
 @query
 def layered_cycles(t: Inputs) -> DataFrame:
-    return cycles.simple_cycles(t.layered).select(*KEY, "pos", "module")
+    return cycles.simple_cycles(t.layered, t.layered_ancestry).select(*KEY, "pos", "module")
 
 
 @query
