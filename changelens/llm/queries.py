@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import decontamination, packing, quality_rules, secret_scan, token_store
-from changelens.llm.sql import BENCHMARK_DECONTAMINATION
+from changelens.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, secret_scan, token_store
+from changelens.llm.sql import BENCHMARK_DECONTAMINATION, NGRAM_JACCARD_JOIN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(store.documents())
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024)
     return packing.placements(sequences)
@@ -34,17 +38,24 @@ def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *found.columns[1:])
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc.doc_id", "n_lines", "n_removed", "text")
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output,
+    "op2_ngram_jaccard_join": jaccard_join,
     "op3_packing": packed,
     "op4_secret_scan": secrets,
     "op6_quality_rules": fertility_rules,
+    "op7_line_dedup": lines,
     "op8_benchmark_decontamination": benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op8_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
 }

@@ -26,3 +26,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
        coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+#: Components of documents by exact Jaccard similarity of their five-word shingles.
+NGRAM_JACCARD_JOIN = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+shingle AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM doc, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS t(i)
+),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS MATERIALIZED (
+    SELECT x, y FROM common JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y
+    WHERE 100 * c >= 75 * (sx.n + sy.n - c)
+),
+edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reached AS (
+    SELECT doc_id AS x, doc_id AS y FROM doc
+    UNION
+    SELECT r.x, b.y FROM reached r JOIN edge b ON r.y = b.x
+),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id
+FROM doc d JOIN least l ON l.x = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
+"""

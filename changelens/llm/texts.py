@@ -120,6 +120,18 @@ def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+class Substrings:
+    """Hashes of any substrings of some bytes, from one pass of sums."""
+
+    def __init__(self, text: np.ndarray) -> None:
+        up, self.down = _powers(len(text) + 1)
+        self.sums = np.zeros(len(text) + 1, U64)
+        np.cumsum(_tables()[0][text] * up[: len(text)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[starts + lengths] - self.sums[starts]) * self.down[starts] + lengths.astype(U64))
+
+
 #: Odd factors of the words of a window, first to last.
 _PLACES = mixed(np.arange(1, 65, dtype=U64)) | U64(1)
 
