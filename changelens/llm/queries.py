@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changelens.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, secret_scan, token_store
+from changelens.llm import decontamination, language_id, line_dedup, ngram_join, packing, quality_grades, quality_rules, secret_scan, token_store, toxicity
 from changelens.llm.sql import BENCHMARK_DECONTAMINATION, NGRAM_JACCARD_JOIN
 
 
@@ -46,14 +47,31 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0: poor, 1: good but toxic, 2: good."""
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return quality_grades.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rating)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output,
     "op2_ngram_jaccard_join": jaccard_join,
     "op3_packing": packed,
     "op4_secret_scan": secrets,
+    "op5_language_id": languages,
     "op6_quality_rules": fertility_rules,
     "op7_line_dedup": lines,
     "op8_benchmark_decontamination": benchmark_decontamination,
+    "op9_toxicity": toxic,
+    "op10_quality_grades": grades,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
