@@ -9,32 +9,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.storage import written, written_counting
+from changelens.storage import written
 
 #: Weight (entries or bytes) of the nodes that one task compares.
 TASK_WEIGHT = 2_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root``, the least node it is joined to, for all nodes of ``edges`` (``a``, ``b``).
+    """``node`` and ``root``, one node for all that are joined by ``edges`` (``a``, ``b``), for the nodes of ``edges``.
 
-    Each round every node takes the least label among its neighbours, and then its label's label.
+    Each round moves every node to the least node next to it, and from there to the least one next to that.
+    Edges follow, and those within one node go. Ids are hashes, so a round leaves a fraction of the nodes, also
+    of long chains. At the end the moves are put together, the last and smallest first.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct(), "edges")
-    if both.isEmpty():
-        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "labels")
-    while True:
-        near = labels.select(F.col("node").alias("b"), F.col("root").alias("near"))
-        least = written(both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")), "nearest")
-        lower = written(labels.join(least, "node").select("node", F.least("root", "near").alias("low"), F.col("root").alias("old")), "lower")
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("root"))
-        labels, counts = written_counting(
-            lower.join(jump, "low").select("node", "root", (F.col("root") != F.col("old")).alias("moved")), "labels", moved=F.col("moved")
-        )
-        labels = labels.drop("moved")
-        if not counts["moved"]:
-            return labels
+    moves = []
+    edges = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
+    while not edges.isEmpty():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to")), "least")
+        onward = least.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        moves.append(written(least.join(onward, "to").select("node", "root"), "moves"))
+        of = lambda side: moves[-1].select(F.col("node").alias(side), F.col("root").alias(f"new_{side}"))
+        moved = edges.join(of("a"), "a").join(of("b"), "b")
+        pairs = moved.filter("new_a != new_b").select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
+        edges = written(pairs.distinct(), "edges")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = moves.pop()
+    while moves:
+        end = found.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        found = written(moves.pop().join(end, "root", "left").select("node", F.coalesce("end", "root").alias("root")), "roots")
+    return found
 
 
 def clusters(index: DataFrame) -> DataFrame:
@@ -46,12 +51,13 @@ def clusters(index: DataFrame) -> DataFrame:
 
 
 def linked(
-    nodes: DataFrame, cluster: DataFrame, weight: str, columns: list[str], links: Callable[[pa.Table], np.ndarray]
+    nodes: DataFrame, cluster: DataFrame, weight: str, columns: list[str], links: Callable[[pa.Table], np.ndarray], together: bool = False
 ) -> DataFrame:
     """``node`` and ``root`` after comparing all nodes within each cluster.
 
     ``links(table)`` has the rows (``node`` and ``columns``) of one cluster or of two of its tiles, and returns for
-    each row the number of a row that it is linked to, directly or by others: the same for all that are.
+    each row the number of a row that it is linked to, directly or by others: the same for all that are. With
+    ``together`` it gets the clusters of a task at once.
     Small clusters share tasks. A cluster that is heavier than ``TASK_WEIGHT`` is cut into tiles by a hash of the
     node, and each two tiles are compared in a task of their own.
     """
@@ -81,7 +87,7 @@ def linked(
         order = np.lexsort((table.column("node").to_numpy(), root))
         table = table.take(pa.array(order))
         root = root[order]
-        cut = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
+        cut = np.array([0, len(root)]) if together else np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
         node, to = table.column("node").to_numpy(), []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             of = links(table.slice(a, b - a)) if b - a > 1 else np.zeros(b - a, np.int64)

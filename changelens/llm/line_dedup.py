@@ -42,6 +42,8 @@ MEAN_LINE = 200
 BITMAP_WORDS = 1 << 20
 #: Pairs whose distances are found together, and bytes of their lines.
 PAIRS, PAIR_BYTES = 100_000, 8 << 20
+#: Lines that share a key of which all pairs are taken, if they are not in one class already.
+SMALL_RUN = 32
 
 
 def lines_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,10 +195,15 @@ def _links(table: pa.Table) -> np.ndarray:
     np.add.at(histogram, (np.repeat(np.arange(n), lengths), text & 31), 1)
     sets = Sets(n)
 
-    def verify(a: np.ndarray, b: np.ndarray) -> None:
-        code = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-        a, b = code // n, code % n
-        near = (a != b) & (np.abs(lengths[a] - lengths[b]) <= EDITS)
+    tested = np.empty(0, np.int64)
+
+    def verify(codes: np.ndarray) -> None:
+        """Join the pairs ``a * n + b`` (a < b) that are near; pairs that were seen before are left out."""
+        nonlocal tested
+        codes = np.setdiff1d(codes, tested)
+        tested = np.union1d(tested, codes)
+        a, b = codes // n, codes % n
+        near = np.abs(lengths[a] - lengths[b]) <= EDITS
         a, b = a[near], b[near]
         near = np.abs(histogram[a] - histogram[b]).sum(axis=1) <= 2 * EDITS
         a, b = a[near], b[near]
@@ -204,31 +211,48 @@ def _links(table: pa.Table) -> np.ndarray:
         a, b = a[order], b[order]
         at = 0
         while at < len(a):
-            end = at + 1
-            while end < len(a) and (end - at + 1) * int(lengths[a[end]] + EDITS) <= PAIR_BYTES:
-                end += 1
+            longest = lengths[a[at : at + PAIRS]] + EDITS  # they ascend
+            fit = np.searchsorted(longest * np.arange(1, len(longest) + 1), PAIR_BYTES, "right")
+            end = at + max(1, int(fit))
             hit = distances(lines, a[at:end], b[at:end]) <= EDITS
             for x, y in zip(a[at:end][hit].tolist(), b[at:end][hit].tolist(), strict=True):
                 sets.join(x, y)
             at = end
 
+    coded = lambda a, b: (np.minimum(a, b) * n + np.maximum(a, b))[a != b]
     several = np.flatnonzero(held > 1)
     first, size = edges[:-1][several], held[several]
     members = texts.ragged(first, size)
     leaders = np.repeat(line[first], size)
     for at in range(0, len(members), PAIRS):  # stars first
-        verify(leaders[at : at + PAIRS], line[members[at : at + PAIRS]])
-    for a, k in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        own = line[a : a + k]
-        root = np.fromiter((sets.find(x) for x in own.tolist()), np.int64, k)
-        if (root == root[0]).all():
-            continue
-        values, counts = np.unique(root, return_counts=True)
-        apart = own[root != values[counts.argmax()]]  # a link that is missing has an end among these
+        verify(coded(leaders[at : at + PAIRS], line[members[at : at + PAIRS]]))
+    # a link that is still missing lies within a run of lines that are not all in one class
+    root = sets.roots()
+    if len(several):
+        of = root[line[members]]
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        mixed = np.maximum.reduceat(of, starts) != np.minimum.reduceat(of, starts)
+        first, size = first[mixed], size[mixed]
+    for k in np.unique(size[size <= SMALL_RUN]).tolist():
+        x, y = np.triu_indices(k, 1)
+        runs = first[size == k]
+        step = max(1, PAIRS // len(x))
+        for at in range(0, len(runs), step):
+            own = line[runs[at : at + step, None] + np.arange(k)]
+            a, b = own[:, x].ravel(), own[:, y].ravel()
+            apart = root[a] != root[b]
+            verify(coded(a[apart], b[apart]))
+    for start, k in zip(first[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
+        own = line[start : start + k]
+        root = sets.roots()
+        values, counts = np.unique(root[own], return_counts=True)
+        alone = own[root[own] != values[counts.argmax()]]  # a missing link has an end among these
         step = max(1, PAIRS // k)
-        for at in range(0, len(apart), step):
-            some = apart[at : at + step]
-            verify(np.repeat(some, k), np.tile(own, len(some)))
+        for at in range(0, len(alone), step):
+            some = alone[at : at + step]
+            a, b = np.repeat(some, k), np.tile(own, len(some))
+            apart = root[a] != root[b]
+            verify(coded(a[apart], b[apart]))
     return sets.roots()
 
 
@@ -256,7 +280,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(cluster))
     lines = source.select("text").mapInArrow(_texts_of_lines(bits), "node LONG, size LONG, line BINARY")
     of_cluster = lines.join(cluster.select("node"), "node", "left_semi")
-    roots = linked(of_cluster, cluster, "size", ["line"], _links)
+    roots = linked(of_cluster, cluster, "size", ["line"], _links, together=True)
 
     name = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row_hashes").alias("h"), F.col("lines").alias("line"))
     places = answers.members("row_hashes", "lines").select("node", name.alias("name"))
