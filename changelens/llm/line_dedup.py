@@ -259,7 +259,7 @@ def _links(table: pa.Table) -> np.ndarray:
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         new, total, removed = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+        for text, gone in zip(batch.column("doc").field("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
             lines = [] if text is None else text.split("\n")
             drop = set(gone or ())
             new.append(text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
@@ -294,13 +294,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as the struct ``doc``, with its new ``text``, ``n_lines`` before and ``n_removed``."""
     whole = docs.select(
         F.struct(*docs.columns).alias("doc"),
-        F.col("text").cast("string"),
         F.col("doc_id").isNull().alias("unnamed"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.xxhash64(F.col("text").cast("string")).alias("h"),
     )
-    joined = whole.join(_removed(docs), ["unnamed", "id", "h"], "left").select("doc", "text", "gone")
-    schema = T.StructType([joined.schema["doc"], joined.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    joined = whole.join(_removed(docs), ["unnamed", "id", "h"], "left").select("doc", "gone")
+    schema = T.StructType([joined.schema["doc"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(_cleaned, schema)
 
 

@@ -32,6 +32,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_TOKENS = 50
+#: Bytes of text measured together.
+SLICE_BYTES = 2 << 20
 
 #: Robust standard deviations on either side of the median, and the least that one counts.
 SPREADS = 8.0
@@ -168,13 +170,13 @@ def measures(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, text, bounds in texts.text_slices(batch.column("text")):
+            for row, end, text, bounds in texts.text_slices(batch.column("doc").field("text"), SLICE_BYTES):
                 found = measured(text, bounds, vocabulary_path)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").slice(row, end - row), *map(pa.array, found.values())], names=["doc", *found]
                 )
 
-    source = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string"))
+    source = docs.select(F.struct(*docs.columns).alias("doc"))  # the text is in there, and sent once
     columns = [T.StructField(name, KINDS[kind]) for name, kind in MEASURES.items()]
     return source.mapInArrow(run, T.StructType([source.schema["doc"], *columns]))
 
@@ -225,4 +227,5 @@ def quality(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 def keep(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged: one scan for the bands, one to judge."""
     found = measures(docs, vocabulary_path)
-    return judged(found, bands(measures(docs.select("lang", "text"), vocabulary_path))).filter("kept").select("doc.*")
+    narrow = measures(docs.select("lang", "text"), vocabulary_path).select(F.struct("doc.lang").alias("doc"), *MEASURES)
+    return judged(found, bands(written(narrow, "measures"))).filter("kept").select("doc.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from changelens.llm import texts
 
 #: Pieces a Python worker remembers; it begins anew beyond. Ids are the same either way.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 #: Pieces handed to the tokenizer at once, which bounds the memory of its answers.
 ENCODED_AT_ONCE = 4096
 
