@@ -25,8 +25,11 @@ def _integer(value, field: str) -> int:
     number = None
     if isinstance(value, int) or (isinstance(value, float) and value.is_integer()):
         number = int(value)
-    elif isinstance(value, str) and len(value) < 100 and INTEGER.fullmatch(value.strip()):
-        number = int(value.strip().split(".")[0])
+    elif isinstance(value, str) and INTEGER.fullmatch(value.strip()):
+        whole = value.strip().split(".")[0].replace("_", "")
+        digits = whole.lstrip("+-").lstrip("0") or "0"
+        if len(digits) <= 19:  # more are beyond 64 bits
+            number = -int(digits) if whole.startswith("-") else int(digits)
     if number is None or not -(2**63) <= number < 2**63:
         raise Invalid(field)
     return number

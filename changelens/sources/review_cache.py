@@ -16,10 +16,10 @@ ENTRY = "content_hash STRING, review STRING, created_at TIMESTAMP"
 
 
 def latest(entries: DataFrame) -> DataFrame:
-    """Last write wins, per hash. One partial aggregation, so many writes of one hash stay cheap."""
-    return entries.groupBy("content_hash").agg(
-        F.max_by("review", "created_at").alias("review"), F.max("created_at").alias("created_at")
-    )
+    """Last write wins, per hash; of writes at one time, the greatest review. One partial aggregation, so many writes
+    of one hash stay cheap."""
+    newest = entries.groupBy("content_hash").agg(F.max(F.struct("created_at", "review")).alias("newest"))
+    return newest.select("content_hash", "newest.review", "newest.created_at")
 
 
 def cache_rows(contents: DataFrame) -> DataFrame:
