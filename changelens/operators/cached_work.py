@@ -57,14 +57,32 @@ def review_plan(queue: DataFrame, cache: DataFrame) -> DataFrame:
     return hits.unionByName(misses)
 
 
-def planned_reviews(plan: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews of all planned files once the requested ones are in: each ``review`` and ``reuse`` row gets
-    the review of the file it comes from. Rows whose source gave no review are left out."""
-    source = reviews.select(
-        F.col("repo").alias("from_repo"), F.col("pr_number").alias("from_pr_number"),
-        F.col("filename").alias("from_filename"), *[c for c in reviews.columns if c not in FILE],
+def _in_order(plan: DataFrame) -> DataFrame:
+    """Planned files without a cached review, with their place in the order of work."""
+    return plan.filter("action <> 'cached'").select(
+        *FILE, "rank", "content_hash", "action", F.struct(*KEY, "rank", "filename").alias("_me")
     )
-    keys = ["from_repo", "from_pr_number", "from_filename"]
-    todo = plan.filter("action <> 'cached'").select(*FILE, "rank", "content_hash", "action", *keys)
-    hot = hot_keys(todo.groupBy(*keys).agg(F.count("*").alias("n")), keys)
-    return salted_join(todo, source, keys, "inner", hot, F.col("filename")).drop(*keys)
+
+
+def planned_reviews(plan: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews of all planned files once answers are in: the first file of each content that got a review keeps it,
+    and all later files of that content take it over. Files before it, whose answers were no review, are left out."""
+    todo = _in_order(plan)
+    columns = [c for c in reviews.columns if c not in FILE]
+    answered = todo.join(reviews.select(*FILE, F.struct(*columns).alias("_review")), FILE)
+    first = answered.groupBy(*HASH).agg(F.min("_me").alias("_first"), F.min_by("_review", "_me").alias("_review"))
+    taken = salted_join(todo, first, HASH, "inner", _hot_hashes(todo), F.col("filename"))
+    return taken.filter(F.col("_me") >= F.col("_first")).select(*FILE, "rank", "content_hash", "action", "_review.*")
+
+
+def retries(plan: DataFrame, ingested: DataFrame) -> DataFrame:
+    """Files to ask for next: of each content all of whose answers so far were no review, the next file in the order
+    of work. Their answers join the others, until nothing is left to ask."""
+    todo = _in_order(plan)
+    none = F.col("error_kind") == "not_object"
+    asked = todo.join(ingested.select(*FILE, "error_kind"), FILE).groupBy(*HASH).agg(
+        F.max("_me").alias("_last"), F.every(none).alias("_none")
+    ).filter("_none")
+    later = salted_join(todo, asked, HASH, "inner", _hot_hashes(todo), F.col("filename"))
+    following = later.filter(F.col("_me") > F.col("_last")).groupBy(*HASH).agg(F.min("_me").alias("_me"))
+    return following.select("_me.*", "content_hash")

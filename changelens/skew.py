@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.storage import written_counting
+
 #: Rows of one key a single task may take; a key with more is hot and is split into pieces of this size.
 HOT_ROWS = 1_000_000
-#: At most this many keys are split, the largest first. A key left out holds fewer rows than each of
-#: these, so under 1/MAX_HOT of all rows. Bounds the broadcast below whatever the data size.
-MAX_HOT = 10_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
-    """Hot keys of a per-key count table with their number of pieces; None, as usual, if no key is hot."""
-    over = counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(MAX_HOT)
-    few = over.select(*keys, F.ceil(F.col(n) / HOT_ROWS).cast("long").alias("_pieces"))
-    rows = few.collect()  # at most MAX_HOT rows
-    return counts.sparkSession.createDataFrame(rows, few.schema) if rows else None
+    """All hot keys of a per-key count table with their number of pieces; None, as usual, if no key is hot. There is at
+    most one for every ``HOT_ROWS`` rows; they are written, and Spark broadcasts the table if its size allows."""
+    over = counts.filter(F.col(n) > HOT_ROWS)
+    pieces = over.select(*keys, F.ceil(F.col(n) / HOT_ROWS).cast("long").alias("_pieces"))
+    table, seen = written_counting(pieces, "hot", any=F.lit(True))
+    return table if seen["any"] else None
 
 
 def salted_join(
@@ -36,14 +36,14 @@ def salted_join(
     """
     if hot is None:
         return left.join(right, keys, how)
-    few, zero = F.broadcast(hot), F.lit(0).cast("long")
+    zero = F.lit(0).cast("long")
     salted = (
-        left.join(few, keys, "left")
+        left.join(hot, keys, "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_pieces")), zero))
         .drop("_pieces")
     )
     repeated = (
-        right.join(few, keys, "left")
+        right.join(hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_pieces", F.lit(1)) - 1)))
         .drop("_pieces")
     )

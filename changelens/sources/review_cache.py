@@ -38,7 +38,7 @@ class ReviewCache:
     @classmethod
     def create(cls, spark: SparkSession, root: str) -> "ReviewCache":
         cache = cls(spark, root)
-        cache._publish(0, spark.createDataFrame([], ENTRY))
+        cache._publish(0, {-1: spark.createDataFrame([], ENTRY)})
         return cache
 
     def generation(self) -> int:
@@ -47,8 +47,9 @@ class ReviewCache:
     def _folder(self, generation: int) -> str:
         return f"{self.root}/generation={generation}"
 
-    def _publish(self, generation: int, entries: DataFrame) -> None:
-        entries.write.mode("overwrite").parquet(f"{self._folder(generation)}/batch=-1")
+    def _publish(self, generation: int, entries: dict[int, DataFrame]) -> None:
+        for batch, rows in entries.items():
+            rows.write.mode("overwrite").parquet(f"{self._folder(generation)}/batch={batch}")
         mark = self.spark.range(1).select(F.lit(generation).alias("generation"))
         mark.write.mode("append").json(f"{self.root}/published")
 
@@ -70,11 +71,15 @@ class ReviewCache:
         entries.select("content_hash", "review", "created_at").write.mode("overwrite").parquet(folder)
 
     def clear(self) -> None:
-        self._publish(self.generation() + 1, self.spark.createDataFrame([], ENTRY))
+        self._publish(self.generation() + 1, {-1: self.spark.createDataFrame([], ENTRY)})
 
     def compact(self) -> None:
-        """Rewrite the cache with one entry per hash."""
-        self._publish(self.generation() + 1, self.entries())
+        """Rewrite the cache with one entry per hash. The last batch keeps its number, as it is the one that a stream
+        may replay. For the writer of the cache, between two batches."""
+        rows = self._entries()
+        last = rows.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+        parts = {-1: latest(rows.filter(F.col("batch") < last)), last: latest(rows.filter(F.col("batch") == last))}
+        self._publish(self.generation() + 1, parts)
 
     def stats(self) -> DataFrame:
         """Entries, location and data files of the cache."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def publish(table: DataFrame, path: str, mode: str = "append") -> None:
-    """Write comments or summaries partitioned by repository. The rows of a large repository are written by
-    several tasks, as no shuffle on the repository is forced."""
-    table.write.mode(mode).partitionBy("repo").parquet(path)
+    """Write comments or summaries partitioned by repository. Rows are dealt by ranges of (repository, row hash), so a
+    task writes few repositories and the rows of a large one are spread over several tasks."""
+    dealt = table.repartitionByRange("repo", F.xxhash64(*table.columns))
+    dealt.write.mode(mode).partitionBy("repo").parquet(path)

@@ -87,6 +87,13 @@ def test_routing(spark):
         (_event(None, _change("opened")), "ignored_event"),
         (_event("pull_request", _change("closed")), "ignored_action"),
         (_event("pull_request", {"number": 1}), "ignored_action"),
+        (_event("pull_request", '{"action": "closed", "action": "opened"}'), "process"),
+        (_event("pull_request", '{"action": "opened", "score": NaN}'), "process"),
+        (_event("pull_request", ' {"action": "opened"} \n'), "process"),
+        *[(_event("pull_request", text), "unreadable") for text in (
+            "", "{'action': 'opened'}", '{"action": "opened"} more', '{"action": "opened"}}', '{"action": "opened"}, {}',
+            '{"action": "opened"}, "x": 1', '{"action": "opened"}], [1', '{"action": "opened"')],
+        *[(_event("pull_request", text), "ignored_action") for text in ("[1]", '"opened"', "1", "null")],
         *[(_event("pull_request", _change(a)), "process") for a in ("opened", "synchronize", "reopened")],
     ]
     table = spark.createDataFrame([(n, *c) for n, (c, _) in enumerate(cases)], "n INT, event STRING, body STRING, signature STRING")

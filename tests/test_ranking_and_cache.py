@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from changelens import skew
 from changelens.operators import cached_work, ranking, reviews
@@ -89,6 +90,7 @@ def test_cache(spark, tmp_path):
     assert (stats.entries, stats.location) == (2, cache.root) and stats.files >= 2
     cache.compact()
     assert now() == ["2", "4"]
+    assert now(before_batch=1) == ["1", "2"]  # a replayed batch still finds what was there before it
     (tmp_path / "cache" / "generation=1" / "batch=-1" / "part-broken.parquet").write_bytes(b"no parquet")
     assert now() == ["2", "4"]  # an unreadable file is skipped
     cache.clear()
@@ -120,6 +122,16 @@ def test_review_plan(spark, monkeypatch, hot_rows):
     done = cached_work.planned_reviews(plan, reviews.reviews(reviews.ingest(answers)))
     assert {(r.pr_number, r.filename, r.reported_filename) for r in done.filter("repo = 'r'").collect()} == {(1, "b.py", "b.py"), (2, "a.py", "b.py")}
     assert done.filter("repo = 's'").count() == 9
+    assert cached_work.retries(plan, reviews.ingest(answers)).count() == 0  # h2 has no other file
+
+    # The first answer for h1 is no review: the next file in order is asked, and those after it take its review.
+    refused = answers.withColumn("response", F.lit("[1]"))
+    again = cached_work.retries(plan, reviews.ingest(refused)).collect()
+    assert [(r.repo, r.pr_number, r.filename, r["rank"]) for r in again] == [("r", 2, "a.py", 1)]
+    second = refused.union(spark.createDataFrame([("r", 2, "a.py", '{"filename": "a.py"}')], answers.schema))
+    done = cached_work.planned_reviews(plan, reviews.reviews(reviews.ingest(second)))
+    assert {(r.repo, r.pr_number, r.reported_filename) for r in done.collect()} == {("r", 2, "a.py")} | {("s", n, "a.py") for n in range(9)}
+    assert cached_work.retries(plan, reviews.ingest(second)).count() == 0
 
 
 def test_salted_join_keeps_every_row(spark, monkeypatch):

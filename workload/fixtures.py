@@ -77,14 +77,16 @@ MODEL_RESPONSES = f"""SELECT {FILE_KEY},
                 o_orderpriority, '","overall_score":', o_orderkey % 11, '}}') END AS response
 FROM orders LEFT JOIN js ON l_orderkey = o_orderkey"""
 
+EARLIER_REVIEW, FIRST_REVIEW, NEXT_REVIEW = 1672531200, 1704067200, 1735689600  # 2023, 2024, 2025-01-01 UTC
+
 # Documents as cached contents: the labelled ones were reviewed, one second apart; of equal texts the later
 # document counts. Those of low quality hold a value that is no review.
-LABELLED_ENTRIES = """SELECT text AS code, d.doc_id,
-  CASE quality WHEN 1 THEN concat('{"filename":"doc_', d.doc_id, '.py","summary":"label","overall_score":7}') ELSE 'stale' END AS review
+LABELLED_ENTRIES = f"""SELECT text AS code, d.doc_id + {FIRST_REVIEW} AS reviewed_at,
+  CASE quality WHEN 1 THEN concat('{{"filename":"doc_', d.doc_id, '.py","summary":"label","overall_score":7}}') ELSE 'stale' END AS review
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
-# Long documents are reviewed again later.
-LONG_ENTRIES = "SELECT text AS code, doc_id, 'r' || doc_id AS review FROM documents WHERE n_chars > 1000"
-FIRST_REVIEW, NEXT_REVIEW = 1704067200, 1735689600  # 2024-01-01, 2025-01-01 UTC
+# A second write covers every document: later reviews of the long ones, and earlier ones, which lose, of the others.
+OTHER_ENTRIES = f"""SELECT text AS code, doc_id + CASE WHEN n_chars > 1000 THEN {NEXT_REVIEW} ELSE {EARLIER_REVIEW} END AS reviewed_at,
+  'r' || doc_id AS review FROM documents"""
 
 # The issue log of a publishing run: comments on supplier 0..9 lines are refused.
 DELIVERIES = f"""SELECT {FILE_KEY}, 'inline' AS kind, CAST(k AS INT) AS line, l_suppkey >= 10 AS accepted,
@@ -194,18 +196,18 @@ def webhook_events(events: DataFrame, signature: Column) -> DataFrame:
     return raw.withColumn("signature", F.when(F.col("sig_kind") == "valid", signature).otherwise(F.col("sig_kind")))
 
 
-def _entries(spark: SparkSession, sf_dir: str, sql: str, since: int) -> DataFrame:
+def _entries(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in ("documents", "labels"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(sql).withColumn("created_at", F.timestamp_seconds(F.col("doc_id") + since))
+    return spark.sql(sql).withColumn("created_at", F.timestamp_seconds("reviewed_at"))
 
 
 def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir, LABELLED_ENTRIES, FIRST_REVIEW)
+    return _entries(spark, sf_dir, LABELLED_ENTRIES)
 
 
-def long_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir, LONG_ENTRIES, NEXT_REVIEW)
+def other_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, OTHER_ENTRIES)
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ reads code: functions, lines, imports, edges and cycles are computed from orders
 from __future__ import annotations
 
 from workload.fixtures import (
-    DELIVERIES, FILE_KEY, FILE_SOURCE, FIRST_REVIEW, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
-    LONG_ENTRIES, MODEL_RESPONSES, NEXT_REVIEW, ORDERED, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, WEBHOOK_EVENTS,
+    DELIVERIES, FILE_KEY, FILE_SOURCE, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
+    MODEL_RESPONSES, ORDERED, OTHER_ENTRIES, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, WEBHOOK_EVENTS,
 )
 
 SECRET = b"webhook-secret"
@@ -116,8 +116,8 @@ PLAN_COLUMNS = """SELECT repo, pr_number, filename, action, CASE WHEN action <>
   CASE WHEN action <> 'cached' THEN first_pr END AS from_pr_number, CASE WHEN action <> 'cached' THEN first_file END AS from_filename FROM plan"""
 
 DOCS = "docs AS MATERIALIZED (SELECT 'docs/' || source AS repo, doc_id AS pr_number, 'doc_' || doc_id || '.py' AS filename, 1 AS rank, sha256(text) AS content_hash, length(text) AS n_chars FROM documents)"
-ENTRIES = f"""old_entries AS MATERIALIZED (SELECT sha256(code) AS content_hash, review, doc_id + {FIRST_REVIEW} AS created_at FROM ({LABELLED_ENTRIES})),
-new_entries AS MATERIALIZED (SELECT sha256(code) AS content_hash, review, doc_id + {NEXT_REVIEW} AS created_at FROM ({LONG_ENTRIES})),
+ENTRIES = f"""old_entries AS MATERIALIZED (SELECT sha256(code) AS content_hash, review, reviewed_at AS created_at FROM ({LABELLED_ENTRIES})),
+new_entries AS MATERIALIZED (SELECT sha256(code) AS content_hash, review, reviewed_at AS created_at FROM ({OTHER_ENTRIES})),
 doc_cache AS MATERIALIZED (SELECT content_hash, max_by(review, created_at) AS review FROM old_entries GROUP BY 1)"""
 
 SEVERITY_SUMS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info"))
@@ -218,8 +218,11 @@ ORACLES: dict[str, str] = {
     "queue_review_plan": sql(*RANKED, *CACHED, PLAN, select=PLAN_COLUMNS),
     "cache_stats": sql(ENTRIES, select="""SELECT count(DISTINCT content_hash) AS entries, TRUE AS on_disk
         FROM (SELECT content_hash FROM old_entries UNION ALL SELECT content_hash FROM new_entries)"""),
-    "oversize_files": sql(DOCS, select="""SELECT repo, pr_number, filename, CASE WHEN n_chars > 50000 THEN 'File too large for review (>50k chars)' END AS summary,
-        CASE WHEN n_chars > 50000 THEN 0 END AS overall_score FROM docs"""),
+    "cache_replay": sql(ENTRIES, select="""SELECT 'before' AS state, content_hash, review FROM doc_cache
+        UNION ALL SELECT 'after', content_hash, max_by(review, created_at) FROM (SELECT * FROM old_entries UNION ALL SELECT * FROM new_entries) GROUP BY 2"""),
+    "cache_cleared": sql(ENTRIES, select="SELECT content_hash, review FROM doc_cache"),
+    "oversize_files": sql(DOCS, select="""SELECT repo, pr_number, filename, CASE WHEN 4 * n_chars > 50000 THEN 'File too large for review (>50k chars)' END AS summary,
+        CASE WHEN 4 * n_chars > 50000 THEN 0 END AS overall_score FROM docs"""),
     "review_requests": sql(*RANKED, *CACHED, PLAN, select="""SELECT p.repo, p.pr_number, p.filename, p.rank, p.dependencies, s.n_functions, s.n_classes, s.avg_complexity,
         'File ' || p.filename || ': ' || s.n_functions || ' functions, ' || s.n_classes || ' classes, average complexity ' || s.avg_complexity || '.' || chr(10)
         || 'Files affected by a change of it: ' || p.dependencies || '.' || chr(10)
@@ -246,6 +249,7 @@ ORACLES: dict[str, str] = {
         count(*) AS n_files FROM reviews GROUP BY ALL"""),
     "inline_comments": sql(LI, ISSUES, select=f"""SELECT repo, pr_number, filename AS path, line, {SIGNS} || ' **' || upper(severity) || '** — ' || category || chr(10) || chr(10) || message
         || CASE WHEN suggestion <> '' THEN chr(10) || chr(10) || '**Suggestion:** ' || suggestion ELSE '' END AS body FROM issues"""),
+    "published_issues": sql(LI, ISSUES, select="SELECT repo, pr_number, filename, line, severity, category, message, suggestion FROM issues"),
     "pr_summary": sql(*RANKED, QUEUE, ISSUES, REVIEWED, COUNTED, select="""SELECT repo, pr_number, '## Review Summary' || chr(10) || chr(10) || string_agg(
           '### ' || CASE WHEN overall_score >= 7 THEN '🟢' WHEN overall_score >= 4 THEN '🟡' ELSE '🔴' END || ' `' || filename || '` — ' || overall_score || '/10' || chr(10)
           || '> ' || summary || chr(10) || chr(10) || CASE WHEN critical + high + medium + low + info = 0 THEN '✅ No issues found' ELSE concat_ws(' | ',

@@ -16,6 +16,7 @@ from changelens.operators.code_facts import FILE
 from changelens.plans.review import error_log, pr_status
 from changelens.sources import snapshots
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
+from changelens.sources.sinks import publish
 from changelens.storage import new_path
 from changelens.streaming import webhooks
 from workload import fixtures
@@ -254,7 +255,7 @@ def content_hashes(t: Inputs) -> DataFrame:
 @query
 def cache_upsert(t: Inputs) -> DataFrame:
     old = cache_rows(fixtures.labelled_entries(t.spark, t.sf_dir))
-    new = cache_rows(fixtures.long_entries(t.spark, t.sf_dir))
+    new = cache_rows(fixtures.other_entries(t.spark, t.sf_dir))
     merged = latest(old.unionByName(new))
     return merged.select("content_hash", "review", F.unix_timestamp("created_at").alias("created_at"))
 
@@ -284,13 +285,38 @@ def queue_review_plan(t: Inputs) -> DataFrame:
     return plan.select(*FILE, "action", "from_repo", "from_pr_number", "from_filename")
 
 
+def _cache(t: Inputs) -> ReviewCache:
+    """A cache written in two batches."""
+    cache = ReviewCache.create(t.spark, new_path(t.spark, "review-cache"))
+    cache.append(cache_rows(fixtures.labelled_entries(t.spark, t.sf_dir)), 0)
+    cache.append(cache_rows(fixtures.other_entries(t.spark, t.sf_dir)), 1)
+    return cache
+
+
+@query
+def cache_replay(t: Inputs) -> DataFrame:
+    """A compacted cache, opened anew: its entries, and those from before the last batch, for a replay."""
+    cache = _cache(t)
+    cache.compact()
+    again = ReviewCache(t.spark, cache.root)
+    before, after = again.entries(before_batch=1), again.entries()
+    states = [rows.select(F.lit(state).alias("state"), "content_hash", "review") for state, rows in (("before", before), ("after", after))]
+    return states[0].unionByName(states[1])
+
+
+@query
+def cache_cleared(t: Inputs) -> DataFrame:
+    """A cache that was cleared and written again."""
+    cache = _cache(t)
+    cache.clear()
+    cache.append(cache_rows(fixtures.labelled_entries(t.spark, t.sf_dir)), 2)
+    return cache.entries().select("content_hash", "review")
+
+
 @query
 def cache_stats(t: Inputs) -> DataFrame:
     """A cache written in two batches, then counted."""
-    cache = ReviewCache.create(t.spark, new_path(t.spark, "review-cache"))
-    cache.append(cache_rows(fixtures.labelled_entries(t.spark, t.sf_dir)), 0)
-    cache.append(cache_rows(fixtures.long_entries(t.spark, t.sf_dir)), 1)
-    return cache.stats().select("entries", (F.col("files") > 0).alias("on_disk"))
+    return _cache(t).stats().select("entries", (F.col("files") > 0).alias("on_disk"))
 
 
 # Reviews
@@ -298,7 +324,8 @@ def cache_stats(t: Inputs) -> DataFrame:
 
 @query
 def oversize_files(t: Inputs) -> DataFrame:
-    files = t.document_files
+    """Every file holds a document four times, so that some are too long."""
+    files = t.document_files.withColumn("n_chars", 4 * F.col("n_chars"))
     refused = reviews.oversize_reviews(files).select(*FILE, "summary", "overall_score")
     sent = files.filter(~reviews.oversize(F.col("n_chars"))).select(
         *FILE, F.lit(None).cast("string").alias("summary"), F.lit(None).cast("int").alias("overall_score")
@@ -358,6 +385,15 @@ def inline_comments(t: Inputs) -> DataFrame:
     return comments.inline_comments(t.issues).select(*KEY, "path", "line", "body")
 
 
+@query
+def published_issues(t: Inputs) -> DataFrame:
+    """All issues as an output table, read back."""
+    path = new_path(t.spark, "issues-out")
+    publish(t.issues, path)
+    return t.spark.read.schema(t.issues.schema).parquet(path).select(
+        *FILE, "line", "severity", "category", "message", "suggestion")
+
+
 @query
 def pr_summary(t: Inputs) -> DataFrame:
     return comments.pr_summaries(t.queue, t.reviews, t.issues)
