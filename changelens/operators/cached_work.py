@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens import KEY
 from changelens.operators.code_facts import FILE
-from changelens.operators.reviews import valid_reviews
+from changelens.operators.reviews import read_reviews, valid_reviews
 from changelens.skew import hot_keys, salted_join
 
 HASH = ["content_hash"]
@@ -64,17 +64,45 @@ def _in_order(plan: DataFrame) -> DataFrame:
     )
 
 
-def planned_reviews(plan: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews of all planned files once answers are in: the first file of each content that got a review keeps it,
-    and all later files of that content take it over. Files before it, whose answers were no review, are left out."""
+def first_reviews(plan: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Of each content the first planned file that got a review, and that review."""
     todo = _in_order(plan)
     columns = [c for c in reviews.columns if c not in FILE]
     answered = todo.join(reviews.select(*FILE, F.struct(*columns).alias("_review")), FILE)
-    first = answered.groupBy(*HASH).agg(F.min("_me").alias("_first"), F.min_by("_review", "_me").alias("_review"))
+    return answered.groupBy(*HASH).agg(F.min("_me").alias("_first"), F.min_by("_review", "_me").alias("_review"))
+
+
+def taken_over(plan: DataFrame, first: DataFrame) -> DataFrame:
+    """:func:`first_reviews` given to their files and to all later files of the same content."""
+    todo = _in_order(plan)
     taken = salted_join(todo, first, HASH, "inner", _hot_hashes(todo), F.col("filename"))
     return taken.filter(F.col("_me") >= F.col("_first")).select(*FILE, "rank", "content_hash", "action", "_review.*")
 
 
+def planned_reviews(plan: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews of all planned files once answers are in: the first file of each content that got a review keeps it,
+    and all later files of that content take it over. Files before it, whose answers were no review, are left out."""
+    return taken_over(plan, first_reviews(plan, reviews))
+
+
+def cached_reviews(plan: DataFrame, cache: DataFrame) -> DataFrame:
+    """Reviews of the planned files whose content is in the cache, in the columns of :func:`taken_over`."""
+    hits = plan.filter("action = 'cached'").select(*FILE, "rank", "content_hash", "action")
+    asked = cache.join(hits.select(*HASH).distinct(), HASH, "left_semi")
+    return salted_join(hits, read_reviews(asked, "review", HASH), HASH, "inner", _hot_hashes(hits), F.col("filename"))
+
+
+def refused(plan: DataFrame, ingested: DataFrame) -> DataFrame:
+    """Answers that were no review, of the files that were asked: those before the first review of their content."""
+    answered = _in_order(plan).join(ingested.select(*FILE, "error_kind", "error_detail"), FILE)
+    none = F.col("error_kind") == "not_object"
+    first = answered.filter(~none).groupBy(*HASH).agg(F.min("_me").alias("_first"))
+    bad = answered.filter(none)
+    placed = salted_join(bad, first, HASH, "left", _hot_hashes(bad), F.col("filename"))
+    asked = F.col("_first").isNull() | (F.col("_me") < F.col("_first"))
+    return placed.filter(asked).select(*FILE, "error_kind", "error_detail")
+
+
 def retries(plan: DataFrame, ingested: DataFrame) -> DataFrame:
     """Files to ask for next: of each content all of whose answers so far were no review, the next file in the order
     of work. Their answers join the others, until nothing is left to ask."""

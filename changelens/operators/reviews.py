@@ -146,6 +146,16 @@ def valid_reviews(cache: DataFrame, column: str) -> DataFrame:
     return read.filter("review_error_kind = 'ok'").select(*cache.columns)
 
 
+def read_reviews(table: DataFrame, column: str, kept: list[str]) -> DataFrame:
+    """The fields of all values that are valid reviews, beside the ``kept`` columns."""
+    read = _read_answers(table, column, kept)
+    return read.filter("review_error_kind = 'ok'").select(
+        *kept, F.col("review_error_kind").alias("error_kind"), F.col("review_filename").alias("reported_filename"),
+        F.col("review_summary").alias("summary"), F.col("review_overall_score").alias("overall_score"),
+        F.col("review_issues").alias("issues"),
+    )
+
+
 def failure_counts(ingested: DataFrame) -> DataFrame:
     return ingested.groupBy("repo", "error_kind").agg(F.count("*").alias("n_responses"))
 

@@ -189,13 +189,14 @@ def test_external_relative_and_broken_imports(change):
 
 
 def test_impact_of_shared_modules(change):
-    # top imports left and right; left imports base, right imports side.
+    # cli and cron start jobs; jobs and a late import of plugin use store; jobs and store use clock.
     graph = _graph(change, {
-        "top.py": "import left, right", "left.py": "import base", "right.py": "from side import *", "base.py": "", "side.py": "",
+        "cli.py": "import jobs", "cron.py": "from jobs import every", "jobs.py": "import store, clock\nimport json",
+        "plugin.py": "def load():\n    import store", "store.py": "import clock", "clock.py": "import time",
     })
-    assert {r.module: r.impact for r in graph.reach.collect()} == {"base": 2, "side": 2, "left": 1, "right": 1, "top": 0}
+    assert {r.module: r.impact for r in graph.reach.collect()} == {"clock": 5, "store": 4, "jobs": 2, "plugin": 0, "cli": 0, "cron": 0}
     most = import_graph.top_by_degree(graph.edges, "src", 1).first()
-    assert (most.module, most.degree) == ("top", 2)
+    assert (most.module, most.degree) == ("jobs", 2)
 
 
 def test_same_names_in_two_changes_stay_apart(change):

@@ -19,28 +19,30 @@ from changelens.streaming import webhooks
 
 
 def test_tree(spark, tmp_path):
-    root = tmp_path / "my project+x"
+    root = tmp_path / "net tools+v2"
     files = {
-        "run.py": "import report, store", "report.py": "import fmt", "store.py": "from shop.item import Item", "fmt.py": "",
-        "item.py": "", "_left.py": "import _right", "_right.py": "import _left", "pkg/__init__.py": "", "pkg/sub/mod.py": "import pkg",
-        ".hidden/tool.py": "", "venv/skip.py": "import run", "pkg/__pycache__/skip.py": "", "notes.txt": "no",
+        "net/__init__.py": "from net import wire", "net/wire.py": "import net.codec.bits", "net/codec/__init__.py": "",
+        "net/codec/bits.py": "import struct", "net/codec/_fast.py": "from net.codec.bits import swap", "bench/load.py": "import net.wire\nimport bench.plot",
+        "bench/plot.py": "import bench.load", ".ci/check.py": "", "setup.py": "import tomllib",
+        "env/lib/skip.py": "import net", "bench/node_modules/x/skip.py": "", "net/README.md": "import net",
     }
     for name, text in files.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
-    (root / "latin.py").write_bytes(b"import run # \xe9")
+    (root / "cp1252.py").write_bytes(b"import net # \x80")
     tree = read_tree(spark, str(root)).cache()
     rows = {r.filename: r for r in tree.collect()}
-    assert set(rows) == {n for n in files if "skip" not in n and n.endswith(".py")} | {"latin.py"}
-    assert rows["latin.py"].code is None and rows["pkg/__init__.py"].module == "pkg"
+    assert set(rows) == {n for n in files if "skip" not in n and n.endswith(".py")} | {"cp1252.py"}
+    assert rows["cp1252.py"].code is None and rows["net/codec/__init__.py"].module == "net.codec"
     graph = ImportGraphs(written(code_facts(tree_files(tree, "sample")), "facts"))
     assert {(e.src, e.dst) for e in graph.edges.collect()} == {
-        ("run", "report"), ("run", "store"), ("report", "fmt"), ("_left", "_right"), ("_right", "_left"), ("pkg.sub.mod", "pkg")}
+        ("net.wire", "net.codec.bits"), ("net.codec._fast", "net.codec.bits"), ("bench.load", "net.wire"),
+        ("bench.load", "bench.plot"), ("bench.plot", "bench.load")}
     alone = import_graph.isolated_modules(graph.nodes, graph.edges).collect()
-    assert {r.module for r in alone} == {".hidden.tool", "item", "latin"}
-    starts = graph.nodes.filter("module IN ('fmt', 'store')")
+    assert {r.module for r in alone} == {"net", "net.codec", ".ci.check", "setup", "cp1252"}
+    starts = graph.nodes.filter("module IN ('net.codec.bits', 'bench.plot')")
     assert {(r.start, r.module) for r in reach.impact(starts, graph.folded).collect()} == {
-        ("fmt", "report"), ("fmt", "run"), ("store", "run")}
+        *[("net.codec.bits", m) for m in ("net.wire", "net.codec._fast", "bench.load", "bench.plot")], ("bench.plot", "bench.load")}
 
 
 def test_snapshot(spark):

@@ -12,28 +12,27 @@ from changelens.plans.review import ImportGraphs, error_log, pr_status, priority
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
 from changelens.storage import written
 
-# shop imports menu and till, menu imports text, till imports money.
+# log and alarm both import probe, alarm also log; probe and log import calib.
 FILES = {
-    "shop.py": "import menu, till\n\ndef serve():\n    return till.total(menu.order)\n",
-    "menu.py": "from text import label\n\ndef order(d):\n    if d and d.name:\n        return label(d)\n    return 1 if d else 2\n",
-    "text.py": "def label(d):\n    while d:\n        d = d.next\n",
-    "till.py": "from money import Sum\n\ndef total(ds):\n    for d in ds:\n        yield Sum(d)\n",
-    "money.py": "class Sum(int):\n    pass\n",
+    "calib.py": "def slope(a, b):\n    return b - a if a or b else 0\n",
+    "probe.py": "import calib\n\nclass Probe:\n    def read(self):\n        while True:\n            if calib.slope(1, 2):\n                return 0\n",
+    "log.py": "import probe, calib\n\nLINES = []\n",
+    "alarm.py": "from probe import Probe\nfrom log import LINES\n",
 }
-LINES = {"shop.py": 5, "menu.py": 80, "text.py": 3, "till.py": 45, "money.py": 10}
+LINES = {"calib.py": 15, "probe.py": 35, "log.py": 200, "alarm.py": 5}
 
 
 def test_ranking_of_a_change(change):
     facts = written(code_facts(change(FILES, LINES)), "facts")
     scores = written(priority_scores(facts), "scores")
-    queue = ranking.review_queue(scores, 3).orderBy("rank").collect()
+    queue = ranking.review_queue(scores, 2).orderBy("rank").collect()
     assert [(q.filename, q.score, q.complexity, q.dependencies, q.lines_changed) for q in queue] == [
-        ("menu.py", 17.0, 4, 1, 80), ("till.py", 9.5, 2, 1, 45), ("text.py", 6.3, 2, 2, 3),
+        ("log.py", 23.0, 1, 1, 200), ("probe.py", 11.5, 3, 2, 35),
     ]
-    assert ranking.queue_next(scores).first().filename == "menu.py"
-    assert {r.filename: r.score for r in ranking.queue_rest(scores).collect()} == {"till.py": 9.5, "text.py": 6.3, "money.py": 5.0, "shop.py": 2.5}
-    assert ranking.queue_size(scores).first()["size"] == 5
-    assert ranking.review_queue(scores, 99).count() == 5
+    assert ranking.queue_next(scores).first().filename == "log.py"
+    assert {r.filename: r.score for r in ranking.queue_rest(scores).collect()} == {"probe.py": 11.5, "calib.py": 10.5, "alarm.py": 2.5}
+    assert ranking.queue_size(scores).first()["size"] == 4
+    assert ranking.review_queue(scores, 99).count() == 4
 
 
 def test_missing_lines_and_broken_files(change):

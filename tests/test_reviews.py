@@ -100,34 +100,42 @@ FILE_ROW = "repo STRING, pr_number LONG, filename STRING"
 
 
 def _reviewed(spark):
-    queue = spark.createDataFrame([("r", 1, "b.py", 1), ("r", 1, "a.py", 2)], f"{FILE_ROW}, rank INT")
-    done = spark.createDataFrame([("r", 1, "a.py", "Two things", 3), ("r", 1, "b.py", "Fine", 9), ("r", 1, "c.py", "Not queued", 5)],
-                                 f"{FILE_ROW}, summary STRING, overall_score INT")
-    issues = spark.createDataFrame([("r", 1, "a.py", 1, "critical", "bug", "x", ""), ("r", 1, "a.py", 5, "low", "style", "y", "fix"),
-                                    ("r", 1, "a.py", 6, "odd", "other", "z", "")],
-                                   f"{FILE_ROW}, line LONG, severity STRING, category STRING, message STRING, suggestion STRING")
+    """Three of the four files of a change are queued; one issue has a severity that no answer may hold."""
+    queue = spark.createDataFrame([("z", 4, "n.py", 1), ("z", 4, "k.py", 2), ("z", 4, "m.py", 3)], f"{FILE_ROW}, rank INT")
+    done = spark.createDataFrame([("z", 4, "k.py", "Unsafe loads", 0), ("z", 4, "m.py", "Slow in places", 6), ("z", 4, "n.py", "", 7),
+                                  ("z", 4, "late.py", "Left over", 5)], f"{FILE_ROW}, summary STRING, overall_score INT")
+    issues = spark.createDataFrame([
+        ("z", 4, "k.py", 31, "critical", "security", "pickle of a request", "use JSON"), ("z", 4, "k.py", 78, "critical", "bug", "lock is kept", ""),
+        ("z", 4, "k.py", 80, "high", "bug", "lost error", ""), ("z", 4, "m.py", 12, "medium", "performance", "sorts twice", "sort once"),
+        ("z", 4, "m.py", 40, "info", "style", "long line", ""), ("z", 4, "m.py", 44, "blocker", "bug", "unknown kind", ""),
+    ], f"{FILE_ROW}, line LONG, severity STRING, category STRING, message STRING, suggestion STRING")
     return queue, done, issues
 
 
 def test_comments(spark):
     _, _, issues = _reviewed(spark)
-    assert [(r.line, r.body) for r in comments.inline_comments(issues).orderBy("line").collect()] == [
-        (1, "🔴 **CRITICAL** — bug\n\nx"), (5, "🔵 **LOW** — style\n\ny\n\n**Suggestion:** fix"), (6, "⚪ **ODD** — other\n\nz"),
-    ]
+    assert {r.line: r.body for r in comments.inline_comments(issues).collect()} == {
+        31: "🔴 **CRITICAL** — security\n\npickle of a request\n\n**Suggestion:** use JSON", 78: "🔴 **CRITICAL** — bug\n\nlock is kept",
+        80: "🟠 **HIGH** — bug\n\nlost error", 12: "🟡 **MEDIUM** — performance\n\nsorts twice\n\n**Suggestion:** sort once",
+        40: "💡 **INFO** — style\n\nlong line", 44: "⚪ **BLOCKER** — bug\n\nunknown kind",
+    }
 
 
 def test_summary(spark):
     queue, done, issues = _reviewed(spark)
-    known = issues.filter("severity <> 'odd'")
-    assert [r.body for r in comments.pr_summaries(queue, done, known).collect()] == [
-        "## Review Summary\n\n### 🟢 `b.py` — 9/10\n> Fine\n\n✅ No issues found\n\n### 🔴 `a.py` — 3/10\n> Two things\n\n"
-        "🔴 critical: 1 | 🔵 low: 1\n\n---\n**Total:** 2 issues across 2 files\n\n🔴 **1 critical issue(s) require immediate attention**"
+    known = issues.filter("severity <> 'blocker'")
+    parts = comments.pr_summaries(queue, done, known, title="Findings").first().body.split("\n### ")
+    assert parts == [
+        "## Findings\n", "🟢 `n.py` — 7/10\n> \n\n✅ No issues found\n",
+        "🔴 `k.py` — 0/10\n> Unsafe loads\n\n🔴 critical: 2 | 🟠 high: 1\n",
+        "🟡 `m.py` — 6/10\n> Slow in places\n\n🟡 medium: 1 | 💡 info: 1\n\n---\n**Total:** 5 issues across 3 files\n\n"
+        "🔴 **2 critical issue(s) require immediate attention**",
     ]
-    clean = comments.pr_summaries(queue.filter("rank = 1"), done, known).first().body
-    assert "critical" not in clean and clean.endswith("**Total:** 0 issues across 1 files")
+    mild = comments.pr_summaries(queue.filter("filename = 'm.py'"), done, known).first().body
+    assert mild.startswith("## Review Summary\n") and mild.endswith("**Total:** 2 issues across 1 files")
     totals = reviews.issue_totals(done, known).first()
-    assert (totals.total_issues, totals.total_critical, totals.n_files) == (2, 1, 3)
-    assert {(r.band, r.n_files) for r in reviews.score_bands(done).collect()} == {("red", 1), ("green", 1), ("yellow", 1)}
+    assert (totals.total_issues, totals.total_critical, totals.n_files) == (5, 2, 4)
+    assert {(r.band, r.n_files) for r in reviews.score_bands(done).collect()} == {("red", 1), ("green", 1), ("yellow", 2)}
 
 
 def test_publishing(spark, tmp_path):

@@ -97,6 +97,10 @@ UNION ALL
 SELECT concat('org/repo_', c_custkey % 10), c_custkey, NULL, 'change', NULL, FALSE, 'not found'
 FROM customer WHERE c_mktsegment = 'MACHINERY'"""
 
+# Publishing broke off for the changes of these customers.
+POSTING_ERRORS = """SELECT concat('org/repo_', c_custkey % 10) AS repo, c_custkey AS pr_number, concat('timeout ', c_nationkey) AS message
+FROM customer WHERE c_mktsegment = 'BUILDING'"""
+
 # A denser import graph, one change per repository: orders import the suppliers of their lines, suppliers their
 # nation, nations their region, and a region its first nation (the cycles). A few modules are imported by very
 # many others.
@@ -215,3 +219,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     spark.sql(LINES).createOrReplaceTempView("li")
     return spark.sql(DELIVERIES)
+
+
+def posting_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(POSTING_ERRORS)

@@ -12,6 +12,7 @@ from changelens.operators import ranking, reviews
 from changelens.operators.chains import FoldedGraph, fold_chains
 from changelens.operators.code_facts import FILE, code_facts
 from changelens.operators.reach import Ancestry, ancestry, module_reach
+from changelens.plans.change_reviews import ChangeReviews
 from changelens.plans.review import ImportGraphs, files_of, priority_scores, with_lines_changed
 from changelens.sources.review_cache import cache_rows, latest
 from changelens.sources.snapshots import pr_file_snapshot
@@ -124,6 +125,11 @@ class Inputs:
         )
         return written(latest(rows), "cache")
 
+    @cached_property
+    def done(self) -> ChangeReviews:
+        """Reviews of the queue of all changes."""
+        return ChangeReviews(self.queue, self.modified_cache, self.responses)
+
     @cached_property
     def document_cache(self) -> DataFrame:
         return latest(cache_rows(fixtures.labelled_entries(self.spark, self.sf_dir)))

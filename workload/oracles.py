@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from workload.fixtures import (
     DELIVERIES, FILE_KEY, FILE_SOURCE, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
-    MODEL_RESPONSES, ORDERED, OTHER_ENTRIES, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, WEBHOOK_EVENTS,
+    MODEL_RESPONSES, ORDERED, OTHER_ENTRIES, POSTING_ERRORS, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, SEVERITY, WEBHOOK_EVENTS,
 )
 
 SECRET = b"webhook-secret"
@@ -115,12 +115,31 @@ PLAN = """plan AS MATERIALIZED (SELECT *, CASE WHEN is_cached THEN 'cached' WHEN
 PLAN_COLUMNS = """SELECT repo, pr_number, filename, action, CASE WHEN action <> 'cached' THEN first_repo END AS from_repo,
   CASE WHEN action <> 'cached' THEN first_pr END AS from_pr_number, CASE WHEN action <> 'cached' THEN first_file END AS from_filename FROM plan"""
 
+# The review each planned file ends with: that of the greatest entry of its content in the cache, or of the first file of
+# its content with a review, for this file and the later ones.
+GIVEN = """given AS MATERIALIZED (SELECT filename, CASE WHEN error_kind = 'ok' THEN o_orderkey END AS listed, kind, error_kind,
+  CASE kind WHEN 99 THEN o_orderpriority WHEN 4 THEN '' WHEN 2 THEN 'Review failed: Invalid schema: overall_score'
+    WHEN 3 THEN 'Review failed: Invalid schema: filename' ELSE 'Review failed: Invalid JSON from model' END AS summary,
+  coalesce(score, 0) AS overall_score FROM ingested WHERE error_kind <> 'not_object')"""
+SOURCED = """entry AS MATERIALIZED (SELECT content_hash, max(c.filename) AS source FROM code c JOIN given USING (filename)
+  SEMI JOIN (SELECT filename FROM f2 WHERE status = 'modified') m USING (filename) GROUP BY 1),
+firsts AS MATERIALIZED (SELECT content_hash, min(nth) AS first_nth, min_by(filename, nth) AS source FROM plan SEMI JOIN given USING (filename) WHERE NOT is_cached GROUP BY 1),
+done AS MATERIALIZED (SELECT p.repo, p.pr_number, p.filename, p.rank, p.action, CASE WHEN p.is_cached THEN 'ok' ELSE g.error_kind END AS error_kind,
+    g.filename AS reported_filename, g.summary, g.overall_score, CASE WHEN g.kind = 99 THEN g.listed END AS listed
+  FROM plan p LEFT JOIN entry e USING (content_hash) LEFT JOIN firsts s USING (content_hash)
+  JOIN given g ON g.filename = CASE WHEN p.is_cached THEN e.source WHEN p.nth >= s.first_nth THEN s.source END)"""
+DONE_ISSUES = f"""issues AS MATERIALIZED (SELECT repo, pr_number, filename, CAST(k AS BIGINT) AS line, {SEVERITY} AS severity, 'part ' || l_partkey AS message
+  FROM done JOIN li ON l_orderkey = listed)"""
+DONE_COUNTED = """counted AS MATERIALIZED (SELECT d.repo, d.pr_number, d.filename, d.rank, any_value(summary) AS summary, any_value(overall_score) AS overall_score, {sums}
+  FROM done d LEFT JOIN issues i USING (repo, pr_number, filename) GROUP BY ALL)"""
+
 DOCS = "docs AS MATERIALIZED (SELECT 'docs/' || source AS repo, doc_id AS pr_number, 'doc_' || doc_id || '.py' AS filename, 1 AS rank, sha256(text) AS content_hash, length(text) AS n_chars FROM documents)"
 ENTRIES = f"""old_entries AS MATERIALIZED (SELECT sha256(code) AS content_hash, review, reviewed_at AS created_at FROM ({LABELLED_ENTRIES})),
 new_entries AS MATERIALIZED (SELECT sha256(code) AS content_hash, review, reviewed_at AS created_at FROM ({OTHER_ENTRIES})),
 doc_cache AS MATERIALIZED (SELECT content_hash, max_by(review, created_at) AS review FROM old_entries GROUP BY 1)"""
 
 SEVERITY_SUMS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info"))
+DONE = [PLAN, GIVEN, SOURCED, DONE_ISSUES, DONE_COUNTED.format(sums=SEVERITY_SUMS)]
 ISSUES = f"issues AS MATERIALIZED ({REVIEW_ISSUES})"
 REVIEWED = f"reviews AS MATERIALIZED ({REVIEWS})"
 COUNTED = f"""counted AS MATERIALIZED (SELECT r.*, critical, high, medium, low, info FROM reviews r JOIN (
@@ -141,6 +160,15 @@ SNAP_RANKED = [
     LI, *SNAP_GRAPH, FN, FUNCTIONS, SUMMARY, CLOSURE, IMPACT, SCORES,
 ]
 SIGNS = "CASE severity WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN 'medium' THEN '🟡' WHEN 'low' THEN '🔵' WHEN 'info' THEN '💡' ELSE '⚪' END"
+SUMMARY_TEXT = """SELECT repo, pr_number, '## Review Summary' || chr(10) || chr(10) || string_agg(
+          '### ' || CASE WHEN overall_score >= 7 THEN '🟢' WHEN overall_score >= 4 THEN '🟡' ELSE '🔴' END || ' `' || filename || '` — ' || overall_score || '/10' || chr(10)
+          || '> ' || summary || chr(10) || chr(10) || CASE WHEN critical + high + medium + low + info = 0 THEN '✅ No issues found' ELSE concat_ws(' | ',
+            CASE WHEN critical > 0 THEN '🔴 critical: ' || critical END, CASE WHEN high > 0 THEN '🟠 high: ' || high END,
+            CASE WHEN medium > 0 THEN '🟡 medium: ' || medium END, CASE WHEN low > 0 THEN '🔵 low: ' || low END,
+            CASE WHEN info > 0 THEN '💡 info: ' || info END) END || chr(10), chr(10) ORDER BY rank)
+        || chr(10) || '---' || chr(10) || '**Total:** ' || sum(critical + high + medium + low + info)::BIGINT || ' issues across ' || count(*) || ' files'
+        || CASE WHEN sum(critical) > 0 THEN chr(10) || chr(10) || '🔴 **' || sum(critical)::BIGINT || ' critical issue(s) require immediate attention**' ELSE '' END AS body
+        FROM {reviewed} GROUP BY repo, pr_number"""
 STATUS = """SELECT c.repo, c.pr_number, CASE WHEN coalesce(a.n, 0) > 0 THEN 'processed' ELSE 'no_python_files' END AS status,
   coalesce(a.n, 0) AS files_analyzed, coalesce(s.todo, 0) AS files_to_review, coalesce(s.cached, 0) AS cached, coalesce(a.broken, 0) + {extra} AS errors
 FROM changes c LEFT JOIN (SELECT repo, pr_number, count(*) AS n, count(*) FILTER (broken) AS broken FROM f GROUP BY ALL) a USING (repo, pr_number)
@@ -250,15 +278,7 @@ ORACLES: dict[str, str] = {
     "inline_comments": sql(LI, ISSUES, select=f"""SELECT repo, pr_number, filename AS path, line, {SIGNS} || ' **' || upper(severity) || '** — ' || category || chr(10) || chr(10) || message
         || CASE WHEN suggestion <> '' THEN chr(10) || chr(10) || '**Suggestion:** ' || suggestion ELSE '' END AS body FROM issues"""),
     "published_issues": sql(LI, ISSUES, select="SELECT repo, pr_number, filename, line, severity, category, message, suggestion FROM issues"),
-    "pr_summary": sql(*RANKED, QUEUE, ISSUES, REVIEWED, COUNTED, select="""SELECT repo, pr_number, '## Review Summary' || chr(10) || chr(10) || string_agg(
-          '### ' || CASE WHEN overall_score >= 7 THEN '🟢' WHEN overall_score >= 4 THEN '🟡' ELSE '🔴' END || ' `' || filename || '` — ' || overall_score || '/10' || chr(10)
-          || '> ' || summary || chr(10) || chr(10) || CASE WHEN critical + high + medium + low + info = 0 THEN '✅ No issues found' ELSE concat_ws(' | ',
-            CASE WHEN critical > 0 THEN '🔴 critical: ' || critical END, CASE WHEN high > 0 THEN '🟠 high: ' || high END,
-            CASE WHEN medium > 0 THEN '🟡 medium: ' || medium END, CASE WHEN low > 0 THEN '🔵 low: ' || low END,
-            CASE WHEN info > 0 THEN '💡 info: ' || info END) END || chr(10), chr(10) ORDER BY rank)
-        || chr(10) || '---' || chr(10) || '**Total:** ' || sum(critical + high + medium + low + info)::BIGINT || ' issues across ' || count(*) || ' files'
-        || CASE WHEN sum(critical) > 0 THEN chr(10) || chr(10) || '🔴 **' || sum(critical)::BIGINT || ' critical issue(s) require immediate attention**' ELSE '' END AS body
-        FROM counted JOIN queue USING (repo, pr_number, filename) GROUP BY repo, pr_number"""),
+    "pr_summary": sql(*RANKED, QUEUE, ISSUES, REVIEWED, COUNTED, select=SUMMARY_TEXT.format(reviewed="counted JOIN queue USING (repo, pr_number, filename)")),
     "pr_issue_totals": sql(LI, ISSUES, REVIEWED, COUNTED, select="""SELECT repo, pr_number, sum(critical + high + medium + low + info)::BIGINT AS total_issues,
         sum(critical)::BIGINT AS total_critical, count(*) AS n_files FROM counted GROUP BY ALL"""),
     "publish_results": sql(LI, f"log AS MATERIALIZED ({DELIVERIES})", select="""SELECT repo, pr_number, CASE WHEN lost THEN 'error' ELSE 'posted' END AS status,
@@ -272,6 +292,19 @@ ORACLES: dict[str, str] = {
     "pr_status": sql(*SNAP_RANKED, *CACHED, "changes AS (SELECT DISTINCT repo, pr_number FROM f2)", select=STATUS.format(extra="0")),
     "error_log": sql(*RANKED, QUEUE, INGESTED, select="""SELECT repo, pr_number, 1 AS step, filename, filename || ': Line ' || (import_lines + 1) || ': invalid syntax' AS message FROM f WHERE broken
         UNION ALL SELECT repo, pr_number, 5, filename, 'Review error in ' || filename || ': list' FROM ingested SEMI JOIN queue USING (repo, pr_number, filename) WHERE error_kind = 'not_object'"""),
+    "change_reviews": sql(*RANKED, *CACHED, *DONE, select="""SELECT repo, pr_number, filename, rank, action, error_kind, reported_filename, summary, overall_score,
+        CAST(coalesce(n, 0) AS INT) AS n_issues FROM done LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM li GROUP BY 1) ON l_orderkey = listed"""),
+    "change_comments": sql(*RANKED, *CACHED, *DONE, select=f"""SELECT repo, pr_number, filename AS path, line, {SIGNS} || ' **' || upper(severity) || '** — bug' || chr(10) || chr(10) || message AS body FROM issues"""),
+    "change_summaries": sql(*RANKED, *CACHED, *DONE, select=SUMMARY_TEXT.format(reviewed="counted")),
+    "change_totals": sql(*RANKED, *CACHED, *DONE, select="""SELECT repo, pr_number, sum(critical + high + medium + low + info)::BIGINT AS total_issues,
+        sum(critical)::BIGINT AS total_critical, count(*) AS n_files FROM counted GROUP BY ALL"""),
+    "change_errors": sql(*RANKED, *CACHED, *DONE, select=f"""SELECT repo, pr_number, 1 AS step, filename, filename || ': Line ' || (import_lines + 1) || ': invalid syntax' AS message FROM f WHERE broken
+        UNION ALL SELECT p.repo, p.pr_number, 5, p.filename, 'Review error in ' || p.filename || ': list' FROM plan p LEFT JOIN firsts USING (content_hash)
+        SEMI JOIN (SELECT filename FROM ingested WHERE error_kind = 'not_object') i USING (filename) WHERE NOT is_cached AND (first_nth IS NULL OR nth < first_nth)
+        UNION ALL SELECT repo, pr_number, 6, NULL, 'Comment posting error: ' || message FROM ({POSTING_ERRORS}) SEMI JOIN done USING (repo, pr_number)"""),
+    "stream_summaries": sql(*SNAP_RANKED, CODE, INGESTED, "hashes AS (SELECT '' AS content_hash)", QUEUE, EVENTS,
+        SPLIT.replace("JOIN code c", "SEMI JOIN (SELECT * FROM routes WHERE route = 'process') r USING (repo, pr_number) JOIN code c"),
+        *DONE, select=SUMMARY_TEXT.format(reviewed="counted")),
     "stream_pr_status": sql(*SNAP_RANKED, CODE, INGESTED, "hashes AS (SELECT '' AS content_hash)", QUEUE, SPLIT, EVENTS, PLAN,
         "changes AS MATERIALIZED (SELECT DISTINCT repo, pr_number FROM routes WHERE route = 'process')",
         "due AS MATERIALIZED (SELECT * FROM split SEMI JOIN changes USING (repo, pr_number))",

@@ -438,8 +438,35 @@ QUERIES["error_log"] = QUERIES.pop("error_log_all")
 
 
 @query
-def stream_pr_status(t: Inputs) -> DataFrame:
-    """The event table as a stream: signed events, routed, reviewed, status per change."""
+def change_reviews(t: Inputs) -> DataFrame:
+    """Reviews of all queued files: cached, answered, or taken over from a file with the same content."""
+    return t.done.reviews.select(
+        *FILE, "rank", "action", "error_kind", "reported_filename", "summary", "overall_score", F.size("issues").alias("n_issues"))
+
+
+@query
+def change_comments(t: Inputs) -> DataFrame:
+    return t.done.comments().select(*KEY, "path", "line", "body")
+
+
+@query
+def change_summaries(t: Inputs) -> DataFrame:
+    return t.done.summaries()
+
+
+@query
+def change_totals(t: Inputs) -> DataFrame:
+    return t.done.totals()
+
+
+@query
+def change_errors(t: Inputs) -> DataFrame:
+    """Errors of all steps, those of publishing too."""
+    return t.done.errors(t.parsed, fixtures.posting_errors(t.spark, t.sf_dir))
+
+
+def _streamed(t: Inputs) -> str:
+    """The event table as a stream: signed events, routed, reviewed. Returns the folder of the outputs."""
     t.source_files, t.responses  # the tables a stream reads exist before it starts
     raw = (
         t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet")
@@ -452,4 +479,14 @@ def stream_pr_status(t: Inputs) -> DataFrame:
         cache=ReviewCache.create(t.spark, f"{out}/cache"), out=out, secret=SECRET,
     )
     webhooks.start(events, review, f"{out}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{out}/status").drop("batch")
+    return out
+
+
+@query
+def stream_pr_status(t: Inputs) -> DataFrame:
+    return t.spark.read.parquet(f"{_streamed(t)}/status").drop("batch")
+
+
+@query
+def stream_summaries(t: Inputs) -> DataFrame:
+    return t.spark.read.parquet(f"{_streamed(t)}/summaries").drop("batch")
