@@ -61,9 +61,11 @@ def edges(files: DataFrame) -> DataFrame:
         .groupBy(*KEY, "name")
         .agg(F.bool_or(F.col("name") == F.col("module")).alias("is_module"))
     )
+    # All names below a package share its prefix.
+    prefixes = with_prefixes(counts.select(*KEY, "imported"), "imported", "name")
+    common = hot_keys(prefixes.groupBy(*KEY, "name").agg(F.count("*").alias("n")), [*KEY, "name"])
     ours = (
-        with_prefixes(counts.select(*KEY, "imported"), "imported", "name")
-        .join(known, [*KEY, "name"])
+        salted_join(prefixes, known, [*KEY, "name"], "inner", common, F.col("imported"))
         .filter("is_module OR name = imported")
         .select(*KEY, "imported")
         .distinct()

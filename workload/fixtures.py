@@ -101,6 +101,16 @@ FROM customer WHERE c_mktsegment = 'MACHINERY'"""
 POSTING_ERRORS = """SELECT concat('org/repo_', c_custkey % 10) AS repo, c_custkey AS pr_number, concat('timeout ', c_nationkey) AS message
 FROM customer WHERE c_mktsegment = 'BUILDING'"""
 
+# Suppliers as modules of packages, one change per region number: each imports its own package, a name below itself, the
+# package of another nation of the change (which may have no supplier), and packages that no file belongs to.
+PACKAGE_FILES = """SELECT 'org/packages' AS repo, CAST(s_nationkey % 5 AS BIGINT) AS pr_number,
+  concat('app/r', s_nationkey % 5, '/n', s_nationkey, '/s_', s_suppkey, '.py') AS filename,
+  concat('import appendix, app.r', (s_nationkey + 1) % 5, '.n', (s_nationkey + 1) % 25, chr(10),
+    'from app.r', s_nationkey % 5, '.n', s_nationkey, ' import s_', s_suppkey, chr(10),
+    'import app.r', s_nationkey % 5, '.n', s_nationkey, '.s_', s_suppkey, '.tools', chr(10),
+    'def late():', chr(10), '    import app.r', s_nationkey % 5, '.n', (s_nationkey + 5) % 25, chr(10)) AS code
+FROM supplier"""
+
 # A denser import graph, one change per repository: orders import the suppliers of their lines, suppliers their
 # nation, nations their region, and a region its first nation (the cycles). A few modules are imported by very
 # many others.
@@ -224,3 +234,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posting_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     return spark.sql(POSTING_ERRORS)
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(PACKAGE_FILES)

@@ -69,6 +69,11 @@ class Inputs:
     def graphs(self) -> ImportGraphs:
         return ImportGraphs(self.parsed)
 
+    @cached_property
+    def packages(self) -> ImportGraphs:
+        """Graphs of modules in packages."""
+        return ImportGraphs(written(code_facts(fixtures.package_files(self.spark, self.sf_dir)), "package-facts"))
+
     @cached_property
     def layered_edges(self) -> DataFrame:
         return written(fixtures.layered_edges(self.spark, self.sf_dir), "layered-edges")

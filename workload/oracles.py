@@ -84,6 +84,15 @@ def degrees(end: str, n: int) -> str:
 LAYERED = f"edges AS MATERIALIZED ({LAYERED_EDGES})"
 ENDS = "ends AS MATERIALIZED (SELECT repo, pr_number, src AS module FROM edges UNION SELECT repo, pr_number, dst FROM edges)"
 
+# No file has the name of a package or lies below another file, so every import ends in a name that is no file.
+PACKAGES = """members AS MATERIALIZED (SELECT 'org/packages' AS repo, CAST(s_nationkey % 5 AS BIGINT) AS pr_number, s_nationkey AS nation,
+    concat('app.r', s_nationkey % 5, '.n', s_nationkey) AS package, concat(package, '.s_', s_suppkey) AS module,
+    concat('app/r', s_nationkey % 5, '/n', s_nationkey, '/s_', s_suppkey, '.py') AS path FROM supplier),
+package_edges AS MATERIALIZED (SELECT repo, pr_number, module AS src, package AS dst FROM members
+  UNION ALL SELECT repo, pr_number, module, module || '.tools' FROM members
+  UNION ALL SELECT m.repo, m.pr_number, m.module, o.package FROM members m
+    JOIN (SELECT DISTINCT nation, package FROM members) o ON o.nation = (m.nation + 5) % 25)"""
+
 SCORES = """scores AS MATERIALIZED (SELECT *, complexity * 2 + dependencies + CAST(lines_changed AS DOUBLE) / 10 AS score FROM (
   SELECT s.repo, s.pr_number, s.filename, s.max_complexity AS complexity, i.impact AS dependencies,
     CAST(coalesce(snap.lines_changed, s.total_lines) AS BIGINT) AS lines_changed
@@ -231,6 +240,11 @@ ORACLES: dict[str, str] = {
     "layered_edge_flags": sql(LAYERED, CLOSURE, ON_CYCLE, select="""SELECT e.repo, e.pr_number, e.src, e.dst, a.module IS NOT NULL AND b.module IS NOT NULL AS in_cycle FROM edges e
         LEFT JOIN on_cycle a ON a.repo = e.repo AND a.pr_number = e.pr_number AND a.module = e.src
         LEFT JOIN on_cycle b ON b.repo = e.repo AND b.pr_number = e.pr_number AND b.module = e.dst"""),
+    "package_edges": sql(PACKAGES, select="SELECT * FROM package_edges"),
+    "package_nodes": sql(PACKAGES, select="""SELECT repo, pr_number, module, path, TRUE AS is_project FROM members
+        UNION ALL SELECT DISTINCT repo, pr_number, dst, NULL, FALSE FROM package_edges"""),
+    "package_impact": sql(PACKAGES, select="""SELECT repo, pr_number, src AS module, 0 AS impact, FALSE AS on_cycle FROM package_edges GROUP BY ALL
+        UNION ALL SELECT repo, pr_number, dst, count(*), FALSE FROM package_edges GROUP BY ALL"""),
     "priority_scores": sql(*RANKED, select="SELECT * FROM scores"),
     "review_queue": sql(*RANKED, QUEUE, select="SELECT repo, pr_number, filename, rank, score FROM queue"),
     "queue_next": sql(*RANKED, QUEUE, select="SELECT repo, pr_number, filename, score FROM queue WHERE rank = 1"),

@@ -191,6 +191,23 @@ def impact_counts(t: Inputs) -> DataFrame:
     return reach.impact_counts(files, t.graphs.reach).select(*FILE, "impact")
 
 
+@query
+def package_edges(t: Inputs) -> DataFrame:
+    """Imports of packages, and of names below modules, by their prefixes."""
+    return t.packages.edges
+
+
+@query
+def package_nodes(t: Inputs) -> DataFrame:
+    """Files, and imported names that are no file."""
+    return t.packages.nodes
+
+
+@query
+def package_impact(t: Inputs) -> DataFrame:
+    return t.packages.reach
+
+
 # The same on a denser graph with few, large changes
 
 
