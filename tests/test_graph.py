@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from changelens import skew
 from changelens.operators import cycles, import_graph, reach
 from changelens.operators.chains import fold_chains
 from changelens.operators.code_facts import code_facts
@@ -162,7 +163,9 @@ def _pairs(graph):
     return {(e.src, e.dst) for e in graph.edges.collect()}
 
 
-def test_project_filter_by_prefix(change):
+@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 1])
+def test_project_filter_by_prefix(change, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)  # 1: every name that is used twice is split
     modules = ["a", "a.b", "a.b.c", "ab", "x", "x.y", "b.c"]
     names = ["a", "a.b", "a.b.z", "a.q", "ab.k", "abc", "x", "b", "c", "b.c.d", "os"]
     files = {m.replace(".", "/") + ".py": "" for m in modules} | {"probe.py": "".join(f"import {n}\n" for n in names)}

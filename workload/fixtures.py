@@ -123,6 +123,12 @@ SELECT repo, CAST(0 AS BIGINT) AS pr_number, src, dst FROM (
   UNION ALL SELECT repo, concat('nat_', n_nationkey), concat('reg_', n_regionkey) FROM regions
   UNION ALL SELECT repo, concat('reg_', n_regionkey), concat('nat_', min(n_nationkey)) FROM regions GROUP BY repo, n_regionkey) t"""
 
+# Customers in groups of six, one change each: a ring with two shortcuts and a way back, so that cycles overlap.
+CHORDED_EDGES = """SELECT 'org/chords' AS repo, CAST(floor(c_custkey / 6) AS BIGINT) AS pr_number,
+  concat('c_', c_custkey % 6) AS src, concat('c_', (c_custkey + step) % 6) AS dst
+FROM (SELECT c_custkey, 1 AS step FROM customer UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_custkey % 6 IN (0, 2)
+  UNION ALL SELECT c_custkey, 5 FROM customer WHERE c_custkey % 6 = 3) t"""
+
 #: Range of order keys handled as one piece when looking for a customer's previous order.
 PIECE = 1 << 20
 
@@ -239,3 +245,8 @@ def posting_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
     return spark.sql(PACKAGE_FILES)
+
+
+def chorded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(CHORDED_EDGES)

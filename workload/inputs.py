@@ -90,6 +90,10 @@ class Inputs:
     def layered_reach(self) -> DataFrame:
         return written(module_reach(self.layered, self.layered_ancestry), "layered-reach")
 
+    @cached_property
+    def chorded(self) -> FoldedGraph:
+        return fold_chains(written(fixtures.chorded_edges(self.spark, self.sf_dir), "chorded-edges"))
+
     @cached_property
     def scores(self) -> DataFrame:
         return written(priority_scores(self.facts, self.graphs), "scores")

@@ -7,7 +7,7 @@ reads code: functions, lines, imports, edges and cycles are computed from orders
 from __future__ import annotations
 
 from workload.fixtures import (
-    DELIVERIES, FILE_KEY, FILE_SOURCE, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
+    CHORDED_EDGES, DELIVERIES, FILE_KEY, FILE_SOURCE, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
     MODEL_RESPONSES, ORDERED, OTHER_ENTRIES, POSTING_ERRORS, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, SEVERITY, WEBHOOK_EVENTS,
 )
 
@@ -235,6 +235,11 @@ ORACLES: dict[str, str] = {
     "layered_cycles": sql(LAYERED, select="""SELECT repo, pr_number, pos, module FROM (
         SELECT a.repo, a.pr_number, unnest([0, 1]::BIGINT[]) AS pos, unnest([a.src, a.dst]) AS module FROM edges a
         JOIN edges b ON b.repo = a.repo AND b.pr_number = a.pr_number AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst)"""),
+    "overlapping_cycles": sql(f"edges AS MATERIALIZED ({CHORDED_EDGES})", """paths AS (SELECT repo, pr_number, src AS start, src AS last, [src] AS path, FALSE AS closed FROM edges
+        UNION SELECT p.repo, p.pr_number, p.start, e.dst, CASE WHEN e.dst = p.start THEN p.path ELSE list_append(p.path, e.dst) END, e.dst = p.start
+        FROM paths p JOIN edges e ON e.repo = p.repo AND e.pr_number = p.pr_number AND e.src = p.last
+        WHERE NOT p.closed AND (e.dst = p.start OR (e.dst > p.start AND NOT list_contains(p.path, e.dst))))""",
+        select="SELECT repo, pr_number, array_to_string(path, '>') AS modules, CAST(len(path) AS INT) AS length FROM paths WHERE closed"),
     "layered_dependencies": sql(LAYERED, degrees("src", 5), CLOSURE, select="""SELECT c.repo, c.pr_number, c.src AS start, c.dst AS module
         FROM closure c JOIN top t ON t.repo = c.repo AND t.pr_number = c.pr_number AND t.module = c.src WHERE c.src <> c.dst"""),
     "layered_edge_flags": sql(LAYERED, CLOSURE, ON_CYCLE, select="""SELECT e.repo, e.pr_number, e.src, e.dst, a.module IS NOT NULL AND b.module IS NOT NULL AS in_cycle FROM edges e

@@ -222,6 +222,16 @@ def layered_cycles(t: Inputs) -> DataFrame:
     return cycles.simple_cycles(t.layered, t.layered_ancestry).select(*KEY, "pos", "module")
 
 
+@query
+def overlapping_cycles(t: Inputs) -> DataFrame:
+    """Each cycle as its modules in order, from the smallest one on."""
+    inside = F.sort_array(F.collect_list(F.struct("pos", "module")))["module"]
+    cycles_ = cycles.simple_cycles(t.chorded).groupBy(*KEY, "cycle").agg(inside.alias("m"))
+    low = F.array_position("m", F.array_min("m")).cast("int")
+    turned = F.concat(F.slice("m", low, F.size("m")), F.slice("m", F.lit(1), low - 1))
+    return cycles_.select(*KEY, F.array_join(turned, ">").alias("modules"), F.size("m").alias("length"))
+
+
 @query
 def layered_dependencies(t: Inputs) -> DataFrame:
     """What the five modules with the most imports depend on."""
