@@ -15,7 +15,12 @@ from changelens.operators.reviews import severity_counts
 SEVERITY_SIGN = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "💡"}
 OTHER_SIGN = "⚪"
 BAND_SIGN = {"green": "🟢", "yellow": "🟡", "red": "🔴"}
+# Texts that readers of comments look for.
 NO_ISSUES = "✅ No issues found"
+SUGGESTION = "**Suggestion:** "
+TOTAL = "**Total:** "
+ALARM = " critical issue(s) require immediate attention**"
+SUMMARY_REFUSED = "Summary comment failed: "
 
 
 def _sign(signs: dict[str, str], key: Column, default: str) -> Column:
@@ -28,7 +33,7 @@ def inline_comments(issues: DataFrame) -> DataFrame:
     head = F.concat(
         _sign(SEVERITY_SIGN, F.col("severity"), OTHER_SIGN), F.lit(" **"), F.upper("severity"), F.lit("** — "), "category"
     )
-    advice = F.when(F.col("suggestion") != "", F.concat(F.lit("\n**Suggestion:** "), "suggestion"))
+    advice = F.when(F.col("suggestion") != "", F.concat(F.lit(f"\n{SUGGESTION}"), "suggestion"))
     body = F.concat_ws("\n", head, F.concat(F.lit("\n"), "message"), advice)  # NULL advice is left out
     kept = [c for c in issues.columns if c not in (*FILE, "line")]
     return issues.select(*KEY, F.col("filename").alias("path"), "line", body.alias("body"), *kept)
@@ -61,10 +66,10 @@ def pr_summaries(queue: DataFrame, reviews: DataFrame, issues: DataFrame, title:
     )
     alarm = F.when(F.col("n_critical") > 0, F.concat(
         F.lit(f"\n\n{SEVERITY_SIGN['critical']} **"), F.col("n_critical").cast("string"),
-        F.lit(" critical issue(s) require immediate attention**"),
+        F.lit(ALARM),
     )).otherwise("")
     body = F.concat(
-        F.lit(f"## {title}\n\n"), "sections", F.lit("\n---\n**Total:** "), F.col("n_issues").cast("string"),
+        F.lit(f"## {title}\n\n"), "sections", F.lit(f"\n---\n{TOTAL}"), F.col("n_issues").cast("string"),
         F.lit(" issues across "), F.col("n_files").cast("string"), F.lit(" files"), alarm,
     )
     return grouped.select(*KEY, body.alias("body"))
@@ -75,7 +80,7 @@ def delivery_errors(log: DataFrame) -> DataFrame:
     kind ``inline``, ``summary`` or ``change`` (the change itself could not be opened)."""
     inline = F.concat("filename", F.lit(":"), F.col("line").cast("string"), F.lit(" — "), "message")
     text = F.when(F.col("kind") == "inline", inline).when(
-        F.col("kind") == "summary", F.concat(F.lit("Summary comment failed: "), "message")
+        F.col("kind") == "summary", F.concat(F.lit(SUMMARY_REFUSED), "message")
     ).otherwise(F.col("message"))
     return log.filter("NOT accepted").select(*KEY, "kind", text.alias("error"))
 

@@ -24,6 +24,9 @@ from changelens.operators.code_facts import FILE, fact_counts
 # Longer files are not sent (characters), and the text such a file gets.
 MAX_CHARS = 50000
 TOO_LARGE = "File too large for review (>50k chars)"
+# Summaries of reviews that failed.
+FAILED = "Review failed: "
+BAD_SCHEMA = "Invalid schema: "
 
 REVIEW_DDL = """error_kind STRING, error_detail STRING, filename STRING, summary STRING, overall_score INT,
     issues ARRAY<STRUCT<line: LONG, severity: STRING, category: STRING, message: STRING, suggestion: STRING>>"""
@@ -122,14 +125,14 @@ def reviews(ingested: DataFrame) -> DataFrame:
     kind = F.col("error_kind")
     reason = (
         F.when(kind == "invalid_json", "Invalid JSON from model")
-        .when(kind == "invalid_schema", F.concat(F.lit("Invalid schema: "), "error_detail"))
+        .when(kind == "invalid_schema", F.concat(F.lit(BAD_SCHEMA), "error_detail"))
         .otherwise(F.col("error_detail"))
     )
     ok = kind == "ok"
     return ingested.filter(kind != "not_object").select(
         *FILE, "error_kind",
         F.when(ok, F.col("reported_filename")).otherwise(F.col("filename")).alias("reported_filename"),
-        F.when(ok, F.col("summary")).otherwise(F.concat(F.lit("Review failed: "), reason)).alias("summary"),
+        F.when(ok, F.col("summary")).otherwise(F.concat(F.lit(FAILED), reason)).alias("summary"),
         F.when(ok, F.col("overall_score")).otherwise(0).alias("overall_score"),
         F.when(ok, F.col("issues")).otherwise(_no_issues()).alias("issues"),
     )

@@ -14,6 +14,12 @@ from changelens.operators.chains import FoldedGraph, fold_chains
 from changelens.operators.code_facts import FILE, analyzed
 from changelens.storage import written
 
+# How the errors of each step begin.
+PARSER_ERROR = "AST error in "
+GRAPH_ERROR = "Graph error: "
+REVIEW_ERROR = "Review error in "
+POSTING_ERROR = "Comment posting error: "
+
 
 @dataclass
 class ImportGraphs:
@@ -57,7 +63,7 @@ def error_log(facts: DataFrame, ingested: DataFrame | None = None, posting_error
     parse = facts.filter("error_kind IS NOT NULL").select(
         *KEY, F.lit(1).alias("step"), "filename",
         F.concat(
-            F.when(syntax, F.lit("")).otherwise(F.lit("AST error in ")), F.col("filename"), F.lit(": "),
+            F.when(syntax, F.lit("")).otherwise(F.lit(PARSER_ERROR)), F.col("filename"), F.lit(": "),
             F.coalesce("error_message", F.lit("")),
         ).alias("message"),
     )
@@ -66,19 +72,19 @@ def error_log(facts: DataFrame, ingested: DataFrame | None = None, posting_error
         F.min(F.struct("filename", "error_message")).alias("first")
     ).select(
         *KEY, F.lit(2).alias("step"), F.lit(None).cast("string").alias("filename"),
-        F.concat(F.lit("Graph error: "), F.coalesce("first.error_message", F.lit(""))).alias("message"),
+        F.concat(F.lit(GRAPH_ERROR), F.coalesce("first.error_message", F.lit(""))).alias("message"),
     )
     log = parse.unionByName(graph)
     if ingested is not None:
         refused = ingested.filter("error_kind = 'not_object'")
         log = log.unionByName(refused.select(
             *KEY, F.lit(5).alias("step"), "filename",
-            F.concat(F.lit("Review error in "), F.col("filename"), F.lit(": "), F.col("error_detail")).alias("message"),
+            F.concat(F.lit(REVIEW_ERROR), F.col("filename"), F.lit(": "), F.col("error_detail")).alias("message"),
         ))
     if posting_errors is not None:
         log = log.unionByName(posting_errors.select(
             *KEY, F.lit(6).alias("step"), F.lit(None).cast("string").alias("filename"),
-            F.concat(F.lit("Comment posting error: "), F.col("message")).alias("message"),
+            F.concat(F.lit(POSTING_ERROR), F.col("message")).alias("message"),
         ))
     return log
 

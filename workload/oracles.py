@@ -248,6 +248,7 @@ ORACLES: dict[str, str] = {
     "package_edges": sql(PACKAGES, select="SELECT * FROM package_edges"),
     "package_nodes": sql(PACKAGES, select="""SELECT repo, pr_number, module, path, TRUE AS is_project FROM members
         UNION ALL SELECT DISTINCT repo, pr_number, dst, NULL, FALSE FROM package_edges"""),
+    "package_impact_sets": sql(PACKAGES, select="SELECT repo, pr_number, dst AS start, src AS module FROM package_edges"),
     "package_impact": sql(PACKAGES, select="""SELECT repo, pr_number, src AS module, 0 AS impact, FALSE AS on_cycle FROM package_edges GROUP BY ALL
         UNION ALL SELECT repo, pr_number, dst, count(*), FALSE FROM package_edges GROUP BY ALL"""),
     "priority_scores": sql(*RANKED, select="SELECT * FROM scores"),
@@ -263,7 +264,7 @@ ORACLES: dict[str, str] = {
     "review_plan": sql(DOCS, ENTRIES, """split AS MATERIALIZED (SELECT d.*, coalesce(review <> 'stale', FALSE) AS is_cached FROM docs d LEFT JOIN doc_cache USING (content_hash))""",
         PLAN, select=PLAN_COLUMNS),
     "queue_review_plan": sql(*RANKED, *CACHED, PLAN, select=PLAN_COLUMNS),
-    "cache_stats": sql(ENTRIES, select="""SELECT count(DISTINCT content_hash) AS entries, TRUE AS on_disk
+    "cache_stats": sql(ENTRIES, select="""SELECT count(DISTINCT content_hash) AS entries, TRUE AS on_disk, TRUE AS in_place
         FROM (SELECT content_hash FROM old_entries UNION ALL SELECT content_hash FROM new_entries)"""),
     "cache_replay": sql(ENTRIES, select="""SELECT 'before' AS state, content_hash, review FROM doc_cache
         UNION ALL SELECT 'after', content_hash, max_by(review, created_at) FROM (SELECT * FROM old_entries UNION ALL SELECT * FROM new_entries) GROUP BY 2"""),

@@ -208,6 +208,12 @@ def package_impact(t: Inputs) -> DataFrame:
     return t.packages.reach
 
 
+@query
+def package_impact_sets(t: Inputs) -> DataFrame:
+    """What a change of each node affects."""
+    return reach.impact(t.packages.nodes, t.packages.folded)
+
+
 # The same on a denser graph with few, large changes
 
 
@@ -343,7 +349,8 @@ def cache_cleared(t: Inputs) -> DataFrame:
 @query
 def cache_stats(t: Inputs) -> DataFrame:
     """A cache written in two batches, then counted."""
-    return _cache(t).stats().select("entries", (F.col("files") > 0).alias("on_disk"))
+    cache = _cache(t)
+    return cache.stats().select("entries", (F.col("files") > 0).alias("on_disk"), (F.col("location") == cache.root).alias("in_place"))
 
 
 # Reviews
