@@ -2,10 +2,12 @@
 
 Every distinct word is encoded once by a public vocabulary with byte fallback. A document is measured by
 characters per token, the share of byte tokens and the entropy of its tokens (as a share of the most that so
-many tokens can have), and is rejected if a measure leaves the band of its language. A band is the median over
-all documents of the language that pass the base rules, plus and minus ``SPREADS`` robust standard deviations;
-languages that are null or held by less than ``LEAST_SHARE`` of the documents have the band of their script.
-Texts of fewer than ``MIN_TOKENS`` tokens are judged by the base rules alone.
+many tokens can have), and is rejected if a measure leaves its band: characters per token on either side, byte
+share above, entropy below. All measures depend on the length, so there is a band for each language and length
+class (tokens between two powers of two): the median over all its documents that pass the base rules, and
+``SPREADS`` robust standard deviations. Where a class has less than ``LEAST_SHARE`` of the documents, the band of
+the whole language holds, then those of the script; such bands are widened for texts under ``SHORT_TOKENS`` tokens,
+by the square root of what is missing. Every text that passes the base rules is judged.
 
 Base rules: at least ``MIN_WORDS`` words, and at most ``MAX_REPEAT_PERCENT`` percent of the words within
 windows of five words that come twice or more in the text.
@@ -31,14 +33,14 @@ from changelens.storage import written
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-MIN_TOKENS = 50
+SHORT_TOKENS = 50
 #: Bytes of text measured together.
 SLICE_BYTES = 2 << 20
 
-#: Robust standard deviations on either side of the median, and the least that one counts.
-SPREADS = 8.0
-LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.02}
-#: Least share of the documents for a language to have a band of its own, so there are 10,000 bands at most.
+#: Robust standard deviations below and above the median (None: no limit), and the least that one counts.
+SPREADS = {"chars_per_token": (3.5, 3.5), "byte_share": (None, 4.0), "entropy": (3.0, None)}
+LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.005, "entropy": 0.01}
+#: Least share of the documents for a language, or a class of it, to have a band: 10,000 of either at most.
 LEAST_SHARE = 1e-4
 LEAST_DOCUMENTS = 30
 
@@ -181,41 +183,56 @@ def measures(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     return source.mapInArrow(run, T.StructType([source.schema["doc"], *columns]))
 
 
+#: Which documents have a band together, in the order in which bands are looked for.
+BANDS = [("lang", "length"), ("lang",), ("script", "length"), ("script",)]
+_KEYS = ("lang", "script", "length")
+
+
+def _keys() -> list[Column]:
+    length = F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
+    return [F.col("doc.lang").cast("string"), F.col("script"), length]
+
+
 def bands(found: DataFrame) -> DataFrame:
-    """Bands of languages and scripts: ``lang``, ``script`` (one of them null), and low and high of each measure."""
-    judged = found.filter(~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS))
+    """Bands by ``lang`` or ``script`` and ``length`` (null: any), with the median and spread of each measure."""
+    passed = found.filter(~F.col("base_failed")).select(*(c.alias(k) for k, c in zip(_KEYS, _keys(), strict=True)), *LEAST_SPREAD)
     total = F.sum("n").over(Window.partitionBy())
 
-    def limits(by: Column, other: str) -> DataFrame:
+    def limits(by: tuple[str, ...]) -> DataFrame:
         quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in LEAST_SPREAD]
-        grouped = judged.groupBy(by).agg(F.count("*").alias("n"), *quartiles)
-        sides = []
-        for m, least in LEAST_SPREAD.items():
-            spread = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(least)) * SPREADS
-            sides += [(F.col(m)[1] - spread).alias(f"{m}_low"), (F.col(m)[1] + spread).alias(f"{m}_high")]
-        return grouped.select(*grouped.columns[:1], F.lit(None).cast("string").alias(other), *sides, "n")
+        grouped = passed.groupBy(*by).agg(F.count("*").alias("n"), *quartiles).withColumn("total", total)
+        if by != ("script",):
+            grouped = grouped.filter(F.col("n") >= F.greatest(F.lit(LEAST_DOCUMENTS), LEAST_SHARE * F.col("total")))
+        if "lang" in by:
+            grouped = grouped.filter("lang IS NOT NULL")
+        keys = [(F.col(k) if k in by else F.lit(None).cast("int" if k == "length" else "string")).alias(k) for k in _KEYS]
+        spread = {m: F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(least)) for m, least in LEAST_SPREAD.items()}
+        return grouped.select(*keys, *(F.struct(F.col(m)[1].alias("median"), x.alias("spread")).alias(m) for m, x in spread.items()))
 
-    by_lang = limits(F.col("doc.lang").cast("string").alias("lang"), "script").filter("lang IS NOT NULL")
-    by_script = limits(F.col("script"), "lang")
-    enough = by_lang.withColumn("total", total).filter(F.col("n") >= F.greatest(F.lit(LEAST_DOCUMENTS), LEAST_SHARE * F.col("total")))
-    rows = enough.drop("total").unionByName(by_script).drop("n")
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)  # 10,000 rows and a few at most
+    rows = reduce(DataFrame.unionByName, map(limits, BANDS))
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)  # 30,000 rows and a few at most
 
 
 def judged(found: DataFrame, limits: DataFrame) -> DataFrame:
     """``found`` with ``kept``."""
-    sides = [f"{m}_{side}" for m in LEAST_SPREAD for side in ("low", "high")]
-    of_lang = limits.filter("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.struct(*sides).alias("_of_lang"))
-    of_script = limits.filter("lang IS NULL").select(F.col("script").alias("_script"), F.struct(*sides).alias("_of_script"))
-    joined = found.join(F.broadcast(of_lang), F.col("doc.lang").cast("string") == F.col("_lang"), "left").join(
-        F.broadcast(of_script), F.col("script") == F.col("_script"), "left"
-    )
-    band = F.coalesce("_of_lang", "_of_script")
-    outside = reduce(
-        Column.__or__, ((F.col(m) < band[f"{m}_low"]) | (F.col(m) > band[f"{m}_high"]) for m in LEAST_SPREAD)
-    )
-    verdict = ~(F.coalesce(outside, F.lit(False)) & (F.col("n_tokens") >= MIN_TOKENS))
-    return joined.select(*found.columns, (~F.col("base_failed") & verdict).alias("kept"))
+    joined = found.select("*", *(c.alias(f"_{k}") for k, c in zip(_KEYS, _keys(), strict=True)))
+    short = F.sqrt(F.greatest(F.lit(1.0), SHORT_TOKENS / F.greatest("n_tokens", F.lit(1))))
+    for i, by in enumerate(BANDS):
+        own = limits.filter(reduce(Column.__and__, (F.col(k).isNotNull() if k in by else F.col(k).isNull() for k in _KEYS)))
+        own = own.select(*(F.col(k).alias(f"_{k}") for k in by), F.struct(*LEAST_SPREAD).alias(f"_band{i}"))
+        joined = joined.join(F.broadcast(own), [f"_{k}" for k in by], "left")
+    band = F.coalesce(*(f"_band{i}" for i in range(len(BANDS))))
+    widened = F.when(F.col("_band0").isNotNull(), F.lit(1.0)).otherwise(short)
+    outside = F.lit(False)
+    for m, (low, high) in SPREADS.items():
+        spread = band[m]["spread"] * widened
+        if m == "byte_share":  # a single byte of a short text is no sign
+            spread = F.greatest(spread, 1 / F.greatest("n_tokens", F.lit(1)))
+        if low is not None:
+            outside = outside | (F.col(m) < band[m]["median"] - low * spread)
+        if high is not None:
+            outside = outside | (F.col(m) > band[m]["median"] + high * spread)
+    return joined.select(*found.columns, (~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).alias("kept"))
 
 
 def quality(docs: DataFrame, vocabulary_path: str) -> DataFrame:

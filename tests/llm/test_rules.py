@@ -73,6 +73,22 @@ def test_quality_of_odd_rows(odd_documents):
     assert quality_rules.keep(odd_documents.filter("false"), PIECES).count() == 0
 
 
+def test_each_band_rejects(spark, prose):
+    rows = [(i, prose(i, 300), "en") for i in range(300)] + [(1000 + i, prose(1000 + i, 16), "en") for i in range(60)]
+    odd = [
+        (2000, prose(2000, 290) + " ᚠᚢᚦ ᚱᚲᚷ ᚹᚺᚾ ᛁᛃᛇ ᛈᛉᛊ", "en"),  # byte share
+        (2001, " | ".join(prose(2001, 300).split()), "en"),  # characters per token
+        (2002, " ".join(f"{a} the the the" if i % 2 else a for i, a in enumerate(prose(2002, 200).split())), "en"),  # entropy
+        (2003, " ".join("ᚠᚢᚦ" if i % 4 == 0 else a for i, a in enumerate(prose(2003, 11).split())), "en"),  # a short text
+    ]
+    docs = spark.createDataFrame(rows + odd, "doc_id LONG, text STRING, lang STRING")
+    found = {r.doc_id: r for r in quality_rules.quality(docs, PIECES).select("doc.doc_id", "kept", "base_failed", "n_tokens").collect()}
+    assert not any(found[i].base_failed for i in range(2000, 2004)) and found[2003].n_tokens < 64
+    assert not any(found[i].kept for i in range(2000, 2004))
+    good = [found[r[0]] for r in rows if not found[r[0]].base_failed]
+    assert len(good) > 300 and sum(r.kept for r in good) > 0.97 * len(good)
+
+
 def hit_words(docs, items):
     """Brute force: (n_words, n_hit, ids) of every text."""
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
