@@ -7,7 +7,8 @@ whole item of fewer words; words inside any occurrence of a window are hit.
 
 Only runs of words whose neighbouring pairs all come in some item are streamed; numpy finds them, and no match
 can reach out of one. The items are taken in blocks of ``BLOCK_WORDS`` words, so an automaton has a fixed
-bound whatever the size of the benchmark; further blocks stream the documents again.
+bound whatever the size of the benchmark; further blocks stream the documents again. Coverage and length of a span
+are judged on the hits of all blocks together.
 
 Null and empty texts have no words. An item without words matches nothing; an item with a null id is hit and
 removed but not listed. Rows are judged one by one, and other columns are passed on whatever their names. An
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelens.llm import texts
-from changelens.storage import written
+from changelens.storage import written, written_counting
 
 WINDOW = 10
 #: Words of the items in one automaton; an item that is longer is cut into parts that overlap.
@@ -257,6 +258,17 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
+def _without(text: bytes, n_words: int, spans: np.ndarray) -> bytes:
+    """The text without those hit spans, rows of :data:`HITS`, that are to be removed."""
+    size = spans[:, 1] - spans[:, 0]
+    if size.sum() <= MAX_COVERAGE * n_words:
+        spans = spans[size >= SPAN_WORDS]
+    if not len(spans):
+        return text
+    edges = np.concatenate([[0], spans[:, 2:].ravel(), [len(text)]])
+    return b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+
+
 def _cut(text: bytes, automaton: Automaton) -> bytes:
     """The text without its hit spans; cutting goes on until what is left together has none."""
     while True:
@@ -266,13 +278,47 @@ def _cut(text: bytes, automaton: Automaton) -> bytes:
         for a, b, _ in automaton.streamed(hashes, at):
             mask[a:b] = True
         a, b = texts.runs(mask, np.zeros(1, np.int64))
-        if mask.sum() <= MAX_COVERAGE * len(mask):
-            long = b - a >= SPAN_WORDS
-            a, b = a[long], b[long]
-        if not len(a):
+        left = _without(text, len(hashes), np.stack([a, b, starts[a], ends[b - 1]], axis=1)) if len(a) else text
+        if len(left) == len(text):
             return text
-        edges = np.concatenate([[0], np.stack([starts[a], ends[b - 1]], axis=1).ravel(), [len(data)]])
-        text = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+        text = left
+
+
+def _cut_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc``, new ``text``, and whether it has ``changed``, of rows of :func:`matches`."""
+    for batch in batches:
+        new, changed = [], []
+        for r, (n_words, hits) in enumerate(zip(batch.column("n_words").to_pylist(), batch.column("hits").to_pylist(), strict=True)):
+            if not hits:
+                new.append(None)
+                changed.append(False)
+                continue
+            old = batch.column("text")[r].as_py().encode()
+            left = _without(old, n_words, np.array([list(h.values()) for h in hits], np.int64))
+            changed.append(len(left) < len(old))
+            new.append(left.decode() if changed[-1] else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(new, pa.string()), pa.array(changed)], names=["doc", "text", "changed"])
+
+
+def _clean_by_rounds(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As :func:`clean`, for any number of blocks: hits of all of them are judged together, once a round.
+
+    A round cuts each document once; those that were cut go through the next one, until none is.
+    """
+    columns, settled = docs.columns, None
+    while True:
+        found = matches(docs, benchmark)
+        schema = T.StructType([found.schema["doc"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+        doc = F.col("doc").withField("text", F.when(F.col("changed"), F.col("text").cast(docs.schema["text"].dataType)).otherwise(F.col("doc.text")))
+        if "n_chars" in columns:
+            kind = docs.schema["n_chars"].dataType
+            doc = doc.withField("n_chars", F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("doc.n_chars")))
+        cut, n = written_counting(found.mapInArrow(_cut_once, schema).select(doc.alias("doc"), "changed"), "cut", changed=F.col("changed"))
+        same = cut.filter("NOT changed").select("doc.*")
+        settled = same if settled is None else settled.unionByName(same)
+        if not n["changed"]:
+            return settled
+        docs = cut.filter("changed").select("doc.*").filter(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -310,8 +356,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    first = True
-    for automaton in blocks(benchmark):
-        docs = docs if first else written(docs, "cleaned")
-        docs, first = docs.mapInArrow(cleaned(spark.sparkContext.broadcast(automaton)), schema), False
-    return docs
+    some = blocks(benchmark)
+    only = next(some, None)
+    if only is None:
+        return docs
+    if next(some, None) is not None:
+        some.close()
+        return _clean_by_rounds(docs, benchmark)
+    return docs.mapInArrow(cleaned(spark.sparkContext.broadcast(only)), schema)

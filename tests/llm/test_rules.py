@@ -147,6 +147,34 @@ def test_cleaned_documents_hold_no_passage(spark, prose):
     assert len(left[10].text) >= len(clean[0]) + len(clean[1]) - 20
 
 
+@pytest.mark.parametrize("block", [40, 10])
+def test_cleaning_does_not_depend_on_blocks(spark, prose, odd_documents, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 100_000)
+    short = [(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(40)]
+    items = short + [(50, prose(50, 60)), (51, prose(51, 30)), (52, "one22 two22 three22 four22 five22 six22"), (53, "six23 five23 four23 three23 two23 one23"), (54, None)]
+    half = len(items[40][1]) // 2
+    docs = [
+        (0, " ".join(t for _, t in short)),  # all of it, little by little
+        (1, prose(1, 200)),
+        (2, prose(2, 200) + " one22 two22 three22 four22 five22 six22 six23 five23 four23 three23 two23 one23 " + prose(3, 200)),  # one span of two items
+        (3, prose(2, 200) + " one22 two22 three22 four22 five22 six22 " + prose(3, 200)),  # a short span
+        (4, prose(4, 100) + " " + items[40][1][:half] + " " + items[41][1] + " " + items[40][1][half:] + " " + prose(5, 100)),
+        (5, prose(6, 40) + " " + " ".join(t for _, t in short[:10]) + " " + prose(7, 40)),  # over a fifth
+        (6, None),
+        (7, "--"),
+    ]
+    frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs], "doc_id LONG, text STRING, n_chars LONG")
+    bench = spark.createDataFrame(items, "item_id LONG, text STRING")
+    whole = sorted(map(tuple, decontamination.clean(frame, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    assert sorted(map(tuple, decontamination.clean(frame, bench).collect())) == whole
+    left = {i: t for i, t, _ in whole}
+    assert 0 not in left and "one22" not in left[2] and left[3] == docs[3][1] and "gamma3" not in left[5]
+    assert hit_words([left[4]], items)[0][1] == 0 and [left[i] for i in (1, 6, 7)] == [docs[i][1] for i in (1, 6, 7)]
+    odd = decontamination.clean(odd_documents, bench)
+    assert odd.columns == odd_documents.columns and odd.count() == odd_documents.count()
+
+
 def test_decontamination_of_odd_rows(spark, odd_documents):
     none = spark.createDataFrame([], "item_id LONG, text STRING")
     found = decontamination.digests(decontamination.matches(odd_documents, none)).collect()
