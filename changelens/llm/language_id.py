@@ -3,8 +3,9 @@
 Texts are cut into windows of ``STEPS`` bytes. Two gated recurrent units read a window, one from each side,
 and every byte position gets probabilities of the languages from both states; a document's probabilities are
 those of its positions, pooled by the mean of their logarithms. The network is trained in numpy by
-backpropagation through time, on a bounded sample: up to ``DOCUMENTS`` texts of each of up to ``LANGUAGES``
-languages and ``WINDOWS`` windows of each text, spread over its length. Whole texts are predicted.
+backpropagation through time, on a bounded sample: up to ``DOCUMENTS`` texts of every language that has any (fewer
+of each where that were more than ``SAMPLE`` in all) and ``WINDOWS`` windows of each text, spread over its length.
+Whole texts are predicted.
 
 Null texts and those without a letter are ``und`` with score 0, as is everything if there is nothing to learn
 from. Rows are predicted one by one, so repeated rows have equal results; other columns are not used. A null id is
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from changelens.llm import samples, texts
 
 HIDDEN, STEPS = 8, 64
-DOCUMENTS, WINDOWS, LANGUAGES = 300, 4, 64
+DOCUMENTS, WINDOWS, SAMPLE = 300, 4, 19_200
 EPOCHS, BATCH, RATE = 6, 64, 0.02
-#: Windows that are read at once.
-AT_ONCE = 2048
+#: Windows that are read at once, fewer where there are more than ``FEW`` languages.
+AT_ONCE, FEW = 2048, 64
 
 
 @dataclass
@@ -129,7 +130,8 @@ def train(labelled: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = E
     net = Network(languages, draw(2, 256, 3 * hidden), draw(2, hidden, 2 * hidden), draw(2, hidden, hidden), draw(2 * hidden, len(languages)), np.zeros(len(languages), np.float32))
     text, bounds = texts.utf8(pa.array([t for _, t in labelled], pa.string()))
     windows, lengths, row = cut(text, bounds)
-    label = np.array([languages.index(lang) for lang, _ in labelled])
+    number = {lang: k for k, lang in enumerate(languages)}
+    label = np.array([number[lang] for lang, _ in labelled])
     n = np.bincount(row, minlength=len(label))
     first = np.cumsum(n) - n
     some = np.unique(np.concatenate([first + (n - 1) * k // max(1, WINDOWS - 1) for k in range(WINDOWS)])[np.tile(n > 0, WINDOWS)])
@@ -151,8 +153,9 @@ def pooled(net: Network, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(texts, L) probabilities of whole texts."""
     windows, lengths, row = cut(text, bounds)
     total = np.zeros((len(bounds) - 1, len(net.languages)))
-    for at in range(0, len(row), AT_ONCE):
-        some = slice(at, at + AT_ONCE)
+    step = max(1, AT_ONCE * FEW // max(FEW, len(net.languages)))
+    for at in range(0, len(row), step):
+        some = slice(at, at + step)
         logs = log_probabilities(net, states(net, windows[some]))
         logs *= (np.arange(STEPS)[:, None] < lengths[some])[..., None]
         np.add.at(total, row[some], logs.sum(axis=0))
@@ -189,7 +192,7 @@ def identify(docs: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFra
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every document; the held-out fold is not learned from."""
     fold = samples.fold(F.col("doc_id"), folds)
     known = docs.filter(fold != held_out_fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    net = train(samples.labelled(docs, known, DOCUMENTS, LANGUAGES))
+    net = train(samples.labelled(docs, known, DOCUMENTS, most=SAMPLE))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kilobytes at most
     return source.mapInArrow(_predicted(model), "doc_id LONG, held_out BOOLEAN, lang_pred STRING, score DOUBLE")

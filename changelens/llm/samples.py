@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longer texts are not taken into a sample, which bounds its bytes.
+#: Of longer texts a sample takes ``PIECES`` pieces, spread from the start to the end, of so many bytes together.
 SAMPLE_TEXT_BYTES = 20_000
+PIECES = 4
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -14,16 +15,37 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(n))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_label: int, max_labels: int) -> list[tuple[object, str]]:
-    """(label, text) of up to ``per_label`` documents of each of the ``max_labels`` most frequent labels.
+def excerpt(text: Column) -> Column:
+    """The text, or pieces of it if it is longer than ``SAMPLE_TEXT_BYTES``; a character cut in two is left out."""
+    size, piece = F.octet_length(text), SAMPLE_TEXT_BYTES // PIECES - 1
+    data = text.cast("binary")
 
-    ``labels`` has ``doc_id`` and ``label``; documents come in the order of a hash of their ids. Only ids are ranked;
-    a partition passes on ``per_label`` rows of a label at most, however common the label.
+    def cut(k: int) -> Column:
+        start = F.floor((size - piece) * k / (PIECES - 1)).cast("int") + 1
+        whole = F.make_valid_utf8(F.substring(data, start, F.lit(piece)).cast("string"))
+        return F.regexp_replace(whole, "^\uFFFD+|\uFFFD+$", "")
+
+    return F.when(size <= SAMPLE_TEXT_BYTES, text).otherwise(F.concat_ws("\n", *map(cut, range(PIECES))))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, per_label: int, max_labels: int | None = None, most: int | None = None) -> list[tuple[object, str]]:
+    """(label, text) of up to ``per_label`` documents of each label, or of the ``max_labels`` most frequent ones.
+
+    ``labels`` has ``doc_id`` and ``label``; documents that have text come in the order of a hash of their ids. With
+    ``most`` there are that many rows in all, but one of each label at least. Only ids are ranked; a partition passes
+    on ``per_label`` rows of a label at most, however common the label. Long texts are taken as their :func:`excerpt`.
     """
     known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").distinct()
-    kinds = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).select("label")
-    size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") > 0)
+    if most is not None:
+        n_labels = labels.filter("doc_id IS NOT NULL").agg(F.count_distinct("label")).first()[0]
+        per_label = min(per_label, max(1, most // max(1, n_labels)))
+    with_text = known.join(source.select("doc_id").distinct(), "doc_id", "left_semi")
+    if max_labels is not None:
+        kinds = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).select("label")
+        with_text = with_text.join(F.broadcast(kinds), "label", "left_semi")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.join(F.broadcast(kinds), "label", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
-    rows = size.join(F.broadcast(ranked.select("doc_id", "label")), "doc_id").dropDuplicates(["doc_id", "label"]).orderBy("label", "doc_id").collect()
+    ranked = with_text.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
+    found = source.join(F.broadcast(ranked.select("doc_id", "label")), "doc_id").select("doc_id", "label", excerpt(F.col("text")).alias("text"))
+    rows = found.dropDuplicates(["doc_id", "label"]).orderBy("label", "doc_id").collect()
     return [(r["label"], r["text"]) for r in rows]

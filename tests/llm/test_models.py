@@ -53,6 +53,27 @@ def test_languages(spark, odd_documents):
     assert language_id.identify(odd_documents.filter("false")).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda labelled: seen.extend(labelled))
+    rows = [(i, f"words of language {i % 70}", f"l{i % 70:02}") for i in range(700)] + [(1000 + i, "of one " + "long text é🙂 " * 3000, "long") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    language_id.identify(docs)
+    assert {lang for lang, _ in seen} == {"long", *(f"l{k:02}" for k in range(70))}
+    assert all(len(t.encode()) <= samples.SAMPLE_TEXT_BYTES and "\ufffd" not in t for _, t in seen)
+    assert all(len(t) > 5000 and t.startswith("of one long") for lang, t in seen if lang == "long")
+
+
+def test_only_documents_with_text_are_ranked(spark):
+    rows = [(i, "a text" if i % 10 > 7 else (None, "")[i % 3 == 0], i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, label INT")
+    found = samples.labelled(docs.drop("label"), docs.select("doc_id", "label"), 10, 2)
+    assert [label for label, _ in found].count(0) == 10 and [label for label, _ in found].count(1) == 10
+    assert len(samples.labelled(docs.drop("label"), docs.select("doc_id", "label"), 10, most=6)) == 6
+    many = docs.selectExpr("doc_id", "doc_id AS label")
+    assert len(samples.labelled(docs.drop("label"), many, 10, most=6)) == docs.filter("text != ''").count()
+
+
 def test_patterns_of_clauses():
     grammar = toxicity.Grammar()
     some = ["You are an idiot. Fine day.", "not an idiot", "he said idiot", "I will kill you!", "calm words", ""]
