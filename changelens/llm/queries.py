@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import decontamination, language_id, line_dedup, ngram_join, packing, quality_grades, quality_rules, secret_scan, token_store, toxicity
-from changelens.llm.sql import BENCHMARK_DECONTAMINATION, NGRAM_JACCARD_JOIN
+from changelens.llm import decontamination, language_id, line_dedup, near_dedup, ngram_join, packing, quality_grades, quality_rules, secret_scan, token_store, toxicity
+from changelens.llm.sql import BENCHMARK_DECONTAMINATION, NEAR_DEDUP, NGRAM_JACCARD_JOIN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grades.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rating)
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output,
     "op2_ngram_jaccard_join": jaccard_join,
@@ -72,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_toxicity": toxic,
     "op10_quality_grades": grades,
+    "op11_near_dedup": near_duplicates,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op8_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
+    "op11_near_dedup": NEAR_DEDUP,
 }
