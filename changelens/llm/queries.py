@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import decontamination, language_id, line_dedup, near_dedup, ngram_join, packing, quality_grades, quality_rules, secret_scan, token_store, toxicity
-from changelens.llm.sql import BENCHMARK_DECONTAMINATION, NEAR_DEDUP, NGRAM_JACCARD_JOIN
+from changelens.llm import decontamination, language_id, line_dedup, near_dedup, ngram_join, packing, quality_grades, quality_rules, ranked_search, secret_scan, source_divergence, token_store, toxicity
+from changelens.llm.sql import BENCHMARK_DECONTAMINATION, NEAR_DEDUP, NGRAM_JACCARD_JOIN, RANKED_SEARCH, SOURCE_DIVERGENCE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output,
     "op2_ngram_jaccard_join": jaccard_join,
@@ -77,9 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxic,
     "op10_quality_grades": grades,
     "op11_near_dedup": near_duplicates,
+    "op12_source_divergence": divergence,
+    "op13_ranked_search": searched,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op8_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
     "op11_near_dedup": NEAR_DEDUP,
+    "op12_source_divergence": SOURCE_DIVERGENCE,
+    "op13_ranked_search": RANKED_SEARCH,
 }
