@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens import KEY
@@ -18,7 +18,7 @@ from changelens.skew import hot_keys, salted_join
 from changelens.storage import written, written_counting
 
 
-def _numbered_chains(folded: FoldedGraph) -> DataFrame:
+def numbered_chains(folded: FoldedGraph) -> DataFrame:
     """Chains with edges, each given a (block, bit). Numbers follow the order of a range partitioning,
     so the chains of one change fill consecutive blocks; written, as the numbering must not change."""
     connected = folded.edges.select(*KEY, F.explode(F.array("src", "dst")).alias("chain")).distinct()
@@ -30,7 +30,7 @@ def _numbered_chains(folded: FoldedGraph) -> DataFrame:
     )
     return written(
         ordered.select(
-            *KEY, "chain", "size", F.floor(F.col("number") / 64).alias("block"),
+            *KEY, "chain", "size", "number", F.floor(F.col("number") / 64).alias("block"),
             F.expr("shiftleft(1L, cast(number % 64 AS int))").alias("bit"),
         ),
         "numbered",
@@ -39,31 +39,25 @@ def _numbered_chains(folded: FoldedGraph) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ancestry:
-    """``numbered`` gives every connected chain its block and bit; ``bits(key, chain, block, bits)`` the chains
+    """``numbered`` gives every connected chain a number, in the order of (key, chain), and a block and bit; ``bits(key, chain, block, bits)`` the chains
     with a path to ``chain``, itself included if it is on a cycle."""
 
     numbered: DataFrame
     bits: DataFrame
 
 
-def ancestry(folded: FoldedGraph) -> Ancestry:
-    numbered = _numbered_chains(folded)
-    sources = numbered.select(*KEY, F.col("chain").alias("src"), "block", F.col("bit").alias("bits"))
-    edges = folded.edges
+def _spread(sources: DataFrame, steps: DataFrame) -> DataFrame:
+    """``(key, chain, block, bits)``: which of the sources ``(key, chain, block, bits)``, 64 to a row, lead to each chain
+    over ``steps(key, src, dst)`` of one edge or more. There is one merged table; only its newly set bits go on."""
 
-    def over_edges(bits: DataFrame) -> DataFrame:
-        return bits.join(edges, [*KEY, "src"]).groupBy(*KEY, F.col("dst").alias("chain"), "block").agg(
-            F.bit_or("bits").alias("bits")
-        )
+    def over_steps(bits: DataFrame) -> DataFrame:
+        arrived = bits.withColumnRenamed("chain", "src").join(steps, [*KEY, "src"])
+        return arrived.groupBy(*KEY, F.col("dst").alias("chain"), "block").agg(F.bit_or("bits").alias("bits"))
 
     fresh = F.col("fresh") != 0
-    state, seen = written_counting(
-        over_edges(sources).withColumn("fresh", F.col("bits")), "ancestors", fresh=fresh
-    )
+    state, seen = written_counting(over_steps(sources).withColumn("fresh", F.col("bits")), "reaching", fresh=fresh)
     while seen["fresh"]:
-        arrived = over_edges(
-            state.filter(fresh).select(*KEY, F.col("chain").alias("src"), "block", F.col("fresh").alias("bits"))
-        )
+        arrived = over_steps(state.filter(fresh).select(*KEY, "chain", "block", F.col("fresh").alias("bits")))
         none = F.lit(0).cast("long")
         both = state.select(*KEY, "chain", "block", F.col("bits").alias("old"), none.alias("new")).unionByName(
             arrived.select(*KEY, "chain", "block", none.alias("old"), F.col("bits").alias("new"))
@@ -75,9 +69,16 @@ def ancestry(folded: FoldedGraph) -> Ancestry:
                 F.col("old").bitwiseOR(F.col("new")).alias("bits"),
                 F.col("new").bitwiseAND(F.bitwise_not(F.col("old"))).alias("fresh"),
             ),
-            "ancestors", fresh=fresh,
+            "reaching", fresh=fresh,
         )
-    return Ancestry(numbered, state.drop("fresh"))
+    return state.drop("fresh")
+
+
+def ancestry(folded: FoldedGraph, numbered: DataFrame | None = None) -> Ancestry:
+    """``numbered``: numbers that the chains, perhaps among others, have already."""
+    numbered = numbered_chains(folded) if numbered is None else numbered
+    sources = numbered.select(*KEY, "chain", "block", F.col("bit").alias("bits"))
+    return Ancestry(numbered, _spread(sources, folded.edges))
 
 
 def _chain_ancestors(above: Ancestry) -> DataFrame:
@@ -125,10 +126,42 @@ def module_reach(folded: FoldedGraph, above: Ancestry | None = None) -> DataFram
     return joined.select(*KEY, "module", impact.alias("impact"), "on_cycle")
 
 
-def _reached(starts: DataFrame, folded: FoldedGraph, upstream: bool) -> DataFrame:
+def _numbers() -> Column:
+    """The numbers whose bits are set in (``block``, ``bits``)."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", "bits", i).bitwiseAND(1) == 1)
+    return F.transform(places, lambda i: F.col("block") * 64 + i)
+
+
+def _chains_above(starts: DataFrame, above: Ancestry) -> DataFrame:
+    """``(key, from, chain)``: the chains with a path to each chain in ``starts(key, chain)``."""
+    own = above.bits.join(starts, [*KEY, "chain"]).withColumnRenamed("chain", "from")
+    listed = own.select("from", F.explode(_numbers()).alias("number"))
+    return listed.join(above.numbered.select(*KEY, "chain", "number"), "number").select(*KEY, "from", "chain")
+
+
+def _chains_below(starts: DataFrame, above: Ancestry) -> DataFrame:
+    """``(key, from, chain)``: the chains that each chain in ``starts(key, chain)`` has a path to."""
+    own = above.numbered.join(starts, [*KEY, "chain"]).select(*KEY, F.col("chain").alias("from"), "block", "bit")
+    return own.join(above.bits, [*KEY, "block"]).filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).select(*KEY, "from", "chain")
+
+
+def _searched(starts: DataFrame, folded: FoldedGraph, upstream: bool) -> DataFrame:
+    """The same without an :class:`Ancestry`: a search from the given chains, 64 of them to a row."""
+    ordered = starts.repartitionByRange(*KEY, "chain").sortWithinPartitions(*KEY, "chain")
+    number = F.monotonically_increasing_id()
+    numbered = written(ordered.select(*KEY, F.col("chain").alias("from"), number.alias("number")), "start-chains")
+    block, bit = F.floor(F.col("number") / 64).alias("block"), F.expr("shiftleft(1L, cast(number % 64 AS int))").alias("bits")
+    here, there = ("dst", "src") if upstream else ("src", "dst")
+    steps = folded.edges.select(*KEY, F.col(here).alias("src"), F.col(there).alias("dst"))
+    bits = _spread(numbered.select(*KEY, F.col("from").alias("chain"), block, bit), steps)
+    listed = bits.select("chain", F.explode(_numbers()).alias("number"))
+    return listed.join(numbered, "number").select(*KEY, "from", "chain")
+
+
+def _reached(starts: DataFrame, folded: FoldedGraph, upstream: bool, above: Ancestry | None) -> DataFrame:
     """``(key, start, module)``: all modules above (or below) the modules in ``starts(key, module)``.
 
-    Chains are walked, not modules: a frontier of (start, chain) rows advances one folded edge a round.
+    Chains are searched, not modules. With the ancestry of the whole graph at hand its bits are read, without a search.
     """
     begin = written(
         starts.select(*KEY, "module").distinct().join(folded.members, [*KEY, "module"]).select(
@@ -136,21 +169,14 @@ def _reached(starts: DataFrame, folded: FoldedGraph, upstream: bool) -> DataFram
         ),
         "starts",
     )
-    here, there = ("dst", "src") if upstream else ("src", "dst")
-    steps = folded.edges.select(*KEY, F.col(here).alias("chain"), F.col(there).alias("next"))
-
-    def advanced(frontier: DataFrame) -> DataFrame:
-        return frontier.join(steps, [*KEY, "chain"]).select(*KEY, "start", F.col("next").alias("chain")).distinct()
-
-    any_row = F.lit(True)
-    frontier, seen = written_counting(advanced(begin.select(*KEY, "start", "chain")), "frontier", rows=any_row)
-    reached = frontier
-    while seen["rows"]:
-        further = advanced(frontier).join(reached, [*KEY, "start", "chain"], "left_anti")
-        frontier, seen = written_counting(further, "frontier", rows=any_row)
-        reached = reached.unionByName(frontier)
+    from_chains = begin.select(*KEY, "chain").distinct()
+    if above is None:
+        chains = _searched(from_chains, folded, upstream)
+    else:
+        chains = (_chains_above if upstream else _chains_below)(from_chains, above)
 
     # Whole chains reached, and the start's own chain on one side of it (a ring: all of it).
+    reached = begin.select(*KEY, "start", F.col("chain").alias("from")).join(chains, [*KEY, "from"]).select(*KEY, "start", "chain")
     spans = begin.unionByName(reached.withColumn("at", F.lit(None).cast("long")))
     hot = hot_keys(folded.chains, [*KEY, "chain"], "size")
     members = folded.members.select(*KEY, "chain", "module", "pos")
@@ -163,14 +189,14 @@ def _reached(starts: DataFrame, folded: FoldedGraph, upstream: bool) -> DataFram
     )
 
 
-def impact(starts: DataFrame, folded: FoldedGraph) -> DataFrame:
+def impact(starts: DataFrame, folded: FoldedGraph, above: Ancestry | None = None) -> DataFrame:
     """Modules that import a start, directly or not. A start that is no node of the graph gives no rows."""
-    return _reached(starts, folded, upstream=True)
+    return _reached(starts, folded, True, above)
 
 
-def dependencies(starts: DataFrame, folded: FoldedGraph) -> DataFrame:
+def dependencies(starts: DataFrame, folded: FoldedGraph, above: Ancestry | None = None) -> DataFrame:
     """Modules a start depends on, directly or not."""
-    return _reached(starts, folded, upstream=False)
+    return _reached(starts, folded, False, above)
 
 
 def impact_counts(files: DataFrame, reach: DataFrame) -> DataFrame:

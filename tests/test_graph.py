@@ -2,14 +2,18 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from changelens import skew
+from changelens.functions.blocks import blocks, on_cycles
 from changelens.operators import cycles, import_graph, reach
 from changelens.operators.chains import fold_chains
 from changelens.operators.code_facts import code_facts
+from changelens.operators.components import components
 from changelens.plans.review import ImportGraphs
-from changelens.storage import written
+from changelens.storage import written, written_counting
 
 EDGE = "repo STRING, pr_number LONG, src STRING, dst STRING"
 
@@ -106,8 +110,10 @@ def test_ancestors_and_dependencies(graphs):
     starts = [("r", k, n) for k, shape in enumerate(shapes) for n in sorted({x for e in shape for x in e})[:3]]
     starts.append(("r", 0, "unknown"))
     table = edges.sparkSession.createDataFrame(starts, "repo STRING, pr_number LONG, module STRING")
-    up = {(r.pr_number, r.start, r.module) for r in reach.impact(table, folded).collect()}
-    down = {(r.pr_number, r.start, r.module) for r in reach.dependencies(table, folded).collect()}
+    above = reach.ancestry(folded)
+    found = [[reach.impact(table, folded, a), reach.dependencies(table, folded, a)] for a in (None, above)]
+    (up, down), read = ([{(r.pr_number, r.start, r.module) for r in rows.collect()} for rows in both] for both in found)
+    assert read == [up, down]
     want_up, want_down = set(), set()
     for k, shape in enumerate(shapes):
         after = _reachable(shape)
@@ -137,6 +143,98 @@ def test_simple_cycles(graphs):
     assert found == {k: c for k in small if (c := _simple_cycles(shapes[k]))}
 
 
+def _ladder(links, name="m{:05d}"):
+    """Rungs ``c -> p, q -> next c -> c``: two cycles a link, and very many paths that lead nowhere."""
+    c, p, q = (lambda i, k=k: name.format(3 * i + k) for k in range(3))
+    return {e for i in range(links) for e in [(c(i), p(i)), (c(i), q(i)), (p(i), c(i + 1)), (q(i), c(i + 1)), (c(i + 1), c(i))]}
+
+
+def _listed(spark, shapes):
+    rows = [("r", k, s, d) for k, shape in enumerate(shapes) for s, d in shape]
+    found = cycles.simple_cycles(fold_chains(written(spark.createDataFrame(rows, EDGE), "edges")))
+    return found.groupBy("pr_number", "cycle").agg(F.sort_array(F.collect_list("module")).alias("modules")).collect()
+
+
+def test_few_cycles_need_few_paths(spark, monkeypatch):
+    kept = []
+
+    def counting(df, label, **conditions):
+        table, seen = written_counting(df, label, **conditions)
+        if label == "open-paths":
+            kept.append(seen["rows"])
+        return table, seen
+
+    monkeypatch.setattr(cycles, "written_counting", counting)
+    two_way = {e for i in range(60) for e in [(f"t{i:02d}", f"t{i + 1:02d}"), (f"t{i + 1:02d}", f"t{i:02d}")]}
+    found = _listed(spark, [_ladder(40), two_way])
+    assert sorted(len(r.modules) for r in found) == [2] * 60 + [3] * 80
+    assert sum(kept) <= 60 * 2 + 80 * 3
+
+
+@pytest.mark.parametrize(("edges", "paths", "marks"), [(300_000, 2, 50), (4, 100_000, 1 << 23), (4, 1, 1)])
+def test_cycles_in_many_tasks_and_in_parts_too_large_for_one(spark, monkeypatch, edges, paths, marks):
+    monkeypatch.setattr(cycles, "PART_EDGES", edges)
+    monkeypatch.setattr(cycles, "PATHS", paths)
+    monkeypatch.setattr(cycles, "MARKS", marks)
+    rng = random.Random(11)
+    name = "n{:02d}".format
+    shapes = [_ladder(3), {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}]
+    shapes += [{(name(a), name(b)) for a, b in ((rng.randrange(7), rng.randrange(7)) for _ in range(16)) if a != b} for _ in range(4)]
+    got = sorted((r.pr_number, r.modules) for r in _listed(spark, shapes))
+    assert got == sorted((k, sorted(c)) for k, shape in enumerate(shapes) for c in _simple_cycles(shape))
+
+
+def test_edges_on_cycles_equal_brute_force():
+    rng = random.Random(14)
+    for n, m in [(1, 0), (2, 1), (2, 2), (6, 8), (12, 16), (30, 40)] * 8:
+        edges = [(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b]
+        after = _reachable(set(edges))
+        got = on_cycles(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+        assert got.tolist() == [a in after[b] for a, b in edges]
+
+
+def test_blocks_equal_brute_force():
+    def connected(edges, x, y, without):
+        seen, todo = {x}, [x]
+        while todo:
+            at = todo.pop()
+            for a, b in edges:
+                for s, d in ((a, b), (b, a)):
+                    if s == at and d not in seen and d != without:
+                        seen.add(d)
+                        todo.append(d)
+        return y in seen
+
+    rng = random.Random(12)
+    for n, m in [(1, 0), (2, 1), (5, 6), (9, 11), (14, 18), (14, 26)] * 6:
+        edges = [(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b]
+        got = blocks(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+        want = list(range(len(edges)))
+        for i, e in enumerate(edges):
+            for j, f in enumerate(edges[:i]):
+                shared = set(e) & set(f)
+                if shared and (len(shared) == 2 or connected(edges, *((set(e) | set(f)) - shared), without=shared.pop())):
+                    old, new = want[i], want[j]
+                    want = [new if x == old else x for x in want]
+        assert len(set(zip(want, got.tolist(), strict=True))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(13)
+    sizes = [1, 2, 3, 50, 400]
+    pairs, of = [], {}
+    for k, n in enumerate(sizes):
+        for i in range(1, n + 1):
+            a, b = 10_000 * k + i - 1, 10_000 * k + i
+            pairs.append((a, b) if rng.random() < 0.5 else (b, a))
+            of[a] = of[b] = k
+    pairs += [(90_000, 90_000 + i) for i in range(1, 200)] + [(95_000, 95_000)]
+    of |= {90_000 + i: "star" for i in range(200)} | {95_000: "loop"}
+    found = {r.node: r.part for r in components(spark.createDataFrame(pairs, "a LONG, b LONG")).collect()}
+    assert found.keys() == of.keys()
+    assert len(set(found.values())) == len(set(of.values())) == len({(found[x], of[x]) for x in of})
+
+
 def test_cycle_flags(spark):
     # c -> a is on no cycle of its own, but both its ends are.
     rows = [("r", 1, *e) for e in [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("c", "a"), ("x", "a")]]

@@ -129,6 +129,14 @@ CHORDED_EDGES = """SELECT 'org/chords' AS repo, CAST(floor(c_custkey / 6) AS BIG
 FROM (SELECT c_custkey, 1 AS step FROM customer UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_custkey % 6 IN (0, 2)
   UNION ALL SELECT c_custkey, 5 FROM customer WHERE c_custkey % 6 = 3) t"""
 
+# Customers in ladders of forty, one change each: rung i reaches rung i + 1 by two modules, which leads back to rung i.
+LADDER_EDGES = """SELECT 'org/ladders' AS repo, CAST(floor(c_custkey / 40) AS BIGINT) AS pr_number, src, dst FROM (
+  SELECT c_custkey, concat('c_', c_custkey) AS src, concat('p_', c_custkey) AS dst FROM customer
+  UNION ALL SELECT c_custkey, concat('c_', c_custkey), concat('q_', c_custkey) FROM customer
+  UNION ALL SELECT c_custkey, concat('p_', c_custkey), concat('c_', c_custkey + 1) FROM customer
+  UNION ALL SELECT c_custkey, concat('q_', c_custkey), concat('c_', c_custkey + 1) FROM customer
+  UNION ALL SELECT c_custkey, concat('c_', c_custkey + 1), concat('c_', c_custkey) FROM customer) t"""
+
 #: Range of order keys handled as one piece when looking for a customer's previous order.
 PIECE = 1 << 20
 
@@ -250,3 +258,8 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chorded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     return spark.sql(CHORDED_EDGES)
+
+
+def ladder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(LADDER_EDGES)

@@ -94,6 +94,10 @@ class Inputs:
     def chorded(self) -> FoldedGraph:
         return fold_chains(written(fixtures.chorded_edges(self.spark, self.sf_dir), "chorded-edges"))
 
+    @cached_property
+    def ladders(self) -> FoldedGraph:
+        return fold_chains(written(fixtures.ladder_edges(self.spark, self.sf_dir), "ladder-edges"))
+
     @cached_property
     def scores(self) -> DataFrame:
         return written(priority_scores(self.facts, self.graphs), "scores")

@@ -223,6 +223,8 @@ ORACLES: dict[str, str] = {
         FROM closure c JOIN top t ON t.repo = c.repo AND t.pr_number = c.pr_number AND t.module = c.dst WHERE c.src <> c.dst"""),
     "module_dependencies": sql(*GRAPH, degrees("src", 1), CLOSURE, select="""SELECT c.repo, c.pr_number, c.src AS start, c.dst AS module
         FROM closure c JOIN top t ON t.repo = c.repo AND t.pr_number = c.pr_number AND t.module = c.src WHERE c.src <> c.dst"""),
+    "file_impact_sets": sql(*GRAPH, CLOSURE, select="SELECT repo, pr_number, dst AS start, src AS module FROM closure WHERE src <> dst"),
+    "file_dependency_sets": sql(*GRAPH, CLOSURE, select="SELECT repo, pr_number, src AS start, dst AS module FROM closure WHERE src <> dst"),
     "cycle_flags": sql(*GRAPH, CLOSURE, ON_CYCLE, select="""SELECT f.repo, f.pr_number, f.module AS src, CAST(NULL AS VARCHAR) AS dst, c.module IS NOT NULL AS in_cycle
         FROM f LEFT JOIN on_cycle c USING (repo, pr_number, module)
         UNION ALL SELECT e.repo, e.pr_number, e.src, e.dst, a.module IS NOT NULL AND b.module IS NOT NULL FROM edges e
@@ -232,9 +234,13 @@ ORACLES: dict[str, str] = {
     "layered_impact": sql(LAYERED, ENDS, CLOSURE, select="""SELECT n.repo, n.pr_number, n.module, count(*) FILTER (c.src <> n.module) AS impact,
         coalesce(bool_or(c.src = n.module), FALSE) AS on_cycle FROM ends n
         LEFT JOIN closure c ON c.repo = n.repo AND c.pr_number = n.pr_number AND c.dst = n.module GROUP BY ALL"""),
-    "layered_cycles": sql(LAYERED, select="""SELECT repo, pr_number, pos, module FROM (
-        SELECT a.repo, a.pr_number, unnest([0, 1]::BIGINT[]) AS pos, unnest([a.src, a.dst]) AS module FROM edges a
-        JOIN edges b ON b.repo = a.repo AND b.pr_number = a.pr_number AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst)"""),
+    "layered_cycles": f"""WITH edges AS MATERIALIZED ({LAYERED_EDGES}),
+        back AS MATERIALIZED (SELECT repo, pr_number, src, dst FROM edges WHERE src LIKE 'reg%'),
+        forth AS MATERIALIZED (SELECT repo, pr_number, src, dst FROM edges WHERE dst LIKE 'reg%')
+        SELECT repo, pr_number, f.src || ',' || f.dst AS modules FROM forth f JOIN back b USING (repo, pr_number) WHERE b.src = f.dst AND b.dst = f.src""",
+    "ladder_cycles": """SELECT 'org/ladders' AS repo, CAST(floor(c_custkey / 40) AS BIGINT) AS pr_number,
+        array_to_string(list_sort(['c_' || c_custkey, 'c_' || (c_custkey + 1), way || c_custkey]), ',') AS modules
+        FROM customer, (VALUES ('p_'), ('q_')) w(way)""",
     "overlapping_cycles": sql(f"edges AS MATERIALIZED ({CHORDED_EDGES})", """paths AS (SELECT repo, pr_number, src AS start, src AS last, [src] AS path, FALSE AS closed FROM edges
         UNION SELECT p.repo, p.pr_number, p.start, e.dst, CASE WHEN e.dst = p.start THEN p.path ELSE list_append(p.path, e.dst) END, e.dst = p.start
         FROM paths p JOIN edges e ON e.repo = p.repo AND e.pr_number = p.pr_number AND e.src = p.last

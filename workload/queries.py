@@ -165,14 +165,26 @@ def has_cycles(t: Inputs) -> DataFrame:
 def module_impact(t: Inputs) -> DataFrame:
     """What a change of the most imported module of each change affects."""
     starts = import_graph.top_by_degree(t.graphs.edges, "dst", 1)
-    return reach.impact(starts, t.graphs.folded)
+    return reach.impact(starts, t.graphs.folded, t.graphs.ancestry)
 
 
 @query
 def module_dependencies(t: Inputs) -> DataFrame:
     """What the module with the most imports of each change depends on."""
     starts = import_graph.top_by_degree(t.graphs.edges, "src", 1)
-    return reach.dependencies(starts, t.graphs.folded)
+    return reach.dependencies(starts, t.graphs.folded, t.graphs.ancestry)
+
+
+@query
+def file_impact_sets(t: Inputs) -> DataFrame:
+    """What a change of each file affects."""
+    return reach.impact(t.graphs.nodes, t.graphs.folded, t.graphs.ancestry)
+
+
+@query
+def file_dependency_sets(t: Inputs) -> DataFrame:
+    """What each file depends on, found by a search from all files at once."""
+    return reach.dependencies(t.graphs.nodes, t.graphs.folded)
 
 
 @query
@@ -225,7 +237,10 @@ def layered_impact(t: Inputs) -> DataFrame:
 
 @query
 def layered_cycles(t: Inputs) -> DataFrame:
-    return cycles.simple_cycles(t.layered, t.layered_ancestry).select(*KEY, "pos", "module")
+    """Each cycle as one row."""
+    inside = F.sort_array(F.collect_list(F.struct("pos", "module")))["module"]
+    listed = cycles.simple_cycles(t.layered, t.layered_ancestry).groupBy(*KEY, "cycle").agg(inside.alias("m"))
+    return listed.select(*KEY, F.array_join("m", ",").alias("modules"))
 
 
 @query
@@ -238,10 +253,18 @@ def overlapping_cycles(t: Inputs) -> DataFrame:
     return cycles_.select(*KEY, F.array_join(turned, ">").alias("modules"), F.size("m").alias("length"))
 
 
+@query
+def ladder_cycles(t: Inputs) -> DataFrame:
+    """Cycles of links in a row, each of two ways round; a path forth never comes back but by its own link."""
+    inside = F.sort_array(F.collect_list("module")).alias("m")
+    listed = cycles.simple_cycles(t.ladders).groupBy(*KEY, "cycle").agg(inside)
+    return listed.select(*KEY, F.array_join("m", ",").alias("modules"))
+
+
 @query
 def layered_dependencies(t: Inputs) -> DataFrame:
     """What the five modules with the most imports depend on."""
-    return reach.dependencies(import_graph.top_by_degree(t.layered_edges, "src"), t.layered)
+    return reach.dependencies(import_graph.top_by_degree(t.layered_edges, "src"), t.layered, t.layered_ancestry)
 
 
 @query
