@@ -75,6 +75,27 @@ def edges(files: DataFrame) -> DataFrame:
     return kept.select(*KEY, F.col("module").alias("src"), F.col("imported").alias("dst"))
 
 
+def resolved_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """Edges whose imported name is resolved to a file: to the module of that name, to the package file of it
+    (``name.__init__``), or to the longest part of it that is one of these. ``is_project`` tells that there is such a file;
+    the other names stay as they are. Edges from a file to itself drop out, several names of one file are one edge.
+
+    Every distinct name is looked up by its dotted prefixes in one equi-join, and the longest match is an aggregate.
+    """
+    package = F.regexp_replace("module", r"\.__init__$", "")
+    known = modules.select(*KEY, F.explode(F.array_distinct(F.array("module", package))).alias("name"), "module")
+    known = known.groupBy(*KEY, "name").agg(F.min(F.struct(F.col("name") != F.col("module"), "module"))["module"].alias("module"))
+    counts = written(edges.groupBy(*KEY, "dst").agg(F.count("*").alias("n")), "imported-names")
+    prefixes = with_prefixes(counts.select(*KEY, "dst"), "dst", "name")
+    common = hot_keys(prefixes.groupBy(*KEY, "name").agg(F.count("*").alias("n")), [*KEY, "name"])
+    found = salted_join(prefixes, known, [*KEY, "name"], "inner", common, F.col("dst"))
+    longest = found.groupBy(*KEY, "dst").agg(F.max_by("module", F.length("name")).alias("module"))
+    hot = hot_keys(counts, [*KEY, "dst"])
+    joined = salted_join(edges, longest, [*KEY, "dst"], "left", hot, F.col("src"))
+    named = joined.select(*KEY, "src", F.coalesce("module", "dst").alias("dst"), F.col("module").isNotNull().alias("is_project"))
+    return named.filter("src <> dst").distinct()
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     ends = F.explode(F.array("src", "dst")).alias("module")
     return edges.select(*KEY, ends).distinct()

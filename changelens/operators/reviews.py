@@ -80,6 +80,18 @@ def review_costs(files: DataFrame) -> DataFrame:
     )
 
 
+def review_spend(costs: DataFrame) -> DataFrame:
+    """Tokens and USD of every change, of every repository and of all, in one pass. ``level`` tells which (``change``,
+    ``repository``, ``all``), with NULL for what is summed over. USD are summed as decimals, so the order of rows does
+    not show."""
+    level = F.when(F.grouping("pr_number") == 0, "change").when(F.grouping("repo") == 0, "repository").otherwise("all")
+    return costs.groupingSets([["repo", "pr_number"], ["repo"], []], "repo", "pr_number").agg(
+        level.alias("level"), F.count("*").alias("n_files"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum(F.col("output_tokens").cast("long")).alias("output_tokens"),
+        F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost_usd"),
+    )
+
+
 def _read_answers(table: DataFrame, answer: str, kept: list[str]) -> DataFrame:
     review_type = T.StructType.fromDDL(REVIEW_DDL)
     fields = to_arrow_schema(review_type)

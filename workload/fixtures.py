@@ -111,6 +111,22 @@ PACKAGE_FILES = """SELECT 'org/packages' AS repo, CAST(s_nationkey % 5 AS BIGINT
     'def late():', chr(10), '    import app.r', s_nationkey % 5, '.n', (s_nationkey + 5) % 25, chr(10)) AS code
 FROM supplier"""
 
+# The same with imports that can be resolved: of something below the module of the next supplier, of the own package (which
+# is a file where the nation's number is even) and of something below it.
+RESOLVABLE_FILES = """SELECT 'org/resolved' AS repo, change AS pr_number, concat('app/n', nation, '/s_', s_suppkey, '.py') AS filename,
+  concat('import app.n', next_nation, '.s_', next_key, '.tools.deep', chr(10), 'from app.n', nation, ' import x', chr(10),
+    'import app.n', nation, '.gone, outside.app', chr(10), 'import app.n', nation, '.s_', s_suppkey, '.own', chr(10)) AS code
+FROM (SELECT s_suppkey, s_nationkey AS nation, CAST(s_nationkey % 5 AS BIGINT) AS change,
+    lead(s_suppkey, 1, s_suppkey) OVER w AS next_key, lead(s_nationkey, 1, s_nationkey) OVER w AS next_nation
+  FROM supplier WINDOW w AS (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey)) t
+UNION ALL SELECT DISTINCT 'org/resolved', CAST(s_nationkey % 5 AS BIGINT), concat('app/n', s_nationkey, '/__init__.py'), ''
+FROM supplier WHERE s_nationkey % 2 = 0"""
+
+# Answers for documents sent for review: those of two in three are no review.
+DOCUMENT_ANSWERS = """SELECT concat('docs/', source) AS repo, doc_id AS pr_number, concat('doc_', doc_id, '.py') AS filename,
+  CASE WHEN doc_id % 3 = 0 THEN concat('{"filename":"doc_', doc_id, '.py","overall_score":', doc_id % 11, '}') ELSE '["no review"]' END AS response
+FROM documents"""
+
 # A denser import graph, one change per repository: orders import the suppliers of their lines, suppliers their
 # nation, nations their region, and a region its first nation (the cycles). A few modules are imported by very
 # many others.
@@ -263,3 +279,13 @@ def chorded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ladder_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     return spark.sql(LADDER_EDGES)
+
+
+def resolvable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return spark.sql(RESOLVABLE_FILES)
+
+
+def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql(DOCUMENT_ANSWERS)

@@ -257,6 +257,11 @@ ORACLES: dict[str, str] = {
     "package_impact_sets": sql(PACKAGES, select="SELECT repo, pr_number, dst AS start, src AS module FROM package_edges"),
     "package_impact": sql(PACKAGES, select="""SELECT repo, pr_number, src AS module, 0 AS impact, FALSE AS on_cycle FROM package_edges GROUP BY ALL
         UNION ALL SELECT repo, pr_number, dst, count(*), FALSE FROM package_edges GROUP BY ALL"""),
+    "resolved_edges": sql("""s AS MATERIALIZED (SELECT 'org/resolved' AS repo, CAST(s_nationkey % 5 AS BIGINT) AS pr_number, s_nationkey AS nation,
+        concat('app.n', s_nationkey, '.s_', s_suppkey) AS module, lead(module) OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) AS following FROM supplier)""",
+        select="""SELECT repo, pr_number, module AS src, following AS dst, TRUE AS is_project FROM s WHERE following IS NOT NULL
+        UNION ALL SELECT repo, pr_number, module, 'app.n' || nation || '.__init__', TRUE FROM s WHERE nation % 2 = 0
+        UNION ALL SELECT repo, pr_number, module, 'app.n' || nation, FALSE FROM s WHERE nation % 2 = 1"""),
     "priority_scores": sql(*RANKED, select="SELECT * FROM scores"),
     "review_queue": sql(*RANKED, QUEUE, select="SELECT repo, pr_number, filename, rank, score FROM queue"),
     "queue_next": sql(*RANKED, QUEUE, select="SELECT repo, pr_number, filename, score FROM queue WHERE rank = 1"),
@@ -284,6 +289,19 @@ ORACLES: dict[str, str] = {
         FROM plan p JOIN summary s USING (repo, pr_number, filename) JOIN code c USING (repo, pr_number, filename) WHERE p.action = 'review' AND length(c.code) <= 50000"""),
     "review_cost": sql(DOCS, select="""SELECT repo, pr_number, filename, n_chars // 4 + 500 AS input_tokens, 800 AS output_tokens,
         round((n_chars // 4 + 500) * 0.8e0 / 1e6 + 0.0032e0, 6) AS cost_usd FROM docs"""),
+    "review_spend": sql(DOCS, select="""SELECT repo, pr_number, CASE WHEN grouping(pr_number) = 0 THEN 'change' WHEN grouping(repo) = 0 THEN 'repository' ELSE 'all' END AS level,
+        count(*) AS n_files, CAST(sum(n_chars // 4 + 500) AS BIGINT) AS input_tokens, CAST(count(*) * 800 AS BIGINT) AS output_tokens,
+        CAST(sum(CAST(round((n_chars // 4 + 500) * 0.8e0 / 1e6 + 0.0032e0, 6) AS DECIMAL(18, 6))) AS DOUBLE) AS cost_usd
+        FROM docs GROUP BY GROUPING SETS ((repo, pr_number), (repo), ())"""),
+    "review_retries": sql(DOCS, ENTRIES, """split AS MATERIALIZED (SELECT d.*, coalesce(review <> 'stale', FALSE) AS is_cached FROM docs d LEFT JOIN doc_cache USING (content_hash))""",
+        PLAN, """short AS MATERIALIZED (SELECT *, n_chars <= 50000 AS sent, pr_number % 3 = 0 AND n_chars <= 50000 AS good FROM plan),
+        firsts AS MATERIALIZED (SELECT content_hash, min(nth) AS nth, min_by(pr_number, nth) AS doc FROM short WHERE NOT is_cached AND (good OR NOT sent) GROUP BY 1)""",
+        select="""SELECT p.repo, p.pr_number, p.filename, p.action, CASE WHEN asked THEN CAST(p.nth AS INT) END AS round,
+        CASE WHEN p.nth >= f.nth AND NOT p.is_cached THEN CASE WHEN sent THEN 'ok' ELSE 'oversize' END END AS error_kind,
+        CASE WHEN p.nth >= f.nth AND NOT p.is_cached THEN 'doc_' || f.doc || '.py' END AS reported_filename,
+        CASE WHEN p.nth >= f.nth AND NOT p.is_cached THEN CASE WHEN sent THEN CAST(f.doc % 11 AS INT) ELSE 0 END END AS overall_score
+        FROM (SELECT *, NOT is_cached AND sent AND nth <= coalesce((SELECT nth FROM firsts x WHERE x.content_hash = short.content_hash), nth) AS asked FROM short) p
+        LEFT JOIN firsts f USING (content_hash)"""),
     "review_ingest": sql(LI, INGESTED, ISSUE_LISTS, select="""SELECT repo, pr_number, filename, error_kind,
         CASE WHEN error_kind = 'ok' THEN filename END AS reported_filename,
         CASE WHEN kind = 99 THEN o_orderpriority WHEN kind = 4 THEN '' END AS summary, score AS overall_score,

@@ -13,11 +13,12 @@ from changelens.functions.review_json import SEVERITIES
 from changelens.functions.signature import hmac_sha256
 from changelens.operators import cached_work, code_facts, comments, cycles, import_graph, ranking, reach, reviews
 from changelens.operators.code_facts import FILE
+from changelens.plans.asking import ask_until_done
 from changelens.plans.review import error_log, pr_status
 from changelens.sources import snapshots
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
 from changelens.sources.sinks import publish
-from changelens.storage import new_path
+from changelens.storage import new_path, written
 from changelens.streaming import webhooks
 from workload import fixtures
 from workload.inputs import SECRET, Inputs
@@ -226,6 +227,13 @@ def package_impact_sets(t: Inputs) -> DataFrame:
     return reach.impact(t.packages.nodes, t.packages.folded)
 
 
+@query
+def resolved_edges(t: Inputs) -> DataFrame:
+    """Imports resolved to files, and names that no file fits."""
+    files = import_graph.graph_files(written(code_facts.code_facts(fixtures.resolvable_files(t.spark, t.sf_dir)), "resolvable-facts"))
+    return import_graph.resolved_edges(import_graph.edges(files), import_graph.modules(files))
+
+
 # The same on a denser graph with few, large changes
 
 
@@ -401,6 +409,22 @@ def review_cost(t: Inputs) -> DataFrame:
     return reviews.review_costs(t.document_files)
 
 
+@query
+def review_spend(t: Inputs) -> DataFrame:
+    """Cost of all documents, by change, by repository and in all."""
+    return reviews.review_spend(reviews.review_costs(t.document_files))
+
+
+@query
+def review_retries(t: Inputs) -> DataFrame:
+    """All documents reviewed, copies once; where the answer for one is no review, the next copy is asked for."""
+    plan = written(cached_work.review_plan(t.document_files, t.document_cache), "plan")
+    answers = fixtures.document_answers(t.spark, t.sf_dir)
+    done = ask_until_done(plan, lambda files, _: answers.join(files.select(*FILE), FILE, "left_semi"))
+    found = done.reviews.select(*FILE, "error_kind", "reported_filename", "overall_score")
+    return plan.select(*FILE, "action").join(done.asked.select(*FILE, "round"), FILE, "left").join(found, FILE, "left")
+
+
 @query
 def review_ingest(t: Inputs) -> DataFrame:
     return t.ingested.select(
