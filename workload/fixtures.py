@@ -53,6 +53,17 @@ WEBHOOK_EVENTS = """SELECT event_id, ts,
   CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'sha256=bad' ELSE 'valid' END AS sig_kind
 FROM events"""
 
+# Deliveries of the events in five parts: each event in its part, one in seven twice, one in eleven again in the next part, one
+# in seventeen only in the next part and one in thirteen only two parts later.
+DELIVERIES_IN_PARTS = """WITH parts AS (SELECT event_id, ts, event_type AS event, concat('org/repo_', user_id % 10) AS repo,
+    CAST(floor(event_id * 5 / (SELECT max(event_id) + 1 FROM events)) AS INT) AS part FROM events),
+  first_delivery AS (SELECT event_id, ts, repo, event, CASE WHEN event_id % 17 = 3 THEN part + 1 WHEN event_id % 13 = 5 THEN part + 2 ELSE part END AS part FROM parts)
+SELECT event_id, ts, repo, event, part FROM first_delivery
+UNION ALL SELECT event_id, ts, repo, event, part FROM first_delivery WHERE event_id % 7 = 0
+UNION ALL SELECT event_id, ts, repo, event, part + 1 FROM first_delivery WHERE event_id % 11 = 0"""
+#: Parts from the first delivery to the last.
+PARTS = 8
+
 SEVERITY = "CASE l_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END"
 
 REVIEW_ISSUES = f"""SELECT {FILE_KEY}, CAST(k AS INT) AS line, {SEVERITY} AS severity,
@@ -289,3 +300,8 @@ def resolvable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return spark.sql(DOCUMENT_ANSWERS)
+
+
+def deliveries_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(DELIVERIES_IN_PARTS).withColumn("ts", F.col("ts").cast("timestamp"))

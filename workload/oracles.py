@@ -7,7 +7,7 @@ reads code: functions, lines, imports, edges and cycles are computed from orders
 from __future__ import annotations
 
 from workload.fixtures import (
-    CHORDED_EDGES, DELIVERIES, FILE_KEY, FILE_SOURCE, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
+    CHORDED_EDGES, DELIVERIES, DELIVERIES_IN_PARTS, FILE_KEY, FILE_SOURCE, FUNCTION_SOURCE, ISSUE_JSON, LABELLED_ENTRIES, LAYERED_EDGES, LINES,
     MODEL_RESPONSES, ORDERED, OTHER_ENTRIES, POSTING_ERRORS, PR_FILE_EVENTS, REVIEW_ISSUES, REVIEWS, SEVERITY, WEBHOOK_EVENTS,
 )
 
@@ -346,6 +346,15 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT p.repo, p.pr_number, 5, p.filename, 'Review error in ' || p.filename || ': list' FROM plan p LEFT JOIN firsts USING (content_hash)
         SEMI JOIN (SELECT filename FROM ingested WHERE error_kind = 'not_object') i USING (filename) WHERE NOT is_cached AND (first_nth IS NULL OR nth < first_nth)
         UNION ALL SELECT repo, pr_number, 6, NULL, 'Comment posting error: ' || message FROM ({POSTING_ERRORS}) SEMI JOIN done USING (repo, pr_number)"""),
+    # The watermark of a part is the latest time in the parts before it, in milliseconds, less two hours; later rows do not count,
+    # and hours count that are over at the last one.
+    "events_hourly": f"""WITH d AS MATERIALIZED ({DELIVERIES_IN_PARTS}),
+        latest AS (SELECT part, max(ts) AS ts FROM d GROUP BY part),
+        mark AS MATERIALIZED (SELECT p.part, date_trunc('millisecond', max(l.ts)) - INTERVAL 2 HOUR AS watermark
+          FROM range(9) AS p(part) LEFT JOIN latest l ON l.part < p.part GROUP BY p.part),
+        seen AS (SELECT DISTINCT event_id, d.ts, repo, event FROM d JOIN mark m ON m.part = d.part WHERE m.watermark IS NULL OR d.ts > m.watermark)
+        SELECT repo, event, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, count(*) AS n_events FROM seen
+        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT watermark FROM mark WHERE part = 8) GROUP BY ALL""",
     "stream_summaries": sql(*SNAP_RANKED, CODE, INGESTED, "hashes AS (SELECT '' AS content_hash)", QUEUE, EVENTS,
         SPLIT.replace("JOIN code c", "SEMI JOIN (SELECT * FROM routes WHERE route = 'process') r USING (repo, pr_number) JOIN code c"),
         *DONE, select=SUMMARY_TEXT.format(reviewed="counted")),

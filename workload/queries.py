@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelens import KEY
 from changelens.functions import names
@@ -17,9 +18,9 @@ from changelens.plans.asking import ask_until_done
 from changelens.plans.review import error_log, pr_status
 from changelens.sources import snapshots
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
-from changelens.sources.sinks import publish
+from changelens.sources.sinks import BatchOutput, publish
 from changelens.storage import new_path, written
-from changelens.streaming import webhooks
+from changelens.streaming import hourly, webhooks
 from workload import fixtures
 from workload.inputs import SECRET, Inputs
 
@@ -563,6 +564,21 @@ def _streamed(t: Inputs) -> str:
     return out
 
 
+@query
+def events_hourly(t: Inputs) -> DataFrame:
+    """Events an hour from a stream that is started anew for each part of the deliveries."""
+    parts = written(fixtures.deliveries_in_parts(t.spark, t.sf_dir), "deliveries")
+    root = new_path(t.spark, "hourly")
+    output = BatchOutput.create(t.spark, f"{root}/out")
+    arriving = parts.drop("part")
+    for part in range(fixtures.PARTS):
+        parts.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(arriving.schema).parquet(f"{root}/in")
+        hourly.start_counts(stream, output, f"{root}/checkpoint").awaitTermination()
+    found = output.rows(T.StructType.fromDDL(hourly.COUNTS))
+    return found.select("repo", "event", F.unix_timestamp("hour").alias("hour"), "n_events")
+
+
 @query
 def stream_pr_status(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(f"{_streamed(t)}/status").drop("batch")
