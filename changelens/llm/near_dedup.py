@@ -28,7 +28,7 @@ are read whole. Other columns are not used, whatever their names. An empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm import texts
-from changelens.llm.components import Sets, clusters, linked
+from changelens.llm.components import clusters, linked
 from changelens.skew import hot_keys, salted_join
 from changelens.storage import written
 
@@ -48,6 +48,8 @@ PERCENT = 85
 SKETCH = 128
 #: Chance that two linked sets of any size have fewer common values in their sketches than is asked for.
 LOSS = 1e-15
+#: Words of 64 bits that mark the texts of which full sets are needed.
+MARK_WORDS = 1 << 18
 #: Bytes of text that are cut into shingles together.
 CHUNK_BYTES = 4 << 20
 
@@ -151,81 +153,112 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 class _Lists:
-    """Inverted lists of the rows' values, to compare one row with all others at once."""
+    """Inverted lists of the rows' ascending values, to compare one row with many others at once."""
 
     def __init__(self, values: list[np.ndarray]) -> None:
-        self.n = len(values)
-        self.at = np.concatenate([[0], np.cumsum([len(v) for v in values])])
-        _, self.key = np.unique(np.concatenate(values), return_inverse=True)
-        self.owner = np.repeat(np.arange(self.n), np.diff(self.at))[np.argsort(self.key, kind="stable")]
-        self.ends = np.cumsum(np.bincount(self.key))
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-
-    def common(self, x: int) -> np.ndarray:
-        """Number of values that each row has in common with row ``x``."""
+        self.sizes = np.array([len(v) for v in values])
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        distinct, self.key = np.unique(np.concatenate(values), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(values)), self.sizes)[np.argsort(self.key, kind="stable")]
+        self.holders = np.bincount(self.key)
+        self.starts = np.cumsum(self.holders) - self.holders
+        self.place = np.full(len(distinct), -1)  # of a value in the row that is compared
+
+    def near(self, x: int, least: int, others: np.ndarray) -> np.ndarray:
+        """The rows marked in ``others`` that have ``least`` values in common with row ``x``. All have one of its rarest, of
+        which there is one more than may be missing, so the other lists are read only if a marked row is in one of those."""
         own = self.key[self.at[x] : self.at[x + 1]]
-        return np.bincount(self.owner[texts.ragged(self.starts[own], self.ends[own] - self.starts[own])], minlength=self.n)
-
-
-def _joined(n: int, hits) -> np.ndarray:
-    """Components of rows where ``hits(x)`` are the rows that ``x`` links to."""
-    sets, seen, placed = Sets(n), np.zeros(n, bool), np.zeros(n, bool)
+        rare = own[np.argsort(self.holders[own], kind="stable")[: max(0, len(own) - least + 1)]]
+        if not others[self.owner[texts.ragged(self.starts[rare], self.holders[rare])]].any():
+            return np.empty(0, np.int64)
+        total = np.bincount(self.owner[texts.ragged(self.starts[own], self.holders[own])], minlength=len(others))
+        return np.flatnonzero(others & (total >= least))
+
+    def common(self, x: int, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many values each of the ``rows`` has in common with row ``x``, and how many of those are among the ``least``
+        least values of both together."""
+        own = self.key[self.at[x] : self.at[x + 1]]
+        self.place[own] = np.arange(len(own))
+        sizes = self.sizes[rows]
+        row = np.repeat(np.arange(len(rows)), sizes)
+        other_place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = self.place[self.key[texts.ragged(self.at[rows], sizes)]]
+        self.place[own] = -1
+        both = place >= 0
+        row, place, other_place = row[both], place[both], other_place[both]
+        total = np.bincount(row, minlength=len(rows))
+        before = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+        within = place + other_place - before < least  # the value's rank in the union of both
+        return total, np.bincount(row[within], minlength=len(rows))
+
+
+def _joined(n: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Components of rows where ``hits(x, others)`` are those of the rows marked in ``others`` that ``x`` links to.
+
+    A row is compared only with rows that are in other components by then. Stars come first: most rows of a large group
+    are found by a few of them. A link that is still missing after that has an end outside the largest component.
+    """
+    part, seen, placed = np.arange(n), np.zeros(n, bool), np.zeros(n, bool)
 
-    def compare(x: int) -> np.ndarray:
-        found = hits(x)
-        seen[x] = True
-        for y in found.tolist():
-            sets.join(x, y)
-        return found
+    def compare(x: int) -> None:
+        found = hits(x, part != part[x])
+        seen[x] = placed[x] = True
+        placed[found] = True
+        if len(found):
+            parts = np.unique(part[found])
+            part[np.isin(part, parts)] = part[x]
 
-    for x in range(n):  # stars first: most rows of a large group are found by a few of them
+    for x in range(n):
         if not placed[x]:
-            placed[compare(x)] = True
-    root = sets.roots()
-    largest = np.bincount(root).argmax()
-    for x in np.flatnonzero((root != largest) & ~seen).tolist():
-        compare(x)  # a link that is still missing has an end outside the largest component
-    return sets.roots()
+            compare(x)
+    largest = np.bincount(part).argmax()
+    for x in np.flatnonzero((part != largest) & ~seen).tolist():
+        compare(x)
+    return part
 
 
 def _estimated(table: pa.Table) -> np.ndarray:
     """Components of the rows (``size``, ``sketch``) whose sketches allow a link."""
     size = table.column("size").to_numpy()
-    sketches = [np.asarray(s, np.int64).view(texts.U64) for s in table.column("sketch").combine_chunks().to_numpy(zero_copy_only=False)]
-    lists = _Lists(sketches)
+    lists = table.column("sketch").combine_chunks()
+    values, bounds = lists.flatten().to_numpy().view(texts.U64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    inverted = _Lists([values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    least = _least_common(size)
 
-    def hits(x: int) -> np.ndarray:
-        common = lists.common(x)
-        both = np.minimum(size, size[x])
-        likely = (100 * both >= PERCENT * np.maximum(size, size[x])) & (common >= np.where(both <= SKETCH, 1, SAMPLED))
-        likely[x] = True
-        found = np.flatnonzero(likely)
-        return found[[_may_link(sketches[x], sketches[y], int(size[x]), int(size[y])) for y in found.tolist()]]
+    def hits(x: int, others: np.ndarray) -> np.ndarray:
+        alike = PERCENT * np.maximum(size, size[x]) <= 100 * np.minimum(size, size[x])
+        rows = inverted.near(x, int(least[x]), others & alike)
+        return rows[_may_link(size[x], size[rows], *inverted.common(x, rows, SKETCH))]
 
     return _joined(len(size), hits)
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
-    """Do the common values among the least of both sets allow the similarity asked for?"""
-    union = np.union1d(a, b)
-    if size_a > SKETCH or size_b > SKETCH:
-        union = union[:SKETCH]  # beyond these a value may be missing in a sketch
-    both = len(np.intersect1d(a, b, assume_unique=True)) if len(union) < SKETCH else int(np.isin(union, a[np.isin(a, b, assume_unique=True)]).sum())
-    if size_a <= SKETCH and size_b <= SKETCH:
-        return 100 * both >= PERCENT * len(union)
+def _least_common(size: np.ndarray) -> np.ndarray:
+    """:func:`least_common` of numbers."""
+    most = 100 * size // PERCENT
+    ends = [np.minimum(u, SKETCH) - (100 - PERCENT) * u // 100 for u in (size, most)]
+    return np.maximum(np.minimum(*ends), np.where(size > SKETCH, SAMPLED, 1))
+
+
+def _may_link(size_a: int, size_b: np.ndarray, common: np.ndarray, among_least: np.ndarray) -> np.ndarray:
+    """May sets of these sizes be linked, of which so many values of the sketches are common?"""
+    whole = np.maximum(size_a, size_b) <= SKETCH  # these sketches are the sets
+    exact = 100 * common >= PERCENT * (size_a + size_b - common)
     # of a union of at most u values, at most 15 % are in one set alone
-    u = 100 * min(size_a, size_b) // PERCENT
-    return both >= max(SAMPLED, len(union) - (100 - PERCENT) * u // 100)
+    u = 100 * np.minimum(size_a, size_b) // PERCENT
+    estimate = among_least >= np.maximum(SAMPLED, SKETCH - (100 - PERCENT) * u // 100)
+    return (common > 0) & np.where(whole, exact, estimate)
 
 
 def _verified(table: pa.Table) -> np.ndarray:
     """Components of the exact links among the rows (``size``, ``keys``)."""
     size = table.column("size").to_numpy()
-    lists = _Lists([np.frombuffer(b, texts.U64) for b in table.column("keys").to_pylist()])
+    inverted = _Lists([np.frombuffer(b, texts.U64) for b in table.column("keys").to_pylist()])
 
-    def hits(x: int) -> np.ndarray:
-        common = lists.common(x)
-        return np.flatnonzero(100 * common >= PERCENT * (size + size[x] - common))
+    def hits(x: int, others: np.ndarray) -> np.ndarray:
+        rows = inverted.near(x, -(-PERCENT * int(size[x]) // 100), others)
+        common, _ = inverted.common(x, rows, 0)
+        return rows[100 * common >= PERCENT * (size[rows] + size[x] - common)]
 
     return _joined(len(size), hits)
 
@@ -259,6 +292,17 @@ def candidates(sketches: DataFrame, own: DataFrame) -> DataFrame:
     return unique.join(clusters(index), "node")
 
 
+def _marked(source: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``source`` whose ``h`` has its bit among those of ``needed``, so that few other texts are shuffled. The
+    bits are at most ``MARK_WORDS`` rows of 64, which is the bound of what is broadcast."""
+    word = F.pmod(F.col("h"), F.lit(MARK_WORDS)).alias("word")
+    bit = F.shiftright("h", 40).bitwiseAND(63).cast("int")
+    set_ = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    marks = needed.groupBy(word).agg(F.bit_or(set_(bit)).alias("marks"))
+    joined = source.withColumn("word", word).join(F.broadcast(marks), "word")
+    return joined.filter(F.col("marks").bitwiseAND(set_(bit)) != 0).drop("word", "marks")
+
+
 def components_of(docs: DataFrame, sketches: DataFrame, own: DataFrame) -> DataFrame:
     """``node`` and ``root``, one node for all that are linked, of nodes that have candidates."""
     near = written(candidates(sketches, own), "candidates")
@@ -268,7 +312,7 @@ def components_of(docs: DataFrame, sketches: DataFrame, own: DataFrame) -> DataF
     large = written(likely.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "groups")
     some = likely.join(large, "root")
     texts_of = written(own.join(some, "node").select("node", "root", "stands.*"), "stand-for")
-    source = _source(docs).select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text")
+    source = _marked(_source(docs), texts_of).select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "text")
     found = source.join(texts_of.select("unnamed", "id", "h", "node"), ["unnamed", "id", "h"]).select("node", "text")
     full = written(found.mapInArrow(_full_sets, "node LONG, size LONG, keys BINARY"), "full-sets")
     return linked(full, texts_of.select("node", "root"), "size", ["size", "keys"], _verified)
