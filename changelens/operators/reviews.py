@@ -28,8 +28,8 @@ TOO_LARGE = "File too large for review (>50k chars)"
 FAILED = "Review failed: "
 BAD_SCHEMA = "Invalid schema: "
 
-REVIEW_DDL = """error_kind STRING, error_detail STRING, filename STRING, summary STRING, overall_score INT,
-    issues ARRAY<STRUCT<line: LONG, severity: STRING, category: STRING, message: STRING, suggestion: STRING>>"""
+ISSUES = "ARRAY<STRUCT<line: LONG, severity: STRING, category: STRING, message: STRING, suggestion: STRING>>"
+REVIEW_DDL = f"error_kind STRING, error_detail STRING, filename STRING, summary STRING, overall_score INT, issues {ISSUES}"
 
 #: Wording of a request; callers may pass their own. Placeholders are columns of the request row.
 REQUEST_TEMPLATE = """File {filename}: {n_functions} functions, {n_classes} classes, average complexity {avg_complexity}.

@@ -15,8 +15,9 @@ from changelens.operators.reach import Ancestry, ancestry, module_reach
 from changelens.plans.change_reviews import ChangeReviews
 from changelens.plans.review import ImportGraphs, files_of, priority_scores, with_lines_changed
 from changelens.sources.review_cache import cache_rows, latest
+from changelens.sources.sinks import publish
 from changelens.sources.snapshots import pr_file_snapshot
-from changelens.storage import written
+from changelens.storage import new_path, written
 from workload import fixtures
 
 SECRET = b"webhook-secret"
@@ -27,6 +28,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, object] = {}  # what a stream has written for several queries
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
@@ -48,6 +50,24 @@ class Inputs:
     def responses(self) -> DataFrame:
         return self._file_table(fixtures.model_responses(self.spark, self.sf_dir), "responses")
 
+    def _by_repository(self, table: DataFrame, label: str) -> DataFrame:
+        """A table laid out by repository, as streams read it."""
+        path = new_path(self.spark, label)
+        publish(table, path)
+        return self.spark.read.schema(table.schema).parquet(path)
+
+    @cached_property
+    def file_events_by_repository(self) -> DataFrame:
+        return self._by_repository(self.file_events, "file-events")
+
+    @cached_property
+    def files_by_repository(self) -> DataFrame:
+        return self._by_repository(self.source_files, "files")
+
+    @cached_property
+    def responses_by_repository(self) -> DataFrame:
+        return self._by_repository(self.responses, "answers")
+
     @cached_property
     def file_events(self) -> DataFrame:
         return fixtures.pr_file_events(self.spark, self.sf_dir)

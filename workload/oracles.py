@@ -364,3 +364,26 @@ ORACLES: dict[str, str] = {
         select=STATUS.format(extra="coalesce(x.n, 0)") + """
 LEFT JOIN (SELECT repo, pr_number, count(*) AS n FROM due SEMI JOIN (SELECT * FROM ingested WHERE error_kind = 'not_object') i USING (repo, pr_number, filename) GROUP BY ALL) x USING (repo, pr_number)"""),
 }
+
+# Reviews by event: a content is in the cache from the first event on whose change has a queued file of it with a review.
+BY_EVENT = [
+    *SNAP_RANKED, CODE, INGESTED, "hashes AS (SELECT '' AS content_hash)", QUEUE, SPLIT, EVENTS,
+    "due AS MATERIALIZED (SELECT event_id, repo, pr_number, row_number() OVER (PARTITION BY repo, pr_number ORDER BY ts, event_id) AS run FROM routes WHERE route = 'process')",
+    """runs AS MATERIALIZED (SELECT d.event_id, s.*, i.error_kind, i.kind, i.o_orderkey, i.o_orderpriority, i.score,
+        d.event_id * 10 + s.rank AS place FROM due d JOIN split s USING (repo, pr_number) JOIN ingested i USING (repo, pr_number, filename))""",
+    """firsts AS MATERIALIZED (SELECT content_hash, min(place) AS first_place, min_by(filename, place) AS source FROM runs
+        WHERE error_kind <> 'not_object' GROUP BY 1)""",
+    """placed AS MATERIALIZED (SELECT r.*, f.first_place, f.source, coalesce(f.first_place // 10 < r.event_id, FALSE) AS found,
+        error_kind = 'not_object' AND (f.first_place IS NULL OR place < f.first_place) AS refused FROM runs r LEFT JOIN firsts f USING (content_hash))""",
+]
+ORACLES |= {
+    "event_status": sql(*BY_EVENT, select="""SELECT d.event_id, d.repo, d.pr_number, d.run,
+        CASE WHEN coalesce(a.n, 0) > 0 THEN 'processed' ELSE 'no_python_files' END AS status, coalesce(a.n, 0) AS files_analyzed,
+        coalesce(w.todo, 0) AS files_to_review, coalesce(w.found, 0) AS cached, coalesce(a.broken, 0) + coalesce(w.refused, 0) AS errors
+        FROM due d LEFT JOIN (SELECT repo, pr_number, count(*) AS n, count(*) FILTER (broken) AS broken FROM f GROUP BY ALL) a USING (repo, pr_number)
+        LEFT JOIN (SELECT event_id, count(*) FILTER (NOT found) AS todo, count(*) FILTER (found) AS found, count(*) FILTER (refused) AS refused FROM placed GROUP BY 1) w USING (event_id)"""),
+    "event_review_scores": sql(*BY_EVENT, GIVEN, select="""SELECT p.event_id, p.repo, p.pr_number, p.filename, p.rank, g.filename AS reported_filename,
+        g.summary, g.overall_score, CAST(CASE WHEN g.kind = 99 THEN coalesce(n, 0) ELSE 0 END AS INT) AS n_issues
+        FROM placed p JOIN given g ON g.filename = p.source LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM li GROUP BY 1) ON l_orderkey = g.listed
+        WHERE p.place >= p.first_place"""),
+}

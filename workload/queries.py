@@ -20,7 +20,7 @@ from changelens.sources import snapshots
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
 from changelens.sources.sinks import BatchOutput, publish
 from changelens.storage import new_path, written
-from changelens.streaming import hourly, webhooks
+from changelens.streaming import event_reviews, hourly, webhooks
 from workload import fixtures
 from workload.inputs import SECRET, Inputs
 
@@ -587,3 +587,44 @@ def stream_pr_status(t: Inputs) -> DataFrame:
 @query
 def stream_summaries(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(f"{_streamed(t)}/summaries").drop("batch")
+
+
+#: Parts in which the events arrive, one micro-batch each.
+EVENT_PARTS = 4
+
+
+def _reviewed_by_event(t: Inputs) -> event_reviews.EventReviews:
+    """The event table as a stream of several parts; every event is a review of its own."""
+    if (made := t.made.get("event-reviews")) is not None:
+        return made
+    events = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    root = new_path(t.spark, "event-stream")
+    files, contents, answers = t.file_events_by_repository, t.files_by_repository, t.responses_by_repository
+    review = event_reviews.EventReviews(
+        file_events=lambda: files, contents=lambda: contents, answers=lambda: answers, cache=ReviewCache.create(t.spark, f"{root}/cache"),
+        status=BatchOutput.create(t.spark, f"{root}/status"), reviews=BatchOutput.create(t.spark, f"{root}/reviews"),
+    )
+    last = events.agg(F.max("event_id")).first()[0]
+    part = F.floor(F.col("event_id") * EVENT_PARTS / (last + 1))
+    for n in range(EVENT_PARTS):
+        events.filter(part == n).write.mode("append").parquet(f"{root}/in")
+        raw = t.spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        signed = fixtures.webhook_events(raw, F.concat(F.lit("sha256="), hmac_sha256(SECRET, F.col("body"))))
+        event_reviews.start(signed, SECRET, review, f"{root}/checkpoint").awaitTermination()
+    t.made["event-reviews"] = review
+    return review
+
+
+@query
+def event_status(t: Inputs) -> DataFrame:
+    """Status of every review that an event started."""
+    found = _reviewed_by_event(t).status.rows(T.StructType.fromDDL(event_reviews.STATUS))
+    return found.drop("batch", "ts")
+
+
+@query
+def event_review_scores(t: Inputs) -> DataFrame:
+    """The reviews that each event ended with."""
+    schema = T.StructType.fromDDL(event_reviews.REVIEWS)
+    return _reviewed_by_event(t).reviews.rows(schema).select(
+        "event_id", *FILE, "rank", "reported_filename", "summary", "overall_score", F.size("issues").alias("n_issues"))
