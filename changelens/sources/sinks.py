@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changelens.storage import written, written_counting
+from changelens.storage import written
 
 #: Rows of one repository in a file of a stream's output.
 FILE_ROWS = 500_000
@@ -54,14 +54,12 @@ class BatchOutput:
         if not self.batches().filter(F.col("batch") == batch).isEmpty():
             return False
         rows = written(table, "to-publish")
-        files = rows.groupBy("repo").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))
-        files, seen = written_counting(files, "repository-files", rows=F.lit(True))
-        if seen["rows"]:
-            hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns)).join(files, "repo")
-            placed = hashed.withColumn("_file", F.pmod("_hash", F.col("_files")))
-            dealt = placed.repartition(files.agg(F.sum("_files")).first()[0], "repo", "_file").sortWithinPartitions("repo", "_file", "_hash")
-            writer = dealt.select(*rows.columns).write.mode("overwrite").option("maxRecordsPerFile", 2 * FILE_ROWS)
-            writer.partitionBy("repo").parquet(f"{self.root}/data/batch={batch}")
+        files = written(rows.groupBy("repo").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files")), "repository-files")
+        n_files = files.agg(F.sum("_files")).first()[0] or 1  # a batch without rows has an empty folder
+        placed = rows.withColumn("_hash", F.xxhash64(*rows.columns)).join(files, "repo").withColumn("_file", F.pmod("_hash", F.col("_files")))
+        dealt = placed.repartition(n_files, "repo", "_file").sortWithinPartitions("repo", "_file", "_hash")
+        writer = dealt.select(*rows.columns).write.mode("overwrite").option("maxRecordsPerFile", 2 * FILE_ROWS)
+        writer.partitionBy("repo").parquet(f"{self.root}/data/batch={batch}")
         self._mark(batch)
         return True
 

@@ -280,6 +280,18 @@ def test_nodes_include_names_that_are_no_file(change):
     assert (stats.total_files, stats.total_imports) == (3, 1)
 
 
+def test_imports_resolved_to_files(change):
+    graph = _graph(change, {
+        "pkg/__init__.py": "import pkg.a", "pkg/a.py": "import pkg, pkg.b.deep.er, pkg.gone, pkg.a.own", "pkg/b.py": "from pkg.sub import x",
+        "pkg/sub/c.py": "import pkg.b, pkg.b.one, pkg.b.two", "top.py": "import pkg.sub.c.f, os",
+    })
+    found = import_graph.resolved_edges(graph.edges, import_graph.modules(graph.files)).collect()
+    assert {(e.src, e.dst, e.is_project) for e in found} == {
+        ("pkg.__init__", "pkg.a", True), ("pkg.a", "pkg.__init__", True), ("pkg.a", "pkg.b", True), ("pkg.b", "pkg.__init__", True),
+        ("pkg.sub.c", "pkg.b", True), ("top", "pkg.sub.c", True)}
+    assert len(found) == 6
+
+
 def test_external_relative_and_broken_imports(change):
     graph = _graph(change, {
         "a.py": "import os, sys\nfrom . import c\nfrom .m import x\nfrom b import y\nimport a",

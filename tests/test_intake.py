@@ -11,11 +11,11 @@ from changelens.functions.signature import hmac_sha256, signature_accepted
 from changelens.operators import import_graph, reach
 from changelens.operators.code_facts import code_facts
 from changelens.plans.review import ImportGraphs
-from changelens.sources import snapshots
+from changelens.sources import sinks, snapshots
 from changelens.sources.review_cache import ReviewCache
 from changelens.sources.tree import read_tree, tree_files
 from changelens.storage import written
-from changelens.streaming import webhooks
+from changelens.streaming import event_reviews, hourly, webhooks
 
 
 def test_tree(spark, tmp_path):
@@ -130,3 +130,87 @@ def test_stream(spark, tmp_path):
     assert [json.loads(r.review)["filename"] for r in review.cache.entries().collect()] == ["a.py"]
     assert run("new-checkpoint") == first  # all batches once more
     assert review.cache.entries().count() == 1
+
+
+def test_published_batches(spark, tmp_path, monkeypatch):
+    """A batch is published once; one that broke off is written anew; large repositories have several files."""
+    monkeypatch.setattr(sinks, "FILE_ROWS", 40)
+    output = sinks.BatchOutput.create(spark, str(tmp_path / "out"))
+    rows = spark.range(400).selectExpr("concat('org/', CASE WHEN id < 300 THEN 'hot' ELSE concat('r', id % 4) END) AS repo", "id").repartition(16)
+    assert output.rows(rows.schema).collect() == []
+    assert output.publish(rows, 0)
+    files = sorted(tmp_path.glob("out/data/batch=0/*/*.parquet"))
+    assert len(files) <= 8 + 4
+    assert not output.publish(rows.limit(3), 0)  # a replay
+    assert sorted(tmp_path.glob("out/data/batch=0/*/*.parquet")) == files
+    broken = tmp_path / "out/data/batch=1/repo=org%2Fhot"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(files[0].read_bytes())
+    assert output.rows(rows.schema).count() == 400  # no mark, not there
+    assert output.publish(rows.filter("id < 5"), 1)
+    assert output.publish(rows.limit(0), 2)
+    got = sorted((r.batch, r.repo, r.id) for r in output.rows(rows.schema).collect())
+    assert got == sorted([(0, r.repo, r.id) for r in rows.collect()] + [(1, "org/hot", i) for i in range(5)])
+
+
+def test_hourly_counts(spark, tmp_path):
+    """Repeated deliveries count once, late ones not at all, and hours come when they are over."""
+    schema = "event_id LONG, ts TIMESTAMP, repo STRING, event STRING"
+    parts = [
+        [(1, "10:05", "a"), (2, "10:40", "a"), (2, "10:40", "a"), (3, "11:30", "b")],
+        [(3, "11:30", "b"), (4, "10:50", "a"), (5, "15:10", "a")],  # 4 is late, but by less than two hours
+        [(6, "11:00", "a"), (7, "13:20", "a"), (5, "15:10", "a"), (8, "18:00", "b")],  # 6 is too late
+    ]
+    output = sinks.BatchOutput.create(spark, str(tmp_path / "out"))
+    seen = []
+    for part in parts:
+        rows = [(n, f"2024-03-01 {at}:00", repo, "push") for n, at, repo in part]
+        spark.createDataFrame(rows, "event_id LONG, ts STRING, repo STRING, event STRING").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        hourly.start_counts(stream, output, str(tmp_path / "checkpoint")).awaitTermination()
+        found = output.rows(spark.createDataFrame([], hourly.COUNTS).schema).collect()
+        seen.append(sorted((r.repo, r.hour.strftime("%H"), r.n_events) for r in found))
+    assert seen == [[], [("a", "10", 3), ("b", "11", 1)], [("a", "10", 3), ("a", "13", 1), ("a", "15", 1), ("b", "11", 1)]]
+
+
+@pytest.mark.parametrize("cuts", [[8], [1, 4, 8]])
+def test_reviews_by_event_do_not_depend_on_the_batches(spark, tmp_path, capsys, cuts):
+    """Every event is a review that finds what earlier events left in the cache, of other changes too."""
+    same, other, wrong = "def twice(n):\n    return 2 * n\n", "x = 1\n", "y = 2\n"
+    files = [(1, "a.py", same), (1, "copy.py", same), (1, "bad.py", "class (:"), (2, "z.py", same), (2, "o.py", other), (4, "w.py", wrong), (4, "w2.py", wrong), (5, "w3.py", wrong)]
+    contents = spark.createDataFrame([("org/r", *f) for f in files], "repo STRING, pr_number LONG, filename STRING, code STRING")
+    listed = contents.selectExpr("repo", "pr_number", "filename", "'added' AS status", "1 AS additions", "0 AS deletions")
+    listed = listed.union(spark.createDataFrame([("org/r", 3, "README.md", "added", 1, 0)], listed.schema))
+    no_review = "pr_number = 4 AND filename = 'w.py'"
+    answers = contents.selectExpr("repo", "pr_number", "filename", f"""CASE WHEN {no_review} THEN '[]' ELSE concat('{{"filename": "', filename, '"}}') END AS response""")
+    tables = {}
+    for name, table in (("listed", listed), ("contents", contents), ("answers", answers)):
+        sinks.publish(table, str(tmp_path / name))
+        tables[name] = spark.read.schema(table.schema).parquet(str(tmp_path / name))
+    output = {name: sinks.BatchOutput.create(spark, str(tmp_path / name)) for name in ("status", "reviews")}
+    review = event_reviews.EventReviews(
+        lambda: tables["listed"], lambda: tables["contents"], lambda: tables["answers"], ReviewCache.create(spark, str(tmp_path / "cache")), **output)
+    schema = "event_id LONG, ts TIMESTAMP, event STRING, body STRING, signature STRING"
+    prs = [2, 1, 1, 3, 2, 4, 5, 4]
+    rows = [(n, f"2024-03-01 00:0{n}:00", *_event("pull_request", _change("opened", pr, "org/r"))) for n, pr in enumerate(prs)]
+    begin = 0
+    for end in cuts:
+        part = spark.createDataFrame(rows[begin:end], schema.replace("TIMESTAMP", "STRING")).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        event_reviews.start(stream, b"s", review, str(tmp_path / "checkpoint")).awaitTermination()
+        begin = end
+    status = output["status"].rows(spark.createDataFrame([], event_reviews.STATUS).schema).collect()
+    got = {r.event_id: (r.pr_number, r.run, r.status, r.files_analyzed, r.files_to_review, r.cached, r.errors) for r in status}
+    done = "processed"
+    assert got == {
+        0: (2, 1, done, 2, 2, 0, 0), 1: (1, 1, done, 3, 0, 2, 1), 2: (1, 2, done, 3, 0, 2, 1), 3: (3, 1, "no_python_files", 0, 0, 0, 0),
+        4: (2, 2, done, 2, 0, 2, 0), 5: (4, 1, done, 2, 2, 0, 1), 6: (5, 1, done, 1, 0, 1, 0), 7: (4, 2, done, 2, 0, 2, 0),
+    }
+    given = output["reviews"].rows(spark.createDataFrame([], event_reviews.REVIEWS).schema).collect()
+    assert {(r.event_id, r.filename): r.reported_filename for r in given} == {
+        (0, "z.py"): "z.py", (0, "o.py"): "o.py", (1, "a.py"): "z.py", (1, "copy.py"): "z.py", (2, "a.py"): "z.py", (2, "copy.py"): "z.py",
+        (4, "z.py"): "z.py", (4, "o.py"): "o.py", (5, "w2.py"): "w2.py", (6, "w3.py"): "w2.py", (7, "w.py"): "w2.py", (7, "w2.py"): "w2.py"}
+    capsys.readouterr()
+    event_reviews.of_repositories(tables["contents"], ["org/r", "org/s"]).explain("formatted")
+    assert "PartitionFilters: [repo#" in capsys.readouterr().out

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from changelens.functions.review_json import read_review
 from changelens.functions.scoring import cost_usd, input_tokens
-from changelens.operators import comments, reviews
+from changelens.operators import cached_work, comments, reviews
 from changelens.operators.code_facts import code_facts
+from changelens.plans.asking import ask_until_done
 from changelens.plans.change_reviews import ChangeReviews
 from changelens.sources.sinks import publish
 
@@ -186,3 +187,32 @@ def test_reviews_of_changes(spark, change):
     assert {(r.pr_number, r.total_issues, r.n_files) for r in done.totals().collect()} == {(1, 1, 2), (2, 4, 3), (3, 0, 1)}
     assert done.comments().count() == 5 and {r.pr_number for r in done.summaries().collect()} == {1, 2, 3}
     assert done.retries().count() == 0  # the only file with the last list's content was asked
+
+
+def test_asking_until_done(spark):
+    """Files with one content are asked in turn until one has a review; a file without an answer stays open."""
+    rows = [("r", 1, n, f"f{n}.py", h, 10) for n, h in enumerate("aaaabbbcd")] + [("r", 1, 20, "long.py", "e", 60_000)]
+    queue = spark.createDataFrame(rows, "repo STRING, pr_number LONG, rank INT, filename STRING, content_hash STRING, n_chars LONG")
+    cache = spark.createDataFrame([("d", '{"filename": "old.py"}', None)], "content_hash STRING, review STRING, created_at TIMESTAMP")
+    plan = cached_work.review_plan(queue, cache)
+    good, sent = {"f2.py", "f3.py"}, []
+
+    def ask(files, n):
+        asked = sorted(r.filename for r in files.collect())
+        sent.append(asked)
+        answers = [("r", 1, f, json.dumps({"filename": f} if f in good else [])) for f in [*asked, "f3.py"] if f != "f7.py"]
+        return spark.createDataFrame(answers, "repo STRING, pr_number LONG, filename STRING, response STRING")
+
+    done = ask_until_done(plan, ask)
+    assert sent == [["f0.py", "f4.py", "f7.py"], ["f1.py", "f5.py"], ["f2.py", "f6.py"]]
+    assert {(r.filename, r.round) for r in done.asked.collect()} == {(f, n + 1) for n, asked in enumerate(sent) for f in asked}
+    assert {r.filename: r.reported_filename for r in done.reviews.collect()} == {"f2.py": "f2.py", "f3.py": "f2.py", "long.py": "long.py"}
+
+
+def test_spend(spark):
+    rows = [("a", 1, "x", 100, 800, 0.1), ("a", 1, "y", 50, 800, 0.2), ("a", 2, "x", 1, 800, 0.000001), ("b", 1, "x", 7, 800, 1.0)]
+    costs = spark.createDataFrame(rows, "repo STRING, pr_number LONG, filename STRING, input_tokens LONG, output_tokens INT, cost_usd DOUBLE")
+    got = {(r.level, r.repo, r.pr_number): (r.n_files, r.input_tokens, r.output_tokens, r.cost_usd) for r in reviews.review_spend(costs).collect()}
+    assert got == {
+        ("change", "a", 1): (2, 150, 1600, 0.3), ("change", "a", 2): (1, 1, 800, 0.000001), ("change", "b", 1): (1, 7, 800, 1.0),
+        ("repository", "a", None): (3, 151, 2400, 0.300001), ("repository", "b", None): (1, 7, 800, 1.0), ("all", None, None): (4, 158, 3200, 1.300001)}
