@@ -44,6 +44,8 @@ from changelens.storage import written
 K = 10
 #: Postings that a task holds in its lists at once.
 SHARD_POSTINGS = 1_500_000
+#: Documents that are added to a shard at once.
+SHARD_STEP = 100
 #: Positions of each list that are read at first; doubled with every further reading.
 FIRST_READ = 16
 #: Bytes of query text that are searched together.
@@ -109,7 +111,7 @@ class Shard:
         place[order] = np.arange(len(order))
         self.position = place - self.lists[self.term]
 
-    def best(self, query: np.ndarray, ids: np.ndarray, floor: int, k: int, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def best(self, query: np.ndarray, ids: np.ndarray, floor: int, k: int, local: np.ndarray, first_read: int = FIRST_READ) -> tuple[np.ndarray, np.ndarray, int]:
         """(documents, scores) among which are the ``k`` best for the terms ``query``, of scores not below ``floor``, and the number
         of documents looked up. ``local`` is a spare array of -1 for each term."""
         lengths = self.lists[query + 1] - self.lists[query]
@@ -124,7 +126,7 @@ class Shard:
         known = np.zeros(len(self.at) - 1, bool)
         best_position = np.zeros(m, np.int64)  # so many positions from the top are seen without a gap
         docs, scores, looked_up = [], [], 0
-        read, upto = 0, FIRST_READ
+        read, upto = 0, first_read
         while True:
             few = np.minimum(lengths, upto) - np.minimum(lengths, read)
             new = self.listed_doc[texts.ragged(start + np.minimum(lengths, read), few)]
@@ -172,21 +174,21 @@ def _top(docs: list[np.ndarray], scores: list[np.ndarray], ids: np.ndarray, k: i
 _LAST = np.iinfo(np.int64).max
 
 
-def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs: int, n_terms: int, k: int):
+def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs: int, n_terms: int, k: int, shard_postings: int, first_read: int):
     """The ``k`` best documents of a task for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         best = {number: (none, none) for number, _ in queries}
         local = np.full(len(weights), -1, np.int64)
-        for ids, n, term, tf, at in _shards(batches):
+        for ids, n, term, tf, at in _shards(batches, shard_postings):
             m = 10 + (90 * n * n_docs) // n_terms
             impact = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, np.diff(at))))
             shard = Shard(term, impact, at, len(weights))
             for number, query in queries:
                 old_ids, old_scores = best[number]
                 floor = int(old_scores[-1]) if len(old_scores) == k else 1
-                docs, scores, _ = shard.best(query, ids, floor, k, local)
+                docs, scores, _ = shard.best(query, ids, floor, k, local, first_read)
                 some = scores >= floor
                 all_ids, all_scores = np.concatenate([old_ids, ids[docs[some]]]), np.concatenate([old_scores, scores[some]])
                 order = np.lexsort((all_ids, -all_scores))[:k]
@@ -199,8 +201,8 @@ def _searched(queries: list[tuple[int, np.ndarray]], weights: np.ndarray, n_docs
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(ids, numbers of terms, terms, occurrences, bounds) of successive documents with about ``SHARD_POSTINGS`` postings."""
+def _shards(batches: Iterator[pa.RecordBatch], shard_postings: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, numbers of terms, terms, occurrences, bounds) of successive documents with about ``shard_postings`` postings."""
     held, postings = [], 0
 
     def joined() -> tuple[np.ndarray, ...]:
@@ -212,11 +214,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
         return ids, table.column("n").to_numpy(), lists.flatten().to_numpy().astype(np.int64), tf, at - at[0]
 
     for batch in batches:
-        for row in range(0, batch.num_rows, 500):
-            piece = batch.slice(row, 500)
+        for row in range(0, batch.num_rows, SHARD_STEP):
+            piece = batch.slice(row, SHARD_STEP)
             held.append(piece)
             postings += int(pc.sum(pc.list_value_length(piece.column("terms"))).as_py() or 0)
-            if postings >= SHARD_POSTINGS:
+            if postings >= shard_postings:
                 yield joined()
                 held, postings = [], 0
     if held:
@@ -237,7 +239,7 @@ def _block(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int) -> Dat
     for term, df in held.collect():
         weights[term] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
     with_terms = posted.filter(F.size("terms") > 0)
-    return with_terms.mapInArrow(_searched(numbered, weights, n_docs, n_terms, k), _FOUND)
+    return with_terms.mapInArrow(_searched(numbered, weights, n_docs, n_terms, k, SHARD_POSTINGS, FIRST_READ), _FOUND)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:

@@ -69,13 +69,13 @@ def _by_group(batch: pa.RecordBatch, row: int, end: int) -> tuple[list[pa.Array]
     return [pa.array([g[i] for g in number], pa.string()) for i in (0, 1)], of
 
 
-def _counted(bits: int, as_strings: bool):
+def _counted(bits: int, as_strings: bool, chunk_bytes: int):
     """By group of a chunk its terms, with their occurrences and documents. Terms are given as digests, with a row of
     all distinct terms of the chunk beside them, or, ``as_strings``, with the terms in each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, text, bounds in texts.text_slices(batch.column("text"), CHUNK_BYTES):
+            for row, end, text, bounds in texts.text_slices(batch.column("text"), chunk_bytes):
                 found = terms.terms(text, bounds, terms.WORDS)
                 (langs, sources), group_of = _by_group(batch, row, end)
                 doc, term, n = found.counts()
@@ -123,7 +123,7 @@ class Counts:
 
     def __init__(self, docs: DataFrame, bits: int = DIGEST_BITS) -> None:
         source = _source(docs)
-        chunks = written(source.mapInArrow(_counted(bits, False), _COUNTED), "term-counts")
+        chunks = written(source.mapInArrow(_counted(bits, False, CHUNK_BYTES), _COUNTED), "term-counts")
         by_chunk = chunks.filter("lang IS NOT NULL")
         groups = by_chunk.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id())
         groups = written(groups, "groups")
@@ -143,7 +143,7 @@ class Counts:
 
         rows = self._rows(by_chunk.join(numbers, ["lang", "source"]))
         if not self.shared.isEmpty():
-            again = source.mapInArrow(_counted(bits, True), _COUNTED).join(numbers, ["lang", "source"])
+            again = source.mapInArrow(_counted(bits, True, CHUNK_BYTES), _COUNTED).join(numbers, ["lang", "source"])
             exact = self._rows(again, "terms").join(self.shared, "digest", "left_semi")
             rows = rows.join(self.shared, "digest", "left_anti").unionByName(exact)
         cells = written(rows.groupBy("gid", "lid", *_TERM).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "cells")
@@ -180,44 +180,48 @@ class Counts:
         return joined.withColumn("term", F.when(F.col("split") != "", F.col("split")).otherwise(F.col("term")))
 
 
-def _summed(key: tuple, table: pa.Table) -> pa.Table:
+def _summed(places_a_tile: int, at_once: int):
     """Sums of divergences between the sources of two tiles, over the terms of a block that one of them has. The rows
     without a digest say what a source gives a term that it does not have."""
-    lid, _, tile_a, tile_b = (k.as_py() for k in key)
-    place, p = table.column("place").to_numpy(), table.column("p").to_numpy()
-    absent = table.column("digest").is_null().to_numpy()
-    digest, split = table.column("digest").fill_null(0).to_numpy(), table.column("split_hash").to_numpy()
-    order = np.lexsort((split[~absent], digest[~absent]))
-    digest, split = digest[~absent][order], split[~absent][order]
-    new = np.ones(len(digest), bool)
-    new[1:] = (digest[1:] != digest[:-1]) | (split[1:] != split[:-1])
-    term, cell_place, cell_p = np.cumsum(new) - 1, place[~absent][order], p[~absent][order]
-    n_terms = int(new.sum())
-
-    def side(tile: int) -> tuple[np.ndarray, np.ndarray]:
-        own = absent & (place // TILE == tile)
-        found = place[own], p[own]
-        return tuple(x[np.argsort(found[0])] for x in found)
-
-    (places_a, none_a), (places_b, none_b) = side(tile_a), side(tile_b)
-    ab, ba = np.zeros((len(none_a), len(none_b)), np.int64), np.zeros((len(none_b), len(none_a)), np.int64)
-    for first in range(0, n_terms, TERMS_AT_ONCE):
-        cut = slice(*np.searchsorted(term, [first, first + TERMS_AT_ONCE]))
-        width = min(TERMS_AT_ONCE, n_terms - first)
-        dense = []
-        for tile, places, none in ((tile_a, places_a, none_a), (tile_b, places_b, none_b)):
-            own = cell_place[cut] // TILE == tile
-            whole = np.repeat(none[:, None], width, axis=1)
-            whole[np.searchsorted(places, cell_place[cut][own]), term[cut][own] - first] = cell_p[cut][own]
-            dense.append(whole)
-        for sums, left, right in ((ab, *dense), (ba, *dense[::-1])):
-            for x in range(len(left)):
-                difference = left[x] - right
-                sums[x] += (difference * difference // right).sum(axis=1)
-    of = [(ab, places_a, places_b)] if tile_a == tile_b else [(ab, places_a, places_b), (ba, places_b, places_a)]
-    a, b = (np.concatenate(x) for x in zip(*((np.repeat(i, len(j)), np.tile(j, len(i))) for _, i, j in of), strict=True))
-    value = np.concatenate([sums.ravel() for sums, _, _ in of])
-    return pa.table({"lid": np.full(len(a), lid), "a": a, "b": b, "value": value, "seen": np.full(len(a), n_terms)})
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lid, _, tile_a, tile_b = (k.as_py() for k in key)
+        place, p = table.column("place").to_numpy(), table.column("p").to_numpy()
+        absent = table.column("digest").is_null().to_numpy()
+        digest, split = table.column("digest").fill_null(0).to_numpy(), table.column("split_hash").to_numpy()
+        order = np.lexsort((split[~absent], digest[~absent]))
+        digest, split = digest[~absent][order], split[~absent][order]
+        new = np.ones(len(digest), bool)
+        new[1:] = (digest[1:] != digest[:-1]) | (split[1:] != split[:-1])
+        term, cell_place, cell_p = np.cumsum(new) - 1, place[~absent][order], p[~absent][order]
+        n_terms = int(new.sum())
+
+        def side(tile: int) -> tuple[np.ndarray, np.ndarray]:
+            own = absent & (place // places_a_tile == tile)
+            found = place[own], p[own]
+            return tuple(x[np.argsort(found[0])] for x in found)
+
+        (places_a, none_a), (places_b, none_b) = side(tile_a), side(tile_b)
+        ab, ba = np.zeros((len(none_a), len(none_b)), np.int64), np.zeros((len(none_b), len(none_a)), np.int64)
+        for first in range(0, n_terms, at_once):
+            cut = slice(*np.searchsorted(term, [first, first + at_once]))
+            width = min(at_once, n_terms - first)
+            dense = []
+            for tile, places, none in ((tile_a, places_a, none_a), (tile_b, places_b, none_b)):
+                own = cell_place[cut] // places_a_tile == tile
+                whole = np.repeat(none[:, None], width, axis=1)
+                whole[np.searchsorted(places, cell_place[cut][own]), term[cut][own] - first] = cell_p[cut][own]
+                dense.append(whole)
+            for sums, left, right in ((ab, *dense), (ba, *dense[::-1])):
+                for x in range(len(left)):
+                    difference = left[x] - right
+                    sums[x] += (difference * difference // right).sum(axis=1)
+        of = [(ab, places_a, places_b)] if tile_a == tile_b else [(ab, places_a, places_b), (ba, places_b, places_a)]
+        a, b = (np.concatenate(x) for x in zip(*((np.repeat(i, len(j)), np.tile(j, len(i))) for _, i, j in of), strict=True))
+        value = np.concatenate([sums.ravel() for sums, _, _ in of])
+        return pa.table({"lid": np.full(len(a), lid), "a": a, "b": b, "value": value, "seen": np.full(len(a), n_terms)})
+
+    return run
 
 
 def pairs(counts: Counts) -> DataFrame:
@@ -236,7 +240,7 @@ def pairs(counts: Counts) -> DataFrame:
     heads = heads.withColumn("digest", F.lit(None).cast("long")).withColumn("split_hash", zero).withColumn("p", F.col("absent"))
     rows = cells.select(*columns).unionByName(heads.select(*columns)).withColumn("other", F.explode(F.sequence(zero, F.col("n_tiles") - 1)))
     both = rows.select("*", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"))
-    summed = both.groupBy("lid", "block", "tile_a", "tile_b").applyInArrow(_summed, "lid LONG, a LONG, b LONG, value LONG, seen LONG")
+    summed = both.groupBy("lid", "block", "tile_a", "tile_b").applyInArrow(_summed(TILE, TERMS_AT_ONCE), "lid LONG, a LONG, b LONG, value LONG, seen LONG")
     total = written(summed.groupBy("lid", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")), "pair-sums")
 
     left = sizes.select("lid", F.col("place").alias("a"), "gid", "v", F.col("absent").alias("absent_a"))
