@@ -9,8 +9,7 @@ import numpy as np
 def blocks(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """The block of each edge, as the number of one of its edges: the edges below a node from which nothing leads back
     above it are a block."""
-    nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = ends[: len(src)], ends[len(src) :]
+    nodes, a, b = _numbered(src, dst)
     n = len(nodes)
     pairs, first, of = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True, return_inverse=True)
     low_end, high_end, edge = pairs // n, pairs % n, np.arange(len(pairs))
@@ -53,12 +52,9 @@ def blocks(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return first[np.array(block, np.int64)[of]] if len(src) else np.empty(0, np.int64)
 
 
-def on_cycles(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Which edges lie on a directed cycle: those with both ends in one strongly connected part. A part is done when the
-    search leaves the node of it that was found first."""
-    nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = ends[: len(src)], ends[len(src) :]
-    n = len(nodes)
+def _strong(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """One node of the strongly connected part of each of the ``n`` nodes. A part is done when the search leaves the node
+    of it that was found first."""
     order = np.argsort(a, kind="stable")
     heads, at = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
     found, back, part, time, upto, waiting = [-1] * n, [0] * n, [-1] * n, 0, at[:-1].copy(), []
@@ -84,5 +80,24 @@ def on_cycles(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
             if back[node] == found[node]:
                 while part[node] < 0:
                     part[waiting.pop()] = node
-    parts = np.array(part, np.int64)
+    return np.array(part, np.int64)
+
+
+def _numbered(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    return nodes, ends[: len(src)], ends[len(src) :]
+
+
+def on_cycles(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Which edges lie on a directed cycle: those with both ends in one strongly connected part."""
+    nodes, a, b = _numbered(src, dst)
+    parts = _strong(a, b, len(nodes))
     return parts[a] == parts[b] if len(src) else np.zeros(0, bool)
+
+
+def strong_parts(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of strongly connected parts of two nodes and more, and one node of the part for each."""
+    nodes, a, b = _numbered(src, dst)
+    parts = _strong(a, b, len(nodes))
+    some = np.bincount(parts, minlength=len(nodes))[parts] > 1 if len(nodes) else np.zeros(0, bool)
+    return nodes[some], nodes[parts[some]]

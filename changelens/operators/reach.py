@@ -1,23 +1,35 @@
 """Who depends on whom, transitively: impact and dependency sets, impact counts, cycle membership.
 
 Counting how many modules each module reaches does not list the pairs. Ancestors are kept as bit sets
-of chains, 64 to a row, merged by ``bit_or`` and advanced by the newly set bits only; the number of
-rounds is the depth of the folded graph.
+of chains, 64 to a row, merged by ``bit_or`` and advanced by the newly set bits only. The number of rounds is the depth
+of the folded graph, or, where that is deep, about its logarithm, by shortcuts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens import KEY
+from changelens.functions.blocks import strong_parts
 from changelens.operators.chains import FoldedGraph
+from changelens.operators.components import components
 from changelens.skew import hot_keys, salted_join
 from changelens.storage import written, written_counting
 
 
+#: Rounds after which a graph counts as deep.
+SHALLOW = 12
+#: Shortcuts of one length are at most so many times the edges, and are doubled so often.
+SHORTCUTS = 4
+DOUBLINGS = 40
+#: Edges of connected parts that a task takes together.
+PART_EDGES = 300_000
+
+
 def numbered_chains(folded: FoldedGraph) -> DataFrame:
     """Chains with edges, each given a (block, bit). Numbers follow the order of a range partitioning,
     so the chains of one change fill consecutive blocks; written, as the numbering must not change."""
@@ -46,19 +58,72 @@ class Ancestry:
     bits: DataFrame
 
 
+def _led(table: pa.Table) -> pa.Table:
+    number, leader = strong_parts(table.column("a").to_numpy(), table.column("b").to_numpy())
+    return pa.table({"number": number, "leader": leader})
+
+
+def _leaders(edges: DataFrame, n_edges: int) -> DataFrame:
+    """``(number, leader)`` of the nodes that lie on cycles of ``edges(a, b)``: one node for each strongly connected part.
+    Tasks take whole connected parts, ``PART_EDGES`` edges together; nodes of larger parts are left out."""
+    parts = written(components(edges).withColumnRenamed("node", "a"), "parts")
+    inside = written(edges.join(parts, "a"), "part-edges")
+    heavy = inside.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > PART_EDGES)
+    light = inside.join(heavy, "part", "left_anti").withColumn("task", F.pmod(F.xxhash64("part"), F.lit(-(-n_edges // PART_EDGES))))
+    return written(light.groupBy("task").applyInArrow(_led, "number LONG, leader LONG"), "leaders")
+
+
+def with_shortcuts(steps: DataFrame) -> DataFrame:
+    """``steps(key, src, dst)`` and further pairs that have a path of steps, so that far chains are few steps apart.
+
+    The chains of a strongly connected part all have a step to one of them and back. Between the parts there are steps over
+    2, 4, 8, ... of the steps, each made by joining the steps of half the length, as long as these are not more than
+    ``SHORTCUTS`` times the first ones: in long narrow graphs they never are. Wide graphs end that early, and are shallow.
+    """
+    ends = steps.select(*KEY, F.explode(F.array("src", "dst")).alias("chain")).distinct()
+    names = written(ends.withColumn("number", F.monotonically_increasing_id()), "step-ends")
+    of = lambda end, number: names.select(*KEY, F.col("chain").alias(end), F.col("number").alias(number))
+    edges, seen = written_counting(
+        steps.join(of("src", "a"), [*KEY, "src"]).join(of("dst", "b"), [*KEY, "dst"]).select("a", "b"), "steps-by-number", rows=F.lit(True))
+    leaders = _leaders(edges, max(1, seen["rows"]))
+    there = leaders.filter("number <> leader").select(F.col("number").alias("a"), F.col("leader").alias("b"))
+    back = there.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    led = lambda end: leaders.select(F.col("number").alias(end), F.col("leader").alias(f"led_{end}"))
+    joined = edges.join(led("a"), "a", "left").join(led("b"), "b", "left")
+    between = joined.select(F.coalesce("led_a", "a").alias("a"), F.coalesce("led_b", "b").alias("b")).filter("a <> b").distinct()
+    reach, seen = written_counting(between, "shortcuts", rows=F.lit(True))
+    every, most = edges.unionByName(there).unionByName(back).unionByName(reach), SHORTCUTS * seen["rows"]
+    for _ in range(DOUBLINGS):
+        onward = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        reach, seen = written_counting(reach.join(onward, "b").filter("a <> c").select("a", F.col("c").alias("b")).distinct(), "shortcuts", rows=F.lit(True))
+        if not 0 < seen["rows"] <= most:
+            break
+        every = every.unionByName(reach)
+    src = names.select(*KEY, F.col("chain").alias("src"), F.col("number").alias("a"))
+    dst = names.select(F.col("chain").alias("dst"), F.col("number").alias("b"))
+    return written(every.distinct().join(src, "a").join(dst, "b").select(*KEY, "src", "dst"), "steps-and-shortcuts")
+
+
 def _spread(sources: DataFrame, steps: DataFrame) -> DataFrame:
     """``(key, chain, block, bits)``: which of the sources ``(key, chain, block, bits)``, 64 to a row, lead to each chain
-    over ``steps(key, src, dst)`` of one edge or more. There is one merged table; only its newly set bits go on."""
+    over ``steps(key, src, dst)`` of one edge or more. There is one merged table; only its newly set bits go on.
+
+    A graph that is deeper than ``SHALLOW`` rounds gets shortcuts then, and its rounds are about the logarithm of its depth.
+    """
 
-    def over_steps(bits: DataFrame) -> DataFrame:
+    def over(steps: DataFrame, bits: DataFrame) -> DataFrame:
         arrived = bits.withColumnRenamed("chain", "src").join(steps, [*KEY, "src"])
         return arrived.groupBy(*KEY, F.col("dst").alias("chain"), "block").agg(F.bit_or("bits").alias("bits"))
 
-    fresh = F.col("fresh") != 0
-    state, seen = written_counting(over_steps(sources).withColumn("fresh", F.col("bits")), "reaching", fresh=fresh)
+    fresh, none = F.col("fresh") != 0, F.lit(0).cast("long")
+    state, seen = written_counting(over(steps, sources).withColumn("fresh", F.col("bits")), "reaching", fresh=fresh)
+    rounds = 1
     while seen["fresh"]:
-        arrived = over_steps(state.filter(fresh).select(*KEY, "chain", "block", F.col("fresh").alias("bits")))
-        none = F.lit(0).cast("long")
+        if rounds == SHALLOW:
+            steps = with_shortcuts(steps)
+            state = state.withColumn("fresh", F.col("bits"))  # all bits go over the shortcuts
+        rounds += 1
+        arrived = over(steps, state.filter(fresh).select(*KEY, "chain", "block", F.col("fresh").alias("bits")))
         both = state.select(*KEY, "chain", "block", F.col("bits").alias("old"), none.alias("new")).unionByName(
             arrived.select(*KEY, "chain", "block", none.alias("old"), F.col("bits").alias("new"))
         )

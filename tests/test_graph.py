@@ -184,6 +184,37 @@ def test_cycles_in_many_tasks_and_in_parts_too_large_for_one(spark, monkeypatch,
     assert got == sorted((k, sorted(c)) for k, shape in enumerate(shapes) for c in _simple_cycles(shape))
 
 
+@pytest.mark.parametrize(("shallow", "part_edges"), [(2, 300_000), (2, 10), (12, 300_000)])
+def test_deep_graphs_take_few_rounds(spark, monkeypatch, shallow, part_edges):
+    """A ladder forth, one with ways back, and a ring of ladders, each a few hundred rungs deep; with parts too large, too."""
+    rounds = []
+
+    def counting(df, label, **conditions):
+        rounds.append(label)
+        return written_counting(df, label, **conditions)
+
+    monkeypatch.setattr(reach, "written_counting", counting)
+    monkeypatch.setattr(reach, "SHALLOW", shallow)
+    monkeypatch.setattr(reach, "PART_EDGES", part_edges)
+    n, name = (40 if part_edges == 10 else 300), "m{:04d}".format
+    forth = {(name(2 * i + a), name(2 * i + 2 + b)) for i in range(n) for a in (0, 1) for b in (0, 1)}
+    two_way = forth | {(d, s) for s, d in forth if s[-1] in "02468"}
+    shapes = [forth, two_way, forth | {(name(2 * n + a), name(a)) for a in (0, 1)} | {("x", name(5)), (name(9), "y")}]
+    rows = [("r", k, s, d) for k, shape in enumerate(shapes) for s, d in shape]
+    found = reach.module_reach(fold_chains(written(spark.createDataFrame(rows, EDGE), "edges"))).collect()
+    got = {(r.pr_number, r.module): (r.impact, r.on_cycle) for r in found}
+    if part_edges != 10:
+        assert rounds.count("reaching") <= 45
+    assert {m: v for (k, m), v in got.items() if k == 0} == {name(2 * i + a): (2 * i, False) for i in range(n + 1) for a in (0, 1)}
+    want = {}
+    for k in (1, 2) if part_edges == 10 else ():
+        after = _reachable(shapes[k])
+        for m in after:
+            want[k, m] = (sum(m in after[o] for o in after if o != m), m in after[m])
+    assert all(got[key] == value for key, value in want.items())
+    assert got[2, name(7)] == (2 * n + 2, True) and got[2, "x"] == (0, False) and got[2, "y"] == (2 * n + 3, False)
+
+
 def test_edges_on_cycles_equal_brute_force():
     rng = random.Random(14)
     for n, m in [(1, 0), (2, 1), (2, 2), (6, 8), (12, 16), (30, 40)] * 8:
