@@ -3,12 +3,14 @@
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from changelens import skew
 from changelens.operators import cached_work, ranking, reviews
 from changelens.operators.code_facts import FILE, code_facts
 from changelens.plans.review import ImportGraphs, error_log, pr_status, priority_scores
+from changelens.sources import review_cache
 from changelens.sources.review_cache import ReviewCache, cache_rows, latest
 from changelens.storage import written
 
@@ -90,12 +92,59 @@ def test_cache(spark, tmp_path):
     cache.compact()
     assert now() == ["2", "4"]
     assert now(before_batch=1) == ["1", "2"]  # a replayed batch still finds what was there before it
-    (tmp_path / "cache" / "generation=1" / "batch=-1" / "part-broken.parquet").write_bytes(b"no parquet")
+    assert cache.generation() == 1
+    next((tmp_path / "cache" / "runs" / "run=1").glob("prefix=*")).joinpath("part-broken.parquet").write_bytes(b"no parquet")
     assert now() == ["2", "4"]  # an unreadable file is skipped
     cache.clear()
     assert now() == []
 
 
+def test_cache_beside_its_writer(spark, tmp_path, monkeypatch, capsys):
+    """What is added during a compaction stays, a second compaction at one time fails, runs are merged, lookups are pruned."""
+    monkeypatch.setattr(review_cache, "MOST_RUNS", 2)
+    cache = ReviewCache.create(spark, str(tmp_path / "cache"))
+
+    def add(batch, **reviews):
+        rows = [_entry(code, review, batch) for code, review in reviews.items()]
+        cache.append(cache_rows(spark.createDataFrame(rows, "code STRING, review STRING, created_at TIMESTAMP")), batch)
+
+    def now(**options):
+        return sorted(r.review for r in ReviewCache(spark, cache.root).entries(**options).collect())
+
+    add(0, a="a0", b="b0")
+    add(1, a="a1")
+    publish = cache._publish
+
+    def slow(generation, upto, runs):
+        add(2, c="c2")  # arrives while the run is written
+        publish(generation, upto, runs)
+
+    monkeypatch.setattr(cache, "_publish", slow)
+    cache.compact()
+    assert now() == ["a1", "b0", "c2"] and now(before_batch=1) == ["a0", "b0"] and now(before_batch=2) == ["a1", "b0"]
+
+    def second(generation, upto, runs):
+        publish(generation, upto, runs)  # another process was first
+        publish(generation, upto, runs)
+
+    monkeypatch.setattr(cache, "_publish", second)
+    with pytest.raises(AnalysisException):
+        cache.compact()
+    monkeypatch.setattr(cache, "_publish", publish)
+    assert now() == ["a1", "b0", "c2"]
+    for batch in (3, 4):
+        add(batch, a=f"a{batch}", d=f"d{batch}")
+        cache.compact()
+    assert len(cache._record()["runs"]) <= 2 and now() == ["a4", "b0", "c2", "d4"] and now(before_batch=4) == ["a3", "b0", "c2", "d3"]
+
+    asked = cache_rows(spark.createDataFrame([_entry("b", "", 0)], "code STRING, review STRING, created_at TIMESTAMP"))
+    assert "b0" in now(asked=asked)
+    capsys.readouterr()
+    cache.entries(asked=asked).explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PartitionFilters")]
+    assert len(filters) == 2 and all("prefix" in line for line in filters)
+
+
 def _queue(spark, rows):
     return spark.createDataFrame(rows, "repo STRING, pr_number LONG, filename STRING, rank INT, content_hash STRING")
 
