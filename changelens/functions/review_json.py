@@ -22,24 +22,34 @@ class Invalid(ValueError):
     """Names the field that breaks the schema."""
 
 
-def _integer(value, field: str) -> int:
-    """Whole numbers, also given as float, boolean or numeric text."""
-    number = None
+class Digits(str):
+    """A whole number that is too long to be worth an ``int``, as its digits."""
+
+
+#: Digits from which on a number stays text; Python reads longer ones only on demand, as that takes long.
+LONG_NUMBER = 4000
+
+
+def _whole(digits: str) -> int | Digits:
+    sign, digits = digits[:1] if digits[:1] in "+-" else "", digits.lstrip("+-").replace("_", "").lstrip("0") or "0"
+    minus = "-" if sign == "-" and digits != "0" else ""
+    return int(minus + digits) if len(digits) < LONG_NUMBER else Digits(minus + digits)
+
+
+def _integer(value, field: str) -> int | Digits:
+    """Whole numbers of any length, also given as float, boolean or numeric text."""
+    if isinstance(value, Digits):
+        return value
     if isinstance(value, int) or (isinstance(value, float) and value.is_integer()):
-        number = int(value)
-    elif isinstance(value, str) and INTEGER.fullmatch(value.strip()):
-        whole = value.strip().split(".")[0].replace("_", "")
-        digits = whole.lstrip("+-").lstrip("0") or "0"
-        if len(digits) <= 19:  # more are beyond 64 bits
-            number = -int(digits) if whole.startswith("-") else int(digits)
-    if number is None or not -(2**63) <= number < 2**63:
-        raise Invalid(field)
-    return number
+        return int(value)
+    if isinstance(value, str) and INTEGER.fullmatch(value.strip()):
+        return _whole(value.strip().split(".")[0])
+    raise Invalid(field)
 
 
 def _text(value, field: str) -> str:
     # Half a surrogate pair can be written as a JSON escape but is no text.
-    if not isinstance(value, str) or any("\ud800" <= c <= "\udfff" for c in value):
+    if not isinstance(value, str) or isinstance(value, Digits) or any("\ud800" <= c <= "\udfff" for c in value):
         raise Invalid(field)
     return value
 
@@ -52,7 +62,7 @@ def _severity(value, field: str) -> str:
 
 def _score(value, field: str) -> int:
     score = _integer(value, field)
-    if not 0 <= score <= 10:
+    if isinstance(score, Digits) or not 0 <= score <= 10:
         raise Invalid(field)
     return score
 
@@ -88,7 +98,7 @@ def read_review(text: str) -> dict:
              "overall_score": None}
     fenced = FENCED.fullmatch(text)
     try:
-        data = json.loads(fenced["body"] if fenced else text.strip())
+        data = json.loads(fenced["body"] if fenced else text.strip(), parse_int=_whole)
     except json.JSONDecodeError:
         return blank | {"error_kind": "invalid_json"}
     except (ValueError, RecursionError) as err:  # JSON beyond the limits of the reader

@@ -6,7 +6,7 @@ rows are ``(repo, pr_number, filename, error_kind, reported_filename, summary, o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -28,7 +28,8 @@ TOO_LARGE = "File too large for review (>50k chars)"
 FAILED = "Review failed: "
 BAD_SCHEMA = "Invalid schema: "
 
-ISSUES = "ARRAY<STRUCT<line: LONG, severity: STRING, category: STRING, message: STRING, suggestion: STRING>>"
+#: ``line_digits`` has a line number that does not fit ``line``, which is NULL then.
+ISSUES = "ARRAY<STRUCT<line: LONG, severity: STRING, category: STRING, message: STRING, suggestion: STRING, line_digits: STRING>>"
 REVIEW_DDL = f"error_kind STRING, error_detail STRING, filename STRING, summary STRING, overall_score INT, issues {ISSUES}"
 
 #: Wording of a request; callers may pass their own. Placeholders are columns of the request row.
@@ -99,6 +100,10 @@ def _read_answers(table: DataFrame, answer: str, kept: list[str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [read_review(text) for text in batch.column("_answer").to_pylist()]
+            for issue in (issue for r in rows for issue in r["issues"]):
+                line = issue["line"]
+                if isinstance(line, str) or not -(2**63) <= line < 2**63:
+                    issue["line"], issue["line_digits"] = None, str(line)
             columns = [pa.array([r[f.name] for r in rows], type=f.type) for f in fields]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + columns, [*kept, *(f"review_{n}" for n in fields.names)]
@@ -151,8 +156,15 @@ def reviews(ingested: DataFrame) -> DataFrame:
 
 
 def review_json_text() -> Column:
-    """A review row as the JSON text kept in the cache."""
-    return F.to_json(F.struct(F.col("reported_filename").alias("filename"), "issues", "summary", "overall_score"))
+    """A review row as the JSON text kept in the cache. Where a line number is long, all of the review's are text."""
+
+    def text(line: Callable[[Column], Column]) -> Column:
+        names = ("severity", "category", "message", "suggestion")
+        issues = F.transform("issues", lambda i: F.struct(line(i).alias("line"), *[i[n].alias(n) for n in names]))
+        return F.to_json(F.struct(F.col("reported_filename").alias("filename"), issues.alias("issues"), "summary", "overall_score"))
+
+    long = F.exists("issues", lambda i: i["line"].isNull())
+    return F.when(long, text(lambda i: F.coalesce(i["line"].cast("string"), i["line_digits"]))).otherwise(text(lambda i: i["line"]))
 
 
 def valid_reviews(cache: DataFrame, column: str) -> DataFrame:

@@ -38,7 +38,9 @@ ISSUE = {"line": 1, "severity": "high", "category": "bug", "message": "m"}
     ('{"filename": "a", "issues": [1]}', "invalid_schema", "issues"),
     (json.dumps({"filename": "a", "issues": [ISSUE, ISSUE | {"severity": "worst"}]}), "invalid_schema", "issues[1].severity"),
     (json.dumps({"filename": "a", "issues": [{k: v for k, v in ISSUE.items() if k != "line"}]}), "invalid_schema", "issues[0].line"),
-    (json.dumps({"filename": "a", "issues": [ISSUE | {"line": 10**30}]}), "invalid_schema", "issues[0].line"),
+    (json.dumps({"filename": "a", "issues": [ISSUE | {"line": 10**30}]}), "ok", None),
+    ('{"filename": "a", "overall_score": 1%s}' % ("0" * 5000), "invalid_schema", "overall_score"),
+    ('{"filename": "a", "summary": 1%s}' % ("0" * 5000), "invalid_schema", "summary"),
 ])
 def test_answer_kinds(text, kind, detail):
     read = read_review(text)
@@ -189,6 +191,21 @@ def test_reviews_of_changes(spark, change):
     assert done.retries().count() == 0  # the only file with the last list's content was asked
 
 
+def test_line_numbers_of_any_length(spark):
+    """Long numbers stay exact in the table, and in the cache."""
+    lines = [3, -(2**63), 2**63, 2**70, -(10**300), "00" + "9" * 40, "1_000.0", "-" + "7" * 6000]
+    raw = [json.dumps({"filename": "a.py", "issues": [ISSUE | {"line": line}]}) for line in lines] + ['{"filename": "a.py", "issues": [{"line": %s}]}' % ("8" * 6000)]
+    raw[-1] = raw[-1].replace("}]}", ', "severity": "high", "category": "bug", "message": "m"}]}')
+    table = spark.createDataFrame([("r", 1, f"{n}.py", text) for n, text in enumerate(raw)], "repo STRING, pr_number LONG, filename STRING, response STRING")
+    want = [(3, None), (-(2**63), None), (None, str(2**63)), (None, str(2**70)), (None, str(-(10**300))), (None, "9" * 40), (1000, None),
+            (None, "-" + "7" * 6000), (None, "8" * 6000)]
+    read = reviews.reviews(reviews.ingest(table)).cache()
+    got = {r.filename: (r.error_kind, r.issues[0].line, r.issues[0].line_digits) for r in read.collect()}
+    assert got == {f"{n}.py": ("ok", *w) for n, w in enumerate(want)}
+    again = reviews.read_reviews(read.select("filename", reviews.review_json_text().alias("review")), "review", ["filename"])
+    assert {r.filename: (r.issues[0].line, r.issues[0].line_digits) for r in again.collect()} == {f"{n}.py": w for n, w in enumerate(want)}
+
+
 def test_asking_until_done(spark):
     """Files with one content are asked in turn until one has a review; a file without an answer stays open."""
     rows = [("r", 1, n, f"f{n}.py", h, 10) for n, h in enumerate("aaaabbbcd")] + [("r", 1, 20, "long.py", "e", 60_000)]

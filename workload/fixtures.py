@@ -138,6 +138,12 @@ DOCUMENT_ANSWERS = """SELECT concat('docs/', source) AS repo, doc_id AS pr_numbe
   CASE WHEN doc_id % 3 = 0 THEN concat('{"filename":"doc_', doc_id, '.py","overall_score":', doc_id % 11, '}') ELSE '["no review"]' END AS response
 FROM documents"""
 
+# An answer for each document with the line numbers n, n * 2**70 (as a number or as text) and -n * 2**70.
+LONG_LINES = """SELECT concat('docs/', source) AS repo, doc_id AS pr_number, concat('doc_', doc_id, '.py') AS filename,
+  concat('{"filename":"doc_', doc_id, '.py","issues":[{"line":', n, rest, '},{"line":', quote, product, quote, rest, '},{"line":-', product, rest, '}]}') AS response
+FROM (SELECT source, doc_id, doc_id + 1 AS n, CAST(doc_id + 1 AS DECIMAL(12, 0)) * CAST('1180591620717411303424' AS DECIMAL(22, 0)) AS product,
+  CASE WHEN doc_id % 2 = 0 THEN '"' ELSE '' END AS quote, ',"severity":"low","category":"c","message":"m"' AS rest FROM documents) t"""
+
 # A denser import graph, one change per repository: orders import the suppliers of their lines, suppliers their
 # nation, nations their region, and a region its first nation (the cycles). A few modules are imported by very
 # many others.
@@ -305,3 +311,8 @@ def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deliveries_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
     return spark.sql(DELIVERIES_IN_PARTS).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql(LONG_LINES)

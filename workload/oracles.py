@@ -309,6 +309,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN kind = 99 THEN coalesce(messages, '') ELSE '' END AS messages,
         CASE WHEN kind = 99 THEN coalesce(severities, '') ELSE '' END AS severities
         FROM ingested LEFT JOIN lists ON l_orderkey = o_orderkey"""),
+    "long_line_numbers": """SELECT 'docs/' || source AS repo, doc_id AS pr_number, 'doc_' || doc_id || '.py' AS filename, 'ok' AS error_kind,
+        doc_id + 1 AS first_line, concat_ws(',', doc_id + 1, (doc_id + 1)::HUGEINT * 1180591620717411303424, -(doc_id + 1)::HUGEINT * 1180591620717411303424) AS lines
+        FROM documents""",
     "ingested_reviews": sql(LI, INGESTED, ISSUE_LISTS, select="""SELECT repo, pr_number, filename, filename AS reported_filename,
         CASE kind WHEN 99 THEN o_orderpriority WHEN 4 THEN '' WHEN 2 THEN 'Review failed: Invalid schema: overall_score'
           WHEN 3 THEN 'Review failed: Invalid schema: filename' ELSE 'Review failed: Invalid JSON from model' END AS summary,

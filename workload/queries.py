@@ -435,6 +435,16 @@ def review_ingest(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def long_line_numbers(t: Inputs) -> DataFrame:
+    """Answers with line numbers of more than 64 bits, read, kept in a cache and read again."""
+    read = reviews.reviews(reviews.ingest(fixtures.long_lines(t.spark, t.sf_dir)))
+    kept = read.select(*FILE, "error_kind", reviews.review_json_text().alias("review"))
+    again = reviews.read_reviews(kept, "review", FILE)
+    lines = F.array_join(F.transform("issues", lambda i: F.coalesce(i["line"].cast("string"), i["line_digits"])), ",")
+    return again.select(*FILE, "error_kind", F.col("issues")[0]["line"].alias("first_line"), lines.alias("lines"))
+
+
 @query
 def ingested_reviews(t: Inputs) -> DataFrame:
     return reviews.reviews(t.ingested).select(
