@@ -600,7 +600,7 @@ def stream_summaries(t: Inputs) -> DataFrame:
 
 
 #: Parts in which the events arrive, one micro-batch each.
-EVENT_PARTS = 4
+EVENT_PARTS = 3
 
 
 def _reviewed_by_event(t: Inputs) -> event_reviews.EventReviews:
