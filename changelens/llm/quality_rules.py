@@ -181,6 +181,7 @@ def measures(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").slice(row, end - row), *map(pa.array, found.values())], names=["doc", *found]
                 )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     source = docs.select(F.struct(*docs.columns).alias("doc"))  # the text is in there, and sent once
     columns = [T.StructField(name, KINDS[kind]) for name, kind in MEASURES.items()]

@@ -30,7 +30,7 @@ from changelens.storage import written
 FREQUENT = 16
 KEY_BITS = 48
 #: Entries that one bucket is to hold.
-BUCKET_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 1_500_000
 
 _OWN = "nodes ARRAY<LONG>, sizes ARRAY<LONG>, ids ARRAY<LONG>, row_hashes ARRAY<LONG>, lines ARRAY<LONG>"
 _SENT = f"bucket LONG, chunk LONG, keys BINARY, docs BINARY, {_OWN}"
