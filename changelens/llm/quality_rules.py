@@ -35,6 +35,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SHORT_TOKENS = 50
+#: Words that a worker remembers; other stages run in the same workers.
+REMEMBERED = 150_000
 #: Bytes of text measured together, and bytes and rows of an Arrow batch of whole documents.
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 4 << 20
@@ -79,7 +81,7 @@ def _pieces(path: str) -> tuple[vocabulary.Remembered, np.ndarray]:
 
     model = SentencePieceProcessor(model_file=path)
     is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    return vocabulary.Remembered(lambda words: model.encode(words, num_threads=1)), is_byte
+    return vocabulary.Remembered(lambda words: model.encode(words, num_threads=1), REMEMBERED), is_byte
 
 
 def _repeated_within(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -259,9 +261,18 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def _declared(field: T.StructField) -> Column:
+    """A column that was written, under the field it came from: tables read back allow nulls in every column, of which this
+    one has none if the field allows none."""
+    zero = {T.NumericType: F.lit(0), T.StringType: F.lit(""), T.BooleanType: F.lit(False)}
+    value = next((v for kind, v in zero.items() if isinstance(field.dataType, kind)), None)
+    column = F.col("doc")[field.name]
+    return column.alias(field.name) if field.nullable or value is None else F.coalesce(column, value.cast(field.dataType)).alias(field.name)
+
+
 def keep(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged. Texts are measured once: the rows are written with their
     measures, from which the bands are made and the rows are judged."""
     with _small_batches(docs.sparkSession):
         found = written(measures(docs, vocabulary_path), "measured")
-    return judged(found, bands(found)).filter("kept").select("doc.*")
+    return judged(found, bands(found)).filter("kept").select(*map(_declared, docs.schema.fields))

@@ -54,8 +54,8 @@ def tokenizer(path: str):
 class Remembered:
     """Ids by piece of text, sorted by the piece's hash; ``encode`` turns a list of pieces into lists of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED) -> None:
+        self.encode, self.most = encode, most
         self._forget()
 
     def _forget(self) -> None:
@@ -86,7 +86,7 @@ class Remembered:
         own, own_bounds = texts.utf8(pieces)
         keys = texts.span_hashes(own, own_bounds[:-1], own_bounds[1:])
         new = self.keys[self._places(keys)] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if len(self.keys) + int(new.sum()) > REMEMBERED:
+        if len(self.keys) + int(new.sum()) > self.most:
             self._forget()
             new[:] = True
         if new.any():
