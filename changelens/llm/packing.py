@@ -126,6 +126,7 @@ def _packed(vocabulary_path: str, end_id: int, length: int):
                         yield from packer.place(doc_id, 0, ids[a:b], b - a)
 
         yield from _emitted(task, task << 32, emitted(), packer)
+        texts.give_back()
 
     return run
 

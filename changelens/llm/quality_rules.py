@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +74,6 @@ MEASURES = {
 KINDS = {"LONG": T.LongType(), "BOOLEAN": T.BooleanType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType()}
 
 
-@cache
 def _pieces(path: str) -> tuple[vocabulary.Remembered, np.ndarray]:
     """The worker's ids by word, and which ids stand for a byte."""
     from sentencepiece import SentencePieceProcessor
@@ -146,7 +145,7 @@ def measured(text: np.ndarray, bounds: np.ndarray, vocabulary_path: str) -> dict
     repeat = _repeat_words(texts.span_hashes(text, starts, ends), at)
     failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
 
-    cache, is_byte = _pieces(vocabulary_path)
+    cache, is_byte = vocabulary.held(vocabulary_path, _pieces)
     cuts = np.concatenate([[0], np.cumsum(ends - starts)])
     ids, of_words = cache.ids_of(vocabulary.tiled(text[inside], cuts)) if len(starts) else (np.empty(0, np.int32), np.zeros(1, np.int64))
     token_at = of_words[at]
@@ -183,7 +182,7 @@ def measures(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").slice(row, end - row), *map(pa.array, found.values())], names=["doc", *found]
                 )
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        texts.give_back()
 
     source = docs.select(F.struct(*docs.columns).alias("doc"))  # the text is in there, and sent once
     columns = [T.StructField(name, KINDS[kind]) for name, kind in MEASURES.items()]

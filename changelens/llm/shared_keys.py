@@ -104,6 +104,7 @@ def _sent(extract: Callable[[pa.RecordBatch], Iterator[Chunk]], n_buckets: int):
             for chunk in extract(batch):
                 yield from _rows(chunk, chunk_id, n_buckets)
                 chunk_id += 1
+        texts.give_back()
 
     return run
 

@@ -6,6 +6,7 @@ pattern ``[^\\x20\\x09-\\x0D]+`` on code points. Work arrays hold a few megabyte
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +29,14 @@ LETTER_A_Z[[*range(65, 91), *range(97, 123)]] = True
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on and other tasks need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and the ``len + 1`` bounds of the texts; null is empty."""
     if column.null_count:

@@ -10,8 +10,8 @@ encoding each text whole.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,19 @@ def _cuts(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-@cache
+_held: dict[str, Any] = {}
+
+
+def held(path: str, make: Callable[[str], Any]) -> Any:
+    """``make(path)``, which the worker keeps until another file is asked for: one vocabulary and the pieces remembered for it
+    are in memory at a time."""
+    if path not in _held:
+        _held.clear()
+        texts.give_back()
+        _held[path] = make(path)
+    return _held[path]
+
+
 def tokenizer(path: str):
     import os
 
@@ -120,10 +132,9 @@ class Encoder:
         return ids, at[np.searchsorted(cuts, bounds)]
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, kept between tasks."""
-    return Encoder(path)
+    return held(path, Encoder)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
