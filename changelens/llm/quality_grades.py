@@ -3,10 +3,13 @@
 ``P(grade > k) = logistic(w . x - threshold[k])`` with one weight vector for all grades and ordered thresholds.
 ``x`` is the mean over a text's words of hashed features: the word, the shapes of its beginning and end (capital,
 small, digit, or the mark itself), the shapes of two neighbouring ends, and whether a word repeats the one before.
-Weights and thresholds are fitted on a bounded sample: up to ``DOCUMENTS`` texts of each grade.
+Weights and thresholds are fitted on a bounded sample of ``SAMPLE`` texts, up to ``DOCUMENTS`` of each grade and one at
+least; a text counts as its grade's share among all ratings over that in the sample, so probabilities are those of the
+rated corpus. Every grade that is rated is learned.
 
 Null and empty texts have no features, and the grade that the thresholds alone give. Rows are graded one by one, so
-repeated rows have equal results; other columns are not used. Without labels every text has grade 0. A null id is in
+repeated rows have equal results, ties (equal texts with different ratings) give each rating its part, texts of any
+length are graded whole, and an empty table gives no rows; other columns are not used. Without labels every text has grade 0. A null id is in
 no fold: it is not learned from, and not held out.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from changelens.llm import samples, texts
 
 DIMENSIONS = 1 << 14
-DOCUMENTS, GRADES = 2000, 16
+DOCUMENTS, SAMPLE = 2000, 6000
 STEPS, RATE, PULL = 150, 0.5, 1e-5
 #: A text is selected if its grade is this or higher with at least this probability.
 SELECTED_GRADE, SELECTED_TAIL = 1, 0.5
@@ -76,8 +79,11 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(labelled: list[tuple[int, str]]) -> Grader:
-    """Maximum likelihood by Adam; thresholds are a first one and positive steps."""
+def fit(labelled: list[tuple[int, str]], shares: dict[int, float] | None = None) -> Grader:
+    """Maximum likelihood by Adam; thresholds are a first one and positive steps.
+
+    ``shares`` of the grades in the corpus weigh the texts of the sample; without them all count alike.
+    """
     grades = np.unique([g for g, _ in labelled]).astype(np.int64) if labelled else np.zeros(1, np.int64)
     grader = Grader(grades, np.zeros(DIMENSIONS), np.zeros(len(grades) - 1))
     if len(grades) < 2:
@@ -91,19 +97,20 @@ def fit(labelled: list[tuple[int, str]]) -> Grader:
     value = counts / n[row]
     free = np.concatenate([np.zeros(DIMENSIONS), [0.0], np.zeros(len(grades) - 2)])  # weights, first threshold, log steps
     mean, square = np.zeros_like(free), np.zeros_like(free)
-    share = np.bincount(of) / len(of)
+    drawn = np.bincount(of) / len(of)
+    true = drawn if shares is None else np.array([shares[g] for g in grades.tolist()])
+    weight = (true / true.sum() / drawn)[of] / len(of)
     for step in range(1, STEPS + 1):
         w, cuts = free[:DIMENSIONS], np.cumsum(np.concatenate([free[DIMENSIONS : DIMENSIONS + 1], np.exp(free[DIMENSIONS + 1 :])]))
         above = _logistic(np.bincount(row, value * w[column], minlength=len(of))[:, None] - cuts)
         edges = np.concatenate([np.ones((len(of), 1)), above, np.zeros((len(of), 1))], axis=1)
         k = np.arange(len(of))
-        p = np.maximum(edges[k, of] - edges[k, of + 1], 1e-9) * len(grades) * share[of]
+        pull = weight / np.maximum(edges[k, of] - edges[k, of + 1], 1e-9)
         slope = edges * (1 - edges)
-        each = len(of)
-        d_score = -(slope[k, of] - slope[k, of + 1]) * share[of] * len(grades) / p / each
+        d_score = -(slope[k, of] - slope[k, of + 1]) * pull
         d_cut = np.zeros((len(of), len(cuts) + 2))
-        d_cut[k, of] += slope[k, of] * share[of] * len(grades) / p / each
-        d_cut[k, of + 1] -= slope[k, of + 1] * share[of] * len(grades) / p / each
+        d_cut[k, of] += slope[k, of] * pull
+        d_cut[k, of + 1] -= slope[k, of + 1] * pull
         d_cut = d_cut[:, 1:-1].sum(axis=0)
         later = np.cumsum(d_cut[::-1])[::-1]
         gradient = np.concatenate([np.bincount(column, value * d_score[row], minlength=DIMENSIONS) + PULL * w, later[:1], later[1:] * np.exp(free[DIMENSIONS + 1 :])])
@@ -137,7 +144,7 @@ def _graded(model: Broadcast):
 def grade(docs: DataFrame, ratings: DataFrame, rating: Column, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """Expected grade, tail probability and selection of every document, from whole-number ``rating`` of ``ratings``."""
     known = ratings.filter(samples.fold(F.col("doc_id"), folds) != held_out_fold).select(F.col("doc_id").cast("long").alias("doc_id"), rating.cast("int").alias("label"))
-    grader = fit(samples.labelled(docs, known, DOCUMENTS, GRADES))
+    grader = fit(samples.labelled(docs, known, DOCUMENTS, SAMPLE), samples.shares(known))
     fold = samples.fold(F.col("doc_id"), folds)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(grader)  # 128 KB

@@ -2,16 +2,17 @@
 
 A lexical transducer turns each word into a symbol: insult, threat, target, negation, report or other. Transducers
 for the scope of a negation, for reported speech and for a target are composed into one machine that reads a
-clause (to ``.!?;:`` or line end) and emits a pattern for every insult or threat in it: what it is, whether the
-clause has a target, and whether it is plain, negated or reported. A document's score is the logistic of the
+clause and emits a pattern for every insult or threat in it: what it is, whether the clause has a target, and whether
+it is plain, negated or reported. A clause goes to ``.!?;`` or the line end; a colon does not end it, nor does a mark
+right before a closing quote. Speech is reported after a speech verb, and within quotes also before one. A document's score is the logistic of the
 weighted numbers of its patterns, so isolated words count only by the pattern they stand in.
 
 The built-in words are a small base. Further insults, whole words or beginnings of words, are learned as terms that
 mark toxic texts, and the weights by logistic regression around prior weights, on a bounded sample: up to
 ``DOCUMENTS`` texts of each label.
 
-Null and empty texts have the score of a text without patterns. Rows are scored one by one, so repeated rows have
-equal results; other columns are not used. A null id is in no fold: it is not learned from, and not held out.
+Null and empty texts have the score of a text without patterns. Rows are scored one by one, so repeated rows and
+equal texts have equal results, texts of any length are read whole, and an empty table gives no rows; other columns are not used. A null id is in no fold: it is not learned from, and not held out.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ PRIOR = np.array([{"plain": 3.0, "negated": 1.0, "reported": 1.0}[manner] + targ
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _BREAK = np.zeros(256, bool)
-_BREAK[list(b".!?;:\n")] = True
+_BREAK[list(b".!?;\n")] = True
+_QUOTE = 0x22
 
 
 class Machine:
@@ -80,15 +82,15 @@ class Machine:
                 waiting.append(after)
             self.go[state] = row
 
-    def read(self, symbols: list[int]) -> Iterator[int]:
-        """Numbers in :data:`PATTERNS` of what a clause holds."""
+    def read(self, symbols: list[int], quoted: list[bool]) -> Iterator[int]:
+        """Numbers in :data:`PATTERNS` of what a clause holds; ``quoted`` are its words within quotes."""
         state, emitted = self.start, []
-        for symbol in symbols:
+        for symbol, within in zip(symbols, quoted, strict=True):
             state, out = self.go[state][symbol]
             if out:
-                emitted.append(out)
-        for kind, manner in emitted:
-            yield PATTERNS.index((kind, state[2], manner))
+                emitted.append((*out, within))
+        for kind, manner, within in emitted:
+            yield PATTERNS.index((kind, state[2], "reported" if within and state[1] else manner))
 
 
 def _terms(hashed: texts.Substrings, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -99,8 +101,19 @@ def _terms(hashed: texts.Substrings, starts: np.ndarray, ends: np.ndarray) -> It
         yield length, long, texts.mixed(hashed(starts[long], np.full(len(long), length)) ^ texts.U64(length))
 
 
+def _plain_quotes(lower: np.ndarray) -> None:
+    """Turn curly, low and angle quotes into ``"`` and blanks, in place: their bytes are no part of words."""
+    curly = np.flatnonzero((lower[:-2] == 0xE2) & (lower[1:-1] == 0x80) & (lower[2:] >= 0x9C) & (lower[2:] <= 0x9F))
+    angle = np.flatnonzero((lower[:-1] == 0xC2) & ((lower[1:] == 0xAB) | (lower[1:] == 0xBB)))
+    for at, size in ((curly, 3), (angle, 2)):
+        lower[at] = _QUOTE
+        for k in range(1, size):
+            lower[at + k] = 0x20
+
+
 def _words(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = texts.LOWER[text]
+    _plain_quotes(lower)
     return lower, *texts.runs(_LETTER[lower], bounds)
 
 
@@ -140,13 +153,20 @@ class Grammar:
         lower, starts, ends = _words(text, bounds)
         found = np.zeros((len(bounds) - 1, len(PATTERNS)))
         symbols = self.symbols(lower, starts, ends)
-        marks = np.cumsum(_BREAK[lower])
+        quote = lower == _QUOTE
+        ends_clause = _BREAK[lower]
+        ends_clause[:-1] &= ~quote[1:] | (lower[:-1] == 0x0A)
+        marks = np.cumsum(ends_clause)
+        quotes = np.concatenate([[0], np.cumsum(quote)])
+        begins = np.union1d(np.flatnonzero(ends_clause), bounds[:-1])  # of clauses, their mark before them
         row = np.searchsorted(bounds, starts, "right") - 1
         clause = marks[starts] + row if len(starts) else starts  # ascends at every break and row
         edges = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1], [True]])) if len(clause) else np.zeros(1, np.int64)
         for k in np.unique(np.searchsorted(edges, np.flatnonzero((symbols == INSULT) | (symbols == THREAT)), "right") - 1).tolist():
             a, b = edges[k], edges[k + 1]
-            for pattern in self.machine.read(symbols[a:b].tolist()):
+            begin = begins[np.searchsorted(begins, starts[a], "right") - 1]
+            quoted = (quotes[starts[a:b]] - quotes[begin]) % 2 == 1
+            for pattern in self.machine.read(symbols[a:b].tolist(), quoted.tolist()):
                 found[row[a], pattern] += 1
         return found
 
@@ -229,10 +249,10 @@ def _scored(model: Broadcast):
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document; the held-out fold is not learned from."""
-    known = labels.filter(samples.fold(F.col("doc_id"), folds) != held_out_fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+    known = labels.filter(samples.fold(F.col("doc_id"), folds) != held_out_fold).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") != 0).cast("int").alias("label"))
     known = known.filter("label IS NOT NULL")
     share = known.agg(F.avg("label")).first()[0]
-    grammar = learn(samples.labelled(docs, known, DOCUMENTS, 2), share or 0.0)
+    grammar = learn(samples.labelled(docs, known, DOCUMENTS), share or 0.0)
     fold = samples.fold(F.col("doc_id"), folds)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(grammar)  # terms are bounded by the sample

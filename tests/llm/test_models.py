@@ -67,13 +67,45 @@ def test_every_language_is_learned(spark, monkeypatch):
 def test_only_documents_with_text_are_ranked(spark):
     rows = [(i, "a text" if i % 10 > 7 else (None, "")[i % 3 == 0], i % 2) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, label INT")
-    found = samples.labelled(docs.drop("label"), docs.select("doc_id", "label"), 10, 2)
+    found = samples.labelled(docs.drop("label"), docs.select("doc_id", "label"), 10)
     assert [label for label, _ in found].count(0) == 10 and [label for label, _ in found].count(1) == 10
     assert len(samples.labelled(docs.drop("label"), docs.select("doc_id", "label"), 10, most=6)) == 6
     many = docs.selectExpr("doc_id", "doc_id AS label")
     assert len(samples.labelled(docs.drop("label"), many, 10, most=6)) == docs.filter("text != ''").count()
 
 
+def test_samples_of_common_labels_are_the_least_hashes(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CAST(id % 50 = 0 AS INT) AS label")
+    found = samples.labelled(docs.drop("label"), docs.select("doc_id", "label"), 30)
+    order = docs.orderBy(F.xxhash64("doc_id")).collect()
+    for label in (0, 1):
+        least = {r.text for r in [r for r in order if r.label == label][:30]}
+        assert {t for own, t in found if own == label} == least
+    assert samples.shares(docs.select("doc_id", "label")) == {0: 0.98, 1: 0.02}
+
+
+def test_every_grade_is_learned_at_its_share(spark):
+    rows = [(i, f"grade{i % 20} " * 9, i % 20) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, stars INT")
+    grader = quality_grades.fit(samples.labelled(docs, docs.selectExpr("doc_id", "stars AS label"), 10))
+    assert grader.grades.tolist() == list(range(20)) and (np.diff(grader.thresholds) > 0).all()
+    # equal texts: the probabilities are the shares of the corpus, whatever the sample's are
+    same = quality_grades.fit([(g, "equal words") for g in (0, 1, 2) for _ in range(50)], {0: 0.7, 1: 0.2, 2: 0.1})
+    tails = same.tails(*texts.utf8(pa.array(["equal words"])))[0]
+    assert tails == pytest.approx([0.3, 0.1], abs=0.02)
+
+
+def test_reported_speech():
+    grammar = toxicity.Grammar()
+    some = [
+        'He said: "you idiot"', "She wrote: you are an idiot", '"You idiot", he said', '"You idiot!" he said', "\u201cYou idiot\u201d, he said", "\u00abidiot\u00bb dit il",
+        "You idiot, he said so", 'an "idiot" you are', '"Idiot', 'Fine "day". You idiot',
+    ]
+    text, bounds = texts.utf8(pa.array(some))
+    found = [{toxicity.PATTERNS[k][2] for k in np.flatnonzero(row)} for row in grammar.patterns(text, bounds)]
+    assert found == [{"reported"}] * 6 + [{"plain"}] * 4
+
+
 def test_patterns_of_clauses():
     grammar = toxicity.Grammar()
     some = ["You are an idiot. Fine day.", "not an idiot", "he said idiot", "I will kill you!", "calm words", ""]
@@ -110,7 +142,7 @@ def test_grades(spark, prose, odd_documents):
     held = [r for r in rows if found[r[0]].held_out]
     assert np.mean([abs(found[i].expected_grade - stars) < 0.5 for i, _, stars in held]) > 0.9
     assert all(found[i].selected == (found[i].tail_probability >= 0.5) for i, _, _ in rows)
-    grader = quality_grades.fit(samples.labelled(docs, docs.selectExpr("doc_id", "stars AS label"), 100, 5))
+    grader = quality_grades.fit(samples.labelled(docs, docs.selectExpr("doc_id", "stars AS label"), 100))
     assert (np.diff(grader.thresholds) > 0).all() and len(grader.thresholds) == 2
     odd = quality_grades.grade(odd_documents, docs.filter("false"), F.col("stars")).collect()
     assert len(odd) == odd_documents.count() and all(r.expected_grade == 0 for r in odd)
