@@ -1,19 +1,23 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns give the kinds ``assign``, ``access`` and ``hex``. The kind ``random`` is found as follows. A
-candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` of 20 characters and more that holds a digit. Its encoding
-is the smallest alphabet of :data:`ALPHABETS` that holds it. Uniform random symbols of that alphabet are the
-hypothesis under three tests: chi-squared of the symbol counts, runs above and below the middle of the
-alphabet, and serial correlation of neighbouring symbols. The least of their p-values, times three, is the
-candidate's p-value: small for identifiers, numbers and prose, anything for a random key.
+candidate is a maximal run of ``[A-Za-z0-9+/_-]`` of 20 characters and more, with up to two ``=`` after it: an ``=``
+within ends one and begins the next, so a name is not tested with its key. Its encoding is the smallest alphabet
+of :data:`ALPHABETS` that holds it, letters alone among them. Uniform random symbols of that alphabet are the
+hypothesis under four tests: chi-squared of the symbol counts, chi-squared of the counts of a few classes of symbols
+(:data:`_CLASSES`; it has power where a run is too short for the symbols), runs above and below the middle of the
+alphabet, and serial correlation of neighbouring symbols. The least of their p-values, times four, is the
+candidate's p-value: small for identifiers, paths, numbers and prose, anything for a random key. A run with ``/`` that
+is not random as a whole is a path: its pieces of 20 characters and more are candidates of their own.
 
 Over all candidates of the corpus of one encoding and length band, the Benjamini-Hochberg procedure rejects
 the hypothesis with a false-discovery rate of ``FDR``, that is, at most this share of the rejected candidates
-are random in truth. The others are reported, if they hold ``MIN_BITS`` bits, the length from which the tests
-have power against prose. Counts go over all candidates, in bins of ``-log10 p``.
+are random in truth: it bounds the missed keys. The others are reported, if they hold ``MIN_BITS`` bits, the length from
+which the tests have power against prose; how many of those are false alarms is not bounded, but measured in
+the README. Counts go over all candidates, in bins of ``-log10 p``.
 
-Null and empty texts have no spans. Rows are scanned one by one, so repeated rows have equal results; other
-columns are not used. Positions are code points, ends exclusive.
+Null and empty texts have no spans, an empty table has no rows, and texts of any length are scanned whole. Rows are scanned
+one by one, so repeated rows and equal texts have equal results; other columns are not used. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+_-]{20,}={0,2}")
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
@@ -44,16 +49,32 @@ ALPHABETS = [
     ("decimal", _DIGITS),
     ("hex", _DIGITS + "abcdef"),
     ("HEX", _DIGITS + "ABCDEF"),
+    ("lower", _LOWER),
+    ("UPPER", _UPPER),
     ("base32", _UPPER + "234567"),
     ("base36", _DIGITS + _LOWER),
     ("BASE36", _DIGITS + _UPPER),
+    ("letters", _UPPER + _LOWER),
     ("base62", _UPPER + _LOWER + _DIGITS),
     ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
-    ("mixed", _UPPER + _LOWER + _DIGITS + "+/-_="),
+    ("mixed", _UPPER + _LOWER + _DIGITS + "+/-_"),
 ]
 _SETS = [frozenset(symbols) for _, symbols in ALPHABETS]
 _RANKS = [{c: i for i, c in enumerate(symbols)} for _, symbols in ALPHABETS]
+_VOWELS, _COMMON = "aeiou", "tnsrhldc"
+
+
+def _class(symbol: str) -> int:
+    """Digits and marks, or by case: vowels, consonants that are common in prose, other letters."""
+    low = symbol.lower()
+    if low not in _LOWER:
+        return 0
+    return 1 + 3 * symbol.isupper() + (0 if low in _VOWELS else 1 if low in _COMMON else 2)
+
+
+#: The class of each symbol of an alphabet, numbered from 0.
+_CLASSES = [np.unique([_class(c) for c in symbols], return_inverse=True)[1] for _, symbols in ALPHABETS]
 
 FDR = 0.05
 MIN_BITS = 100
@@ -74,8 +95,8 @@ def _chi_squared_tail(x: float, degrees: int) -> float:
     return 0.5 * math.erfc(((x / degrees) ** (1 / 3) - (1 - spread)) / math.sqrt(2 * spread))
 
 
-def p_value(symbols: np.ndarray, size: int) -> float:
-    """Of three tests together that ``symbols`` are uniform over ``size`` values."""
+def p_value(symbols: np.ndarray, size: int, classes: np.ndarray | None = None) -> float:
+    """Of all tests together that ``symbols`` are uniform over ``size`` values; ``classes`` are those of the values."""
     n = len(symbols)
     counts = np.bincount(symbols, minlength=size)
     expected = n / size
@@ -101,32 +122,44 @@ def p_value(symbols: np.ndarray, size: int) -> float:
     centred = symbols - (size - 1) / 2
     correlation = float((centred[1:] * centred[:-1]).sum()) / ((n - 1) ** 0.5 * (size * size - 1) / 12)
     serial = math.erfc(abs(correlation) / math.sqrt(2))
-    return min(1.0, 3 * min(uniform, run, serial))
+    if classes is None or not classes.any():
+        return min(1.0, 3 * min(uniform, run, serial))
+    expected = np.bincount(classes) * (n / size)
+    held = np.bincount(classes[symbols], minlength=len(expected))
+    mixture = _chi_squared_tail(float(((held - expected) ** 2 / expected).sum()), len(expected) - 1)
+    return min(1.0, 4 * min(uniform, mixture, run, serial))
+
+
+#: A whole run with ``/`` of a lower p-value is taken for a path.
+PATH = 0.01
 
 
 def candidates(text: str) -> Iterator[dict]:
     """Encoded strings of a text, with encoding, length band, binned p-value and bits."""
     for match in CANDIDATE.finditer(text):
-        found = match.group()
-        if found.islower() and found.isalpha() or not any(c in _RANKS[0] for c in found):
-            continue
-        body = found.rstrip("=")
-        held = set(body)
-        k = next((i for i, s in enumerate(_SETS) if held <= s), None)
-        if k is None or len(body) < 20:
-            continue
-        name, symbols = ALPHABETS[k]
-        rank = _RANKS[k]
-        p = p_value(np.array([rank[c] for c in body]), len(symbols))
-        unit = -math.log10(max(p, 10.0 ** (-LAST_BIN / BINS_A_UNIT)))
-        yield {
-            "start": match.start(),
-            "end": match.end(),
-            "encoding": name,
-            "band": len(body).bit_length(),
-            "bin": min(LAST_BIN, int(unit * BINS_A_UNIT)),
-            "bits": len(body) * math.log2(len(symbols)),
-        }
+        whole = _tested(match.group(), match.start())
+        yield whole
+        if "/" in match.group() and whole["bin"] > -math.log10(PATH) * BINS_A_UNIT:
+            for piece in PIECE.finditer(text, *match.span()):
+                yield _tested(piece.group(), piece.start())
+
+
+def _tested(found: str, start: int) -> dict:
+    body = found.rstrip("=")
+    held = set(body)
+    k = next(i for i, s in enumerate(_SETS) if held <= s)  # the last holds all
+    name, symbols = ALPHABETS[k]
+    rank = _RANKS[k]
+    p = p_value(np.array([rank[c] for c in body]), len(symbols), _CLASSES[k])
+    unit = -math.log10(max(p, 10.0 ** (-LAST_BIN / BINS_A_UNIT)))
+    return {
+        "start": start,
+        "end": start + len(found),
+        "encoding": name,
+        "band": len(body).bit_length(),
+        "bin": min(LAST_BIN, int(unit * BINS_A_UNIT)),
+        "bits": len(body) * math.log2(len(symbols)),
+    }
 
 
 def base_spans(text: str) -> list[dict]:
@@ -172,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``spans`` (start, kind, end) of every document, by start, then kind."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = written(source.mapInArrow(_scanned, FOUND), "secrets")  # without the texts
-    limits = rejected_from(found).collect()  # at most one row for each of the ten alphabets and 32 lengths
+    limits = rejected_from(found).collect()  # at most one row for each of the alphabets and 32 lengths
     of_stratum = F.create_map(*(F.lit(x) for r in limits for x in (f"{r['encoding']}:{r['band']}", r["from_bin"]))).cast("map<string,int>")
     limit = lambda c: of_stratum[F.concat_ws(":", c["encoding"], c["band"].cast("string"))]
     random = F.filter("candidates", lambda c: (c["bits"] >= MIN_BITS) & (c["bin"] < F.coalesce(limit(c), F.lit(LAST_BIN + 1))))

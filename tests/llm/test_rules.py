@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -204,9 +205,50 @@ def test_tests_tell_random_from_other_strings():
     assert secret_scan.p_value(np.zeros(40, int), 16) < 1e-6
 
 
+def test_classes_tell_short_runs_of_prose_from_letters():
+    rng = np.random.default_rng(7)
+    for k, (_, symbols) in enumerate(secret_scan.ALPHABETS):
+        p = np.array([secret_scan.p_value(rng.integers(0, len(symbols), 40), len(symbols), secret_scan._CLASSES[k]) for _ in range(300)])
+        assert (p < 0.05).mean() < 0.09
+    for prose in ("incomprehensibilitiesareinternational", "Donaudampfschifffahrtsgesellschaft", "getUserAccountInformationFromServer", "usr/lib/python/site-packages/something"):
+        assert max(10 ** (-c["bin"] / secret_scan.BINS_A_UNIT) for c in secret_scan.candidates(prose) if c["bits"] >= secret_scan.MIN_BITS) < 0.05
+
+
+def test_candidates_equal_their_definition():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "B", "7", "=", "/", "_", "+", " ", "é", "x" * 9, "Q4z" * 5]) for _ in range(rng.randint(0, 30)))
+        spans, at = [], 0
+        while at < len(text):  # maximal runs, then up to two "="
+            end = at
+            while end < len(text) and re.match(r"[A-Za-z0-9+/_-]", text[end]):
+                end += 1
+            size, pad = end - at, 0
+            while pad < 2 and text[end + pad : end + pad + 1] == "=":
+                pad += 1
+            if size >= 20:
+                spans.append((at, end + pad))
+            at = max(end + (pad if size >= 20 else 0), at + 1)
+        found = [(c["start"], c["end"]) for c in secret_scan.candidates(text)]
+        assert set(spans) <= set(found)
+        pieces = set(found) - set(spans)
+        assert all(any(a <= p[0] and p[1] <= b for a, b in spans) and "/" not in text[slice(*p)] for p in pieces)
+
+
+def test_keys_behind_names_and_of_letters_alone_are_found(spark, prose):
+    rng = np.random.default_rng(9)
+    draw = lambda name, n: "".join(rng.choice(list(dict(secret_scan.ALPHABETS)[name]), n))
+    keys = ["AWS_SECRET_ACCESS_KEY=" + draw("base64", 40) for _ in range(40)] + [draw("letters", 40) for _ in range(40)]
+    plain = [f"/usr/lib/python3/dist-packages/{w}/configuration" for w in "numeric parser network storage".split()] + ["getUserAccountInformationFromServer", "incomprehensibilities"]
+    rows = [(i, f"{prose(i, 20)} {k} {prose(i + 50, 5)}") for i, k in enumerate(keys)] + [(100 + i, f"see {plain[i % 6]} now") for i in range(120)]
+    found = {r.doc_id: r for r in secret_scan.digests(secret_scan.scan(spark.createDataFrame(rows, "doc_id LONG, text STRING"))).collect()}
+    assert sum(f":{rows[i][1].index(keys[i]) + (22 if i < 40 else 0)}:" in found[i].spans for i in range(80)) >= 72
+    assert sum(found[100 + i].n_random > 0 for i in range(120)) <= 6
+
+
 def test_random_keys_are_found_in_the_corpus(spark, prose):
     rng = np.random.default_rng(2)
-    symbols = np.array(list(secret_scan.ALPHABETS[7][1]))
+    symbols = np.array(list(dict(secret_scan.ALPHABETS)["base64"]))
     keys = ["".join(rng.choice(symbols, 40)) for _ in range(30)]
     plain = ["order-number-1234567890123456-aaaa" + "0" * 12 + str(i) for i in range(300)]
     rows = [(i, f"{prose(i, 20)} {k} {prose(i + 50, 5)}") for i, k in enumerate(keys)] + [(100 + i, f"see {p} now") for i, p in enumerate(plain)]
