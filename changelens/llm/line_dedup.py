@@ -1,10 +1,12 @@
 """Line deduplication by a segment-partition edit join.
 
-A line is what lies between ``\\n``; lines of fewer than ``LEAST_BYTES`` bytes are left alone. Two lines link when
-their UTF-8 bytes are within ``EDITS`` edits; linked lines, directly or by others, are one class, and of a class
-the first occurrence in the corpus stays, by ``doc_id`` (null last), hash of the text and line number.
+A line is what lies between ``\\n``; lines without a word are left alone. Two lines link when they are equal, or when both
+have ``LEAST_CHARS`` characters or more and are within ``EDITS`` edits of characters (code points); linked lines,
+directly or by others, are one class, and of a class the first occurrence in the corpus stays, by ``doc_id`` (null
+last), hash of the text and line number.
 
-1. A line of length l is cut into ``EDITS + 1`` segments. Of two lines within the distance, the longer one holds a
+1. A line of length l is cut into ``EDITS + 1`` segments; a line of fewer than ``LEAST_CHARS`` has no keys, and is in a
+   class with its equals alone. Of two lines within the distance, the longer one holds a
    segment of the shorter one unchanged, and only a few places come into question for each length and
    segment. A line's keys are hashes of all those substrings, with length and number of the segment.
 2. :mod:`shared_keys` tells the lines which of their keys other lines hold. Lines that share keys, directly or by
@@ -12,7 +14,7 @@ the first occurrence in the corpus stays, by ``doc_id`` (null last), hash of the
 3. The texts of lines in clusters alone are gathered, past a bitmap of fixed size that lets few others by, and
    candidates are verified by banded bit-parallel edit distance, many pairs to a vector, in tasks of bounded size.
 
-Null texts stay null and have no lines; empty texts and blank lines stay. Rows equal in ``doc_id`` and text are one
+Null texts stay null and have no lines; empty texts and blank lines stay. Long lines are taken whole. Rows equal in ``doc_id`` and text are one
 document and keep the same lines. Other columns are passed on whatever their names, but ``n_chars``, where there is
 one, follows a text that has changed. An empty table gives an empty result.
 """
@@ -34,14 +36,14 @@ from changelens.llm.shared_keys import Chunk, shared_keys
 from changelens.storage import written
 
 EDITS = 2
-LEAST_BYTES = 16
+LEAST_CHARS = 16
 #: Keys of a line: the places of its segments over all lengths.
 KEYS_A_LINE = 12
 MEAN_LINE = 200
 #: Words of 64 bits in the bitmap that is sent to all tasks (8 MB).
 BITMAP_WORDS = 1 << 20
-#: Pairs whose distances are found together, and bytes of their lines.
-PAIRS, PAIR_BYTES = 100_000, 8 << 20
+#: Pairs whose distances are found together, and characters of their lines.
+PAIRS, PAIR_CHARS = 100_000, 4 << 20
 #: Lines that share a key of which all pairs are taken, if they are not in one class already.
 SMALL_RUN = 32
 
@@ -50,9 +52,10 @@ def lines_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(starts, ends, rows, numbers within the row) of the lines that are looked at."""
     ends_of_line = text == 0x0A
     starts, ends = texts.runs(~ends_of_line, bounds)
-    long = ends - starts >= LEAST_BYTES
-    starts, ends = starts[long], ends[long]
     before = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(~texts.SPACE[text], out=before[1:])
+    some = before[ends] > before[starts]
+    starts, ends = starts[some], ends[some]
     np.cumsum(ends_of_line, out=before[1:])
     row = np.searchsorted(bounds, starts, "right") - 1
     return starts, ends, row, before[starts] - before[bounds[row]]
@@ -64,9 +67,12 @@ def segment_keys(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     while first < len(starts):
         low = int(starts[first])
         last = max(first + 1, int(np.searchsorted(ends, low + texts.HASH_BYTES // 2, "right")))
-        hashed = texts.Substrings(text[low : int(ends[last - 1])])
-        own, length = starts[first:last] - low, ends[first:last] - starts[first:last]
-        number = np.arange(first, last)
+        part = text[low : int(ends[last - 1])]
+        hashed = texts.Substrings(part)
+        at_char = np.append(np.flatnonzero(texts.LEAD[part]), len(part))  # byte of each character
+        own, beyond = (np.searchsorted(at_char, x[first:last] - low) for x in (starts, ends))
+        number = first + np.flatnonzero(beyond - own >= LEAST_CHARS)
+        own, length = own[number - first], (beyond - own)[number - first]
         for shorter in range(EDITS + 1):
             of = length - shorter
             for segment in range(EDITS + 1):
@@ -78,7 +84,9 @@ def segment_keys(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
                     at = place + shift
                     fits = np.flatnonzero((at >= 0) & (at + size <= length))
                     lines.append(number[fits])
-                    keys.append(texts.mixed(hashed(own[fits] + at[fits], size[fits]) ^ salt[fits]))
+                    begin = own[fits] + at[fits]
+                    byte = at_char[begin]
+                    keys.append(texts.mixed(hashed(byte, at_char[begin + size[fits]] - byte) ^ salt[fits]))
         first = last
     if not lines:
         return np.empty(0, np.int64), np.empty(0, texts.U64)
@@ -155,8 +163,9 @@ def distances(lines: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
     n = len(a)
     rows, columns = (np.array([len(lines[i]) for i in x]) for x in (a, b))
     longest = int(max(rows.max(), columns.max()))
-    pattern = np.full((longest + 3 * EDITS + 2, n), 0x0A, np.uint8)  # no line holds this byte
-    along = np.full((longest, n), 0x0B, np.uint8)
+    kind = np.result_type(*{lines[i].dtype for x in (a, b) for i in x.tolist()})
+    pattern = np.full((longest + 3 * EDITS + 2, n), 0x0A, kind)  # no line holds this character
+    along = np.full((longest, n), 0x0B, kind)
     for k in range(n):
         pattern[EDITS : EDITS + rows[k], k] = lines[a[k]]
         along[: columns[k], k] = lines[b[k]]
@@ -181,18 +190,26 @@ def distances(lines: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
     return distance
 
 
+def characters(line: bytes) -> np.ndarray:
+    """Code points of a line, in bytes where all are below 128."""
+    if line.isascii():
+        return np.frombuffer(line, np.uint8)
+    return np.frombuffer(line.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _links(table: pa.Table) -> np.ndarray:
     """Classes of lines within ``EDITS`` edits, directly or by others."""
-    lines = [np.frombuffer(b, np.uint8) for b in table.column("line").to_pylist()]
-    n = len(lines)
+    encoded = table.column("line").to_pylist()
+    n = len(encoded)
+    ends = np.cumsum([len(x) for x in encoded])
+    line, keys = _distinct(*segment_keys(np.frombuffer(b"".join(encoded), np.uint8), np.append(0, ends[:-1]), ends))
+    lines = [characters(x) for x in encoded]
+    del encoded
     lengths = np.array([len(x) for x in lines])
-    ends = np.cumsum(lengths)
-    text = np.concatenate(lines)
-    line, keys = _distinct(*segment_keys(text, ends - lengths, ends))
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
     held = np.diff(edges)
     histogram = np.zeros((n, 32), np.int32)
-    np.add.at(histogram, (np.repeat(np.arange(n), lengths), text & 31), 1)
+    np.add.at(histogram, (np.repeat(np.arange(n), lengths), np.concatenate(lines) & 31), 1)
     sets = Sets(n)
 
     tested = np.empty(0, np.int64)
@@ -212,7 +229,7 @@ def _links(table: pa.Table) -> np.ndarray:
         at = 0
         while at < len(a):
             longest = lengths[a[at : at + PAIRS]] + EDITS  # they ascend
-            fit = np.searchsorted(longest * np.arange(1, len(longest) + 1), PAIR_BYTES, "right")
+            fit = np.searchsorted(longest * np.arange(1, len(longest) + 1), PAIR_CHARS, "right")
             end = at + max(1, int(fit))
             hit = distances(lines, a[at:end], b[at:end]) <= EDITS
             for x, y in zip(a[at:end][hit].tolist(), b[at:end][hit].tolist(), strict=True):

@@ -122,8 +122,10 @@ def test_banded_distances():
     rng = random.Random(4)
     lines = ["".join(rng.choice("abcd e") for _ in range(rng.randint(16, 50))) for _ in range(40)]
     pairs = [(x, changed(rng, x, rng.randrange(5))) for x in lines for _ in range(10)] + [(x, y) for x in lines for y in lines]
-    pairs = [(a.encode(), b.encode()) for a, b in pairs if abs(len(a) - len(b)) <= line_dedup.EDITS and len(b) >= 16]
-    all_lines = [np.frombuffer(x, np.uint8) for p in pairs for x in p]
+    pairs += [(x.replace("a", "é").replace("b", "語"), y.replace("a", "é")) for x, y in pairs]
+    pairs = [(a, b) for a, b in pairs if abs(len(a) - len(b)) <= line_dedup.EDITS and len(b) >= 16]
+    all_lines = [line_dedup.characters(x.encode()) for p in pairs for x in p]
+    assert {x.dtype.itemsize for x in all_lines} == {1, 4}
     got = line_dedup.distances(all_lines, np.arange(0, len(all_lines), 2), np.arange(1, len(all_lines), 2))
     for (a, b), d in zip(pairs, got, strict=True):
         assert min(d, 3) == min(edit_distance(a, b), 3)
@@ -132,23 +134,24 @@ def test_banded_distances():
 def test_segment_keys_lose_no_pair():
     rng = random.Random(6)
     for _ in range(400):
-        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(16, 80)))
+        a = "".join(rng.choice("abcdeé語🙂 ") for _ in range(rng.randint(16, 80)))
         b = changed(rng, a, rng.randrange(3))
         if len(b) < 16 or edit_distance(a, b) > 2:
             continue
-        text, bounds = texts.utf8(pa.array([a, b]))
+        text, bounds = texts.utf8(pa.array([a, b, "too short"]))
         line, keys = line_dedup.segment_keys(text, bounds[:-1], bounds[1:])
+        assert line.max() < 2
         assert np.intersect1d(keys[line == 0], keys[line == 1]).size
 
 
 def brute_dedup(rows):
     """New texts of rows (id, text), whose ids are in order and distinct."""
-    seen = [(i, k, line) for i, text in rows for k, line in enumerate((text or "").split("\n")) if len(line.encode()) >= 16]
+    seen = [(i, k, line) for i, text in rows for k, line in enumerate((text or "").split("\n")) if line.strip()]
     sets = components.Sets(len(seen))
     for x in range(len(seen)):
         for y in range(x):
-            a, b = seen[x][2].encode(), seen[y][2].encode()
-            if a == b or abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            a, b = seen[x][2], seen[y][2]
+            if a == b or min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
                 sets.join(x, y)
     gone = {(i, k) for (i, k, _), root, x in zip(seen, sets.roots(), range(len(seen)), strict=True) if root != x}
     return {i: text if text is None else "\n".join(line for k, line in enumerate(text.split("\n")) if (i, k) not in gone) for i, text in rows}
@@ -165,6 +168,8 @@ def shared_lines():
         own = [line(rng.randint(1, 7)) for _ in range(4)] + [changed(rng, rng.choice(common), rng.randrange(4)) for _ in range(2)] + ["", "  "]
         rng.shuffle(own)
         rows.append((i, "\n".join(own)))
+    chinese = "".join(rng.choice("日本語文字列東京大阪") for _ in range(20))
+    rows += [(70, chinese), (71, chinese[:7] + "山川" + chinese[9:]), (72, "Read more\n" + chinese[1:]), (73, "Read more\nRead mores\n五字以下行"), (74, "五字以下行\nRead more")]
     return rows + [(100, rows[0][1]), (101, ""), (102, None), (103, common[0]), (104, "\n" + common[0] + "\n" + common[0])]
 
 
@@ -186,4 +191,4 @@ def test_cleaned_lines_of_odd_rows(spark, odd_documents):
     copy = odd_documents.filter("doc_id IN (9, 12)").unionByName(odd_documents.filter("doc_id = 9").drop("doc_id").selectExpr("20 AS doc_id", "*"))
     left = {r.doc_id: r.text for r in line_dedup.clean(copy).collect()}
     assert len(left[9]) > 0.9 * len(odd_documents.filter("doc_id = 9").first().text)
-    assert all(len(line.encode()) < line_dedup.LEAST_BYTES for line in left[20].split("\n"))
+    assert 20 not in left  # no word is left of it
