@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm import texts
 from changelens.storage import written
 
 #: Weight (entries or bytes) of the nodes that one task compares.
@@ -96,7 +97,7 @@ def linked(
             to.append(least[of])
         return pa.table({"node": node, "root": np.concatenate(to)})
 
-    found = written(tasked.groupBy("_a", "_b", "_c").applyInArrow(run, "node LONG, root LONG"), "linked")
+    found = written(tasked.groupBy("_a", "_b", "_c").applyInArrow(texts.group_then_give_back(run), "node LONG, root LONG"), "linked")
     if not heavy:
         return found
     return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b"))

@@ -240,7 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty = Automaton([(None, np.zeros(1, texts.U64))], WINDOW)
     for automaton in blocks(benchmark) if benchmark is not None else ():
         found = found if first else written(found, "hits")
-        found, first = found.mapInArrow(_scanned(spark.sparkContext.broadcast(automaton)), schema), False
+        found, first = found.mapInArrow(texts.then_give_back(_scanned(spark.sparkContext.broadcast(automaton))), schema), False
     return found.mapInArrow(_scanned(spark.sparkContext.broadcast(empty)), schema) if first else found
 
 
@@ -313,7 +313,7 @@ def _clean_by_rounds(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if "n_chars" in columns:
             kind = docs.schema["n_chars"].dataType
             doc = doc.withField("n_chars", F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("doc.n_chars")))
-        cut, n = written_counting(found.mapInArrow(_cut_once, schema).select(doc.alias("doc"), "changed"), "cut", changed=F.col("changed"))
+        cut, n = written_counting(found.mapInArrow(texts.then_give_back(_cut_once), schema).select(doc.alias("doc"), "changed"), "cut", changed=F.col("changed"))
         same = cut.filter("NOT changed").select("doc.*")
         settled = same if settled is None else settled.unionByName(same)
         if not n["changed"]:

@@ -295,7 +295,7 @@ def _removed(docs: DataFrame) -> DataFrame:
     answers = shared_keys(source, _extract, n_bytes * KEYS_A_LINE // MEAN_LINE)
     cluster = clusters(answers.assembled("key LONG, node LONG", _candidates))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(cluster))
-    lines = source.select("text").mapInArrow(_texts_of_lines(bits), "node LONG, size LONG, line BINARY")
+    lines = source.select("text").mapInArrow(texts.then_give_back(_texts_of_lines(bits)), "node LONG, size LONG, line BINARY")
     of_cluster = lines.join(cluster.select("node"), "node", "left_semi")
     roots = linked(of_cluster, cluster, "size", ["line"], _links, together=True)
 
@@ -317,7 +317,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
     joined = whole.join(_removed(docs), ["unnamed", "id", "h"], "left").select("doc", "gone")
     schema = T.StructType([joined.schema["doc"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(_cleaned, schema)
+    return joined.mapInArrow(texts.then_give_back(_cleaned), schema)
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -126,7 +126,6 @@ def _packed(vocabulary_path: str, end_id: int, length: int):
                         yield from packer.place(doc_id, 0, ids[a:b], b - a)
 
         yield from _emitted(task, task << 32, emitted(), packer)
-        texts.give_back()
 
     return run
 
@@ -163,13 +162,13 @@ def _merged(round_: int, length: int):
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int, length: int = 1024) -> DataFrame:
     """Sequences of ``docs``: ``sequence_id``, ``ids`` (at most ``length``), ``pieces`` in their order in ``ids``."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    level = written(source.mapInArrow(_packed(vocabulary_path, end_id, length), SCHEMA), "packed")
+    level = written(source.mapInArrow(texts.then_give_back(_packed(vocabulary_path, end_id, length)), SCHEMA), "packed")
     tables, round_ = [level.filter("full")], 0
     rest = level.filter("NOT full")
     while (top := rest.agg(F.max("task")).first()[0]) is not None:
         round_ += 1
         group = F.floor(F.col("task") / MERGED)
-        level = written(rest.groupBy(group.alias("merged_by")).applyInArrow(_merged(round_, length), SCHEMA), "merged")
+        level = written(rest.groupBy(group.alias("merged_by")).applyInArrow(texts.group_then_give_back(_merged(round_, length)), SCHEMA), "merged")
         if top < MERGED:  # one task has merged all
             tables.append(level)
             break

@@ -182,11 +182,10 @@ def measures(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").slice(row, end - row), *map(pa.array, found.values())], names=["doc", *found]
                 )
-        texts.give_back()
 
     source = docs.select(F.struct(*docs.columns).alias("doc"))  # the text is in there, and sent once
     columns = [T.StructField(name, KINDS[kind]) for name, kind in MEASURES.items()]
-    return source.mapInArrow(run, T.StructType([source.schema["doc"], *columns]))
+    return source.mapInArrow(texts.then_give_back(run), T.StructType([source.schema["doc"], *columns]))
 
 
 #: Which documents have a band together, in the order in which bands are looked for.

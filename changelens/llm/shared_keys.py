@@ -104,7 +104,6 @@ def _sent(extract: Callable[[pa.RecordBatch], Iterator[Chunk]], n_buckets: int):
             for chunk in extract(batch):
                 yield from _rows(chunk, chunk_id, n_buckets)
                 chunk_id += 1
-        texts.give_back()
 
     return run
 
@@ -150,7 +149,7 @@ def _rows(chunk: Chunk, chunk_id: int, n_buckets: int) -> Iterator[pa.RecordBatc
 
 
 def _counted(n_buckets: int):
-    def run(group: tuple, table: pa.Table) -> pa.Table:
+    def count(group: tuple, table: pa.Table) -> pa.Table:
         answer = {"chunk": table.column("chunk"), "keys": table.column("keys")}
         if group[0].as_py() >= n_buckets:
             n = [int.from_bytes(b[1:9], "little") for b in table.column("docs").to_pylist()]
@@ -171,6 +170,9 @@ def _counted(n_buckets: int):
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         return _answered(keys, docs, where, edges, chunks)
 
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        return texts.group_then_give_back(lambda own: count(group, own))(table)
+
     return run
 
 
@@ -223,11 +225,11 @@ class Answers:
             return select(nodes, sizes, docs, take("keys", _ascending), take("classes", unpacked))
 
         needed = self.table.select("chunk", "keys", "classes", "docs", "nodes", "sizes")
-        return needed.groupBy("chunk").applyInArrow(run, schema)
+        return needed.groupBy("chunk").applyInArrow(texts.group_then_give_back(run), schema)
 
 
 def shared_keys(source: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[Chunk]], n_entries: int) -> Answers:
     """Ask for all keys that ``extract`` makes of the batches of ``source``; ``n_entries`` is about their number."""
     n_buckets = buckets_for(n_entries)
-    sent = source.mapInArrow(_sent(extract, n_buckets), _SENT)
+    sent = source.mapInArrow(texts.then_give_back(_sent(extract, n_buckets)), _SENT)
     return Answers(written(sent.groupBy("bucket").applyInArrow(_counted(n_buckets), _ANSWER), "shared"))

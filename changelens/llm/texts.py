@@ -7,7 +7,7 @@ pattern ``[^\\x20\\x09-\\x0D]+`` on code points. Work arrays hold a few megabyte
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,13 +30,35 @@ LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
 def give_back() -> None:
-    """Return freed memory to the system at the end of a task: workers live on and other tasks need it."""
+    """Return freed memory to the system: workers live on, and other tasks need it."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim is not None:
         trim(0)
 
 
+def then_give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` over the batches of a partition; afterwards what it has freed is given back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def group_then_give_back(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` of a group; afterwards what it has freed is given back."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return whole
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and the ``len + 1`` bounds of the texts; null is empty."""
     if column.null_count:
