@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm import texts, vocabulary
+from changelens.llm.batches import small_batches
 from changelens.storage import written
 
 OPEN = 32
@@ -162,7 +163,8 @@ def _merged(round_: int, length: int):
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int, length: int = 1024) -> DataFrame:
     """Sequences of ``docs``: ``sequence_id``, ``ids`` (at most ``length``), ``pieces`` in their order in ``ids``."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    level = written(source.mapInArrow(texts.then_give_back(_packed(vocabulary_path, end_id, length)), SCHEMA), "packed")
+    with small_batches(docs.sparkSession):
+        level = written(source.mapInArrow(texts.then_give_back(_packed(vocabulary_path, end_id, length)), SCHEMA), "packed")
     tables, round_ = [level.filter("full")], 0
     rest = level.filter("NOT full")
     while (top := rest.agg(F.max("task")).first()[0]) is not None:

@@ -19,16 +19,16 @@ other columns are passed on as they are, whatever their names. An empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelens.llm import texts, vocabulary
+from changelens.llm.batches import small_batches
 from changelens.storage import written
 
 MIN_WORDS = 10
@@ -37,11 +37,8 @@ WINDOW = 5
 SHORT_TOKENS = 50
 #: Words that a worker remembers; other stages run in the same workers.
 REMEMBERED = 150_000
-#: Bytes of text measured together, and bytes and rows of an Arrow batch of whole documents.
+#: Bytes of text measured together.
 SLICE_BYTES = 2 << 20
-BATCH_BYTES = 4 << 20
-BATCH_ROWS = 2000
-_MAX_BYTES, _MAX_RECORDS = (f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Bytes", "Records"))
 
 #: Robust standard deviations below and above the median (None: no limit), and the least that one counts.
 SPREADS = {"chars_per_token": (3.5, 3.5), "byte_share": (None, 4.0), "entropy": (3.0, None)}
@@ -246,19 +243,6 @@ def quality(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     return judged(found, bands(found))
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of ``BATCH_BYTES`` while a job is run: whole documents go to Python and back."""
-    before = {name: spark.conf.get(name, None) for name in (_MAX_BYTES, _MAX_RECORDS)}
-    spark.conf.set(_MAX_BYTES, str(BATCH_BYTES))
-    spark.conf.set(_MAX_RECORDS, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 def _declared(field: T.StructField) -> Column:
     """A column that was written, under the field it came from: tables read back allow nulls in every column, of which this
     one has none if the field allows none."""
@@ -271,6 +255,6 @@ def _declared(field: T.StructField) -> Column:
 def keep(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged. Texts are measured once: the rows are written with their
     measures, from which the bands are made and the rows are judged."""
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         found = written(measures(docs, vocabulary_path), "measured")
     return judged(found, bands(found)).filter("kept").select(*map(_declared, docs.schema.fields))

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from changelens.llm import texts
+from changelens.llm.batches import small_batches
 from changelens.storage import written
 
 FREQUENT = 16
@@ -232,4 +233,5 @@ def shared_keys(source: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[
     """Ask for all keys that ``extract`` makes of the batches of ``source``; ``n_entries`` is about their number."""
     n_buckets = buckets_for(n_entries)
     sent = source.mapInArrow(texts.then_give_back(_sent(extract, n_buckets)), _SENT)
-    return Answers(written(sent.groupBy("bucket").applyInArrow(_counted(n_buckets), _ANSWER), "shared"))
+    with small_batches(source.sparkSession):
+        return Answers(written(sent.groupBy("bucket").applyInArrow(_counted(n_buckets), _ANSWER), "shared"))
