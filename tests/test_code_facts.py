@@ -82,6 +82,16 @@ def test_complexity_equals_a_walk_per_function():
         assert [(f["name"], f["complexity"]) for f in read_facts(code)["functions"]] == walked
 
 
+def test_walk_passes_leaves_by(monkeypatch):
+    """Names, constants, operators and the like are no entries of the walk; a pattern ``None`` or ``True`` is no node at all."""
+    code = "def f(x=a or b):\n    match x:\n        case None | True if x and a and b:\n            import os\n    class C(m.B, D): pass\n"
+    with monkeypatch.context() as m:
+        m.setattr(ast, "iter_child_nodes", None)  # yields every leaf
+        facts = read_facts(code)
+    assert facts["error_kind"] is None and facts["functions"][0]["complexity"] == 4
+    assert facts["imports"][0]["module"] == "os" and facts["classes"][0]["base_classes"] == ["m.B", "D"]
+
+
 def test_errors_and_odd_texts(change):
     deep = "x = " + "-" * 100_000 + "1"
     facts = cf.code_facts(change({
