@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,19 @@ def test_reviews_by_event_do_not_depend_on_the_batches(spark, tmp_path, capsys,
     capsys.readouterr()
     event_reviews.of_repositories(tables["contents"], ["org/r", "org/s"]).explain("formatted")
     assert "PartitionFilters: [repo#" in capsys.readouterr().out
+
+
+def test_changes_share_groups_of_the_state():
+    """One call numbers the events of several changes, each from its own number before."""
+    class State:
+        exists, get = True, ('{"b": 2}',)
+
+        def update(self, value):
+            self.get = value
+
+    state = State()
+    parts = [[(5, 3, "a"), (1, 1, "b")], [(2, 2, "a"), (9, 3, "b"), (4, 3, "c")]]
+    frames = [pd.DataFrame([(e, pd.Timestamp(2024, 1, ts), c, 7) for e, ts, c in part], columns=["event_id", "ts", "change", "changes"]) for part in parts]
+    found = pd.concat(event_reviews._numbered((7,), iter(frames), state))
+    assert dict(zip(found["event_id"], found["run"])) == {2: 1, 5: 2, 1: 3, 9: 4, 4: 1}
+    assert json.loads(state.get[0]) == {"a": 2, "b": 4, "c": 1}
