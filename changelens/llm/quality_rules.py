@@ -77,7 +77,7 @@ def _pieces(path: str) -> tuple[vocabulary.Remembered, np.ndarray]:
 
     model = SentencePieceProcessor(model_file=path)
     is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    return vocabulary.Remembered(lambda words: model.encode(words, num_threads=1), REMEMBERED), is_byte
+    return vocabulary.Remembered(vocabulary.one_by_one(lambda words: model.encode(words, num_threads=1)), REMEMBERED), is_byte
 
 
 def _repeated_within(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:

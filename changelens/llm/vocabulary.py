@@ -3,8 +3,8 @@
 A public tokenizer first cuts a text into words and then encodes each word alone, so a text may be cut
 beforehand wherever its own rules always cut: before white space that follows something else, and before
 a mark of punctuation that follows a letter. The pieces of a batch are made distinct by Arrow, the new ones
-are encoded by the tokenizers library, and the ids are put together with numpy. The ids are those of
-encoding each text whole.
+are encoded by the tokenizers library, many to a call where that cannot matter, and the ids are put together
+with numpy. The ids are those of encoding each text whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from changelens.llm import texts
 
@@ -22,6 +23,11 @@ from changelens.llm import texts
 REMEMBERED = 600_000
 #: Pieces handed to the tokenizer at once, which bounds the memory of its answers.
 ENCODED_AT_ONCE = 4096
+#: Pieces of one string, between which a character stands that is cut off as a word of its own.
+JOINED = 256
+BETWEEN = "\x01"
+#: Pieces that may stand in such a string: no rule joins their first or last character to the one between.
+_JOINABLE = r"\A([ 0-9A-Za-z][^\x01]*)?[0-9A-Za-zÀ-ÖØ-öø-ÿ]\z"
 
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
@@ -63,10 +69,53 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int32)
+
+
+def one_by_one(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[pa.Array], Ids]:
+    """Of an ``encode`` from strings to lists of ids: from pieces to (ids of all, number of ids of each)."""
+
+    def run(pieces: pa.Array) -> Ids:
+        found = encode(pieces.to_pylist())
+        return _flat(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    return run
+
+
+def joined(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[pa.Array], Ids]:
+    """As :func:`one_by_one`, with ``JOINED`` pieces to a string: an answer for each piece costs as much as its ids. Pieces
+    that might merge with what stands between are encoded alone, and all are if that is not an id of its own."""
+    alone = one_by_one(encode)
+    a, mark, b, both = encode(["a", BETWEEN, " b", f"a{BETWEEN} b{BETWEEN}"])
+    if len(mark) != 1 or both != [*a, *mark, *b, *mark]:
+        return alone
+
+    def run(pieces: pa.Array) -> Ids:
+        fits = pc.match_substring_regex(pieces, _JOINABLE)
+        some = pieces.filter(fits).to_pylist()
+        ids = _flat(encode([BETWEEN.join(some[at : at + JOINED]) + BETWEEN for at in range(0, len(some), JOINED)]))
+        ends = np.flatnonzero(ids == mark[0])
+        if len(ends) != len(some):
+            return alone(pieces)
+        other_ids, other_lengths = alone(pieces.filter(pc.invert(fits)))
+        fits = fits.to_numpy(zero_copy_only=False)
+        lengths = np.empty(len(pieces), np.int64)
+        lengths[fits], lengths[~fits] = np.diff(ends, prepend=-1) - 1, other_lengths
+        out, of_fitting = np.empty(int(lengths.sum()), np.int32), np.repeat(fits, lengths)
+        out[of_fitting], out[~of_fitting] = ids[ids != mark[0]], other_ids
+        return out, lengths
+
+    return run
+
+
 class Remembered:
-    """Ids by piece of text, sorted by the piece's hash; ``encode`` turns a list of pieces into lists of ids."""
+    """Ids by piece of text, sorted by the piece's hash; ``encode`` gives the ids of pieces and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED) -> None:
+    def __init__(self, encode: Callable[[pa.Array], Ids], most: int = REMEMBERED) -> None:
         self.encode, self.most = encode, most
         self._forget()
 
@@ -77,10 +126,10 @@ class Remembered:
     def _learn(self, keys: np.ndarray, pieces: pa.Array) -> None:
         lengths, ids = [], [self.ids]
         for at in range(0, len(pieces), ENCODED_AT_ONCE):
-            found = self.encode(pieces[at : at + ENCODED_AT_ONCE].to_pylist())
-            lengths += map(len, found)
-            ids.append(np.fromiter(chain.from_iterable(found), np.int32))
-        lengths = np.array(lengths, np.int64)
+            found, of_each = self.encode(pieces[at : at + ENCODED_AT_ONCE])
+            ids.append(found)
+            lengths.append(of_each)
+        lengths = np.concatenate(lengths)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate(ids)
         keys = np.concatenate([self.keys, keys])
@@ -97,13 +146,15 @@ class Remembered:
         pieces = tiles.dictionary
         own, own_bounds = texts.utf8(pieces)
         keys = texts.span_hashes(own, own_bounds[:-1], own_bounds[1:])
-        new = self.keys[self._places(keys)] != keys if len(self.keys) else np.ones(len(keys), bool)
+        place = self._places(keys)
+        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
         if len(self.keys) + int(new.sum()) > self.most:
             self._forget()
             new[:] = True
         if new.any():
             self._learn(keys[new], pieces.filter(pa.array(new)).cast(pa.large_string()))
-        piece = self._places(keys)[tiles.indices.to_numpy(zero_copy_only=False)]
+            place = self._places(keys)
+        piece = place[tiles.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[piece]
         bounds = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=bounds[1:])
@@ -121,7 +172,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         encode = tokenizer(path).encode_batch_fast
-        self.pieces = Remembered(lambda some: [e.ids for e in encode(some, add_special_tokens=False)])
+        self.pieces = Remembered(joined(lambda some: [e.ids for e in encode(some, add_special_tokens=False)]))
 
     def encode(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ``len(bounds)`` bounds of the texts in them)."""

@@ -40,6 +40,31 @@ def test_ids_are_the_same_when_the_encoder_forgets(monkeypatch, prose):
         assert ids.tolist() + [0] == whole_ids(FILES[1], [text], 0)[0]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_distinct_pieces_are_encoded_many_to_a_string(name):
+    handed = []
+    encode = vocabulary.tokenizer(public_tokenizers.path(name)).encode_batch_fast
+
+    def counted(some):
+        handed.append(len(some))
+        return [e.ids for e in encode(some, add_special_tokens=False)]
+
+    odd = [" ", "\x01", " a\x01b", ",", "...", " it's", "'s", "\u0301a", " e\u0301", "  two", "\n\nñ", " ¿qué", "É", " x!", " <|endoftext|>", "<|endoftext|>a"]
+    pieces = pa.array([f" w{i}" for i in range(2000)] + odd, pa.large_string())
+    run = vocabulary.joined(counted)
+    handed.clear()
+    ids, lengths = run(pieces)
+    assert sum(handed) < 50
+    alone = [e.ids for e in encode(pieces.to_pylist(), add_special_tokens=False)]
+    assert lengths.tolist() == [len(some) for some in alone] and ids.tolist() == [i for some in alone for i in some]
+
+
+def test_pieces_are_encoded_alone_where_strings_would_differ():
+    pieces = pa.array(["ab", " c"], pa.large_string())
+    ids, lengths = vocabulary.joined(lambda some: [[*s.encode(), 0] for s in some])(pieces)
+    assert ids.tolist() == [97, 98, 0, 32, 99, 0] and lengths.tolist() == [3, 3]
+
+
 def test_store_holds_all_documents_in_order(spark, odd_documents):
     store = token_store.write_tokens(odd_documents, public_tokenizers.path(FILES[0]), end_id=2)
     found = sorted(store.documents().collect(), key=lambda r: r.start)
