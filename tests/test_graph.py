@@ -302,6 +302,15 @@ def test_project_filter_by_prefix(change, monkeypatch, hot_rows):
     assert {d for s, d in _pairs(graph) if s == "probe"} == set(names) - {"abc", "c", "os"}
 
 
+def test_small_changes_are_not_searched_for_hot_names(change, monkeypatch):
+    def searched(*_):
+        raise AssertionError("a change of few imports has no hot name")
+
+    monkeypatch.setattr(import_graph, "hot_keys", searched)
+    graph = _graph(change, {"a.py": "import b, os", "./a.py": "import b, json", "b.py": "import os, a.c"})
+    assert [(e.src, e.dst) for e in graph.edges.orderBy("src").collect()] == [("a", "b"), ("b", "a.c")]
+
+
 def test_nodes_include_names_that_are_no_file(change):
     graph = _graph(change, {"pkg.py": "", "a.py": "import pkg.sub"})
     assert _pairs(graph) == {("a", "pkg.sub")}
