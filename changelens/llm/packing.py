@@ -70,7 +70,7 @@ class Packer:
                     start, ids = start + gap, ids[gap:]
                 yield window
                 continue
-            window.append((doc_id, start, ids, doc_tokens))
+            window.append((doc_id, start, ids.copy(), doc_tokens))  # an open window does not hold the ids of a whole slice
             if used + len(ids) == self.length:
                 yield window
             else:
@@ -82,9 +82,12 @@ class Packer:
 
 
 def _batch(task: int, full: bool, first: int, windows: list[list]) -> pa.RecordBatch:
-    pieces = [[{"doc_id": d, "start": s, "length": len(x), "doc_tokens": n} for d, s, x, n in w] for w in windows]
-    ids = [np.concatenate([x for _, _, x, _ in w]) for w in windows]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = [piece for window in windows for piece in window]
+    names, starts, ids, tokens = zip(*flat, strict=True)
+    of_window = np.concatenate([[0], np.cumsum([len(w) for w in windows])])
+    lengths = [len(x) for x in ids]
+    piece = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (names, starts, lengths, tokens)], fields=list(PIECE))
+    at = np.concatenate([[0], np.cumsum(lengths)])[of_window].astype(np.int32)
     n = len(windows)
     return pa.RecordBatch.from_arrays(
         [
@@ -92,7 +95,7 @@ def _batch(task: int, full: bool, first: int, windows: list[list]) -> pa.RecordB
             pa.array([full] * n),
             pa.array(first + np.arange(n)),
             pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids))),
-            pa.array(pieces, pa.list_(PIECE)),
+            pa.ListArray.from_arrays(pa.array(of_window.astype(np.int32)), piece),
         ],
         names=[name for name, _ in COLUMNS],
     )
@@ -184,18 +187,19 @@ def placements(sequences: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            lists = batch.column("ids")
+            lists, pieces = batch.column("ids"), batch.column("pieces")
             ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            starts = lists.offsets.to_numpy()
-            for number, at, pieces in zip(batch.column("sequence_id").to_pylist(), starts[:-1].tolist(), batch.column("pieces").to_pylist(), strict=True):
-                offset = 0
-                for p in pieces:
-                    n = p["length"]
-                    rows.append((p["doc_id"], p["start"], n, zlib.crc32(ids[at + offset : at + offset + n].data), p["doc_tokens"], number, offset))
-                    offset += n
+            of_window = pieces.offsets.to_numpy().astype(np.int64)
+            own = pieces.flatten()
+            doc_id, start, length, doc_tokens = (own.field(n) for n in ("doc_id", "start", "length", "doc_tokens"))
+            n = length.to_numpy().astype(np.int64)
+            number = np.repeat(np.arange(len(batch)), np.diff(of_window))
+            before = np.cumsum(n) - n  # pieces lie in their sequences without gaps
+            offset = before - before[(of_window[:-1] - of_window[0])[number]] if len(n) else before
+            at = lists.offsets.to_numpy()[:-1].astype(np.int64)[number] + offset
+            crcs = np.fromiter((zlib.crc32(ids[a:b].data) for a, b in zip(at.tolist(), (at + n).tolist(), strict=True)), np.int64, len(n))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
+            columns = [doc_id, start, length, pa.array(crcs), doc_tokens, batch.column("sequence_id").take(pa.array(number)), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return sequences.mapInArrow(run, "doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, offset LONG")

@@ -2,7 +2,7 @@
 
 A public tokenizer first cuts a text into words and then encodes each word alone, so a text may be cut
 beforehand wherever its own rules always cut: before white space that follows something else, and before
-a mark of punctuation that follows a letter. The pieces of a batch are made distinct by Arrow, the new ones
+an ASCII symbol that follows a letter of ASCII or Latin-1 (but for the apostrophe, and the bar of ``<|endoftext|>``). The pieces of a batch are made distinct by Arrow, the new ones
 are encoded by the tokenizers library, many to a call where that cannot matter, and the ids are put together
 with numpy. The ids are those of encoding each text whole.
 """
@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from changelens.llm import texts
 
-#: Pieces a Python worker remembers; it begins anew beyond. Ids are the same either way.
-REMEMBERED = 600_000
+#: Pieces a Python worker remembers; beyond, those that were met once are forgotten, or all. Ids are the same either way.
+REMEMBERED = 1_000_000
 #: Pieces handed to the tokenizer at once, which bounds the memory of its answers.
 ENCODED_AT_ONCE = 4096
 #: Pieces of one string, between which a character stands that is cut off as a word of its own.
@@ -30,7 +30,10 @@ BETWEEN = "\x01"
 _JOINABLE = r"\A([ 0-9A-Za-z][^\x01]*)?[0-9A-Za-zÀ-ÖØ-öø-ÿ]\z"
 
 _MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~")] = True
+#: Second bytes of the letters of Latin-1, after 0xC3.
+_LATIN = np.zeros(256, bool)
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
 
 
 def _cuts(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -43,7 +46,9 @@ def _cuts(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         wide[1:] = (text[:-1] == 0xC2) & (text[1:] >= 0x80)
         wide[2:] |= (text[:-2] >= 0xE1) & (text[:-2] <= 0xE3)
         cut[1:-1] |= space[1:] & ~space[:-1] & ~wide[:-1]
-        cut[1:-1] |= _MARK[text[1:]] & texts.LETTER_A_Z[text[:-1]]
+        letter = texts.LETTER_A_Z[text]  # or the last byte of one
+        letter[1:] |= (text[:-1] == 0xC3) & _LATIN[text[1:]]
+        cut[1:-1] |= _MARK[text[1:]] & letter[:-1]
     return np.flatnonzero(cut)
 
 
@@ -120,8 +125,15 @@ class Remembered:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.starts, self.lengths = np.empty(0, texts.U64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int32)
+        self.keys, self.starts, self.lengths = np.empty(0, texts.U64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.again, self.ids = np.empty(0, bool), np.empty(0, np.int32)
+
+    def _keep_met_again(self) -> None:
+        kept = np.flatnonzero(self.again)
+        self.keys, lengths = self.keys[kept], self.lengths[kept]
+        self.ids = self.ids[texts.ragged(self.starts[kept], lengths)]
+        self.starts, self.lengths = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
+        self.again = np.zeros(len(kept), bool)
 
     def _learn(self, keys: np.ndarray, pieces: pa.Array) -> None:
         lengths, ids = [], [self.ids]
@@ -129,14 +141,15 @@ class Remembered:
             found, of_each = self.encode(pieces[at : at + ENCODED_AT_ONCE])
             ids.append(found)
             lengths.append(of_each)
-        lengths = np.concatenate(lengths)
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        lengths = np.concatenate(lengths).astype(np.int32)
+        starts = len(self.ids) + np.cumsum(lengths, dtype=np.int64) - lengths
         self.ids = np.concatenate(ids)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.starts = np.concatenate([self.starts, starts])[order]
         self.lengths = np.concatenate([self.lengths, lengths])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(lengths), bool)])[order]
 
     def _places(self, keys: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -148,9 +161,14 @@ class Remembered:
         keys = texts.span_hashes(own, own_bounds[:-1], own_bounds[1:])
         place = self._places(keys)
         new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if len(self.keys):
+            self.again[place[~new]] = True
         if len(self.keys) + int(new.sum()) > self.most:
-            self._forget()
-            new[:] = True
+            self._keep_met_again()
+            place = self._places(keys)
+            if len(self.keys) + int(new.sum()) > self.most:
+                self._forget()
+                new[:] = True
         if new.any():
             self._learn(keys[new], pieces.filter(pa.array(new)).cast(pa.large_string()))
             place = self._places(keys)

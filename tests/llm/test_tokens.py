@@ -40,6 +40,47 @@ def test_ids_are_the_same_when_the_encoder_forgets(monkeypatch, prose):
         assert ids.tolist() + [0] == whole_ids(FILES[1], [text], 0)[0]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_symbols_after_letters_are_pieces_of_their_own(name):
+    symbols = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~|'"
+    words = ["wort", "é", "señorñ", "MAß", "x×", "y÷", "don't", "l'été", "a<\u0338b", "e\u0301", "<|endoftext|>", "n2"]
+    some = [f" {w}{s}{t}" for w in words for s in symbols for t in ("", "***", "s", " x")]
+    some += [f"{w}{a}{b}{w}" for w in words for a in symbols for b in symbols]
+    text, bounds = texts.utf8(pa.array(some, pa.string()))
+    ids, at = vocabulary.with_end(*vocabulary.Encoder(public_tokenizers.path(name)).encode(text, bounds), 2)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole_ids(name, some, 2)
+    text, bounds = texts.utf8(pa.array([f" {w}{s}" for w in ("wort", "señorñ") for s in ("***", "###", "%%%", "?")]))
+    assert len(vocabulary.tiled(text, vocabulary._cuts(text, bounds)).dictionary) == 2 + 4
+
+
+def test_pieces_met_again_are_not_forgotten():
+    handed = defaultdict(int)
+
+    def encode(pieces):
+        found = pieces.to_pylist()
+        for p in found:
+            handed[p] += 1
+        return np.concatenate([np.frombuffer(p.encode(), np.uint8) for p in found]).astype(np.int32), np.array([len(p) for p in found])
+
+    remembered = vocabulary.Remembered(encode, 40)
+    for n in range(50):
+        words = [" the", " of", *(f" w{n}x{i}" for i in range(10))]
+        text, bounds = texts.utf8(pa.array(words))
+        ids, at = remembered.ids_of(vocabulary.tiled(text, bounds))
+        assert bytes(ids.astype(np.uint8)) == "".join(words).encode() and at.tolist() == bounds.tolist()
+        assert len(remembered.keys) <= 40
+    assert handed[" the"] == handed[" of"] == 1
+    text, bounds = texts.utf8(pa.array([f" v{i}" for i in range(100)]))  # more than are remembered, twice
+    for _ in range(2):
+        assert bytes(remembered.ids_of(vocabulary.tiled(text, bounds))[0].astype(np.uint8)) == text.tobytes()
+
+
+def test_open_windows_hold_only_their_own_ids():
+    packer, ids = packing.Packer(64, 32), np.arange(1000, dtype=np.int32)
+    assert not list(packer.place(1, 0, ids[:40], 40))
+    assert all(x.base is None for window in packer.rest() for _, _, x, _ in window)
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_distinct_pieces_are_encoded_many_to_a_string(name):
     handed = []
