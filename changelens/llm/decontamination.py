@@ -363,4 +363,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if next(some, None) is not None:
         some.close()
         return _clean_by_rounds(docs, benchmark)
-    return docs.mapInArrow(cleaned(spark.sparkContext.broadcast(only)), schema)
+    return docs.mapInArrow(texts.then_give_back(cleaned(spark.sparkContext.broadcast(only))), schema)

@@ -6,12 +6,28 @@ returns the packed sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from changelens.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
+from changelens.llm.batches import use_small_batches
 from changelens.storage import written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session of small Arrow batches: most results are made only when they are written, and whole documents
+    go to Python there."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        use_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands."""
@@ -39,11 +55,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("ngram_jaccard_join", near_duplicates),
-    ("benchmark_decontamination", benchmark),
-    ("packing", packed),
+    ("quality_rules", in_small_batches(quality)),
+    ("line_dedup", in_small_batches(lines)),
+    ("ngram_jaccard_join", in_small_batches(near_duplicates)),
+    ("benchmark_decontamination", in_small_batches(benchmark)),
+    ("packing", in_small_batches(packed)),
 ]
 
 #: The vocabularies' tokens cannot be made in SQL; the stages are tested against brute force.

@@ -1,9 +1,11 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 from changelens.llm import line_dedup
+from changelens.llm.batches import BATCH_ROWS
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,17 @@ def test_stages(spark, corpus):
 def test_stages_are_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_results_are_made_in_small_batches_also_later(spark, corpus):
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Bytes", "Records")]
+    before = [spark.conf.get(name, None) for name in names]
+    spark.conf.set(names[1], "10000")
+    try:
+        stage = dict(corpus_pipeline.STAGES)["benchmark_decontamination"]
+        docs = stage(spark, spark.range(3 * BATCH_ROWS).selectExpr("id AS doc_id", "concat('word ', id) AS text").coalesce(1), corpus[0])
+        rows = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n LONG").collect()
+        assert sum(r.n for r in rows) == 3 * BATCH_ROWS and max(r.n for r in rows) <= BATCH_ROWS
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
