@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from changelens import skew
 from changelens.functions.blocks import blocks, on_cycles
-from changelens.operators import cycles, import_graph, reach
+from changelens.operators import chains, cycles, import_graph, reach
 from changelens.operators.chains import fold_chains
 from changelens.operators.code_facts import code_facts
 from changelens.operators.components import components
@@ -105,6 +105,30 @@ def test_folding_leaves_no_chain_unfolded(graphs):
     assert {(r.module, r.pos, r.chain) for r in ring} == {(f"m{i:03d}", i, "m000") for i in range(33)}
 
 
+def _parts(folded):
+    columns = {"members": ["module", "chain", "pos", "is_ring"], "chains": ["chain", "size", "is_ring"], "edges": ["src", "dst"]}
+    return {part: sorted(map(repr, getattr(folded, part).select("repo", "pr_number", *c).collect())) for part, c in columns.items()}
+
+
+def test_small_changes_are_folded_without_rounds(graphs, monkeypatch):
+    _, edges, folded = graphs
+    by_joins = _parts(chains._jumped(edges))
+    monkeypatch.setattr(chains, "_jump", None)  # a round
+    assert _parts(chains.fold_chains(edges)) == _parts(folded) == by_joins
+
+
+def test_large_changes_and_unnamed_modules_are_folded_by_joins(graphs, monkeypatch):
+    _, edges, _ = graphs
+    more = [("r", 900, None, "a"), ("r", 900, "a", "b"), ("r", None, "a", "b"), (None, 1, "b", "c"), ("r", 901, "s", "s"), ("r", 901, "s", "ß"),
+            ("r", 902, "x", "y"), ("r", 902, "x", "y"), ("r", 903, "é", "z"), ("r", 903, "z", "é")]
+    every = written(edges.unionByName(edges.sparkSession.createDataFrame(more, EDGE)), "edges")
+    by_joins = _parts(chains._jumped(every))
+    for change_edges, task_edges in ((chains.CHANGE_EDGES, chains.TASK_EDGES), (12, 20)):
+        monkeypatch.setattr(chains, "CHANGE_EDGES", change_edges)
+        monkeypatch.setattr(chains, "TASK_EDGES", task_edges)
+        assert _parts(chains.fold_chains(every)) == by_joins
+
+
 def test_ancestors_and_dependencies(graphs):
     shapes, edges, folded = graphs
     starts = [("r", k, n) for k, shape in enumerate(shapes) for n in sorted({x for e in shape for x in e})[:3]]
