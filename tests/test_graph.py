@@ -335,6 +335,35 @@ def test_small_changes_are_not_searched_for_hot_names(change, monkeypatch):
     assert [(e.src, e.dst) for e in graph.edges.orderBy("src").collect()] == [("a", "b"), ("b", "a.c")]
 
 
+def test_edges_of_small_changes_are_found_without_joins(change, monkeypatch):
+    monkeypatch.setattr(import_graph, "salted_join", None)
+    graph = _graph(change, {"a.py": "import b, os, b.c.d", "./a.py": "import b, json", "p/q.py": "import a, p, p.q, p.q.r, pq, p.s"})
+    rows = [(e.src, e.dst) for e in graph.edges.orderBy("src", "dst").collect()]
+    assert rows == [("p.q", "a"), ("p.q", "p"), ("p.q", "p.q.r")]
+
+
+@pytest.mark.parametrize("change_names", [import_graph.CHANGE_NAMES, 8, 0])
+def test_edges_of_changes_of_any_size(spark, monkeypatch, change_names):
+    """Random names with empty parts, null keys and modules: all by joins, all in tasks, and both ways at once."""
+    rng = random.Random(11)
+    name = lambda: ".".join(rng.choice(["a", "b", "ß", "漢", "", "x"]) for _ in range(rng.randrange(1, 4)))
+    rows = [(rng.choice(["r", "s", "t", None]), rng.choice([*range(15), None]), rng.choice([name(), name(), name(), None]),
+             rng.choice([None, *([(name(),) for _ in range(rng.randrange(6))] for _ in range(5))])) for _ in range(300)]
+    files = written(spark.createDataFrame(rows, "repo STRING, pr_number LONG, module STRING, imports ARRAY<STRUCT<module: STRING>>"), "files")
+    want = set()
+    for key in {(r[0], r[1]) for r in rows if r[0] and r[1] is not None}:
+        own = {m: [] for r, p, m, _ in rows if (r, p) == key and m is not None}
+        for r, p, m, names in rows:
+            if (r, p) == key and m is not None:
+                own[m] += [n for n, in names or []]
+        belongs = lambda n: any(n == m or m.startswith(n + ".") or n.startswith(m + ".") for m in own)
+        want |= {(*key, m, n) for m, names in own.items() for n in names if n and n != m and belongs(n)}
+    monkeypatch.setattr(import_graph, "CHANGE_NAMES", change_names)
+    monkeypatch.setattr(import_graph, "TASK_NAMES", 20)
+    found = [tuple(e) for e in import_graph.edges(files).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and want
+
+
 def test_nodes_include_names_that_are_no_file(change):
     graph = _graph(change, {"pkg.py": "", "a.py": "import pkg.sub"})
     assert _pairs(graph) == {("a", "pkg.sub")}
