@@ -208,22 +208,30 @@ def _links(table: pa.Table) -> np.ndarray:
     lengths = np.array([len(x) for x in lines])
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
     held = np.diff(edges)
-    histogram = np.zeros((n, 32), np.int32)
-    np.add.at(histogram, (np.repeat(np.arange(n), lengths), np.concatenate(lines) & 31), 1)
+    bins = np.repeat(np.arange(n) * 32, lengths) + (np.concatenate(lines) & 31)
+    histogram = np.bincount(bins, minlength=32 * n).reshape(n, 32).astype(np.int32)
+    odd = histogram[:, 1::2].sum(axis=1, dtype=np.int64)  # of a part of the alphabet; an edit changes it by one at most
+    order = np.lexsort((odd, lengths))
+    a_length = int(lengths.max(initial=0)) + 4 * EDITS + 1  # places between two lengths, so that ranges of odd do not meet
+    place = lengths * a_length + odd
     sets = Sets(n)
 
     tested = np.empty(0, np.int64)
 
+    def like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Codes ``a * n + b`` (a < b) of the pairs whose lengths and characters allow that they are near."""
+        near = (np.abs(lengths[a] - lengths[b]) <= EDITS) & (np.abs(odd[a] - odd[b]) <= EDITS) & (a != b)
+        a, b = a[near], b[near]
+        near = np.abs(histogram[a] - histogram[b]).sum(axis=1) <= 2 * EDITS
+        a, b = a[near], b[near]
+        return np.minimum(a, b) * n + np.maximum(a, b)
+
     def verify(codes: np.ndarray) -> None:
-        """Join the pairs ``a * n + b`` (a < b) that are near; pairs that were seen before are left out."""
+        """Join the pairs that are near; pairs that were seen before are left out."""
         nonlocal tested
         codes = np.setdiff1d(codes, tested)
         tested = np.union1d(tested, codes)
         a, b = codes // n, codes % n
-        near = np.abs(lengths[a] - lengths[b]) <= EDITS
-        a, b = a[near], b[near]
-        near = np.abs(histogram[a] - histogram[b]).sum(axis=1) <= 2 * EDITS
-        a, b = a[near], b[near]
         order = np.argsort(lengths[a], kind="stable")
         a, b = a[order], b[order]
         at = 0
@@ -236,13 +244,12 @@ def _links(table: pa.Table) -> np.ndarray:
                 sets.join(x, y)
             at = end
 
-    coded = lambda a, b: (np.minimum(a, b) * n + np.maximum(a, b))[a != b]
     several = np.flatnonzero(held > 1)
     first, size = edges[:-1][several], held[several]
     members = texts.ragged(first, size)
     leaders = np.repeat(line[first], size)
     for at in range(0, len(members), PAIRS):  # stars first
-        verify(coded(leaders[at : at + PAIRS], line[members[at : at + PAIRS]]))
+        verify(like(leaders[at : at + PAIRS], line[members[at : at + PAIRS]]))
     # a link that is still missing lies within a run of lines that are not all in one class
     root = sets.roots()
     if len(several):
@@ -258,18 +265,32 @@ def _links(table: pa.Table) -> np.ndarray:
             own = line[runs[at : at + step, None] + np.arange(k)]
             a, b = own[:, x].ravel(), own[:, y].ravel()
             apart = root[a] != root[b]
-            verify(coded(a[apart], b[apart]))
+            verify(like(a[apart], b[apart]))
+    # In a large run a line is only compared with those whose length and count of characters allow a link.
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    root, waiting, n_waiting = sets.roots(), [], 0
     for start, k in zip(first[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
-        own = line[start : start + k]
-        root = sets.roots()
+        own = order[np.sort(rank[line[start : start + k]])]
         values, counts = np.unique(root[own], return_counts=True)
         alone = own[root[own] != values[counts.argmax()]]  # a missing link has an end among these
-        step = max(1, PAIRS // k)
-        for at in range(0, len(alone), step):
-            some = alone[at : at + step]
-            a, b = np.repeat(some, k), np.tile(own, len(some))
-            apart = root[a] != root[b]
-            verify(coded(a[apart], b[apart]))
+        for longer in range(-EDITS, EDITS + 1):
+            middle = place[alone] + longer * a_length
+            low, high = np.searchsorted(place[own], middle - EDITS), np.searchsorted(place[own], middle + EDITS, "right")
+            ends = np.cumsum(high - low)
+            at = 0
+            while at < len(alone):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                a, b = np.repeat(alone[at:end], (high - low)[at:end]), own[texts.ragged(low[at:end], (high - low)[at:end])]
+                apart = root[a] != root[b]
+                waiting.append(like(a[apart], b[apart]))
+                n_waiting += len(waiting[-1])
+                at = end
+        if n_waiting >= PAIRS:
+            verify(np.concatenate(waiting))
+            root, waiting, n_waiting = sets.roots(), [], 0
+    if waiting:
+        verify(np.concatenate(waiting))
     return sets.roots()
 
 

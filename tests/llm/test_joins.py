@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -192,3 +192,32 @@ def test_cleaned_lines_of_odd_rows(spark, odd_documents):
     left = {r.doc_id: r.text for r in line_dedup.clean(copy).collect()}
     assert len(left[9]) > 0.9 * len(odd_documents.filter("doc_id = 9").first().text)
     assert 20 not in left  # no word is left of it
+
+
+def test_many_copies_of_a_line_are_compared_in_few_pairs(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    base, lines = [rng.choice(words) for _ in range(60)], set()
+    while len(lines) < 900:
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(60)] = rng.choice(words)
+        line = " ".join(copy)
+        at = rng.randrange(len(line))
+        lines |= {line, line[:at] + rng.choice(["", "x", "xy", "Straße"]) + line[at + 1 :]}
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    asked, apart = [], np.setdiff1d
+    monkeypatch.setattr(line_dedup.np, "setdiff1d", lambda new, old: asked.append(len(new)) or apart(new, old))
+    got = line_dedup._links(pa.table({"line": pa.array([x.encode() for x in lines], pa.binary())}))
+    assert sum(asked) < 50 * len(lines)
+
+    coded = [line_dedup.characters(x.encode()) for x in lines]
+    sets = components.Sets(len(lines))
+    for i, x in enumerate(lines):
+        near = np.array([j for j in range(i) if abs(len(lines[j]) - len(x)) <= line_dedup.EDITS and len(Counter(lines[j]) - Counter(x)) <= 2], np.int64)
+        if len(near):
+            hit = line_dedup.distances(coded, near, np.full(len(near), i)) <= line_dedup.EDITS
+            for j in near[hit].tolist():
+                sets.join(i, j)
+    assert got.tolist() == sets.roots().tolist() and len(set(got.tolist())) < len(lines)
