@@ -46,10 +46,12 @@ class FoldedGraph:
 
 
 def _links(edges: DataFrame) -> DataFrame:
-    """Edges that are the only one out of ``src`` and the only one into ``dst``."""
-    only_out = edges.groupBy(*KEY, "src").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).filter("n = 1")
-    only_in = edges.groupBy(*KEY, "dst").agg(F.min("src").alias("src"), F.count("*").alias("n")).filter("n = 1")
-    return only_out.drop("n").join(only_in.drop("n"), [*KEY, "src", "dst"])
+    """Edges that are the only one out of ``src`` and the only one into ``dst``. Those out of a module are only counted where it
+    has an edge that is the only one into another."""
+    once = lambda table, end: table.groupBy(*KEY, end).agg(F.count("*").alias("n")).filter("n = 1").select(*KEY, end)
+    only_in = written(edges.join(written(once(edges, "dst"), "entered-once"), [*KEY, "dst"], "left_semi").select(*KEY, "src", "dst"), "only-in")
+    only_out = once(edges.join(only_in.select(*KEY, "src").distinct(), [*KEY, "src"], "left_semi"), "src")
+    return only_in.join(only_out, [*KEY, "src"], "left_semi")
 
 
 def _jump(table: DataFrame) -> DataFrame:
@@ -97,12 +99,12 @@ def _jumped(edges: DataFrame) -> FoldedGraph:
         if seen["open"] == before and not seen["moved"]:
             break
 
-    inner = table.select(
+    inner = written(table.select(
         *KEY, "module",
         F.when(F.col("done"), F.col("back")).otherwise(F.col("low.name")).alias("chain"),
         F.when(F.col("done"), F.col("dist")).otherwise(F.col("low.steps")).alias("pos"),
         (~F.col("done")).alias("is_ring"),
-    )
+    ), "linked-modules")
     ends = edges.select(*KEY, F.explode(F.array("src", "dst")).alias("module")).distinct()
     members = written(
         ends.join(inner, [*KEY, "module"], "left").select(
@@ -111,16 +113,19 @@ def _jumped(edges: DataFrame) -> FoldedGraph:
         ),
         "members",
     )
-    chains = members.groupBy(*KEY, "chain").agg(
-        F.count("*").alias("size"), F.bool_or("is_ring").alias("is_ring")
-    )
+    # The first module of a chain, or the smallest of a ring, has the chain's name.
+    sizes = inner.groupBy(*KEY, "chain").agg((F.count("*") + F.when(F.bool_or("is_ring"), 0).otherwise(1)).alias("size"))
+    sizes = written(sizes, "chain-sizes")
+    heads = members.filter(F.col("module").eqNullSafe(F.col("chain"))).select(*KEY, "chain", "is_ring")
+    chains = heads.join(sizes, [*KEY, "chain"], "left").select(*KEY, "chain", F.coalesce("size", F.lit(1)).alias("size"), "is_ring")
     # An edge that is no link leaves the tail of one chain and enters the head of another (or its own).
     linked = table.select(*KEY, F.col("module").alias("dst"))
+    named = " AND ".join(f"{column} IS NOT NULL" for column in (*KEY, "src"))
     outer = (
-        edges.join(linked, [*KEY, "dst"], "left_anti")
-        .withColumnRenamed("src", "module")
-        .join(members.select(*KEY, "module", "chain"), [*KEY, "module"])
-        .select(*KEY, F.col("chain").alias("src"), "dst")
+        edges.filter(named)
+        .join(linked, [*KEY, "dst"], "left_anti")
+        .join(inner.select(*KEY, F.col("module").alias("src"), "chain"), [*KEY, "src"], "left")
+        .select(*KEY, F.coalesce("chain", "src").alias("src"), "dst")
     )
     return FoldedGraph(members, written(chains, "chains"), written(outer, "chain-edges"))
 
@@ -143,9 +148,11 @@ def fold_chains(edges: DataFrame) -> FoldedGraph:
     for column in (*KEY, "src", "dst"):
         named = named & F.col(column).isNotNull()
     changes = edges.groupBy(*KEY).agg(F.count("*").alias("n"), (F.bool_and(named) & (F.count("*") <= CHANGE_EDGES)).alias("fits"))
-    n_edges, n_others = changes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~F.col("fits"))).first()
+    n_edges, n_others, n_changes = changes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~F.col("fits")), F.count("*")).first()
     if not n_others:
         return _in_tasks(edges, max(1, n_edges))
+    if n_others == n_changes:
+        return _jumped(edges)
     others = written(changes.filter("NOT fits").select(*KEY, F.lit(True).alias("apart")), "other-changes")
     joined = edges.join(others, [edges[key].eqNullSafe(others[key]) for key in KEY], "left")
     marked = joined.select(*[edges[c] for c in edges.columns], F.coalesce("apart", F.lit(False)).alias("apart"))

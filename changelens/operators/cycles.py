@@ -45,12 +45,14 @@ def _numbered_edges(folded: FoldedGraph, numbered: DataFrame) -> DataFrame:
 
 
 def _edges_on_cycles(folded: FoldedGraph, above: Ancestry) -> DataFrame:
-    """Those whose target has a path back to their source."""
-    bits = above.bits.withColumnRenamed("chain", "src")
-    target = above.numbered.select(*KEY, F.col("chain").alias("dst"), "block", "bit")
-    joined = folded.edges.join(target, [*KEY, "dst"]).join(bits, [*KEY, "src", "block"])
-    inside = joined.filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).select(*KEY, "src", "dst")
-    return _numbered_edges(FoldedGraph(folded.members, folded.chains, inside), above.numbered)
+    """Those whose target has a path back to their source, both being on cycles then."""
+    on_cycles = written(above.on_cycles(), "on-cycles")
+    edges = _numbered_edges(folded, above.numbered)
+    for end in ("a", "b"):
+        edges = edges.join(on_cycles.select(F.col("number").alias(end)), end, "left_semi")
+    target = above.numbered.select(F.col("number").alias("b"), "block", "bit")
+    joined = edges.join(target, "b").join(above.bits.withColumnRenamed("number", "a"), ["a", "block"])
+    return joined.filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).select("a", "b", "size")
 
 
 def _split(table: pa.Table) -> pa.Table:

@@ -8,6 +8,7 @@ of the folded graph, or, where that is deep, about its logarithm, by shortcuts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,35 +29,42 @@ SHORTCUTS = 4
 DOUBLINGS = 40
 #: Edges of connected parts that a task takes together.
 PART_EDGES = 300_000
+#: Tables of new bits after which they are merged into one.
+BIT_TABLES = 8
 
 
 def numbered_chains(folded: FoldedGraph) -> DataFrame:
-    """Chains with edges, each given a (block, bit). Numbers follow the order of a range partitioning,
+    """Chains, each given a (block, bit). Numbers follow the order of a range partitioning,
     so the chains of one change fill consecutive blocks; written, as the numbering must not change."""
-    connected = folded.edges.select(*KEY, F.explode(F.array("src", "dst")).alias("chain")).distinct()
     ordered = (
-        connected.join(folded.chains, [*KEY, "chain"])
+        folded.chains.select(*KEY, "chain", "size")
         .repartitionByRange(*KEY, "chain")
         .sortWithinPartitions(*KEY, "chain")
         .withColumn("number", F.monotonically_increasing_id())
     )
-    return written(
-        ordered.select(
-            *KEY, "chain", "size", "number", F.floor(F.col("number") / 64).alias("block"),
-            F.expr("shiftleft(1L, cast(number % 64 AS int))").alias("bit"),
-        ),
-        "numbered",
-    )
+    return written(ordered.withColumns({"block": _block("number"), "bit": _bit("number")}), "numbered")
+
+
+def _block(number: str) -> Column:
+    return F.shiftright(number, 6)
+
+
+def _bit(number: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({number} % 64 AS int))")
 
 
 @dataclass(frozen=True)
 class Ancestry:
-    """``numbered`` gives every connected chain a number, in the order of (key, chain), and a block and bit; ``bits(key, chain, block, bits)`` the chains
-    with a path to ``chain``, itself included if it is on a cycle."""
+    """``numbered`` gives every chain a number, in the order of (key, chain), and a block and bit; ``bits(number, block, bits)`` the chains
+    with a path to chain ``number``, itself included if it is on a cycle. The bits of a block may be dealt to several rows."""
 
     numbered: DataFrame
     bits: DataFrame
 
+    def on_cycles(self) -> DataFrame:
+        """The numbers of the chains that have a path to themselves."""
+        return self.bits.filter((F.col("block") == _block("number")) & (_bit("number").bitwiseAND(F.col("bits")) != 0)).select("number")
+
 
 def _led(table: pa.Table) -> pa.Table:
     number, leader = strong_parts(table.column("a").to_numpy(), table.column("b").to_numpy())
@@ -73,19 +81,14 @@ def _leaders(edges: DataFrame, n_edges: int) -> DataFrame:
     return written(light.groupBy("task").applyInArrow(_led, "number LONG, leader LONG"), "leaders")
 
 
-def with_shortcuts(steps: DataFrame) -> DataFrame:
-    """``steps(key, src, dst)`` and further pairs that have a path of steps, so that far chains are few steps apart.
+def with_shortcuts(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` and further pairs that have a path of edges, so that far chains are few steps apart.
 
     The chains of a strongly connected part all have a step to one of them and back. Between the parts there are steps over
-    2, 4, 8, ... of the steps, each made by joining the steps of half the length, as long as these are not more than
+    2, 4, 8, ... of the edges, each made by joining the steps of half the length, as long as these are not more than
     ``SHORTCUTS`` times the first ones: in long narrow graphs they never are. Wide graphs end that early, and are shallow.
     """
-    ends = steps.select(*KEY, F.explode(F.array("src", "dst")).alias("chain")).distinct()
-    names = written(ends.withColumn("number", F.monotonically_increasing_id()), "step-ends")
-    of = lambda end, number: names.select(*KEY, F.col("chain").alias(end), F.col("number").alias(number))
-    edges, seen = written_counting(
-        steps.join(of("src", "a"), [*KEY, "src"]).join(of("dst", "b"), [*KEY, "dst"]).select("a", "b"), "steps-by-number", rows=F.lit(True))
-    leaders = _leaders(edges, max(1, seen["rows"]))
+    leaders = _leaders(edges, max(1, edges.count()))
     there = leaders.filter("number <> leader").select(F.col("number").alias("a"), F.col("leader").alias("b"))
     back = there.select(F.col("b").alias("a"), F.col("a").alias("b"))
     led = lambda end: leaders.select(F.col("number").alias(end), F.col("leader").alias(f"led_{end}"))
@@ -99,96 +102,100 @@ def with_shortcuts(steps: DataFrame) -> DataFrame:
         if not 0 < seen["rows"] <= most:
             break
         every = every.unionByName(reach)
-    src = names.select(*KEY, F.col("chain").alias("src"), F.col("number").alias("a"))
-    dst = names.select(F.col("chain").alias("dst"), F.col("number").alias("b"))
-    return written(every.distinct().join(src, "a").join(dst, "b").select(*KEY, "src", "dst"), "steps-and-shortcuts")
+    return written(every.distinct(), "steps-and-shortcuts")
 
 
-def _spread(sources: DataFrame, steps: DataFrame) -> DataFrame:
-    """``(key, chain, block, bits)``: which of the sources ``(key, chain, block, bits)``, 64 to a row, lead to each chain
-    over ``steps(key, src, dst)`` of one edge or more. There is one merged table; only its newly set bits go on.
+def _merged(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("number", "block").agg(F.bit_or("bits").alias("bits"))
 
-    A graph that is deeper than ``SHALLOW`` rounds gets shortcuts then, and its rounds are about the logarithm of its depth.
-    """
 
-    def over(steps: DataFrame, bits: DataFrame) -> DataFrame:
-        arrived = bits.withColumnRenamed("chain", "src").join(steps, [*KEY, "src"])
-        return arrived.groupBy(*KEY, F.col("dst").alias("chain"), "block").agg(F.bit_or("bits").alias("bits"))
+def _spread(first: DataFrame, steps: DataFrame) -> DataFrame:
+    """``(number, block, bits)``: which sources, 64 to a row, lead to each chain over one of ``steps(a, b)`` or more.
+    ``first(number, block, bits)`` has the sources of the chains one step on.
 
-    fresh, none = F.col("fresh") != 0, F.lit(0).cast("long")
-    state, seen = written_counting(over(steps, sources).withColumn("fresh", F.col("bits")), "reaching", fresh=fresh)
-    rounds = 1
-    while seen["fresh"]:
+    Bits are never written twice: a round looks up those it brings among the ones that are there, and adds a table of the
+    new ones. A graph that is deeper than ``SHALLOW`` rounds gets shortcuts then, and its rounds are about the logarithm of its depth.
+    """
+    fresh, seen = written_counting(_merged([first]), "reaching", rows=F.lit(True))
+    tables, rounds = [fresh], 1
+    # From now on only chains that something leads to have bits.
+    entered = written(steps.select(F.col("b").alias("a")).distinct(), "entered")
+    steps = written(steps.join(entered, "a", "left_semi"), "onward-steps")
+    while seen["rows"]:
+        if rounds == SHALLOW or len(tables) > BIT_TABLES:
+            tables = [written(_merged(tables), "reached")]
         if rounds == SHALLOW:
-            steps = with_shortcuts(steps)
-            state = state.withColumn("fresh", F.col("bits"))  # all bits go over the shortcuts
+            steps, fresh = with_shortcuts(steps), tables[0]  # all bits go over the shortcuts
         rounds += 1
-        arrived = over(steps, state.filter(fresh).select(*KEY, "chain", "block", F.col("fresh").alias("bits")))
-        both = state.select(*KEY, "chain", "block", F.col("bits").alias("old"), none.alias("new")).unionByName(
-            arrived.select(*KEY, "chain", "block", none.alias("old"), F.col("bits").alias("new"))
-        )
-        merged = both.groupBy(*KEY, "chain", "block").agg(F.bit_or("old").alias("old"), F.bit_or("new").alias("new"))
-        state, seen = written_counting(
-            merged.select(
-                *KEY, "chain", "block",
-                F.col("old").bitwiseOR(F.col("new")).alias("bits"),
-                F.col("new").bitwiseAND(F.bitwise_not(F.col("old"))).alias("fresh"),
-            ),
-            "reaching", fresh=fresh,
-        )
-    return state.drop("fresh")
+        moved = fresh.withColumnRenamed("number", "a").join(steps, "a").select(F.col("b").alias("number"), "block", "bits")
+        arrived = written(_merged([moved]), "arrived")
+        # Few arrive in most rounds; whether they are broadcast is decided by their written size.
+        there = reduce(DataFrame.unionByName, tables).join(arrived.select("number", "block"), ["number", "block"], "left_semi")
+        old = _merged([there]).withColumnRenamed("bits", "old")
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        added = arrived.join(old, ["number", "block"], "left").select("number", "block", new.alias("bits")).filter("bits <> 0")
+        fresh, seen = written_counting(added, "reaching", rows=F.lit(True))
+        tables.append(fresh)
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _steps(edges: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``edges(key, src, dst)`` by numbers ``(a, b)``."""
+    source = numbered.select(*KEY, F.col("chain").alias("src"), F.col("number").alias("a"))
+    target = numbered.select(*KEY, F.col("chain").alias("dst"), F.col("number").alias("b"))
+    # Often many chains lead to few.
+    few = written(target.join(edges.select(*KEY, "dst").distinct(), [*KEY, "dst"], "left_semi"), "targets")
+    return written(edges.join(few, [*KEY, "dst"]).join(source, [*KEY, "src"]).select("a", "b"), "steps")
 
 
 def ancestry(folded: FoldedGraph, numbered: DataFrame | None = None) -> Ancestry:
     """``numbered``: numbers that the chains, perhaps among others, have already."""
     numbered = numbered_chains(folded) if numbered is None else numbered
-    sources = numbered.select(*KEY, "chain", "block", F.col("bit").alias("bits"))
-    return Ancestry(numbered, _spread(sources, folded.edges))
+    steps = _steps(folded.edges, numbered)
+    return Ancestry(numbered, _spread(steps.select(F.col("b").alias("number"), _block("a").alias("block"), _bit("a").alias("bits")), steps))
 
 
 def _chain_ancestors(above: Ancestry) -> DataFrame:
-    """Per chain the number of modules in its ancestor chains, and whether the chain is on a cycle."""
-    numbered, bits = above.numbered, above.bits
-    # Sizes in binary: one bit set per block and binary digit, holding the chains whose size has that digit.
-    # A row's total is then a bit count per digit; single modules, the usual case, have one digit.
+    """Per chain with ancestors their number of modules, and whether the chain is on a cycle."""
+    # What a chain has beside its first module, in binary: one bit set per block and binary digit, holding the chains whose
+    # size has that digit. A row's total is then a bit count, and one more for each digit; single modules, the usual case, have none.
     digits = (
-        numbered.select("block", "bit", "size", F.explode(F.sequence(F.lit(0), F.floor(F.log2("size")).cast("int"))).alias("digit"))
-        .filter("shiftright(size, digit) & 1 = 1")
+        above.numbered.filter("size > 1").withColumn("more", F.col("size") - 1)
+        .select("block", "bit", "more", F.explode(F.sequence(F.lit(0), F.floor(F.log2("more")).cast("int"))).alias("digit"))
+        .filter("shiftright(more, digit) & 1 = 1")
         .groupBy("block", "digit")
         .agg(F.bit_or("bit").alias("having"))
     )
-    hot = hot_keys(bits.groupBy("block").agg(F.count("*").alias("n")), ["block"])
-    counted = salted_join(bits, digits, ["block"], "inner", hot, F.col("chain")).select(
-        *KEY, "chain", F.expr("shiftleft(cast(bit_count(bits & having) AS bigint), digit)").alias("n"),
-        F.lit(False).alias("own"),
-    )
-    own = (
-        numbered.join(bits, [*KEY, "chain", "block"])
-        .filter(F.col("bit").bitwiseAND(F.col("bits")) != 0)
-        .select(*KEY, "chain", F.lit(0).cast("long").alias("n"), F.lit(True).alias("own"))
-    )
-    return counted.unionByName(own).groupBy(*KEY, "chain").agg(
-        F.sum("n").alias("before"), F.bool_or("own").alias("on_cycle")
-    )
+    digits, seen = written_counting(digits, "digits", rows=F.lit(True))
+    own = F.lit(False).alias("own")
+    counted = above.bits.select("number", F.bit_count("bits").cast("long").alias("n"), own)
+    if seen["rows"]:
+        bits = above.bits.join(digits.select("block").distinct(), "block", "left_semi")
+        hot = hot_keys(bits.groupBy("block").agg(F.count("*").alias("n")), ["block"])
+        counted = counted.unionByName(salted_join(bits, digits, ["block"], "inner", hot, F.col("number")).select(
+            "number", F.expr("shiftleft(cast(bit_count(bits & having) AS bigint), digit)").alias("n"), own))
+    counted = counted.unionByName(above.on_cycles().select("number", F.lit(0).cast("long").alias("n"), F.lit(True).alias("own")))
+    counts = written(counted.groupBy("number").agg(F.sum("n").alias("before"), F.bool_or("own").alias("on_cycle")), "ancestor-counts")
+    return above.numbered.join(counts, "number").select(*KEY, "chain", "before", "on_cycle")
 
 
 def module_reach(folded: FoldedGraph, above: Ancestry | None = None) -> DataFrame:
     """``(key, module, impact, on_cycle)`` for every edge endpoint: how many other modules import it,
     directly or not, and whether it is on an import cycle."""
-    counts = _chain_ancestors(above or ancestry(folded))
-    per_chain = folded.chains.join(counts, [*KEY, "chain"], "left").select(
-        *KEY, "chain", "size",
-        F.coalesce("before", F.lit(0)).alias("before"),
-        (F.col("is_ring") | F.coalesce("on_cycle", F.lit(False))).alias("on_cycle"),
-    )
+    none = F.lit(None).cast("long")
+    counts = _chain_ancestors(above or ancestry(folded)).withColumn("size", none)
+    rings = folded.chains.filter("is_ring").select(*KEY, "chain", none.alias("before"), F.lit(True).alias("on_cycle"), "size")
+    known = written(counts.unionByName(rings), "reach-of-chains")  # other chains have nothing above them
     hot = hot_keys(folded.chains, [*KEY, "chain"], "size")
-    joined = salted_join(folded.members, per_chain, [*KEY, "chain"], "inner", hot, F.col("module"))
+    members = folded.members.filter(" AND ".join(f"{column} IS NOT NULL" for column in (*KEY, "chain")))
+    joined = salted_join(members, known, [*KEY, "chain"], "left", hot, F.col("module"))
+    on_cycle, before = F.coalesce("on_cycle", F.lit(False)), F.coalesce("before", F.lit(0))
     impact = (
         F.when(F.col("is_ring"), F.col("size") - 1)
-        .when(F.col("on_cycle"), F.col("before") - 1)  # its own chain is among the ancestors
-        .otherwise(F.col("before") + F.col("pos"))
+        .when(on_cycle, before - 1)  # its own chain is among the ancestors
+        .otherwise(before + F.col("pos"))
     )
-    return joined.select(*KEY, "module", impact.alias("impact"), "on_cycle")
+    return joined.select(*KEY, "module", impact.alias("impact"), on_cycle.alias("on_cycle"))
 
 
 def _numbers() -> Column:
@@ -199,28 +206,31 @@ def _numbers() -> Column:
 
 def _chains_above(starts: DataFrame, above: Ancestry) -> DataFrame:
     """``(key, from, chain)``: the chains with a path to each chain in ``starts(key, chain)``."""
-    own = above.bits.join(starts, [*KEY, "chain"]).withColumnRenamed("chain", "from")
-    listed = own.select("from", F.explode(_numbers()).alias("number"))
+    begin = above.numbered.join(starts, [*KEY, "chain"]).select(F.col("chain").alias("from"), "number")
+    listed = above.bits.join(begin, "number").select("from", F.explode(_numbers()).alias("number"))
     return listed.join(above.numbered.select(*KEY, "chain", "number"), "number").select(*KEY, "from", "chain")
 
 
 def _chains_below(starts: DataFrame, above: Ancestry) -> DataFrame:
     """``(key, from, chain)``: the chains that each chain in ``starts(key, chain)`` has a path to."""
-    own = above.numbered.join(starts, [*KEY, "chain"]).select(*KEY, F.col("chain").alias("from"), "block", "bit")
-    return own.join(above.bits, [*KEY, "block"]).filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).select(*KEY, "from", "chain")
+    own = above.numbered.join(starts, [*KEY, "chain"]).select(F.col("chain").alias("from"), "block", "bit")
+    listed = above.bits.join(own, "block").filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).select("from", "number")
+    return listed.join(above.numbered.select(*KEY, "chain", "number"), "number").select(*KEY, "from", "chain")
 
 
 def _searched(starts: DataFrame, folded: FoldedGraph, upstream: bool) -> DataFrame:
     """The same without an :class:`Ancestry`: a search from the given chains, 64 of them to a row."""
-    ordered = starts.repartitionByRange(*KEY, "chain").sortWithinPartitions(*KEY, "chain")
-    number = F.monotonically_increasing_id()
-    numbered = written(ordered.select(*KEY, F.col("chain").alias("from"), number.alias("number")), "start-chains")
-    block, bit = F.floor(F.col("number") / 64).alias("block"), F.expr("shiftleft(1L, cast(number % 64 AS int))").alias("bits")
-    here, there = ("dst", "src") if upstream else ("src", "dst")
-    steps = folded.edges.select(*KEY, F.col(here).alias("src"), F.col(there).alias("dst"))
-    bits = _spread(numbered.select(*KEY, F.col("from").alias("chain"), block, bit), steps)
-    listed = bits.select("chain", F.explode(_numbers()).alias("number"))
-    return listed.join(numbered, "number").select(*KEY, "from", "chain")
+    chains = numbered_chains(folded)
+    steps = _steps(folded.edges, chains)
+    steps = steps.select(F.col("b").alias("a"), F.col("a").alias("b")) if upstream else steps
+    begin = starts.join(chains, [*KEY, "chain"]).select(*KEY, "chain", F.col("number").alias("a"))
+    ordered = begin.repartitionByRange(*KEY, "chain").sortWithinPartitions(*KEY, "chain")
+    numbered = written(ordered.withColumn("source", F.monotonically_increasing_id()), "start-chains")
+    first = numbered.join(steps, "a").select(F.col("b").alias("number"), _block("source").alias("block"), _bit("source").alias("bits"))
+    bits = _spread(first, steps).withColumnRenamed("number", "reached")
+    listed = bits.select(F.col("reached").alias("number"), F.explode(_numbers()).alias("source"))
+    found = listed.join(numbered.select("source", F.col("chain").alias("from")), "source")
+    return found.join(chains.select(*KEY, "chain", "number"), "number").select(*KEY, "from", "chain")
 
 
 def _reached(starts: DataFrame, folded: FoldedGraph, upstream: bool, above: Ancestry | None) -> DataFrame:

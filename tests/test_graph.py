@@ -409,3 +409,35 @@ def test_same_names_in_two_changes_stay_apart(change):
     two = change({"a.py": "import b", "b.py": ""}, pr=1).unionByName(change({"a.py": "", "b.py": "import a"}, pr=2))
     graph = ImportGraphs(written(code_facts(two), "facts"))
     assert {(e.pr_number, e.src, e.dst) for e in graph.edges.collect()} == {(1, "a", "b"), (2, "b", "a")}
+
+
+def test_bits_are_written_once(spark, monkeypatch):
+    """Many files import few modules, whose own imports go on for some rounds: a round adds its new bits only."""
+    layers = [[f"f{i:03d}" for i in range(300)], *([f"l{k}_{i}" for i in range(6)] for k in range(6))]
+    shape = {(a, b) for k in range(6) for i, a in enumerate(layers[k]) for b in (layers[k + 1][i % 6], layers[k + 1][(i + 1) % 6])}
+    shape.add((layers[6][0], layers[1][0]))
+    folded = fold_chains(written(spark.createDataFrame([("r", 1, *e) for e in shape], EDGE), "edges"))
+    bits = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))
+    rounds = []
+
+    def counting(df, label, **conditions):
+        table, seen = written_counting(df, label, **conditions)
+        if label == "reaching":
+            rounds.append(table.agg(bits).first()[0])
+        return table, seen
+
+    monkeypatch.setattr(reach, "written_counting", counting)
+    above = reach.ancestry(folded)
+    assert len(rounds) > 6 and sum(rounds) == above.bits.agg(bits).first()[0]
+    after = _reachable(shape)
+    got = {r.module: (r.impact, r.on_cycle) for r in reach.module_reach(folded, above).collect()}
+    assert got == {n: (sum(n in after[o] for o in after if o != n), n in after[n]) for n in after}
+
+
+def test_large_changes_alone_are_not_copied(graphs, monkeypatch):
+    _, edges, folded = graphs
+    labels = []
+    monkeypatch.setattr(chains, "CHANGE_EDGES", 0)
+    monkeypatch.setattr(chains, "written", lambda df, label: labels.append(label) or written(df, label))
+    assert _parts(chains.fold_chains(edges)) == _parts(folded)
+    assert "members" in labels and "marked-edges" not in labels
