@@ -198,3 +198,19 @@ def test_salted_join_keeps_every_row(spark, monkeypatch):
 def test_last_write_wins(spark):
     rows = cache_rows(spark.createDataFrame([_entry("x", str(n), n) for n in range(20)], "code STRING, review STRING, created_at TIMESTAMP"))
     assert [r.review for r in latest(rows.repartition(5)).collect()] == ["19"]
+
+
+def test_cached_values_are_checked_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def review(content_hash):
+        read.add(1)
+        return '{"filename": "x.py"}' if content_hash < "h5" else "[1]"
+
+    queue = _queue(spark, [("r", n, f"{n}.py", 1, f"h{n % 10}") for n in range(30)])
+    cache = spark.createDataFrame([(f"h{n}",) for n in range(8)], "content_hash STRING").withColumn("review", review.asNondeterministic()("content_hash"))
+    plan = cached_work.review_plan(queue, cache)
+    got = {r.pr_number: (r.action, r.from_pr_number) for r in plan.collect()}
+    assert got == {n: ("cached", None) if n % 10 < 5 else ("review" if n < 10 else "reuse", n % 10) for n in range(30)}
+    assert read.value == 8
