@@ -231,3 +231,8 @@ def test_changes_share_groups_of_the_state():
     found = pd.concat(event_reviews._numbered((7,), iter(frames), state))
     assert dict(zip(found["event_id"], found["run"])) == {2: 1, 5: 2, 1: 3, 9: 4, 4: 1}
     assert json.loads(state.get[0]) == {"a": 2, "b": 4, "c": 1}
+
+
+def test_large_batches_are_parsed_in_few_tasks(spark):
+    assert [webhooks.parse_tasks(spark, n) for n in (0, 1, 200, 201, 800, 8_000)] == [1, 1, 1, 2, 4, 4]
+    assert webhooks.parse_tasks(spark, 40_000) == 20 and webhooks.parse_tasks(spark, 2_000_001) == 1001
